@@ -23,10 +23,9 @@ def n_words(text: Column) -> Column:
 
 
 def form_topic(text: Column) -> Column:
-    """A document's kind, judged on its whole text: symbols, brief, article or long."""
-    text = F.coalesce(text, F.lit(""))
-    marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>!", ""))
-    return F.when(marks * 50 > F.length(text), "symbols").when(F.length(text) < 500, "brief").when(F.length(text) < 4000, "article").otherwise("long")
+    """A document's kind by the length of its whole text: brief, article or long."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    return F.when(n < 500, "brief").when(n < 4000, "article").otherwise("long")
 
 
 def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 200, close: float = 1e-10) -> np.ndarray:
