@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,11 +28,23 @@ from tokenizers import Tokenizer
 
 from .common import cut, text_of
 
-#: Distinct words that a Python worker keeps the ids of, in each of two generations.
-CACHE = 250_000
+#: Bytes of text whose words are looked up together.
+BLOCK = 4_000_000
+#: Parts of words that a Python worker keeps the ids of, in each of two generations.
+CACHE = 400_000
 _TAIL = b".,;:!?"
 #: The tokenizer's own special strings are found across white space and so never go by words.
 _SPECIAL = re.compile(rb"<\|")
+#: Words that the normaliser and the splitting leave as they are, once in lower case.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that the tokenizer's byte level writes for the UTF-8 bytes of each Latin-1 character."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in own]
+    letter = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
 class WordTokenizer:
@@ -43,12 +56,27 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        self.merge, self.letters = self.library.model.tokenize, _byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        done = self.library.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        done = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in done]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``encode``; plain words go to the library's merges at once, past its normaliser and splitting."""
+        out, other = [], []
+        for w in words:
+            low = w.lower()
+            if _PLAIN.fullmatch(low):
+                ids = [t.id for t in self.merge(low if low.isascii() else low.translate(self.letters))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                other.append(w)
+                out.append(None)
+        rest = iter(self.encode(other))
+        return [next(rest) if ids is None else ids for ids in out]
 
     @staticmethod
     def parts(word: bytes) -> list[bytes]:
@@ -59,42 +87,34 @@ class WordTokenizer:
             return [stem, low[len(stem) :]]
         return [low]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put the ids of words into the young generation."""
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word; those of its parts are kept for later calls."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = []
-        for w in words - young.keys():
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
+        cuts = {w: self.parts(w) for w in words}
+        missing = []
+        for p in {p for c in cuts.values() for p in c} - young.keys():
+            if (ids := old.get(p)) is None:
+                missing.append(p)
             else:
-                new.append(w)
-        cuts = [self.parts(w) for w in new]
-        stems = {p for c in cuts for p in c}
-        for p in list(stems):
-            if (ids := young.get(p) or old.get(p)) is not None:
                 young[p] = ids
-        missing = [p for p in stems if p not in young]
-        for p, ids in zip(missing, self.encode([p.decode() for p in missing]), strict=True):
-            young[p] = ids
-        for w, c in zip(new, cuts, strict=True):
-            young[w] = b"".join([young[p] for p in c])
+        young.update(zip(missing, self.encode_words([p.decode() for p in missing]), strict=True))
+        return {w: young[c[0]] if len(c) == 1 else young[c[0]] + young[c[1]] for w, c in cuts.items()}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        raw = [t.encode() for t in texts]
-        out: list[bytes] = []
-        for at in range(0, len(raw), 64):
-            words = [b"" if _SPECIAL.search(r) else r for r in raw[at : at + 64]]
-            split = [w.split() for w in words]
-            self.learn(set().union(*split))
-            get = self.young.__getitem__
-            out += [b"".join(map(get, w)) for w in split]
-        for i, r in enumerate(raw):
-            if _SPECIAL.search(r):
-                out[i] = self.encode([texts[i]])[0]
-        return out
+        at = 0
+        while at < len(texts):
+            raw, size = [], 0
+            while at < len(texts) and (not raw or size < BLOCK):
+                raw.append(texts[at].encode())
+                size, at = size + len(raw[-1]), at + 1
+            whole = [bool(_SPECIAL.search(r)) for r in raw]
+            split = [[] if w else r.split() for r, w in zip(raw, whole, strict=True)]
+            get = self.learn(set().union(*split)).__getitem__
+            for r, w, s in zip(raw, whole, split, strict=True):
+                yield self.encode([r.decode()])[0] if w else b"".join(map(get, s))
 
 
 @lru_cache(maxsize=2)
