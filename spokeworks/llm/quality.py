@@ -94,6 +94,17 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int, least: float) -
     return out
 
 
+def _quadrants(g: np.ndarray, h: np.ndarray, least: float) -> np.ndarray:
+    """Values of a tree over two features: the cut of the rows, with a cut of the columns on either side, that gains most."""
+    best, out = -1.0, np.zeros_like(g)
+    for k in range(1, len(g)):
+        sides = [_tree(x[0].sum(axis=0), x[1].sum(axis=0), 2, least) for x in ((g[:k], h[:k]), (g[k:], h[k:]))]
+        gain = float(sides[0] @ g[:k].sum(axis=0) + sides[1] @ g[k:].sum(axis=0))
+        if gain > best:
+            best, out = gain, np.concatenate([np.tile(sides[0], (k, 1)), np.tile(sides[1], (len(g) - k, 1))])
+    return out
+
+
 def fit_table(x: np.ndarray, y: np.ndarray, bins: int = 64, wide_bins: int = 8, rounds: int = 150, pair_rounds: int = 60, pairs: int = 8, rate: float = 0.1, leaves: int = 4, least: float = 2.0) -> AdditiveModel:
     """The model of features x and labels y (0 or 1). Without rows, or with one label only, it is a constant."""
     n, m = x.shape
@@ -125,11 +136,7 @@ def fit_table(x: np.ndarray, y: np.ndarray, bins: int = 64, wide_bins: int = 8,
     for _ in range(pair_rounds):
         for i, j, table in chosen:
             g, h = (a.reshape(sizes[i], sizes[j]) for a in sums(i, j))
-            rows = _tree(g.sum(axis=1), h.sum(axis=1), 2, least)  # one cut of rows, then one of the columns on either side
-            step = np.zeros_like(table)
-            for value in np.unique(rows):
-                side = rows == value
-                step[side] = _tree(g[side].sum(axis=0), h[side].sum(axis=0), 2, least)
+            step = _quadrants(g, h, least)
             table += rate * step
             total += rate * step[wide[i], wide[j]]
     return AdditiveModel(intercept, edges, tuple(tables), coarse, tuple(chosen))
