@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import network, requests, routes, search
-from ..session import new_path
+from ..session import cut, new_path
 from ..sources import areas, osm
 from . import derived as d
 from .sql import equirect, fixed, haversine, length_of, near, node, sql
@@ -561,7 +561,7 @@ def _summed(steps):
 
 def _adj(spark, sf):
     g = d.graph(spark, sf)
-    return network.neighbors(g.edges), g.nodes
+    return cut(network.neighbors(g.edges)), cut(g.nodes)
 
 
 @add("g2_explore_walks")
@@ -577,9 +577,9 @@ def g3(spark, sf):
 
 
 @add("g4_shortest_paths", f"""
-, ends as (select distinct node as end_node from (select r.request_id, arg_min(n.node, struct_pack(s := pow(n.lon - r.start_lon, 2) + pow(n.lat - r.start_lat, 2), o := n.node_ord)) as node from requests r, nodes n group by 1)),
+, targets as (select distinct node as end_node from (select r.request_id, arg_min(n.node, struct_pack(s := pow(n.lon - r.start_lon, 2) + pow(n.lat - r.start_lat, 2), o := n.node_ord)) as node from requests r, nodes n group by 1)),
 near(end_node, node, dist) using key (end_node, node) as (
-  select end_node, end_node, 0.0::double from ends
+  select end_node, end_node, 0.0::double from targets
   union
   select n.end_node, a.dst, min(n.dist + a.distance_m)
   from near n join adj a on a.src = n.node left join recurring.near r on r.end_node = n.end_node and r.node = a.dst
@@ -593,7 +593,7 @@ def g4(spark, sf):
     return search.shortest_trees(adj, ends).select("end_node", "node", r3(c("dist"), "dist"))
 
 
-SQL["g4_shortest_paths"] = SQL["g4_shortest_paths"].replace("with ", "with recursive ", 1).replace("\n\n, ends", ",\nends", 1)
+SQL["g4_shortest_paths"] = SQL["g4_shortest_paths"].replace("with ", "with recursive ", 1).replace("\n\n, targets", ",\ntargets", 1)
 
 
 @add("g5_run_walks")
