@@ -19,6 +19,10 @@ from .requests import nearest_node, request_mode, start_candidates
 ATTEMPTS = 80
 WIDE_GAP_M = 1000.0
 ENOUGH_ROUTES = 3
+#: Hops of a graph whose neighbour lists are broadcast at most (about 60 MB), and steps or rounds between two checkpoints then.
+MOST_HOPS = 500_000
+STEPS = 6
+ROUNDS = 3
 STEP = "struct<src: bigint, dst: bigint, edge_id: string, distance_m: double, is_gap: boolean>"
 WALKER = ["request_id", "cand_ord", "attempt"]
 ROUTE = ["request_id", "cand_ord", "attempt"]
@@ -26,47 +30,91 @@ ROUTE = ["request_id", "cand_ord", "attempt"]
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1, most_steps: int = 400, every: int = 4) -> DataFrame:
+def small_lists(adj: DataFrame) -> DataFrame | None:
+    """Neighbour lists to broadcast, if the graph has at most MOST_HOPS hops; else none, and searches join."""
+    if adj.limit(MOST_HOPS + 1).count() > MOST_HOPS:
+        return None
+    return F.broadcast(cut(network.neighbor_lists(adj)))
+
+
+def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1, most_steps: int = 400) -> DataFrame:
     """Random walks from each start, ``attempts`` each.
 
     Without ``loop`` a walk never meets a node twice and ends when it is min_distance_m long. With it,
     no edge is used twice; it ends on return to the start, which must not come before min_distance_m,
     and dies on a step beyond max_distance_m. Lane edges go before gaps; among equals the choice is
     uniform by md5 of seed, walker, step and node, so reruns agree. Walks still going after
-    ``most_steps`` are given up.
+    ``most_steps`` are given up. On small graphs the walkers stay where they are and look their hops up
+    in a broadcast, several steps between two checkpoints; on others each step is a join.
     """
-    state = starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), F.array().cast(f"array<{STEP}>").alias("path"))
+    lists = small_lists(adj)
+    state = starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(False).alias("done"))
+    state = state.repartition(*WALKER) if lists is not None else state
     done: list[DataFrame] = []
     for step in range(most_steps):
         if not loop:
-            state = state.filter("total < max_distance_m")
-        hops = state.join(adj, F.col("cur") == F.col("src")).filter(network.usable(F.col("max_gap_m")))
-        if loop:
-            hops = hops.filter(~F.exists("path", lambda s: s["edge_id"] == F.col("edge_id")))
-        else:
-            hops = hops.filter((F.col("dst") != F.col("start")) & ~F.exists("path", lambda s: s["dst"] == F.col("dst")))
-        draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), *(F.col(c).cast("string") for c in WALKER), F.col("dst").cast("string")))
-        hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap")
-        kept = ["start", "max_gap_m", "min_distance_m", "max_distance_m", "total"]
-        chosen = hops.groupBy(*WALKER, *kept).agg(F.min_by(hop, F.struct("is_gap", draw)).alias("hop"))
-        chosen = chosen.join(state.select(*WALKER, "path"), WALKER)
-        moved = chosen.select(*WALKER, "start", F.col("hop.dst").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", (F.col("total") + F.col("hop.distance_m")).alias("total"), F.concat("path", F.array("hop")).alias("path"))
-        if loop:
-            moved = moved.filter("total <= max_distance_m")
-            over, good = F.col("cur") == F.col("start"), F.col("total") >= F.col("min_distance_m")
-        else:
-            over = good = F.col("total") >= F.col("min_distance_m")
-        moved = cut(moved.withColumns({"over": over, "good": over & good}))
-        done.append(moved.filter("good").select(*WALKER, "path"))
-        state = moved.filter("not over").drop("over", "good")
-        if state.isEmpty():
-            break
+            state = state.filter("done or total < max_distance_m")
+        hopped = joined_hops(state, adj, loop, seed, step) if lists is None else looked_up_hops(state, lists, loop, seed, step)
+        state = moved(hopped, loop)
+        if lists is None or step % STEPS == STEPS - 1 or step == most_steps - 1:
+            state = cut(state)
+            done.append(state.filter("done").select(*WALKER, "path"))
+            state = state.filter("not done")
+            if state.isEmpty():
+                break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return steps_of(out)
 
 
+def draw(seed: int, step: int, dst: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), *(F.col(c).cast("string") for c in WALKER), dst.cast("string")))
+
+
+def is_new(loop: bool, edge_id: Column, dst: Column) -> Column:
+    """Whether a walker hasn't used this edge (loops) or met this node (others)."""
+    if loop:
+        return ~F.exists("path", lambda s: s["edge_id"] == edge_id)
+    return (dst != F.col("start")) & ~F.exists("path", lambda s: s["dst"] == dst)
+
+
+def joined_hops(state: DataFrame, adj: DataFrame, loop: bool, seed: int, step: int) -> DataFrame:
+    """The walkers that can move on, with their hop; candidates are reduced before the shuffle, without the paths."""
+    hops = state.join(adj, F.col("cur") == F.col("src")).filter(network.usable(F.col("max_gap_m")) & is_new(loop, F.col("edge_id"), F.col("dst")))
+    hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap")
+    chosen = hops.groupBy(*WALKER).agg(F.min_by(hop, F.struct("is_gap", draw(seed, step, F.col("dst")))).alias("hop"))
+    return state.join(chosen, WALKER)
+
+
+def looked_up_hops(state: DataFrame, lists: DataFrame, loop: bool, seed: int, step: int) -> DataFrame:
+    """The walkers with their hop, null for those that are done; those that can't move on go."""
+    gap = F.col("max_gap_m")
+
+    def pick(hops: str) -> Column:
+        free = F.filter(hops, lambda h: network.usable(gap, lambda f: h[f]) & is_new(loop, h["edge_id"], h["dst"]))
+        drawn = F.transform(free, lambda h: F.struct(draw(seed, step, h["dst"]).alias("draw"), *(h[f].alias(f) for f in ("src", "dst", "edge_id", "distance_m", "is_gap"))))
+        best = F.array_min(drawn)
+        return F.when(best.isNotNull(), F.struct(*(best[f].alias(f) for f in ("src", "dst", "edge_id", "distance_m", "is_gap"))))
+
+    rows = state.join(lists, F.col("cur") == F.col("src"), "left")
+    rows = rows.withColumn("hop", F.when(~F.col("done"), F.coalesce(pick("lanes"), pick("gaps")))).drop("src", "lanes", "gaps")
+    return rows.filter("done or hop is not null")
+
+
+def moved(hopped: DataFrame, loop: bool) -> DataFrame:
+    """The walkers after their hop: those that have reached their aim are done, those that have failed go."""
+    went = ~F.col("done")
+    ahead = {"cur": F.when(went, F.col("hop.dst")).otherwise(F.col("cur")), "total": F.when(went, F.col("total") + F.col("hop.distance_m")).otherwise(F.col("total")), "path": F.when(went, F.concat("path", F.array("hop"))).otherwise(F.col("path"))}
+    rows = hopped.withColumns(ahead).drop("hop")
+    long_enough = F.col("total") >= F.col("min_distance_m")
+    if not loop:
+        return rows.withColumn("done", F.col("done") | long_enough)
+    back = F.col("cur") == F.col("start")
+    rows = rows.filter(F.col("done") | (F.col("total") <= F.col("max_distance_m")) & (~back | long_enough))
+    return rows.withColumn("done", F.col("done") | back)
+
+
 def steps_of(paths: DataFrame) -> DataFrame:
     return paths.select(*ROUTE, F.posexplode("path").alias("seg_idx", "s")).select(*ROUTE, "seg_idx", "s.*")
 
@@ -77,39 +125,63 @@ def shortest_trees(adj: DataFrame, ends: DataFrame, most_rounds: int = 10_000) -
     The graph is undirected, so one search per distinct end serves all starts. Each round relaxes the
     nodes that got nearer in the last one; ties take fewer hops, then the smaller next node.
     """
-    by = ["end_node", "max_gap_m", "node"]
+    by = ["end_node", "max_gap_m", "most", "node"]
+    lists = small_lists(adj)
     bounds = ends.groupBy("end_node", "max_gap_m").agg(F.max("max_distance_m").alias("most"))
-    best = cut(bounds.select("end_node", "max_gap_m", "most", F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next")))
-    front = best
-    for _ in range(most_rounds):
-        reached = front.join(adj, F.col("node") == F.col("src")).filter(network.usable(F.col("max_gap_m")) & (F.col("dist") + F.col("distance_m") <= F.col("most")))
-        reached = reached.select("end_node", "max_gap_m", "most", F.col("dst").alias("node"), (F.col("dist") + F.col("distance_m")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("next"))
-        least = F.min_by(F.struct("most", "dist", "hops", "next", "new"), F.struct("dist", "hops", "new", "next")).alias("b")
-        both = best.withColumn("new", F.lit(False)).unionByName(reached.withColumn("new", F.lit(True)))
-        best = cut(both.groupBy(*by).agg(least).select(*by, "b.*"))
-        front = best.filter("new").drop("new")
-        best = best.drop("new")
-        if front.isEmpty():
-            break
-    return best
+    best = cut(bounds.select("end_node", "max_gap_m", "most", F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("new")))
+    least = F.min_by(F.struct("dist", "hops", "next", "new"), F.struct("dist", "hops", "new", "next")).alias("b")
+    for k in range(most_rounds):
+        both = joined_reach(best, adj) if lists is None else looked_up_reach(best, lists)
+        best = both.groupBy(*by).agg(least).select(*by, "b.*")
+        if lists is None or k % ROUNDS == ROUNDS - 1 or k == most_rounds - 1:
+            best = cut(best)
+            if best.filter("new").isEmpty():
+                break
+    return best.drop("new")
+
+
+def joined_reach(best: DataFrame, adj: DataFrame) -> DataFrame:
+    """The known ways, not new any more, and those one hop longer than the new ones."""
+    front = best.filter("new").join(adj, F.col("node") == F.col("src")).filter(network.usable(F.col("max_gap_m")) & (F.col("dist") + F.col("distance_m") <= F.col("most")))
+    reached = front.select("end_node", "max_gap_m", "most", F.col("dst").alias("node"), (F.col("dist") + F.col("distance_m")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("next"), F.lit(True).alias("new"))
+    return best.withColumn("new", F.lit(False)).unionByName(reached)
+
+
+def looked_up_reach(best: DataFrame, lists: DataFrame) -> DataFrame:
+    """The same rows in one pass over ``best``."""
+    own = F.array(F.struct("node", "dist", "hops", "next", F.lit(False).alias("new")))
+    ok = lambda h: network.usable(F.col("max_gap_m"), lambda f: h[f]) & (F.col("dist") + h["distance_m"] <= F.col("most"))
+    way = lambda h: F.struct(h["dst"].alias("node"), (F.col("dist") + h["distance_m"]).alias("dist"), (F.col("hops") + 1).alias("hops"), h["src"].alias("next"), F.lit(True).alias("new"))
+    found = lambda hops: F.transform(F.filter(hops, ok), way)
+    rows = best.join(lists, F.col("node") == F.col("src"), "left")
+    ways = F.when(F.col("new") & F.col("src").isNotNull(), F.concat(own, found("lanes"), found("gaps"))).otherwise(own)
+    return rows.select("end_node", "max_gap_m", "most", F.explode(ways).alias("w")).select("end_node", "max_gap_m", "most", "w.*")
 
 
 def shortest_paths(adj: DataFrame, starts: DataFrame, most_hops: int = 10_000) -> DataFrame:
     """The shortest path from each start to its end_node if its length is within the start's bounds; none from the end itself."""
     wanted = starts.filter("end_node is not null and node <> end_node")
-    trees = cut(shortest_trees(adj, wanted.select("end_node", "max_gap_m", "max_distance_m")))
+    trees = shortest_trees(adj, wanted.select("end_node", "max_gap_m", "max_distance_m"))
     reached = wanted.join(trees.select("end_node", "max_gap_m", "node", "dist"), ["end_node", "max_gap_m", "node"]).filter("dist between min_distance_m and max_distance_m")
-    state = reached.select("request_id", "cand_ord", F.lit(1).alias("attempt"), "end_node", "max_gap_m", F.col("node").alias("cur"))
-    hops = trees.filter("next is not null").join(adj, (F.col("node") == F.col("src")) & (F.col("next") == F.col("dst"))).filter(network.usable(F.col("max_gap_m"))).select("end_node", "max_gap_m", "src", "dst", "edge_id", "distance_m", "is_gap")
+    state = reached.select("end_node", "max_gap_m", F.col("node").alias("cur"), "request_id", "cand_ord", F.lit(1).alias("attempt"), F.array().cast(f"array<{STEP}>").alias("path"))
+    hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap").alias("hop")
+    hops = trees.filter("next is not null").join(adj, (F.col("node") == F.col("src")) & (F.col("next") == F.col("dst"))).filter(network.usable(F.col("max_gap_m")))
+    hops = cut(hops.select("end_node", "max_gap_m", F.col("node").alias("cur"), hop))
+    small = hops.limit(MOST_HOPS + 1).count() <= MOST_HOPS
+    ahead = F.broadcast(hops) if small else hops
     out = None
     for k in range(most_hops):
-        step = cut(state.join(hops, (state["end_node"] == hops["end_node"]) & (state["max_gap_m"] == hops["max_gap_m"]) & (F.col("cur") == F.col("src"))).select(*ROUTE, state["end_node"], state["max_gap_m"], F.lit(k).alias("seg_idx"), "src", "dst", "edge_id", "distance_m", "is_gap"))
-        part = step.select(*ROUTE, "seg_idx", "src", "dst", "edge_id", "distance_m", "is_gap")
-        out = part if out is None else out.unionByName(part)
-        state = step.filter("dst <> end_node").select(*ROUTE, "end_node", "max_gap_m", F.col("dst").alias("cur"))
-        if state.isEmpty():
-            break
-    return out
+        rows = state.join(ahead, ["end_node", "max_gap_m", "cur"], "left")  # none starts from an end
+        gone = F.col("hop").isNotNull()
+        state = rows.withColumns({"cur": F.when(gone, F.col("hop.dst")).otherwise(F.col("cur")), "path": F.when(gone, F.concat("path", F.array("hop"))).otherwise(F.col("path"))}).drop("hop")
+        if not small or k % STEPS == STEPS - 1 or k == most_hops - 1:
+            state = cut(state)
+            part = state.filter("cur = end_node").select(*ROUTE, "path")
+            out = part if out is None else out.unionByName(part)
+            state = state.filter("cur <> end_node")
+            if state.isEmpty():
+                break
+    return steps_of(out)
 
 
 def with_signature(steps: DataFrame) -> DataFrame:

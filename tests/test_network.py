@@ -107,23 +107,28 @@ SCENARIOS = {
 }
 
 
-@pytest.mark.parametrize("name", SCENARIOS)
-def test_route_scenarios(spark, name):
+@pytest.mark.parametrize(("name", "most_hops"), [*((name, search.MOST_HOPS) for name in SCENARIOS), ("gap-bridging", 0), ("one-way-chain", 0)])
+def test_route_scenarios(spark, name, most_hops, monkeypatch):
+    monkeypatch.setattr(search, "MOST_HOPS", most_hops)
     text, start, end, least, loop, expected = SCENARIOS[name]
     rows = [(f"{e[0]}-{e[1]}", ord(e[0]), ord(e[1]), abs(float(e[2:])), e[2] == "-", 0.0, 0.0) for e in text.split()]
     adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
     starts = spark.createDataFrame([(1, ord(start), 0, 1000.0, float(least), 5000.0, ord(end) if end else None)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double, end_node long")
     steps = search.shortest_paths(adj, starts) if end else search.run_walks(adj, starts, loop)
-    found = set()
-    for r in search.with_signature(steps).collect():
-        own = sorted((s.seg_idx, chr(s.src), chr(s.dst)) for s in steps.collect() if (s.cand_ord, s.attempt) == (r.cand_ord, r.attempt))
-        found.add("".join(s for _, s, _ in own) + own[-1][2])
+    ways = {}
+    for s in sorted(steps.collect(), key=lambda s: s.seg_idx):
+        way = ways.setdefault((s.cand_ord, s.attempt), [chr(s.src)])
+        assert way[-1] == chr(s.src)
+        way.append(chr(s.dst))
+    found = {"".join(way) for way in ways.values()}
     assert set(expected) <= found
     if not expected or end:
         assert found == set(expected)
 
 
-def test_shortest_distances_equal_dijkstra(spark):
+@pytest.mark.parametrize("most_hops", [search.MOST_HOPS, 0], ids=["looked up", "joined"])
+def test_shortest_distances_equal_dijkstra(spark, most_hops, monkeypatch):
+    monkeypatch.setattr(search, "MOST_HOPS", most_hops)
     rng = random.Random(5)
     edges = {tuple(sorted(rng.sample(range(25), 2))): float(rng.randint(1, 9)) for _ in range(60)}
     rows = [(f"{a}-{b}", a, b, w, False, 0.0, 0.0) for (a, b), w in edges.items()]
@@ -143,6 +148,20 @@ def test_shortest_distances_equal_dijkstra(spark):
         assert {n: d for (e, n), d in found.items() if e == end} == best
 
 
+def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)}
+    rows = [(f"{a}-{b}", a, b, float(rng.randint(20, 90)), rng.random() < 0.3, 0.0, 0.0) for a, b in sorted(pairs)]
+    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
+    starts = spark.createDataFrame([(r, r * 3, 0, 60.0, 150.0, 400.0) for r in range(4)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double")
+    for loop in (False, True):
+        monkeypatch.setattr(search, "MOST_HOPS", 500_000)
+        first = {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
+        monkeypatch.setattr(search, "MOST_HOPS", 0)
+        assert len(first) >= 3
+        assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
+
+
 def test_serving_rotates_and_a_refresh_starts_anew(spark):
     log = spark.sql("select id as request_id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id * 5) as ts, 'k' as cache_key, id = 6 as refresh from range(1, 8)")
     found = spark.createDataFrame([(r, f"r{r}{i}") for r in (2, 3, 7) for i in "ab"], "request_id long, route_id string")
