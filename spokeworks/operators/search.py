@@ -244,7 +244,7 @@ def routes_per_request(requests: DataFrame, steps: DataFrame) -> DataFrame:
 
 def shortest_route(steps: DataFrame, one_way: Column) -> DataFrame:
     """Of one-way requests only the steps of the shortest route, the earlier candidate's on ties; others as they are."""
-    routes = with_signature(steps).filter(one_way)
+    routes = with_signature(steps.filter(one_way))
     best = routes.groupBy("request_id").agg(F.min_by(F.struct("cand_ord", "attempt"), F.struct("total_m", "cand_ord", "attempt")).alias("b")).select("request_id", "b.*")
     return steps.filter(~one_way).unionByName(steps.join(best, ROUTE, "left_semi"))
 

@@ -162,6 +162,13 @@ def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
         assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
 
 
+def test_one_way_requests_keep_the_shortest_route_and_others_all(spark):
+    rows = [(1, k, 1, 0, 1, 2, "e", d, False, "one_way") for k, d in ((0, 5.0), (1, 3.0), (2, 3.0))] + [(2, k, 1, 0, 1, 2, "e", 4.0, False, "explore") for k in (0, 1)]
+    steps = spark.createDataFrame(rows, "request_id long, cand_ord int, attempt int, seg_idx int, src long, dst long, edge_id string, distance_m double, is_gap boolean, mode string")
+    found = search.shortest_route(steps, F.col("mode") == "one_way").select("request_id", "cand_ord").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 0), (2, 1)]
+
+
 def test_serving_rotates_and_a_refresh_starts_anew(spark):
     log = spark.sql("select id as request_id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, id * 5) as ts, 'k' as cache_key, id = 6 as refresh from range(1, 8)")
     found = spark.createDataFrame([(r, f"r{r}{i}") for r in (2, 3, 7) for i in "ab"], "request_id long, route_id string")
