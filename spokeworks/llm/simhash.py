@@ -23,6 +23,8 @@ SEED = 42
 #: Block edges of the first pigeonhole and of the one for large buckets.
 EDGES = (0, 11, 22, 32, 43, 54, 64)
 FINE = tuple(range(0, 65, 4))
+#: A fingerprint of more than one row in so many is hot; there are fewer hot ones than this, so that they can be broadcast.
+HOT = 1000
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -154,15 +156,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     columns are not read.
     """
     marked = cut(fingerprints(docs, text, doc_id, width))
-    first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(first.select("fp"), most))
     # the component of a fingerprint that has links: the smallest first document of its members
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     named = members.join(first, "fp")
     lowest = named.groupBy("root").agg(F.min("first").alias("low"))
     linked = named.join(lowest, "root").select("fp", "low")
-    by_fp = first.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(first.join(linked, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"), "n"))
+    return with_components(marked, by_fp)
+
+
+def with_components(marked: DataFrame, by_fp: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of ``marked`` with the component_id of their fingerprint (fp, component_id, n: rows of it).
+
+    Rows of hot fingerprints, those of over one row in ``hot``, never meet in one task: these
+    fingerprints, fewer than ``hot``, are broadcast.
+    """
+    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.broadcast(by_fp.filter(F.col("n") * hot > total).select("fp", "component_id"))
+    rest = marked.join(often, "fp", "left_anti").join(by_fp.filter(F.col("n") * hot <= total), "fp")
+    return marked.join(often, "fp").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
 def hexadecimal(column: str):
