@@ -32,6 +32,9 @@ from .common import cut, text_of
 BLOCK = 4_000_000
 #: Parts of words that a Python worker keeps the ids of, in each of two generations.
 CACHE = 400_000
+#: Rows of a length that one task ranks, about; lengths are dealt to as many shares as all rows need, LEAST_SALTS at least.
+SHARE = 250_000
+LEAST_SALTS = 64
 _TAIL = b".,;:!?"
 #: The tokenizer's own special strings are found across white space and so never go by words.
 _SPECIAL = re.compile(rb"<\|")
@@ -247,14 +250,16 @@ def ranked(cutup: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
     return rows.withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt"), counts.groupBy("length").agg(F.sum("n").alias("n"))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", doc_id: str = "doc_id", salts: int = 64, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", doc_id: str = "doc_id", salts: int | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     path: file of a tokenizer, present on every executor. A sequence holds ``capacity`` tokens at
     most, without gaps from 0. Null and empty texts are the end token alone. Repeated rows are packed
-    each time; an empty table gives no rows; other columns are not read.
+    each time; an empty table gives no rows; other columns are not read. salts: shares of a length; by
+    default they follow the number of pieces.
     """
-    rows, lengths = ranked(cut(pieces(docs, path, capacity, end, text, doc_id, keep_ids)), salts)
+    cutup = cut(pieces(docs, path, capacity, end, text, doc_id, keep_ids))
+    rows, lengths = ranked(cutup, salts or max(LEAST_SALTS, -(-cutup.count() // SHARE)))
     table = rounds(lengths, capacity).toArrow()  # bounded by the capacity
     size, rank, first, filled = (table[c].to_numpy() for c in ("piece_size", "piece_first", "first", "filled"))
     order = np.argsort(keys := size.astype(np.int64) << 48 | rank, kind="stable")
