@@ -161,12 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int
 
     most_rows: the bound of the sample; beyond it the rows with the smallest hashes of their id are
     taken, the same in each run. Null ids and labels are left out. Labels that an id repeats count
-    by their smallest.
+    by their smallest, documents that repeat it by their largest features.
     """
     known = labels.filter(F.col(label).isNotNull() & (remainder(doc_id, folds) != 0)).groupBy(doc_id).agg(F.min(label).alias("__label"))
     sample = known.orderBy(F.xxhash64(doc_id), doc_id).limit(most_rows).select(F.col(doc_id).alias("__id"), F.col("__label").cast("int").alias("__label"))
     chosen = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text")).join(F.broadcast(sample), "__id", "left_semi")
-    x = with_features(chosen, "__text", "__id").dropDuplicates(["doc_id"])
+    x = with_features(chosen, "__text", "__id").groupBy("doc_id").agg(F.max("x").alias("x"))
     rows = x.join(F.broadcast(sample), x["doc_id"] == sample["__id"]).select("x", "__label", "__id").toArrow()  # bounded by most_rows
     order = np.argsort(rows["__id"].to_numpy(), kind="stable")
     flat = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))[order]

@@ -100,11 +100,13 @@ class MarkovModel:
     least_mean: float
 
     def runs(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Runs of token characters apart from the spans taken whose mean ratio reaches the margin."""
-        found = []
+        """Runs of token characters apart from the spans taken, which are sorted, whose mean ratio reaches the margin."""
+        found, at, busy = [], 0, 0
         for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{self.least_length},}}", text):
             start, end = m.span()
-            if any(a < end and start < b for a, _, b, _ in taken):
+            while at < len(taken) and taken[at][0] < end:
+                busy, at = max(busy, taken[at][2]), at + 1
+            if start < busy:
                 continue
             codes = _INDEX[np.frombuffer(text[start:end].encode(), np.uint8)]
             if self.ratio[codes[:-1] * SIZE + codes[1:]].mean() >= self.least_mean:

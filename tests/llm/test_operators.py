@@ -1,6 +1,7 @@
 import bisect
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -53,6 +54,16 @@ def test_markov_model_finds_random_strings_and_leaves_words(spark):
     assert [r.text for r in clean] == ["a [SECRET] b", None]
 
 
+def test_runs_keep_clear_of_spans_as_a_check_of_all_pairs_does():
+    rng = random.Random(8)
+    model = secret_scan.MarkovModel(np.ones(secret_scan.SIZE**2), 4, 0.5)
+    for _ in range(200):
+        text = "".join(rng.choices("ab. ", (6, 6, 1, 2), k=120))
+        taken = sorted((a, 0, a + rng.randint(1, 15), a) for a in rng.sample(range(120), 5))
+        free = [(m.start(), 3, m.end(), m.start()) for m in re.finditer("[ab]{4,}", text) if not any(a < m.end() and m.start() < b for a, _, b, _ in taken)]
+        assert model.runs(text, taken) == free
+
+
 def test_token_counts_equal_the_librarys(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -203,6 +214,15 @@ def test_near_duplicates_end_to_end(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_hot_and_other_fingerprints_get_their_components(spark, hot):
+    fps = [5] * 40 + [7] * 3 + list(range(100, 140))
+    marked = spark.createDataFrame([(k, f) for k, f in enumerate(fps)], "doc_id long, fp long")
+    by_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    rows = sorted(tuple(r) for r in simhash.with_components(marked, by_fp, hot).collect())
+    assert rows == [(k, f, fps.index(f)) for k, f in enumerate(fps)]
+
+
 def test_additive_model_learns_main_effects_and_pairs():
     rng = np.random.default_rng(3)
     x = rng.uniform(-1, 1, (3000, len(quality.FEATURES)))
@@ -221,6 +241,8 @@ def test_quality_held_out_accuracy_and_odd_rows(spark):
     rows = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0]
     assert all((rows[k] >= 0.3) == (k < n) for k in held) and len(rows) == 300 + len(ODD)
+    twice = docs.unionByName(docs.withColumn("text", F.lit("x")))  # an id with two texts gives the same model in any order
+    assert (quality.fit(twice, labels).score(np.eye(16)) == quality.fit(twice.orderBy(F.desc("doc_id"), "text"), labels).score(np.eye(16))).all()
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == {k for k, s in rows.items() if s >= 0.3}
     assert quality.fit(docs.limit(0), labels).score(np.zeros((1, len(quality.FEATURES)))).shape == (1,)
 
@@ -248,3 +270,6 @@ def test_packing_round_trip_and_sequence_count(spark):
         bisect.insort(gaps, (gaps.pop(i) if i < len(gaps) else 256) - s)
     assert len(at) <= n + 1
     assert packing.pack(docs_of(spark, []), path).count() == 0
+    few = packing.pack(docs_of(spark, texts), path, capacity=256, salts=2).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in few) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert len({r.sequence_id for r in few}) == len(at)
