@@ -8,6 +8,7 @@ end_node) and give steps (request_id, cand_ord, attempt, seg_idx, src, dst, edge
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,31 +38,33 @@ def small_lists(adj: DataFrame) -> DataFrame | None:
     return F.broadcast(cut(network.neighbor_lists(adj)))
 
 
-def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1, most_steps: int = 400) -> DataFrame:
+def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
     """Random walks from each start, ``attempts`` each.
 
     Without ``loop`` a walk never meets a node twice and ends when it is min_distance_m long. With it,
     no edge is used twice; it ends on return to the start, which must not come before min_distance_m,
     and dies on a step beyond max_distance_m. Lane edges go before gaps; among equals the choice is
-    uniform by md5 of seed, walker, step and node, so reruns agree. Walks still going after
-    ``most_steps`` are given up. On small graphs the walkers stay where they are and look their hops up
+    uniform by md5 of seed, walker, step and node, so reruns agree. The search goes on until no walker
+    is left: as nodes or edges are used up, every walk ends. On small graphs the walkers stay where they are and look their hops up
     in a broadcast, several steps between two checkpoints; on others each step is a join.
     """
     lists = small_lists(adj)
     state = starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(False).alias("done"))
     state = state.repartition(*WALKER) if lists is not None else state
     done: list[DataFrame] = []
-    for step in range(most_steps):
+    for step in count():
         if not loop:
             state = state.filter("done or total < max_distance_m")
         hopped = joined_hops(state, adj, loop, seed, step) if lists is None else looked_up_hops(state, lists, loop, seed, step)
         state = moved(hopped, loop)
-        if lists is None or step % STEPS == STEPS - 1 or step == most_steps - 1:
+        if lists is None or step % STEPS == STEPS - 1:
             state = cut(state)
-            done.append(state.filter("done").select(*WALKER, "path"))
-            state = state.filter("not done")
-            if state.isEmpty():
+            ended, going = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+            if ended or not going and not done:
+                done.append(state.filter("done").select(*WALKER, "path"))
+            if not going:
                 break
+            state = state.filter("not done")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -137,6 +140,8 @@ def shortest_trees(adj: DataFrame, ends: DataFrame, most_rounds: int = 10_000) -
             best = cut(best)
             if best.filter("new").isEmpty():
                 break
+    else:
+        raise RuntimeError(f"the shortest ways did not settle in {most_rounds} rounds")
     return best.drop("new")
 
 
@@ -181,6 +186,8 @@ def shortest_paths(adj: DataFrame, starts: DataFrame, most_hops: int = 10_000) -
             state = state.filter("cur <> end_node")
             if state.isEmpty():
                 break
+    else:
+        raise RuntimeError(f"a shortest path is longer than {most_hops} hops")
     return steps_of(out)
 
 

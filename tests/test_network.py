@@ -162,6 +162,20 @@ def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
         assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
 
 
+def test_walks_have_no_step_cap_and_shortest_searches_that_stop_early_say_so(spark, monkeypatch):
+    rows = [(f"{k}-{k + 1}", k, k + 1, 20.0, False, 0.0, 0.0) for k in range(9)]
+    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
+    starts = spark.createDataFrame([(1, 0, 0, 60.0, 0.0, 400.0, 9)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double, end_node long")
+    with pytest.raises(RuntimeError):
+        search.shortest_trees(adj, starts.select("end_node", "max_gap_m", "max_distance_m"), most_rounds=3)
+    taken = []  # stands in for real steps, which are slow: the walker comes back at the 450th
+    path = F.array(F.struct(F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit("e").alias("edge_id"), F.lit(20.0).alias("distance_m"), F.lit(False).alias("is_gap"))).cast(f"array<{search.STEP}>")
+    monkeypatch.setattr(search, "STEPS", 50)
+    monkeypatch.setattr(search, "looked_up_hops", lambda state, lists, loop, seed, step: taken.append(step) or state)
+    monkeypatch.setattr(search, "moved", lambda state, loop: state.withColumns({"done": F.lit(True), "path": path}) if len(taken) == 450 else state)
+    assert search.walks(adj, starts, loop=True, attempts=1).count() == 1
+
+
 def test_one_way_requests_keep_the_shortest_route_and_others_all(spark):
     rows = [(1, k, 1, 0, 1, 2, "e", d, False, "one_way") for k, d in ((0, 5.0), (1, 3.0), (2, 3.0))] + [(2, k, 1, 0, 1, 2, "e", 4.0, False, "explore") for k in (0, 1)]
     steps = spark.createDataFrame(rows, "request_id long, cand_ord int, attempt int, seg_idx int, src long, dst long, edge_id string, distance_m double, is_gap boolean, mode string")
