@@ -1,8 +1,10 @@
 """Secret scans: fixed rules, and character Markov models compared by log-likelihood ratio.
 
 Two first-order character models are trained: one of random strings, one of ordinary identifiers.
-A run of token characters that no rule has caught is a secret if the random model explains it
-better than the other by a margin for each transition.
+A stretch of token characters that no rule has caught is a secret if the random model explains it
+better than the other by a margin for each transition. Stretches are whole runs or parts of them: the
+one with the largest sum of ratios above the margin, widened while the ratios' sum grows and
+to whole words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ _INDEX = np.zeros(256, np.int64)
 _INDEX[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, SIZE)
 
 
+#: Least length of what goes on from a key that a rule has caught.
+LEAST_REST = 4
+_WORD = "(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)"
+#: Words and numbers, or names made of them.
+IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9+/_=-])[+/_=-]*{_WORD}(?:[+/_=-]+{_WORD})*[+/_=-]*(?![A-Za-z0-9+/_=-])")
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -72,14 +81,20 @@ def count_labelled(samples: DataFrame, text: str = "text", label: str = "label")
 
 
 def count_by_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """As ``count_labelled``, over all documents, labelled by the rules: what they catch is random, the rest ordinary."""
+    """As ``count_labelled``, over all documents, labelled by the rules: values that they catch are random, unless they are words; other identifiers are ordinary."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(0).to_pylist()
-        values = "\n".join(t[at:end] for t in texts for _, _, end, at in base_spans(t)).encode()
-        everything = transitions("\n".join(texts).encode())
-        random = transitions(values)
-        return _rows([np.maximum(everything - random, 0), random])
+        random, ordinary = [], np.zeros(SIZE * SIZE, np.int64)
+        for t in batch.column(0).to_pylist():
+            done, rest = 0, []
+            for a, _, end, at in base_spans(t):
+                if not IDENTIFIER.fullmatch(t[at:end]):
+                    random.append(t[at:end])
+                if a >= done:
+                    rest.append(t[done:a])
+                done = max(done, end)
+            ordinary += transitions("\n".join(IDENTIFIER.findall("\n".join([*rest, t[done:]]))).encode())
+        return _rows([ordinary, transitions("\n".join(random).encode())])
 
     parts = over_batches(docs, [text_of(text)], work, "label int, pair int, n long")
     return parts.groupBy("label", "pair").agg(F.sum("n").alias("n"))
@@ -114,6 +129,71 @@ class MarkovModel:
         return found
 
 
+    def stretches(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Secret stretches of token characters between the spans taken, which are sorted: whole runs or parts of them."""
+        found, at, busy, key = [], 0, 0, False
+        for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{self.least_length},}}", text):
+            start, end = m.span()
+            while at < len(taken) and taken[at][0] < start:
+                busy, key = max((busy, key), (taken[at][2], taken[at][1] in (1, 2)))
+                at += 1
+            here, key = max(start, busy), busy > start and key
+            while at < len(taken) and taken[at][0] < end:
+                a, kind, b, _ = taken[at]
+                self._between(text, here, min(a, end), key, kind in (1, 2), found)
+                if b > here:
+                    here, key = b, kind in (1, 2)
+                at += 1
+            self._between(text, here, end, key, False, found)
+            busy = max(busy, here)
+        return sorted(found)
+
+    def _between(self, text: str, start: int, end: int, left: bool, right: bool, found: list[tuple[int, int, int, int]]) -> None:
+        """The secret stretches of text[start:end]; left, right: whether a key by the rules touches it there."""
+        n = len(found)
+        self._best(text, start, end, found)
+        if len(found) == n and (left or right) and end - start >= LEAST_REST:
+            self._touching(text, start, end, left, right, found)
+
+    def _best(self, text: str, start: int, end: int, found: list[tuple[int, int, int, int]]) -> None:
+        """Add the secret stretches of text[start:end] to ``found``."""
+        parts = [(start, end)]
+        while parts:
+            start, end = parts.pop()
+            if end - start < self.least_length:
+                continue
+            codes = _INDEX[np.frombuffer(text[start:end].encode(), np.uint8)]
+            ratios = self.ratio[codes[:-1] * SIZE + codes[1:]]
+            if ratios.mean() >= self.least_mean:
+                found.append((start, 3, end, start))
+                continue
+            over = np.concatenate([[0.0], np.cumsum(ratios - self.least_mean)])
+            least = self.least_length - 1
+            gains = over[least:] - np.minimum.accumulate(over[:-least])
+            b = int(gains.argmax())
+            if gains[b] < 0:
+                continue  # then no stretch reaches the margin
+            a, b = int(over[: b + 1].argmin()), b + least
+            sums = np.concatenate([[0.0], np.cumsum(ratios)])
+            a, b = start + int(sums[: a + 1].argmin()), start + b + int(sums[b:].argmax()) + 1
+            while a > start and text[a - 1].isalnum():  # letters and digits on from a secret are part of it
+                a -= 1
+            while b < end and text[b].isalnum():
+                b += 1
+            found.append((a, 3, b, a))
+            parts += [(start, a), (b, end)]
+
+    def _touching(self, text: str, start: int, end: int, left: bool, right: bool, found: list[tuple[int, int, int, int]]) -> None:
+        """Add what goes on from a key at the left or right of text[start:end], where that is too short or too weak a secret by itself."""
+        codes = _INDEX[np.frombuffer(text[start:end].encode(), np.uint8)]
+        ratios = self.ratio[codes[:-1] * SIZE + codes[1:]]
+        if left and (n := int(np.cumsum(ratios).argmax()) + 2) >= LEAST_REST and ratios[: n - 1].mean() >= self.least_mean:
+            found.append((start, 3, start + n, start))
+            return self._touching(text, start + n, end, False, right, found) if right and end - start - n >= LEAST_REST else None
+        if right and (n := int(np.cumsum(ratios[::-1]).argmax()) + 2) >= LEAST_REST and ratios[::-1][: n - 1].mean() >= self.least_mean:
+            found.append((end - n, 3, end, end - n))
+
+
 def fit(counts: DataFrame, least_length: int = 20, least_mean: float = 0.5, random_prior: float = 2.0, ordinary_prior: float = 0.05) -> MarkovModel:
     """The two models from transition counts (2 * SIZE**2 rows at most).
 
@@ -143,7 +223,7 @@ def find_secrets(docs: DataFrame, model: MarkovModel, text: str = "text", doc_id
         out = []
         for t in batch.column(1).to_pylist():
             base = base_spans(t)
-            out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b, _ in sorted(base + model.runs(t, base))])
+            out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b, _ in sorted(base + model.stretches(t, base))])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
@@ -160,7 +240,7 @@ def redact(docs: DataFrame, model: MarkovModel, text: str = "text", mark: str =
         for batch in batches:
             out = []
             for t in batch.column(at).to_pylist():
-                spans = [] if t is None else (base := base_spans(t)) + model.runs(t, base)
+                spans = [] if t is None else (base := base_spans(t)) + model.stretches(t, base)
                 done, parts = 0, []
                 for a, _, b, _ in sorted(spans):
                     if a >= done:

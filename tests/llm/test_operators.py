@@ -64,6 +64,27 @@ def test_runs_keep_clear_of_spans_as_a_check_of_all_pairs_does():
         assert model.runs(text, taken) == free
 
 
+def test_stretches_find_the_rest_of_keys_and_values_within_long_runs(spark):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choices(secret_scan.ALPHABET[:62], k=n))
+    plain = [prose(200, k) + " /home/user/projects/request_headers/settings_of_account_names" for k in range(20)]
+    texts = plain + [f"api_key={key(40)}" for _ in range(60)] + ["password=correct_horse_battery"] * 9
+    model = secret_scan.fit(secret_scan.count_by_rules(docs_of(spark, texts)))
+    for _ in range(20):
+        value = key(40)
+        path = "/home/user/projects/settings_of_account_names/request_headers/" * 5  # ordinary enough to hide the value in a mean
+        assert not model.runs(path + value, [])
+        spans = model.stretches(path + value, [])
+        assert len(path) - 12 <= min(a for a, *_ in spans) <= len(path) and spans[-1][2] == len(path + value)
+        for text in (f"{value}{'3f' * 12}{key(30)}", f"AKIA{'B' * 16}q{value}"):  # the rest of a key lies on either side of a span
+            base = secret_scan.base_spans(text)
+            covered = {i for a, _, b, _ in base + model.stretches(text, base) for i in range(a, b)}
+            assert len(covered) >= len(text) - 8
+    assert not any(model.stretches(t, []) for t in plain)
+    caught = {r.pair for r in secret_scan.count_by_rules(docs_of(spark, texts[-9:])).collect() if r.label == 1}
+    assert not caught  # words are no random strings
+
+
 def test_token_counts_equal_the_librarys(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
