@@ -125,8 +125,12 @@ def build(candidates: DataFrame, shards: int, leaf: int = 64) -> DataFrame:
     return candidates.select(shard.alias("shard"), F.size("v").alias("dim"), "vec_id", "v").groupBy("shard", "dim").applyInArrow(one, TREE)
 
 
-def visit(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
-    """Search each query (shard, dim, query_id, v, kth_score, kth_id) in the tree of its shard."""
+def visit(queries: DataFrame, trees: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+    """Search each query (shard, dim, query_id, v, kth_score, kth_id) in the tree of its shard.
+
+    blocks: hash shares of the queries. A group is one tree and one share of its queries; the trees
+    are repeated for each share.
+    """
 
     def one(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -140,7 +144,12 @@ def visit(queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    return queries.groupBy("shard", "dim").cogroup(trees.groupBy("shard", "dim")).applyInArrow(one, HITS)
+    # not the hash of the shards, whose remainders go together with it
+    share = F.pmod(F.xxhash64(F.lit("block"), F.col("query_id")), F.lit(blocks).cast("long"))
+    left = queries.withColumn("block", share)
+    right = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    by = ["shard", "dim", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(one, HITS)
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -148,12 +157,13 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: str, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows by integer inner product, ties to the smaller id.
 
     is_query: SQL condition on vec_id. Candidates are all rows of ``vectors``; a query has hits among
     vectors of its own length only. shard_rows: rows of a shard on average; the number of shards
-    follows the input. Invalid rows take no part (see ``quantise``); fewer candidates give fewer
+    follows the input. block_rows: queries on average that meet a shard's tree in one task; the number of
+    blocks follows the queries. Invalid rows take no part (see ``quantise``); fewer candidates give fewer
     hits; an empty table gives none; other columns are not read.
     """
     rows = cut(quantise(vectors, vec_id, embedding))
@@ -167,5 +177,6 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, vec_id: str = "vec_id",
         kth = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
         others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), lambda s: s != F.col("home"))
         rest = queries.join(kth, "query_id", "left").withColumn("shard", F.explode(others))
-        first = best(first.drop("rank").unionByName(visit(rest, trees, k)), k)
+        blocks = max(1, -(-queries.count() // block_rows))
+        first = best(first.drop("rank").unionByName(visit(rest, trees, k, blocks)), k)
     return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

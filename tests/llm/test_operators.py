@@ -123,6 +123,18 @@ def test_kd_tree_equals_brute_force_with_ties_and_bad_rows(spark, same):
     assert kdtree.top_k(table.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_queries_meet_trees_in_bounded_blocks_with_the_same_hits(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(0, 0.2, (300, 6)).round(2).tolist())], "vec_id long, embedding array<double>")
+    asked, visit = [], kdtree.visit
+    monkeypatch.setattr(kdtree, "visit", lambda queries, trees, k, blocks=1: asked.append(blocks) or visit(queries, trees, k, blocks))
+    hits = lambda rows: sorted(map(tuple, kdtree.top_k(table, "vec_id % 2 = 0", k=3, shard_rows=100, block_rows=rows).collect()))
+    assert hits(20) == hits(1000) and asked == [1, 8, 1, 1]
+    # a group of the wide visit holds a block's queries, not all of them
+    rows = table.select(F.col("vec_id").alias("query_id")).groupBy(F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(8))).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 80
+
+
 def test_rule_counts_by_brute_force():
     for text in [t or "" for t in ODD] + ["a b c d e f a b c d e", "x\nx\n\n \nx", "a# b$ <c>|", "a a a a a a a"]:
         words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
