@@ -59,7 +59,9 @@ def probabilities(docs: DataFrame, tokens: Column, marginals: dict[str, Column],
     """The probability with which a document of each cell is kept.
 
     The cells are bounded by the targets, which are parameters: categories without a target form one
-    (REST), whose target is what those of its marginal leave of 1. share: tokens kept of all, if the
+    (REST), whose target is what those of its marginal leave of 1. If they leave nothing, REST keeps its
+    own proportion of the tokens, and the targets share the others; only REST: 0.0 among the targets
+    drops it. share: tokens kept of all, if the
     rarest cell allows it; by default as many as possible with the whole rarest cell kept.
     """
     names = [[*targets[m], *([] if REST in targets[m] else [REST])] for m in marginals]
@@ -68,6 +70,12 @@ def probabilities(docs: DataFrame, tokens: Column, marginals: dict[str, Column],
     cells = np.zeros([len(k) for k in names])
     for r in rows:
         cells[tuple(k.index(r[m]) for m, k in zip(marginals, names, strict=True))] = r["tokens"]
+    for axis, (m, ks) in enumerate(zip(marginals, names, strict=True)):
+        at = ks.index(REST)
+        if REST not in targets[m] and full[axis][at] < 1e-9:
+            own = cells.sum(axis=tuple(i for i in range(cells.ndim) if i != axis))[at] / max(cells.sum(), 1)
+            full[axis] = full[axis] * (1 - own)
+            full[axis][at] = own
     weights = rake(cells, full)
     factor = np.divide(weights, cells, out=np.zeros_like(weights), where=cells > 0)
     scale = 1 / factor.max() if factor.max() > 0 else 0.0

@@ -180,6 +180,17 @@ def test_raking_meets_the_marginals_and_draws_by_probability(spark):
     assert mixing.mix(docs_of(spark, ODD), targets).count() == len(ODD) and mixing.mix(docs.limit(0), targets).count() == 0
 
 
+def test_languages_without_a_target_keep_their_proportion_unless_it_is_zero(spark):
+    docs = docs_of(spark, [prose(40, k) for k in range(300)]).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "it").when(F.col("doc_id") % 5 == 2, "de").otherwise("en"))
+    targets = {"source": {"s0": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"brief": 1.0}}
+    rows = mixing.mix(docs, targets).collect()
+    own = {v: sum(r.n_tokens * r.probability for r in rows if r.lang == v) for v in ("en", "de", "rest")}
+    rest = sum(r.n_tokens for r in rows if r.lang == "rest") / sum(r.n_tokens for r in rows)
+    assert own["rest"] / sum(own.values()) == pytest.approx(rest, abs=1e-6) and own["en"] == pytest.approx(own["de"])
+    none = mixing.mix(docs, targets | {"lang": {"en": 0.5, "de": 0.5, "rest": 0.0}}).collect()
+    assert all((r.probability == 0) == (r.lang == "rest") for r in none)
+
+
 URLS = ["http://A.net/en/x", "https://b.Example.net/en/1?q", "https://example.net/en", "ftp://x.example.com/de/#f", "http://example.org/fr/", "nothing", None, "http://net", "http://notnet/", "http://example.com.net/", "x://y://a.org/fr/z", "http://a.net:80/"]
 
 
