@@ -84,14 +84,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_nearest": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 50 = 0),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+  select q.r, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.r <> c.r and len(q.v) = len(c.v) and q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
         "op7_url_rules": r"""
 with parts as (

@@ -104,35 +104,51 @@ def test_licenses_found_confirmed_and_unknown(spark):
     assert all(not rows[k] for k in range(len(texts)) if k not in (40, 41, 42))
 
 
+def brute_top_k(rows, k=5):
+    """(query id, rank, id, score) for (id, vector) rows; every row is a candidate, a query's own row excepted."""
+    good = [(i, [int(np.floor(256 * x)) if abs(x) < 1e15 else int(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(good):
+        if q % 50 == 0:
+            scores = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v)]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
 @pytest.mark.parametrize("same", [False, True])
-def test_kd_tree_equals_brute_force_with_ties_and_bad_rows(spark, same):
+def test_kd_tree_equals_brute_force_with_ties_repeated_ids_and_bad_rows(spark, same):
     rng = np.random.default_rng(1)
     vectors = rng.normal(0, 0.2, (400, 8)).round(2)
     if same:
         vectors[50:300] = vectors[50]
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(vectors)] + [(1000, None, 0), (1001, [1.0, None] * 4, 0), (1002, [float("nan")] * 8, 0), (1003, [], 0), (None, [0.1] * 8, 0), (7, vectors[7].tolist(), 1), (2000, [1.0, 2.0], 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    found = [tuple(r) for r in kdtree.top_k(table, "vec_id % 50 = 0", k=5, shard_rows=90).orderBy("query_id", "rank").collect()]
-    whole = np.floor(256 * vectors).astype(int)
-    expected = []
-    for q in range(0, 400, 50):
-        scores = whole @ whole[q]
-        order = sorted((k for k in range(400) if k != q), key=lambda k: (-scores[k], k))[:5]
-        expected += [(q, i + 1, k, int(scores[k])) for i, k in enumerate(order)]
-    assert found == expected
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, None), (1001, [1.0, None] * 4), (1002, [float("nan")] * 8), (1003, []), (None, [0.1] * 8), (2000, [1.0, 2.0])]
+    rows += [(7, [3.0] * 8), (7, [3.0] * 8), (100, vectors[100].tolist()), (100, [-1.0] * 8)]  # repeated ids, one of them a query's
+    table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
+    found = sorted(tuple(r) for r in kdtree.top_k(table, "vec_id % 50 = 0", k=5, shard_rows=90, block_rows=4).collect())
+    assert found == brute_top_k(rows)
+    assert any(r[2] == 7 for r in found)
     assert kdtree.top_k(table.limit(0), "vec_id % 50 = 0").count() == 0
 
 
-def test_queries_meet_trees_in_bounded_blocks_with_the_same_hits(spark, monkeypatch):
+@pytest.mark.parametrize("size", [1e7, 1e12, 1e18, 1e160])
+def test_large_components_give_exact_or_saturated_scores(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.normal(0, 1, 3) * size * 10 ** float(rng.uniform(-9, 0))).tolist()) for k in range(120)] + [(50, [1e308, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    finite = [(i, v) for i, v in rows if np.isfinite(np.array(v) * 256).all()]
+    assert sorted(tuple(r) for r in kdtree.top_k(table, "vec_id % 50 = 0", shard_rows=40).collect()) == brute_top_k(finite)
+
+
+def test_regions_that_cannot_reach_the_kth_score_are_left_out_before_the_search(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    table = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(0, 0.2, (300, 6)).round(2).tolist())], "vec_id long, embedding array<double>")
+    centres = rng.normal(0, 4, (12, 6))
+    rows = [(k, (centres[k % 12] + rng.normal(0, 0.05, 6)).round(3).tolist()) for k in range(1200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked, visit = [], kdtree.visit
-    monkeypatch.setattr(kdtree, "visit", lambda queries, trees, k, blocks=1: asked.append(blocks) or visit(queries, trees, k, blocks))
-    hits = lambda rows: sorted(map(tuple, kdtree.top_k(table, "vec_id % 2 = 0", k=3, shard_rows=100, block_rows=rows).collect()))
-    assert hits(20) == hits(1000) and asked == [1, 8, 1, 1]
-    # a group of the wide visit holds a block's queries, not all of them
-    rows = table.select(F.col("vec_id").alias("query_id")).groupBy(F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(8))).count().collect()
-    assert len(rows) == 8 and max(r["count"] for r in rows) < 80
+    monkeypatch.setattr(kdtree, "visit", lambda queries, trees, k, blocks: asked.append((queries.count(), trees.count())) or visit(queries, trees, k, blocks))
+    assert sorted(tuple(r) for r in kdtree.top_k(table, "vec_id % 50 = 0", shard_rows=60).collect()) == brute_top_k(rows)
+    (homes, trees), (rest, _) = asked
+    assert homes == 24 and trees >= 16 and rest < homes * (trees - 1) / 3
 
 
 def test_rule_counts_by_brute_force():
