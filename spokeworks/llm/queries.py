@@ -20,8 +20,7 @@ TARGETS = {
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = secret_scan.fit(secret_scan.count_by_rules(docs))
-    return secret_scan.digest(secret_scan.find_secrets(docs, model))
+    return secret_scan.digest(secret_scan.find_secrets(docs, secret_scan.train(docs)))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

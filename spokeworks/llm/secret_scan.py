@@ -1,15 +1,17 @@
 """Secret scans: fixed rules, and character Markov models compared by log-likelihood ratio.
 
-Two first-order character models are trained: one of random strings, one of ordinary identifiers.
-A stretch of token characters that no rule has caught is a secret if the random model explains it
-better than the other by a margin for each transition. Stretches are whole runs or parts of them: the
-one with the largest sum of ratios above the margin, widened while the ratios' sum grows and
-to whole words.
+Two first-order character models are trained from labelled samples: one of random strings, one of
+ordinary identifiers, to which the corpus adds its own. A stretch of token characters that no rule has
+caught is a secret if the random model explains it better than the other by a margin for each
+transition. Stretches are whole runs or parts of them: the one with the largest sum of ratios above
+the margin, widened while the ratios' sum grows and to whole words. Numbers, UUIDs and rules made
+of marks are ordinary.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
@@ -32,9 +34,61 @@ _INDEX[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, SIZE)
 LEAST_REST = 4
 _WORD = "(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)"
 #: Words and numbers, or names made of them.
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
 IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9+/_=-])[+/_=-]*{_WORD}(?:[+/_=-]+{_WORD})*[+/_=-]*(?![A-Za-z0-9+/_=-])")
 
 
+# Words of the ordinary samples, of programs and of four languages.
+SAMPLE_WORDS = (
+    "account action address after archive array async backup balance before bridge browser buffer build button byte cache call channel char check child class client close cluster code column "
+    "command compile config connect context control copy count create current cursor data date debug default delete device directory document domain driver element encode engine error event "
+    "example export factory field file filter first folder format function gateway graph group handle header history host image import index input install instance interface issue item java "
+    "kernel language last layer length level library limit list load local lock logger main manager map memory merge message method metric model module month mount name network node number "
+    "object offset option order output owner package page parent parse password path payload pool port print process profile project property provider query queue random range reader record "
+    "region release remote report request reset resource response result return role root route row sample schema score script search section select sender server service session setting"
+).split()
+FOREIGN_WORDS = "aber auch nicht durch werden zwischen leben arbeit strasse schule pour dans avec plus cette comme toujours maison travail jour para como pero tambien entre siempre trabajo ciudad tiempo mundo the and with from this that have were their which".split()
+_STYLES = ("camel", "pascal", "snake", "upper", "kebab", "path", "dated", "plain", "rule", "number")
+#: Alphabets of the random samples: letters and digits, base64 in both forms, lower case, base32, hexadecimal in upper case.
+RANDOM_ALPHABETS = (ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[26:62], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF")
+
+
+def identifier(rng: random.Random, words: list[str]) -> str:
+    """An ordinary identifier made of ``words``: a name in one of the usual styles, a path, a dated name, a rule or a number."""
+    style, own = rng.choice(_STYLES), rng.choices(words, k=rng.randint(2, 6))
+    match style:
+        case "camel":
+            return own[0] + "".join(w.capitalize() for w in own[1:]) + rng.choice(("", "", "2", "Id", "URL"))
+        case "pascal":
+            return "".join(w.capitalize() for w in own)
+        case "snake":
+            return "_".join(own) + rng.choice(("", "", "_1", "_v2", "_id"))
+        case "upper":
+            return "_".join(own).upper()
+        case "kebab":
+            return "-".join(own)
+        case "path":
+            return rng.choice(("", "/")) + "/".join(own) + rng.choice(("", "/", f"/{own[0].capitalize()}{own[-1].capitalize()}Test", "/v1"))
+        case "dated":
+            return f"{own[0]}-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+        case "rule":
+            return rng.choice("-=_+/") * rng.randint(8, 60)
+        case "number":
+            return rng.choice(("", "+")) + "".join(rng.choices("0123456789", k=rng.randint(4, 24)))
+    return "".join(own)
+
+
+def random_string(rng: random.Random, least: int = 16, most: int = 64) -> str:
+    return "".join(rng.choices(rng.choice(RANDOM_ALPHABETS), k=rng.randint(least, most)))
+
+
+def labelled_samples(each: int = 6000, seed: int = 11, words: list[str] | None = None) -> list[tuple[str, int]]:
+    """Generated samples (text, label), ``each`` of random strings (1) and of ordinary identifiers (0)."""
+    rng = random.Random(seed)
+    words = words or SAMPLE_WORDS + FOREIGN_WORDS
+    return [(random_string(rng), 1) for _ in range(each)] + [(identifier(rng, words), 0) for _ in range(each)]
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -114,21 +168,6 @@ class MarkovModel:
     least_length: int
     least_mean: float
 
-    def runs(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Runs of token characters apart from the spans taken, which are sorted, whose mean ratio reaches the margin."""
-        found, at, busy = [], 0, 0
-        for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{self.least_length},}}", text):
-            start, end = m.span()
-            while at < len(taken) and taken[at][0] < end:
-                busy, at = max(busy, taken[at][2]), at + 1
-            if start < busy:
-                continue
-            codes = _INDEX[np.frombuffer(text[start:end].encode(), np.uint8)]
-            if self.ratio[codes[:-1] * SIZE + codes[1:]].mean() >= self.least_mean:
-                found.append((start, 3, end, start))
-        return found
-
-
     def stretches(self, text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Secret stretches of token characters between the spans taken, which are sorted: whole runs or parts of them."""
         found, at, busy, key = [], 0, 0, False
@@ -149,8 +188,11 @@ class MarkovModel:
         return sorted(found)
 
     def _between(self, text: str, start: int, end: int, left: bool, right: bool, found: list[tuple[int, int, int, int]]) -> None:
-        """The secret stretches of text[start:end]; left, right: whether a key by the rules touches it there."""
+        """The secret stretches of text[start:end] around UUIDs; left, right: whether a key by the rules touches it there."""
         n = len(found)
+        for m in UUID.finditer(text, start, end) if end - start >= 36 else ():
+            self._best(text, start, m.start(), found)
+            start, left = m.end(), False
         self._best(text, start, end, found)
         if len(found) == n and (left or right) and end - start >= LEAST_REST:
             self._touching(text, start, end, left, right, found)
@@ -194,15 +236,21 @@ class MarkovModel:
             found.append((end - n, 3, end, end - n))
 
 
-def fit(counts: DataFrame, least_length: int = 20, least_mean: float = 0.5, random_prior: float = 2.0, ordinary_prior: float = 0.05) -> MarkovModel:
-    """The two models from transition counts (2 * SIZE**2 rows at most).
+def fit(counts: DataFrame, corpus: DataFrame | None = None, least_length: int = 16, least_mean: float = 0.75, random_prior: float = 2.0, ordinary_prior: float = 0.5) -> MarkovModel:
+    """The two models from the transition counts of labelled samples (2 * SIZE**2 rows at most).
 
-    The random model has a strong uniform prior, since random strings may use any transition; the
-    other has a weak one. Without samples of a class its model is uniform.
+    corpus: counts of the corpus's own strings (``count_by_rules``). Those of a label weigh as much as
+    the samples of it at most, so that neither prose nor one secret that is often repeated outweighs
+    the samples. The random model has a strong uniform prior, since random strings may use any
+    transition; the other has a weak one. Without samples of a class its model is uniform.
     """
-    table = np.zeros((2, SIZE * SIZE))
-    for row in counts.collect():  # bounded by the alphabet
-        table[row["label"], row["pair"]] += row["n"]
+    table, own = np.zeros((2, SIZE * SIZE)), np.zeros((2, SIZE * SIZE))
+    for rows, into in ((counts, table), (corpus, own)):
+        for row in rows.collect() if rows is not None else ():  # bounded by the alphabet
+            into[row["label"], row["pair"]] += row["n"]
+    for label in (0, 1):
+        most = table[label].sum() or own[label].sum()
+        table[label] += own[label] * min(1.0, most / max(own[label].sum(), 1))
     logs = []
     for flat, prior in zip(table, (ordinary_prior, random_prior), strict=True):
         m = flat.reshape(SIZE, SIZE)[1:, 1:] + prior
@@ -212,6 +260,13 @@ def fit(counts: DataFrame, least_length: int = 20, least_mean: float = 0.5, rand
     return MarkovModel(ratio.ravel(), least_length, least_mean)
 
 
+def train(docs: DataFrame, text: str = "text", samples: list[tuple[str, int]] | None = None) -> MarkovModel:
+    """The model of generated or given labelled samples and of all documents' own strings."""
+    spark = docs.sparkSession
+    labelled = spark.createDataFrame(samples or labelled_samples(), "text string, label int")
+    return fit(count_labelled(labelled), count_by_rules(docs, text))
+
+
 def find_secrets(docs: DataFrame, model: MarkovModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, spans array<struct<kind, start, end>> in order of start and kind.
 

@@ -42,7 +42,7 @@ def test_markov_model_finds_random_strings_and_leaves_words(spark):
     alphabet = secret_scan.ALPHABET
     random_strings = ["".join(rng.choices(alphabet, k=30)) for _ in range(60)]
     samples = [(s, 1) for s in random_strings[:40]] + [(prose(200, k), 0) for k in range(20)] + [("get_user_account_name parse_request_headers " * 5, 0)]
-    model = secret_scan.fit(secret_scan.count_labelled(spark.createDataFrame(samples, "text string, label int")))
+    model = secret_scan.fit(secret_scan.count_labelled(spark.createDataFrame(samples, "text string, label int")), least_length=20, least_mean=0.5, ordinary_prior=0.05)
     texts = [f"see {s} here" for s in random_strings[40:]] + ["ingthonererstlyinthonederon and get_user_request_account_name_headers"] + ODD
     rows = {r.doc_id: r for r in secret_scan.find_secrets(docs_of(spark, texts), model).collect()}
     assert all([(s.kind, s.start, s.end) for s in rows[k].spans] == [("markov", 4, 34)] for k in range(20))
@@ -54,14 +54,35 @@ def test_markov_model_finds_random_strings_and_leaves_words(spark):
     assert [r.text for r in clean] == ["a [SECRET] b", None]
 
 
-def test_runs_keep_clear_of_spans_as_a_check_of_all_pairs_does():
-    rng = random.Random(8)
-    model = secret_scan.MarkovModel(np.ones(secret_scan.SIZE**2), 4, 0.5)
-    for _ in range(200):
-        text = "".join(rng.choices("ab. ", (6, 6, 1, 2), k=120))
-        taken = sorted((a, 0, a + rng.randint(1, 15), a) for a in rng.sample(range(120), 5))
-        free = [(m.start(), 3, m.end(), m.start()) for m in re.finditer("[ab]{4,}", text) if not any(a < m.end() and m.start() < b for a, _, b, _ in taken)]
-        assert model.runs(text, taken) == free
+HELD_WORDS = "umbrella pocket winter yellow hammer kitchen quality journey freedom obviously weather unlock vector widget throttle update upgrade user validate value verify version view wait window worker wrapper write workspace territory schnell vielleicht gegenwart heureux lumiere ventana mientras".split()
+
+
+def test_secrets_on_samples_and_words_held_out(spark):
+    model = secret_scan.fit(secret_scan.count_labelled(spark.createDataFrame(secret_scan.labelled_samples(), "text string, label int")))
+    rng = random.Random(77)
+    secrets = [secret_scan.random_string(rng) for _ in range(2000)]
+    names = [secret_scan.identifier(rng, HELD_WORDS) for _ in range(2000)]
+    hits, wrong = (sum(bool(model.stretches(t, [])) for t in texts) for texts in (secrets, names))
+    assert hits / len(secrets) >= 0.95 and hits / (hits + wrong) >= 0.95
+    ordinary = ["getUserAccountByIdentifierFromDatabaseConnection", "MAXIMUM_CONNECTION_POOL_SIZE_EXCEEDED", "src/main/java/org/example/service/UserServiceImpl", "123e4567-e89b-12d3-a456-426614174000", "-" * 30]
+    assert not any(model.stretches(t, []) for t in ordinary)
+    # the ratio by counting every transition, one by one
+    counts = {0: {}, 1: {}}
+    for text, label in secret_scan.labelled_samples():
+        for pair in zip(text, text[1:]):
+            counts[label][pair] = counts[label].get(pair, 0) + 1
+    chance = lambda label, prior, a, b: (counts[label].get((a, b), 0) + prior) / sum(counts[label].get((a, x), 0) + prior for x in secret_scan.ALPHABET)
+    for a, b in [("g", "e"), ("Z", "7"), ("_", "_"), ("q", "X")]:
+        at = (secret_scan.ALPHABET.index(a) + 1) * secret_scan.SIZE + secret_scan.ALPHABET.index(b) + 1
+        assert model.ratio[at] == pytest.approx(np.log(chance(1, 2.0, a, b) / chance(0, 0.5, a, b)))
+
+
+def test_secret_scans_of_empty_tables_and_repeated_rows(spark):
+    docs = docs_of(spark, [*ODD, "token=abcdef"])
+    model = secret_scan.train(docs)
+    twice = secret_scan.digest(secret_scan.find_secrets(docs.unionByName(docs), model))
+    assert twice.count() == 2 * len(ODD) + 2 and twice.distinct().count() == len(ODD) + 1
+    assert secret_scan.find_secrets(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0
 
 
 def test_stretches_find_the_rest_of_keys_and_values_within_long_runs(spark):
@@ -69,11 +90,10 @@ def test_stretches_find_the_rest_of_keys_and_values_within_long_runs(spark):
     key = lambda n: "".join(rng.choices(secret_scan.ALPHABET[:62], k=n))
     plain = [prose(200, k) + " /home/user/projects/request_headers/settings_of_account_names" for k in range(20)]
     texts = plain + [f"api_key={key(40)}" for _ in range(60)] + ["password=correct_horse_battery"] * 9
-    model = secret_scan.fit(secret_scan.count_by_rules(docs_of(spark, texts)))
+    model = secret_scan.train(docs_of(spark, texts))
     for _ in range(20):
         value = key(40)
         path = "/home/user/projects/settings_of_account_names/request_headers/" * 5  # ordinary enough to hide the value in a mean
-        assert not model.runs(path + value, [])
         spans = model.stretches(path + value, [])
         assert len(path) - 12 <= min(a for a, *_ in spans) <= len(path) and spans[-1][2] == len(path + value)
         for text in (f"{value}{'3f' * 12}{key(30)}", f"AKIA{'B' * 16}q{value}"):  # the rest of a key lies on either side of a span
