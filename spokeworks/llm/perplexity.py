@@ -1,17 +1,18 @@
 """Quality rules: heuristics on words and lines, and bands of n-gram perplexity for each language.
 
-The language model is a modified Kneser-Ney model of character 4-grams over a folded alphabet of 32
-symbols, counted by Spark over all documents, one model per language. It is stored as sorted arrays
-of hashed n-grams with log probabilities and back-off weights; an n-gram takes 20 bits, so a
-language has at most 2**20 entries and the broadcast is bounded however large the corpus is.
+The language model is a modified Kneser-Ney model of character 5-grams, characters as they are. Spark
+counts them over all documents and derives continuation counts, discounts, probabilities and back-off
+weights by groupings and joins, so the model grows with the corpus. Texts are dealt to two folds by
+their hash; a text is judged by the model of the other fold, so neither it nor its copies speak for
+it. A model is stored as sorted arrays of 64-bit hashes; beyond MOST_ENTRIES only the most frequent
+n-grams are broadcast and the texts' other n-grams get their probabilities by joins.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,169 +21,220 @@ from pyspark.sql import functions as F
 
 from .common import cut, over_batches, text_of
 
-ORDER, BITS = 4, 5
-GRAMS = 1 << (ORDER * BITS)
+ORDER = 5
 LANGUAGES = ("en", "de", "fr", "es")
 OTHER = "other"
+FOLDS = 2
+#: Entries of all models that are broadcast at most, 12 bytes each.
+MOST_ENTRIES = 6_000_000
+#: Characters whose n-grams are looked at together.
+BLOCK = 6_000_000
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Perplexities are gathered in steps of this many nats a character.
-STEP = 0.001
-
-
-@lru_cache(maxsize=1)
-def _fold() -> np.ndarray:
-    """Symbol of each code point: 0 white space, 1-26 Latin letters without accents, 27 other letters, 28 digits, 29 and 30 punctuation, 31 the rest."""
-    table = np.full(0x3000, 31, np.uint8)
-    for code in range(0x3000):
-        c = chr(code)
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        kind = unicodedata.category(c)
-        if "a" <= base <= "z":
-            table[code] = ord(base) - 96
-        elif c.isspace():
-            table[code] = 0
-        elif kind[0] in "LM":
-            table[code] = 27
-        elif kind[0] == "N":
-            table[code] = 28
-        elif c in ".,;:":
-            table[code] = 29
-        elif c in "!?":
-            table[code] = 30
-    return table
-
-
-def symbols(text: str) -> np.ndarray:
+#: Perplexities are gathered in steps of this many nats a word.
+STEP = 0.005
+
+
+def codes_of(text: str) -> np.ndarray:
+    """Code points; NUL as U+FFFD, since text arrays end at it."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    table = _fold()
-    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], 27).astype(np.int32)
-
-
-def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of the texts, one after another, and the texts' lengths."""
-    pad = np.zeros(ORDER - 1, np.int32)
-    parts, lengths, real = [], [], []
-    for t in texts:
-        s = symbols(t)
-        parts += [pad, s]
-        real += [np.zeros(ORDER - 1, bool), np.ones(len(s), bool)]
-        lengths.append(len(s))
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    s = np.concatenate(parts)
-    grams = s.copy()
-    for k in range(1, ORDER):
-        grams[k:] += s[:-k] << (BITS * k)
-    return grams[np.concatenate(real)], np.array(lengths, np.int64)
+    return np.where(codes == 0, 0xFFFD, codes)
+
+
+def hashes(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of code points; rows of different length never share one by being equal."""
+    h = np.full(len(codes), codes.shape[1], np.uint64)
+    for k in range(codes.shape[1]):
+        h = (h ^ codes[:, k].astype(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+@dataclass(frozen=True)
+class Grams:
+    """The n-grams that end at the characters of some texts: the distinct ones, which of them each character ends, and the texts' ends."""
+
+    codes: np.ndarray
+    at: np.ndarray
+    ends: np.ndarray
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.at, minlength=len(self.codes))
+
+    def texts(self) -> list[str]:
+        return np.ascontiguousarray(self.codes, "<u4").view(f"<U{self.codes.shape[1]}").ravel().tolist()
+
+
+def grams_of(texts: list[str], order: int = ORDER) -> Grams:
+    """Texts are preceded by spaces, which end no n-gram themselves."""
+    pad = np.full(order - 1, 32, np.uint32)
+    own = [codes_of(t) for t in texts]
+    lengths = np.array([len(c) for c in own], np.int64)
+    codes = np.concatenate([x for c in own for x in (pad, c)] or [pad])
+    real = np.repeat(np.tile([False, True], len(own)), np.stack([np.full(len(own), order - 1), lengths], axis=1).ravel())
+    letters, digits = np.unique(codes, return_inverse=True)
+    digits, size = digits.astype(np.int64), len(letters)
+    key, range_ = digits, size
+    for k in range(1, order):
+        if range_ * size >= 1 << 62:
+            values, key = np.unique(key, return_inverse=True)
+            range_ = len(values)
+        key = key[:-1] * size + digits[k:]
+        range_ *= size
+    ends = np.flatnonzero(real)
+    key = key[ends - (order - 1)]
+    distinct = np.unique(key)
+    at = np.searchsorted(distinct, key)
+    sample = np.zeros(len(distinct), np.int64)
+    sample[at] = ends  # some place of each
+    rows = codes[sample[:, None] + np.arange(1 - order, 1)] if len(distinct) else np.zeros((0, order), np.uint32)
+    return Grams(rows, at, np.cumsum(lengths))
+
+
+def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters, one text at least."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def language(column: str, languages: tuple[str, ...]) -> Column:
     return F.when(F.col(column).isin(*languages), F.col(column)).otherwise(F.lit(OTHER))
 
 
-def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang") -> DataFrame:
-    """n-gram counts over whole texts: lang, gram int, n long; at most 2**20 rows a language.
+def fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def model_name(lang: Column, number: Column) -> Column:
+    return F.concat_ws("/", lang, number.cast("string"))
+
+
+def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
+    """n-gram counts over whole texts: model (language/fold that the model judges), gram string, n long.
 
     Languages that aren't named, null among them, are counted together. Null and empty texts count nothing.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for name in set(langs):
-                grams, _ = stream([t for t, x in zip(texts, langs, strict=True) if x == name])
-                if name not in total:
-                    total[name] = np.zeros(GRAMS, np.int64)
-                total[name] += np.bincount(grams, minlength=GRAMS)
-        for name, n in total.items():
-            gram = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(n[gram])], ["lang", "gram", "n"])
-
-    parts = docs.select(language(lang, languages).alias("a0"), text_of(text).alias("a1")).mapInArrow(run, "lang string, gram int, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The discounts of counts 0, 1, 2 and 3 or more."""
-    n = [int((counts == k).sum()) for k in range(5)]
-    if min(n[1:]) > 0:
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
-        if all(0 < x < k for k, x in enumerate(d, 1)):
-            return np.array([0, *d])
-    return np.array([0, 0.5, 1.0, 1.5])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        names, texts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for name in sorted(set(names)):
+            own = [t for t, x in zip(texts, names, strict=True) if x == name]
+            for a, b in blocks(own):
+                grams = grams_of(own[a:b], order)
+                if len(grams.codes):
+                    parts.append((pa.array([name] * len(grams.codes)), pa.array(grams.texts()), pa.array(grams.counts())))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "gram", "n"]) if parts else None
+
+    judged = model_name(language(lang, languages), (fold(text_of(text)) + 1) % FOLDS)
+    parts = over_batches(docs, [judged, text_of(text)], work, "model string, gram string, n long")
+    return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+
+
+def discounts(counts: DataFrame) -> DataFrame:
+    """model, d1, d2, d3: the discounts of counts 1, 2 and 3 or more; fixed ones where the counts of counts give none."""
+    n = [F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]
+    rows = counts.groupBy("model").agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.lit(k) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    whole = reduce(lambda a, b: a & b, [F.col(f"n{k}") > 0 for k in (1, 2, 3, 4)])
+    fits = reduce(lambda a, b: a & b, [(x > 0) & (x < k) for k, x in enumerate(d, 1)])
+    kept = F.when(whole, F.coalesce(fits, F.lit(False))).otherwise(F.lit(False))
+    return rows.select("model", *(F.when(kept, F.when(whole, x)).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k, x in enumerate(d, 1)))
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The models of ``count_ngrams`` rows: model, kind, gram, value.
+
+    kind p: log probability of an n-gram's last character after the others (gram '' stands for any
+    character not seen); kind b: log back-off weight of a context.
+    """
+    by_order = [cut(counts)]
+    for _ in range(order - 1):  # below the highest order: in how many contexts an n-gram ends
+        by_order.insert(0, cut(by_order[0].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    letters = by_order[0].groupBy("model").agg((1 / (F.count(F.lit(1)) + 1)).alias("below"))
+    out, below = None, None
+    for k, c in enumerate(by_order, 1):
+        cost = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        spent = c.join(F.broadcast(discounts(c)), "model").withColumn("cost", cost).withColumn("context", F.expr("substring(gram, 1, char_length(gram) - 1)")).drop("d1", "d2", "d3")
+        weights = spent.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cost").alias("spent")).select("model", "context", "total", (F.col("spent") / F.col("total")).alias("gamma"))
+        weights = cut(weights) if k > 1 else weights
+        rows = spent.join(weights, ["model", "context"])
+        if k == 1:
+            rows = rows.join(letters, "model")
+            unseen = weights.join(letters, "model").select("model", F.lit("").alias("gram"), (F.col("gamma") * F.col("below")).alias("p"))
+        else:
+            rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["model", "suffix"])
+        p = rows.select("model", "gram", ((F.col("n") - F.col("cost")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
+        below = cut(p.unionByName(unseen) if k == 1 else p)
+        entries = below.select("model", F.lit("p").alias("kind"), "gram", F.log("p").alias("value"))
+        if k > 1:
+            entries = entries.unionByName(weights.select("model", F.lit("b").alias("kind"), F.col("context").alias("gram"), F.log("gamma").alias("value")))
+        out = entries if out is None else out.unionByName(entries)
+    return out
 
 
 @dataclass(frozen=True)
 class HashedModel:
-    """By order from 1: sorted hashes of the n-grams seen, their log probabilities, and the log back-off weight of each as a context."""
-
-    tables: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-
-    def find(self, order: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.tables[order - 1][0]
-        hashes = (grams.astype(np.uint64) + np.uint64(1)) * MIX
-        at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-        return at, (keys[at] == hashes) if len(keys) else np.zeros(len(grams), bool)
-
-    def log_p(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probability of each n-gram's last symbol after the others. Order 1 has every symbol."""
-        at, seen = self.find(order, grams)
-        out = np.empty(len(grams))
-        out[seen] = self.tables[order - 1][1][at[seen]]
-        if not seen.all():
-            rest = grams[~seen]
-            lower = self.log_p(rest & ((1 << (BITS * (order - 1))) - 1), order - 1)
-            at, known = self.find(order - 1, rest >> BITS)
-            lower[known] += self.tables[order - 2][2][at[known]]
-            out[~seen] = lower
+    """By kind and order: sorted hashes and the values that belong to them."""
+
+    tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
+    order: int
+
+    def find(self, kind: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of n-grams, and which of them are known."""
+        keys, values = self.tables.get((kind, codes.shape[1]), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+        if not len(keys):
+            return np.zeros(len(codes), np.float32), np.zeros(len(codes), bool)
+        h = hashes(codes)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return values[at], keys[at] == h
+
+    def log_p(self, codes: np.ndarray) -> np.ndarray:
+        """Log probability of each row's last character after the others."""
+        out, spent, going, n = np.zeros(len(codes)), np.zeros(len(codes)), np.arange(len(codes)), codes.shape[1]
+        for k in range(n, 0, -1):
+            value, known = self.find("p", codes[going, n - k :])
+            out[going[known]] = spent[going[known]] + value[known]
+            going = going[~known]
+            if k > 1 and len(going):
+                value, known = self.find("b", codes[going, n - k : n - 1])
+                spent[going[known]] += value[known]
+        unseen = self.tables.get(("p", 0), (None, np.zeros(1, np.float32)))[1][0]
+        out[going] = spent[going] + unseen
         return out
 
 
-def kneser_ney(top: np.ndarray) -> HashedModel:
-    """The modified Kneser-Ney model of dense counts of the highest order."""
-    counts = [top]
-    for _ in range(ORDER - 1):  # below the highest order: in how many contexts an n-gram ends
-        counts.insert(0, (counts[0].reshape(1 << BITS, -1) > 0).sum(axis=0))
-    tables, below = [], np.full(1, 2.0**-BITS)
-    gammas = []
-    for c in counts:
-        d = discounts(c)
-        by = c.reshape(-1, 1 << BITS)
-        total = by.sum(axis=1)
-        cost = d[np.minimum(by, 3)]
-        gamma = np.where(total > 0, cost.sum(axis=1) / np.maximum(total, 1), 1.0)
-        p = np.where(total[:, None] > 0, (by - cost) / np.maximum(total, 1)[:, None], 0.0)
-        p = (p + gamma[:, None] * np.resize(below, (len(by), 1 << BITS)) if len(below) > 1 else p + gamma[:, None] * below).ravel()
-        gammas.append(gamma)
-        tables.append(p)
-        below = p
-    out = []
-    for k, (c, p) in enumerate(zip(counts, tables, strict=True)):
-        backoff = np.log(gammas[k + 1]) if k + 1 < ORDER else np.zeros(len(p))
-        context = (counts[k + 1].reshape(-1, 1 << BITS).sum(axis=1) > 0) if k + 1 < ORDER else np.zeros(len(p), bool)
-        gram = np.flatnonzero((c > 0) | context) if k else np.arange(len(p))
-        keys = (gram.astype(np.uint64) + np.uint64(1)) * MIX
-        order = np.argsort(keys)
-        gram = gram[order]
-        out.append((keys[order], np.log(p[gram]).astype(np.float32), backoff[gram].astype(np.float32)))
-    return HashedModel(tuple(out))
-
-
-def fit(counts: DataFrame) -> dict[str, HashedModel]:
-    """One model per language from the rows of ``count_ngrams``, whose number is bounded by the alphabet."""
-    table = counts.toArrow()
-    langs = np.array(table["lang"].to_pylist(), dtype=object)
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    models = {}
-    for name in sorted(set(langs)):
-        top = np.zeros(GRAMS, np.int64)
-        top[gram[langs == name]] = n[langs == name]
-        models[name] = kneser_ney(top)
-    return models
+def hashed(entries: DataFrame, order: int = ORDER) -> dict[str, HashedModel]:
+    """The models as sorted arrays, from at most MOST_ENTRIES rows of ``kneser_ney``."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(2).to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int32)
+        h = np.zeros(len(texts), np.uint64)
+        for k in np.unique(sizes):
+            own = np.flatnonzero(sizes == k)
+            codes = np.frombuffer("".join(texts[i] for i in own).encode("utf-32-le"), "<u4").reshape(len(own), -1)
+            h[own] = hashes(codes)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(h.view(np.int64)), batch.column(3).cast(pa.float32())], ["model", "kind", "size", "hash", "value"])
+
+    table = over_batches(entries, [F.col(c) for c in ("model", "kind", "gram", "value")], work, "model string, kind string, size int, hash long, value float")
+    packed = table.groupBy("model", "kind", "size").agg(F.sort_array(F.collect_list(F.struct("hash", "value"))).alias("rows")).select("model", "kind", "size", F.col("rows.hash").alias("hash"), F.col("rows.value").alias("value"))
+    models: dict[str, dict] = {}
+    for batch in packed.toArrow().to_batches():  # bounded by MOST_ENTRIES
+        for i in range(batch.num_rows):
+            model, kind, size = (batch.column(c)[i].as_py() for c in range(3))
+            h, value = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+            h = h.view(np.uint64)
+            at = np.argsort(h)
+            models.setdefault(model, {})[kind, size] = (h[at], value[at].astype(np.float32))
+    return {name: HashedModel(tables, order) for name, tables in models.items()}
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -219,46 +271,99 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - white, marks, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def score(docs: DataFrame, models: dict[str, HashedModel], languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, the rule counts, n_chars, nll (nats over the whole text).
-
-    Null texts count as empty: zeros everywhere. Languages that aren't named share a model and a band.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def rules_of(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", models: dict[str, HashedModel] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang, the rule counts, n_chars, model, text_hash, nll (nats over the whole text, 0 without ``models``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(models or {})
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        nll, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for name in set(langs):
-            at = [i for i, x in enumerate(langs) if x == name]
-            grams, lengths = stream([texts[i] for i in at])
-            size[at] = lengths
-            if len(grams) and name in shared.value:
-                held = np.zeros(GRAMS, bool)
-                held[grams] = True
-                distinct = np.flatnonzero(held)
-                logs = np.zeros(GRAMS, np.float32)
-                logs[distinct] = shared.value[name].log_p(distinct)
-                sums = np.concatenate([[0.0], np.cumsum(logs[grams], dtype=np.float64)])
-                ends = np.cumsum(lengths)
-                nll[at] = sums[ends - lengths] - sums[ends]
+        names, texts = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+        nll = np.zeros(len(texts))
+        for name in set(names) & shared.value.keys():
+            at = np.array([i for i, x in enumerate(names) if x == name])
+            own = [texts[i] for i in at]
+            for a, b in blocks(own):
+                grams = grams_of(own[a:b])
+                sums = np.concatenate([[0.0], np.cumsum(shared.value[name].log_p(grams.codes)[grams.at])])
+                nll[at[a:b]] = sums[np.concatenate([[0], grams.ends[:-1]])] - sums[grams.ends]
         rules = np.array([rule_counts(t) for t in texts], np.int64).T
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, rules), pa.array(size), pa.array(nll)], NAMES)
+        size = pa.array([len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, rules), size, batch.column(2), batch.column(3), pa.array(nll)], NAMES)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, " + "".join(f"{c} long, " for c in NAMES[2:-1]) + "nll double"
-    return over_batches(docs, [F.col(doc_id), language(lang, languages), text_of(text)], work, schema)
+    schema = f"doc_id {kind}, lang string, " + "".join(f"{c} long, " for c in NAMES[2:8]) + "model string, text_hash long, nll double"
+    own = language(lang, languages)
+    return over_batches(docs, [F.col(doc_id), own, model_name(own, fold(text_of(text))), F.xxhash64(text_of(text)), text_of(text)], work, schema)
+
+
+NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "model", "text_hash", "nll"]
 
 
-NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "nll"]
+def log_p_by_joins(grams: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
+    """model, gram, log_p of distinct n-grams by joins with ``kneser_ney`` rows, however many these are."""
+    table = lambda kind, name, value: entries.filter(F.col("kind") == kind).select("model", F.col("gram").alias(name), F.col("value").alias(value))
+    rows = grams.select("model", "gram").withColumns({"log_p": F.lit(None).cast("double"), "spent": F.lit(0.0)})
+    for k in range(order, 0, -1):
+        rows = rows.withColumns({"part": F.expr(f"substring(gram, {order - k + 1})"), "context": F.expr(f"substring(gram, {order - k + 1}, {k - 1})")})
+        rows = rows.join(table("p", "part", "value"), ["model", "part"], "left")
+        rows = rows.withColumn("log_p", F.coalesce("log_p", F.col("spent") + F.col("value"))).drop("value")
+        if k > 1:
+            rows = rows.join(table("b", "context", "value"), ["model", "context"], "left")
+            rows = rows.withColumn("spent", F.col("spent") + F.coalesce("value", F.lit(0.0))).drop("value")
+        rows = cut(rows.select("model", "gram", "log_p", "spent"))
+    rows = rows.join(F.broadcast(table("p", "part", "value").filter("part = ''")), "model", "left")
+    return rows.select("model", "gram", F.coalesce("log_p", F.col("spent") + F.coalesce("value", F.lit(0.0))).alias("log_p"))
+
+
+def scored_by_joins(docs: DataFrame, entries: DataFrame, frequent: int, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """As ``rules_of`` with models of any size: the texts' distinct n-grams get their probabilities by joins.
+
+    frequent: of the n-grams, how many are broadcast, those that most texts hold; no key of the
+    shuffled rest is hot then.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        parts = []
+        for name, h, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            grams = grams_of([t])
+            if n := len(grams.codes):
+                parts.append((pa.array([name] * n), pa.array([h] * n), pa.array(grams.texts()), pa.array(grams.counts())))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "text_hash", "gram", "n"]) if parts else None
+
+    base = rules_of(docs, languages, text, lang, doc_id)
+    named = model_name(language(lang, languages), fold(text_of(text)))
+    held = over_batches(docs, [named, F.xxhash64(text_of(text)), text_of(text)], work, "model string, text_hash long, gram string, n long")
+    asked = cut(held.groupBy("model", "gram").agg(F.count(F.lit(1)).alias("texts")))
+    logs = cut(log_p_by_joins(asked, entries))
+    often = asked.orderBy(F.desc("texts"), "model", "gram").limit(frequent).select("model", "gram")
+    common = F.broadcast(logs.join(F.broadcast(often), ["model", "gram"], "left_semi").withColumn("often", F.lit(True)))
+    near = held.join(common, ["model", "gram"], "left")
+    far = near.filter("often is null").drop("log_p", "often").join(logs, ["model", "gram"])
+    both = near.filter("often").select("model", "text_hash", "n", "log_p").unionByName(far.select("model", "text_hash", "n", "log_p"))
+    # rows that share a text share its n-grams, so the sum over them is divided by their number
+    sums = both.groupBy("model", "text_hash").agg(F.sum(F.col("n") * F.col("log_p")).alias("sum"))
+    rows = base.groupBy("model", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    nll = rows.join(sums, ["model", "text_hash"]).select("model", "text_hash", (-F.col("sum") / F.col("rows")).alias("nats"))
+    return base.join(nll, ["model", "text_hash"], "left").withColumn("nll", F.coalesce("nats", F.lit(0.0))).select(*NAMES)
+
+
+def score(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """Count, fit and score: the rows of ``rules_of``. Null texts count as empty: zeros everywhere.
+
+    Languages that aren't named share a model and a band. most_entries: of the models, broadcast at
+    most; beyond them the same scores come by joins.
+    """
+    entries = kneser_ney(count_ngrams(docs, languages, text, lang))
+    if entries.count() <= most_entries:
+        return rules_of(docs, languages, text, lang, doc_id, hashed(entries))
+    return scored_by_joins(docs, entries, most_entries // 8, languages, text, lang, doc_id)
 
 
 def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
-    """For each language the median nats a character over all documents with words, and the median distance from it.
+    """For each language the median nats a word over all documents with words, and the median distance from it.
 
     Gathered as a histogram in steps of STEP nats, whose size doesn't depend on the number of documents.
     """
-    step = F.round(F.col("nll") / F.col("n_chars") / STEP).cast("int")
+    step = F.round(F.col("nll") / F.col("n_words") / STEP).cast("int")
     rows = scored.filter("n_words > 0").groupBy("lang", step.alias("step")).count().collect()
     out = {}
     for name in sorted({r["lang"] for r in rows}):
@@ -274,27 +379,26 @@ def _median(values: np.ndarray, weights: np.ndarray) -> int:
     return int(values[order][np.searchsorted(total, (total[-1] + 1) // 2)])
 
 
-def judge(scored: DataFrame, band: dict[str, tuple[float, float]], lower: float = 4.5, upper: float = 6.0, noise: float = 0.5, least: float = 0.01) -> DataFrame:
+def judge(scored: DataFrame, band: dict[str, tuple[float, float]], lower: float = 4.2, upper: float = 7.0, noise: float = 2.0, least: float = 0.05) -> DataFrame:
     """``score`` rows with base_failed and kept.
 
-    A document that passes the rules is kept if its nats a character lie in its language's band, from
+    A document that passes the rules is kept if its nats a word lie in its language's band, from
     ``lower`` widths below the median to ``upper`` above. A width is the language's median distance
-    (``least`` at least) plus ``noise`` / sqrt(characters), as short texts vary more. band: as
-    ``bands`` gives it.
+    (``least`` at least) plus ``noise`` / sqrt(words), as short texts vary more. band: as ``bands``
+    gives it.
     """
     pick = lambda i: F.coalesce(F.create_map(*(F.lit(x) for k, v in band.items() for x in (k, float(v[i]))))[F.col("lang")], F.lit(0.0)) if band else F.lit(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    chars = F.greatest(F.col("n_chars"), F.lit(1)).cast("double")
-    widths = (F.col("nll") / chars - pick(0)) / (F.greatest(pick(1), F.lit(least)) + noise / F.sqrt(chars))
+    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    widths = (F.col("nll") / words - pick(0)) / (F.greatest(pick(1), F.lit(least)) + noise / F.sqrt(words))
     return scored.withColumns({"base_failed": failed, "kept": ~failed & widths.between(-lower, upper), "widths": widths})
 
 
-def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def quality_rules(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Count, fit, score and judge: one row per row of ``docs``.
 
     Repeated rows give repeated rows and weigh in the counts each time; an empty table gives no rows.
     Null texts count as empty and fail the rules. Other columns are not read.
     """
-    models = fit(count_ngrams(docs, languages, text, lang))
-    scored = cut(score(docs, models, languages, text, lang, doc_id))
+    scored = cut(score(docs, languages, text, lang, doc_id, most_entries))
     return judge(scored, bands(scored))

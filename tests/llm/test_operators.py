@@ -183,22 +183,80 @@ def test_rule_counts_by_brute_force():
         assert twice is None or got[4] == len(twice)
 
 
-def test_kneser_ney_is_a_distribution_and_the_hashed_form_agrees():
-    grams, _ = perplexity.stream([prose(300, k) for k in range(5)])
-    model = perplexity.kneser_ney(np.bincount(grams, minlength=perplexity.GRAMS))
-    for context in [*np.unique(grams >> 5)[:20], 31 << 10 | 31 << 5 | 31]:
-        p = np.exp(model.log_p(np.arange(32) | context << 5))
-        assert abs(p.sum() - 1) < 1e-3
-    assert perplexity.kneser_ney(np.zeros(perplexity.GRAMS, int)).log_p(np.array([5])) == pytest.approx(-5 * np.log(2))
+def dense_kneser_ney(texts, order):
+    """log p(character | others) of any n-gram by the textbook, from dictionaries."""
+    top = {}
+    for t in texts:
+        padded = " " * (order - 1) + t
+        for k in range(len(t)):
+            top[padded[k : k + order]] = top.get(padded[k : k + order], 0) + 1
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    ds = {}
+    for k, c in counts.items():
+        n = [list(c.values()).count(i) for i in range(5)]
+        d = [0.5, 1.0, 1.5]
+        if min(n[1:]) > 0:
+            y = n[1] / (n[1] + 2 * n[2])
+            made = [i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]
+            d = made if all(0 < x < i for i, x in enumerate(made, 1)) else d
+        ds[k] = d
+
+    def p(gram):
+        k = len(gram)
+        lower = 1 / (len(counts[1]) + 1) if k == 1 else p(gram[1:])
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return lower
+        cost = lambda n: ds[k][min(n, 3) - 1]
+        n, total = own.get(gram, 0), sum(own.values())
+        return ((n - cost(n)) if n else 0) / total + sum(map(cost, own.values())) / total * lower
+
+    return lambda gram: np.log(p(gram))
+
+
+@pytest.mark.parametrize("most", [perplexity.MOST_ENTRIES, 80])
+def test_models_and_scores_equal_the_dense_form_broadcast_and_by_joins(spark, most):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdé \u0436\u4e2d", (9, 5, 3, 2, 1, 6, 2, 1), k=rng.randint(1, 60))) for _ in range(40)] + ["", None, "aab\x00", "aab\x00"]
+    docs = docs_of(spark, texts)
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", perplexity.fold(F.coalesce("text", F.lit(""))).alias("f")).collect()}
+    assert set(folds.values()) == {0, 1}
+    dense = [dense_kneser_ney([(texts[k] or "").replace("\x00", "\ufffd") for k in [*range(len(texts)), 3] if folds[k] != f], perplexity.ORDER) for f in (0, 1)]
+    rows = perplexity.score(docs.unionByName(docs.filter("doc_id = 3")), most_entries=most).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        t = " " * (perplexity.ORDER - 1) + (texts[r.doc_id] or "").replace("\x00", "\ufffd")
+        want = -sum(dense[folds[r.doc_id]](t[k : k + perplexity.ORDER]) for k in range(len(t) - perplexity.ORDER + 1))
+        assert r.nll == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_grams_of_many_letters_and_a_distribution(spark):
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 7000))) + "ab" * 50
+    grams = perplexity.grams_of([text, "", "ab"])
+    made = grams.texts()
+    padded = " " * 4 + text
+    assert [made[i] for i in grams.at[: len(text)]] == [padded[k : k + 5] for k in range(len(text))]
+    assert grams.ends.tolist() == [len(text), len(text), len(text) + 2] and grams.counts().sum() == len(text) + 2
+    models = perplexity.hashed(perplexity.kneser_ney(perplexity.count_ngrams(docs_of(spark, [prose(300, k) for k in range(6)]))))
+    model = models["en/0"]
+    letters = np.unique(np.concatenate([perplexity.codes_of(prose(300, k)) for k in range(6)]))
+    for context in (" the", "zzzz", "e.  "):
+        p = np.exp(model.log_p(np.array([[*map(ord, context), int(c)] for c in letters] + [[*map(ord, context), 0x2603]])))
+        assert p.min() > 0 and 0.9 < p.sum() <= 1.01
 
 
 def test_perplexity_bands_keep_prose_and_reject_noise(spark):
     rng = random.Random(9)
     noise = [" ".join("".join(rng.choices("qxzjvkw#", k=6)) for _ in range(60)) for _ in range(3)]
-    docs = docs_of(spark, [prose(80, k) for k in range(60)] + noise + ODD)
+    other = ["".join(map(chr, rng.choices(range(0x430, 0x450), k=6))) for _ in range(60)]  # unlike any text of the language
+    docs = docs_of(spark, [prose(80, k) for k in range(60)] + noise + [" ".join(other), " ".join(other)] + ODD)
     rows = {r.doc_id: r for r in perplexity.quality_rules(docs).collect()}
-    assert all(rows[k].kept for k in range(60)) and not any(rows[k].kept for k in range(60, 63))
-    assert len(rows) == 63 + len(ODD) and all(rows[63 + k].base_failed for k in (0, 1, 2, 3, 8))
+    assert all(rows[k].kept for k in range(60)) and not any(rows[k].kept for k in range(60, 65))
+    assert len(rows) == 65 + len(ODD) and all(rows[65 + k].base_failed for k in (0, 1, 2, 3, 8))
     assert perplexity.quality_rules(docs.limit(0)).count() == 0
 
 
