@@ -29,12 +29,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_notices, n_confirmed, family and probability of its most probable notice (earlier first), null without one."""
+    """Per document: doc_id, n_notices, n_confirmed, families (of confirmed notices, sorted and joined by commas) and notices (all, as family:start:end, in order, joined likewise)."""
     docs = read(spark, sf_dir, "documents")
     found = licenses.scan(docs, licenses.fit(docs))
-    best = F.array_max(F.transform("notices", lambda n: F.struct(n["confirmed"], n["probability"], -n["paragraph"], n["family"].alias("family"))))
     confirmed = F.filter("notices", lambda n: n["confirmed"])
-    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.size(confirmed).cast("long").alias("n_confirmed"), best["family"].alias("family"), best["probability"].alias("probability"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda n: n["family"]))), ",")
+    places = F.transform("notices", lambda n: F.concat_ws(":", n["family"], n["start"].cast("string"), n["end"].cast("string")))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.size(confirmed).cast("long").alias("n_confirmed"), families.alias("families"), F.array_join(places, ",").alias("notices"))
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
