@@ -27,8 +27,9 @@ OTHER = "other"
 FOLDS = 2
 #: Entries of all models that are broadcast at most, 12 bytes each.
 MOST_ENTRIES = 6_000_000
-#: Characters whose n-grams are looked at together.
+#: Characters whose n-grams are counted, or looked up, together.
 BLOCK = 6_000_000
+LOOKED_UP = 1_500_000
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,8 +74,9 @@ def grams_of(texts: list[str], order: int = ORDER) -> Grams:
     lengths = np.array([len(c) for c in own], np.int64)
     codes = np.concatenate([x for c in own for x in (pad, c)] or [pad])
     real = np.repeat(np.tile([False, True], len(own)), np.stack([np.full(len(own), order - 1), lengths], axis=1).ravel())
-    letters, digits = np.unique(codes, return_inverse=True)
-    digits, size = digits.astype(np.int64), len(letters)
+    letters = np.zeros(int(codes.max()) + 1, bool)
+    letters[codes] = True
+    digits, size = (np.cumsum(letters) - 1)[codes], int(letters.sum())
     key, range_ = digits, size
     for k in range(1, order):
         if range_ * size >= 1 << 62:
@@ -281,7 +283,7 @@ def rules_of(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str
         for name in set(names) & shared.value.keys():
             at = np.array([i for i, x in enumerate(names) if x == name])
             own = [texts[i] for i in at]
-            for a, b in blocks(own):
+            for a, b in blocks(own, LOOKED_UP):
                 grams = grams_of(own[a:b])
                 sums = np.concatenate([[0.0], np.cumsum(shared.value[name].log_p(grams.codes)[grams.at])])
                 nll[at[a:b]] = sums[np.concatenate([[0], grams.ends[:-1]])] - sums[grams.ends]
