@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token weights by source, language and topic are raked until each marginal meets its target; every
-document is then kept with the calibrated probability of its cell.
+document is then kept with the calibrated probability of its cell. Targets are given, or tempered:
+each category's share of the tokens to a power.
 """
 
 from __future__ import annotations
@@ -12,9 +13,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 Targets = dict[str, dict[str, float]]
 #: Stands for all categories that have no target of their own, null among them.
 REST = "rest"
+#: Topics by words that speak of them, in text without regard to case; the topic with most of them wins, the first on ties.
+TOPICS = {
+    "software": ("licen[cs]ed?", "software", "source code", "api", "token", "password", "secret", "server", "version", "copyright"),
+    "contact": (r"[\w.+-]+@[\w-]+\.\w+", r"\+?\d[\d() .-]{7,}\d", "phone", "e-?mail", "address"),
+}
+GENERAL = "general"
 
 
 def n_words(text: Column) -> Column:
@@ -22,61 +31,87 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def form_topic(text: Column) -> Column:
-    """A document's kind by the length of its whole text: brief, article or long."""
-    n = F.length(F.coalesce(text, F.lit("")))
-    return F.when(n < 500, "brief").when(n < 4000, "article").otherwise("long")
+def topic_of(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Column:
+    """The topic whose words the whole text holds most often; GENERAL without any, and for null."""
+    found = [(name, F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"(?i)(?<!\w)(?:{'|'.join(words)})(?!\w)"))) for name, words in topics.items()]
+    best = F.greatest(*(n for _, n in found)) if len(found) > 1 else found[0][1]
+    out = F.when(best == 0, GENERAL)
+    for name, n in found:
+        out = out.when(n == best, name)
+    return out
 
 
-def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 200, close: float = 1e-10) -> np.ndarray:
-    """Weights of the shape of ``cells`` whose marginals are in the proportions of ``targets``, 1 in sum.
+def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 2000, close: float = 1e-12) -> tuple[np.ndarray, float]:
+    """Weights of the shape of ``cells`` whose marginals are in the proportions of ``targets``, 1 in sum, and the largest difference left.
 
     A category without tokens can't meet its target; the others of its marginal share it. A marginal
     whose categories with tokens have no target keeps its own proportions.
     """
+    sums = lambda w, axis: w.sum(axis=tuple(i for i in range(w.ndim) if i != axis))
     w = cells / max(cells.sum(), 1)
     wanted = []
     for axis, target in enumerate(targets):
-        own = w.sum(axis=tuple(i for i in range(w.ndim) if i != axis))
+        own = sums(w, axis)
         t = np.where(own > 0, target, 0.0)
         wanted.append(t / t.sum() if t.sum() > 0 else own)
     for _ in range(rounds):
         before = w
         for axis, t in enumerate(wanted):
-            own = w.sum(axis=tuple(i for i in range(w.ndim) if i != axis))
+            own = sums(w, axis)
             factor = np.divide(t, own, out=np.zeros_like(own), where=own > 0)
             w = w * factor.reshape([-1 if i == axis else 1 for i in range(w.ndim)])
         if np.abs(w - before).max(initial=0) < close:
             break
-    return w
+    return w, max(float(np.abs(sums(w, axis) - t).max(initial=0)) for axis, t in enumerate(wanted)) if cells.sum() else 0.0
+
+
+def tempered(base: DataFrame, powers: dict[str, float], tokens: str = "n_tokens", most: int = 1000) -> Targets:
+    """Targets for the columns of ``base`` that ``powers`` names: each category's share of the tokens to the power, 1 in sum.
+
+    most: categories of a column that get a target of their own, those with most tokens; all others
+    and null are REST, with the power of their common share.
+    """
+    out: Targets = {}
+    for name, power in powers.items():
+        sums = base.groupBy(name).agg(F.sum(tokens).alias("n"))
+        rows = sums.filter(F.col(name).isNotNull() & (F.col("n") > 0)).orderBy(F.desc("n"), name).limit(most).collect()  # bounded by ``most``
+        total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rest = total - sum(r["n"] for r in rows)
+        own = {r[name]: (r["n"] / total) ** power for r in rows} | {REST: (rest / total) ** power if rest else 0.0}
+        whole = sum(own.values()) or 1.0
+        out[name] = {k: v / whole for k, v in own.items()}
+    return out
 
 
 def category(column: Column, target: dict[str, float]) -> Column:
     return F.when(column.isin(*target), column).otherwise(F.lit(REST))
 
 
-def probabilities(docs: DataFrame, tokens: Column, marginals: dict[str, Column], targets: Targets, share: float | None = None) -> dict[tuple[str, ...], float]:
-    """The probability with which a document of each cell is kept.
+def probabilities(base: DataFrame, targets: Targets, share: float | None = None, most_residual: float = 0.02, tokens: str = "n_tokens") -> dict[tuple[str, ...], float]:
+    """The probability with which a document of each cell of the columns that ``targets`` names is kept.
 
     The cells are bounded by the targets, which are parameters: categories without a target form one
     (REST), whose target is what those of its marginal leave of 1. If they leave nothing, REST keeps its
     own proportion of the tokens, and the targets share the others; only REST: 0.0 among the targets
-    drops it. share: tokens kept of all, if the
-    rarest cell allows it; by default as many as possible with the whole rarest cell kept.
+    drops it. share: tokens kept of all, if the rarest cell allows it; by default as many as possible
+    with the whole rarest cell kept. Targets that can't be met together, so that a marginal misses one
+    by more than ``most_residual``, are refused.
     """
-    names = [[*targets[m], *([] if REST in targets[m] else [REST])] for m in marginals]
-    full = [np.array([targets[m].get(k, max(0.0, 1 - sum(targets[m].values()))) for k in ks]) for m, ks in zip(marginals, names, strict=True)]
-    rows = docs.groupBy(*(category(c, targets[m]).alias(m) for m, c in marginals.items())).agg(F.sum(tokens).alias("tokens")).collect()
+    names = [[*targets[m], *([] if REST in targets[m] else [REST])] for m in targets]
+    full = [np.array([targets[m].get(k, max(0.0, 1 - sum(targets[m].values()))) for k in ks]) for m, ks in zip(targets, names, strict=True)]
+    rows = base.groupBy(*(category(F.col(m), targets[m]).alias(m) for m in targets)).agg(F.sum(tokens).alias("tokens")).collect()
     cells = np.zeros([len(k) for k in names])
     for r in rows:
-        cells[tuple(k.index(r[m]) for m, k in zip(marginals, names, strict=True))] = r["tokens"]
-    for axis, (m, ks) in enumerate(zip(marginals, names, strict=True)):
+        cells[tuple(k.index(r[m]) for m, k in zip(targets, names, strict=True))] = r["tokens"]
+    for axis, (m, ks) in enumerate(zip(targets, names, strict=True)):
         at = ks.index(REST)
         if REST not in targets[m] and full[axis][at] < 1e-9:
             own = cells.sum(axis=tuple(i for i in range(cells.ndim) if i != axis))[at] / max(cells.sum(), 1)
             full[axis] = full[axis] * (1 - own)
             full[axis][at] = own
-    weights = rake(cells, full)
+    weights, residual = rake(cells, full)
+    if residual > most_residual:
+        raise ValueError(f"the targets can't be met together: a share of the tokens misses its target by {residual:.3f}")
     factor = np.divide(weights, cells, out=np.zeros_like(weights), where=cells > 0)
     scale = 1 / factor.max() if factor.max() > 0 else 0.0
     if share is not None:
@@ -85,10 +120,11 @@ def probabilities(docs: DataFrame, tokens: Column, marginals: dict[str, Column],
     return {key: float(kept[tuple(k.index(v) for k, v in zip(names, key, strict=True))]) for key in product(*names)}
 
 
-def with_probability(docs: DataFrame, marginals: dict[str, Column], targets: Targets, p: dict[tuple[str, ...], float], name: str = "probability") -> DataFrame:
+def with_probability(docs: DataFrame, targets: Targets, p: dict[tuple[str, ...], float], columns: dict[str, Column], name: str = "probability") -> DataFrame:
     """``docs`` with the probability of each row's cell."""
-    table = F.create_map(*(F.lit(x) for key, value in p.items() for x in ("\x1f".join(key), value)))
-    return docs.withColumn(name, table[F.concat_ws("\x1f", *(category(c, targets[m]) for m, c in marginals.items()))])
+    table = docs.sparkSession.createDataFrame([("\x1f".join(key), value) for key, value in p.items()], f"__cell string, {name} double")
+    cell = F.concat_ws("\x1f", *(category(columns[m], targets[m]) for m in targets))
+    return docs.withColumn("__cell", cell).join(F.broadcast(table), "__cell", "left").drop("__cell")
 
 
 def drawn(doc_id: str, probability: str, seed: int) -> Column:
@@ -97,26 +133,40 @@ def drawn(doc_id: str, probability: str, seed: int) -> Column:
     return unit < F.col(probability)
 
 
-def standard_marginals(source: str = "source", lang: str = "lang", text: str = "text") -> dict[str, Column]:
-    return {"source": F.col(source), "lang": F.col(lang), "topic": form_topic(F.col(text))}
+def marginals(source: str = "source", lang: str = "lang", text: str = "text") -> dict[str, Column]:
+    return {"source": F.col(source), "lang": F.col(lang), "topic": topic_of(F.col(text))}
+
+
+def weighed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, source, lang, topic of each row, without the text."""
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("n_tokens"), *(c.alias(m) for m, c in marginals(source, lang, text).items())))
 
 
-def mix(docs: DataFrame, targets: Targets, share: float | None = None, seed: int = 7, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, share: float | None = None, seed: int = 7, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
     """Every row of ``docs``: doc_id, n_tokens, source, lang, topic (categories), probability, kept.
 
-    targets: for source, lang and topic, shares of the tokens by category, 1 in sum at most. Texts
-    that are null or without words weigh nothing and are drawn with their cell. Rows that repeat an
-    id are kept or dropped together; null ids are drawn as one id; an empty table gives no rows;
-    other columns are not read.
+    targets: for source, lang and topic, shares of the tokens by category, 1 in sum at most; those that
+    aren't given are ``tempered`` by ``powers``. Texts that are null or without words weigh nothing and
+    are drawn with their cell. Rows that repeat an id are kept or dropped together; null ids are drawn
+    as one id; an empty table gives no rows; other columns are not read.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("n_tokens"), *(category(c, targets[m]).alias(m) for m, c in standard_marginals(source, lang, text).items()))
-    marginals = {m: F.col(m) for m in targets}
-    p = probabilities(base, F.col("n_tokens"), marginals, targets, share)
-    return with_probability(base, marginals, targets, p).withColumn("kept", drawn("doc_id", "probability", seed))
+    base = weighed(docs, doc_id, source, lang, text)
+    goals = (targets or {}) | tempered(base, powers or {})
+    named = base.withColumns({m: category(F.col(m), goals[m]) for m in goals})
+    return with_probability(named, goals, probabilities(base, goals, share), {m: F.col(m) for m in goals}).withColumn("kept", drawn("doc_id", "probability", seed)).select("doc_id", "n_tokens", "source", "lang", "topic", "probability", "kept")
 
 
-def sample(docs: DataFrame, targets: Targets, share: float | None = None, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
+def sample(docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, share: float | None = None, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
-    marginals = standard_marginals()
-    p = probabilities(docs, n_words(F.col("text")), marginals, targets, share)
-    return with_probability(docs, marginals, targets, p, "__p").filter(drawn(doc_id, "__p", seed)).drop("__p")
+    base = weighed(docs, doc_id)
+    goals = (targets or {}) | tempered(base, powers or {})
+    rows = with_probability(docs, goals, probabilities(base, goals, share), marginals(), "__p")
+    return rows.filter(drawn(doc_id, "__p", seed)).select(*docs.columns)
+
+
+def report(mixed: DataFrame, marginal: str) -> DataFrame:
+    """Shares of the tokens by category of a marginal of ``mix`` rows: before, expected by the probabilities, and drawn."""
+    n = F.col("n_tokens")
+    rows = mixed.groupBy(F.col(marginal).alias("category")).agg(F.sum(n).alias("all"), F.sum(n * F.col("probability")).alias("expected"), F.sum(F.when(F.col("kept"), n).otherwise(0)).alias("drawn"))
+    sums = rows.agg(*(F.sum(c).alias(f"__{c}") for c in ("all", "expected", "drawn")))
+    return rows.join(F.broadcast(sums)).select("category", *((F.col(c) / F.col(f"__{c}")).alias(c) for c in ("all", "expected", "drawn")))

@@ -144,7 +144,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text:
             if rows:
                 k, i, at, n, crc, ids = zip(*rows, strict=True)
                 columns = [batch.column(0).take(pa.array(k)), pa.array(i, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names)
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(ids))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids

@@ -11,11 +11,8 @@ from .common import read
 
 # The rules of op7.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-TARGETS = {
-    "source": {"src0": 0.1},
-    "lang": {"en": 0.5, "de": 0.17, "fr": 0.19, "es": 0.14},
-    "topic": {"brief": 0.02, "article": 0.44, "long": 0.54},
-}
+#: Powers of the shares that sources, languages and topics have of the tokens: the less, the more even the mix.
+POWERS = {"source": 0.5, "lang": 0.8, "topic": 0.8}
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), TARGETS)
+    return mixing.mix(read(spark, sf_dir, "documents"), powers=POWERS)
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,28 +307,65 @@ def test_perplexity_bands_keep_prose_and_reject_noise(spark):
     assert perplexity.quality_rules(docs.limit(0)).count() == 0
 
 
+TOPICAL = ["password token of the server", "call the phone +49 151 23456789", ""]
+
+
+def mixed_docs(spark, n=600):
+    docs = docs_of(spark, [f"{prose(40, k) if k % 2 else prose(200, k)} {TOPICAL[k // 20 % 3]}" for k in range(n)])
+    return docs.withColumn("lang", F.when(F.col("doc_id") % 5 < 2, "de").otherwise("en")).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string")))
+
+
+def shares_of(rows, name):
+    own = {v: sum(r.n_tokens * r.probability for r in rows if r[name] == v) for v in {r[name] for r in rows}}
+    return {v: x / sum(own.values()) for v, x in own.items()}
+
+
 def test_raking_meets_the_marginals_and_draws_by_probability(spark):
-    targets = {"source": {"s0": 0.2}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"brief": 0.5, "article": 0.5}}
-    texts = [prose(40, k) if k % 2 else prose(200, k) for k in range(600)]
-    docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 5 < 2, "de").otherwise("en"))
+    targets = {"source": {"s0": 0.2}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"software": 0.5, "contact": 0.3, "general": 0.2}}
+    docs = mixed_docs(spark)
     rows = mixing.mix(docs, targets).collect()
+    assert all(r.topic == ("software", "contact", "general")[r.doc_id // 20 % 3] for r in rows)
     for name, want in targets.items():
-        own = {v: sum(r.n_tokens * r.probability for r in rows if r[name] == v) for v in {r[name] for r in rows}}
-        assert all(own[v] / sum(own.values()) == pytest.approx(w, abs=1e-6) for v, w in want.items())
+        own = shares_of(rows, name)
+        assert all(own[v] == pytest.approx(w, abs=1e-6) for v, w in want.items())
     kept = [r for r in rows if r.kept]
     assert abs(len(kept) - sum(r.probability for r in rows)) < 4 * len(rows) ** 0.5
     assert {r.doc_id for r in kept} == {r.doc_id for r in mixing.sample(docs, targets).collect()}
-    assert mixing.mix(docs_of(spark, ODD), targets).count() == len(ODD) and mixing.mix(docs.limit(0), targets).count() == 0
+    assert mixing.mix(docs_of(spark, ODD), powers={"source": 0.5, "lang": 1.0, "topic": 1.0}).count() == len(ODD) and mixing.mix(docs.limit(0), targets).count() == 0
+    twice = mixing.mix(docs.unionByName(docs), targets).groupBy("doc_id").agg(F.count_distinct("kept").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert all((r.n, r["rows"]) == (1, 2) for r in twice)
+
+
+def test_twenty_sources_get_tempered_targets_and_the_report_tells_them(spark):
+    docs = mixed_docs(spark).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "s0").otherwise(F.col("source")))
+    mixed = mixing.mix(docs, powers={"source": 0.5, "lang": 0.8, "topic": 1.0})
+    rows = mixed.collect()
+    sums = {v: sum(r.n_tokens for r in rows if r.source == v) for v in {r.source for r in rows}}
+    total, own = sum(sums.values()), shares_of(rows, "source")
+    root = {v: (n / total) ** 0.5 for v, n in sums.items()}
+    assert len(own) == 20 and all(own[v] == pytest.approx(x / sum(root.values()), abs=1e-4) for v, x in root.items())
+    told = {r.category: r for r in mixing.report(mixed, "source").collect()}
+    assert all(told[v].expected == pytest.approx(own[v]) and told[v].all == pytest.approx(sums[v] / total) for v in own)
+    few = mixing.tempered(mixed, {"source": 1.0}, most=3)["source"]
+    assert len(few) == 4 and sum(few.values()) == pytest.approx(1) and few["rest"] == pytest.approx(1 - sum(sorted(n for n in sums.values())[-3:]) / total)
+
+
+def test_targets_that_cannot_be_met_together_are_refused(spark):
+    _, residual = mixing.rake(np.array([[10.0, 0.0], [0.0, 10.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
+    assert residual == pytest.approx(0.8)
+    docs = mixed_docs(spark, 60).withColumn("source", F.concat(F.lit("s"), F.col("lang")))
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.mix(docs, {"source": {"sen": 0.9, "sde": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": {}})
 
 
 def test_languages_without_a_target_keep_their_proportion_unless_it_is_zero(spark):
-    docs = docs_of(spark, [prose(40, k) for k in range(300)]).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "it").when(F.col("doc_id") % 5 == 2, "de").otherwise("en"))
-    targets = {"source": {"s0": 0.3}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"brief": 1.0}}
+    docs = mixed_docs(spark, 300).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "it").when(F.col("doc_id") % 5 == 2, "de").otherwise("en"))
+    targets = {"source": {"s3": 0.05}, "lang": {"en": 0.5, "de": 0.5}, "topic": {}}
     rows = mixing.mix(docs, targets).collect()
-    own = {v: sum(r.n_tokens * r.probability for r in rows if r.lang == v) for v in ("en", "de", "rest")}
+    own = shares_of(rows, "lang")
     rest = sum(r.n_tokens for r in rows if r.lang == "rest") / sum(r.n_tokens for r in rows)
-    assert own["rest"] / sum(own.values()) == pytest.approx(rest, abs=1e-6) and own["en"] == pytest.approx(own["de"])
-    none = mixing.mix(docs, targets | {"lang": {"en": 0.5, "de": 0.5, "rest": 0.0}}).collect()
+    assert own["rest"] == pytest.approx(rest, abs=1e-6) and own["en"] == pytest.approx(own["de"])
+    none = mixing.mix(docs, {"source": {}, "topic": {}} | {"lang": {"en": 0.5, "de": 0.5, "rest": 0.0}}).collect()
     assert all((r.probability == 0) == (r.lang == "rest") for r in none)
 
 
@@ -394,11 +431,50 @@ def test_near_duplicates_end_to_end(spark):
     assert rows[5].component_id == 4
     fps = [rows[k].fp % (1 << 64) for k in range(len(texts))]
     assert [rows[k].component_id for k in range(len(texts))] == brute_components(fps)
-    kept = simhash.one_of_each(docs.unionByName(docs))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(fps)))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def edited(text, share, seed):
+    rng = random.Random(seed)
+    words = text.split()
+    for k in rng.sample(range(len(words)), int(len(words) * share)):
+        words[k] = f"new{rng.randint(0, 10**9)}"
+    return " ".join(words)
+
+
+def jaccard(a, b, width=5):
+    x, y = ({" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("largest", [simhash.LARGEST, 3])
+def test_documents_of_a_similarity_are_joined_and_others_are_not(spark, largest, monkeypatch):
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (largest,))
+    originals = [prose(300, 1000 + k) for k in range(30)]
+    near = [edited(t, 0.02, k) for k, t in enumerate(originals[:20])]
+    far = [edited(t, 0.12, k) for k, t in enumerate(originals[20:])]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(originals, near)) and all(jaccard(a, b) < 0.6 for a, b in zip(originals[20:], far, strict=True))
+    texts = originals + near + far
+    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
+    assert kept >= {*range(30), *range(50, 60)} and len(kept & set(range(30, 50))) <= 2  # one in some dozens may be missed
+
+
+def test_survivors_do_not_depend_on_the_order_and_repeated_ids_lose_no_text(spark):
+    docs = docs_of(spark, [*ODD, prose(300, 2), prose(300, 3)])
+    other = spark.createDataFrame([(9, prose(300, 4), "en", "s", "", ""), (10, None, "en", "s", "", ""), (None, prose(300, 2), "en", "s", "", ""), (None, None, "en", "s", "", "")], DOCS)
+    rows = docs.unionByName(docs).unionByName(other)
+    kept = simhash.one_of_each(rows)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect())
+    texts = [*ODD, prose(300, 2), prose(300, 3)]
+    want = [(0, ""), (3, "a"), (4, ODD[4]), (6, ODD[6]), (7, ODD[7]), (9, texts[9]), (10, texts[10]), (9, prose(300, 4)), (-1, prose(300, 2)), (-1, "")]
+    assert found == sorted(want)
+    again = simhash.one_of_each(rows.orderBy(F.desc("text"), "doc_id"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(rows).filter("doc_id is null").count() == 2
+
+
 @pytest.mark.parametrize("hot", [1, 4, 1000])
 def test_hot_and_other_fingerprints_get_their_components(spark, hot):
     fps = [5] * 40 + [7] * 3 + list(range(100, 140))
