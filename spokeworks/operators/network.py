@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.order import running_sum
 from ..sources.areas import cell_degrees
 
 
@@ -32,6 +32,11 @@ def build_nodes(lanes: DataFrame) -> DataFrame:
     return rows.select("node", "cx", "cy", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), "node_ord")
 
 
+def node_places(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with place: from 1, in the order in which they are met."""
+    return running_sum(nodes, ["node_ord", "node"], F.lit(1), "place")
+
+
 def edge_id(u: Column, v: Column) -> Column:
     return F.concat_ws("-", F.least(u, v).cast("string"), F.greatest(u, v).cast("string"))
 
@@ -80,9 +85,9 @@ def edges_for_gap(edges: DataFrame, max_gap_m: Column) -> DataFrame:
     return edges.filter(usable(max_gap_m))
 
 
-def usable(max_gap_m: Column, at: Callable[[str], Column] = F.col) -> Column:
-    """Whether an edge, whose columns or fields ``at`` gives, may be used with this tolerance."""
-    return ~at("is_gap") | (at("distance_m") <= max_gap_m) & geo.in_degree_box(at("dlon"), at("dlat"), max_gap_m)
+def usable(max_gap_m: Column) -> Column:
+    """Whether an edge may be used with this tolerance."""
+    return ~F.col("is_gap") | (F.col("distance_m") <= max_gap_m) & geo.in_degree_box(F.col("dlon"), F.col("dlat"), max_gap_m)
 
 
 def build_graph(lanes: DataFrame, max_gap_m: float) -> Graph:
@@ -96,13 +101,6 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), *rest).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst"), *rest))
 
 
-def neighbor_lists(adj: DataFrame) -> DataFrame:
-    """One row a node: src, with lanes and gaps, arrays of its hops. For graphs that are small enough to be broadcast."""
-    hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap", "dlon", "dlat")
-    lists = {"lanes": F.collect_list(F.when(~F.col("is_gap"), hop)), "gaps": F.collect_list(F.when(F.col("is_gap"), hop))}
-    return adj.groupBy("src").agg(*(x.alias(name) for name, x in lists.items()))
-
-
 def graph_stats(graph: Graph) -> DataFrame:
     """One row: nodes, edges, gap edges, lane metres."""
     e = graph.edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_gap").alias("n_gaps"), F.round(F.sum(F.when(~F.col("is_gap"), F.col("distance_m"))), 1).alias("lane_m"))

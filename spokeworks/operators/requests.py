@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 
 DEFAULTS = {"start_lon": 0.0, "start_lat": 0.0, "max_gap_m": 200.0, "start_proximity_m": 200.0, "min_distance_m": 10_000.0, "max_distance_m": 30_000.0, "round_trip": False}
-#: Grid cell of point searches in degrees, and points that are broadcast against all nodes at most.
+#: Grid cell of point searches in degrees.
 POINT_CELL = 0.01
-MOST_POINTS = 1_000
 
 
 def with_default_preferences(requests: DataFrame, patch: DataFrame | None = None) -> DataFrame:
@@ -55,26 +55,24 @@ def nodes_within(points: DataFrame, nodes: DataFrame) -> DataFrame:
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """request_id, node: the closest by squared degrees, the first node on ties; none for an empty graph.
 
-    Few points are broadcast against all nodes and reduced before the shuffle. Many search rings of
-    grid cells that grow fourfold until the nearest found lies within the ring.
+    Points search the nine grid cells around them; those whose nearest lies beyond a cell's side search
+    again in cells four times as large.
     """
     squared = F.pow(F.col("lon") - F.col("plon"), 2) + F.pow(F.col("lat") - F.col("plat"), 2)
-    named = points.select("request_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+    rest = cut(points.select("request_id", F.col("lon").alias("plon"), F.col("lat").alias("plat")))
     best = F.min_by("node", F.struct("sq", "node_ord"))
-    if points.limit(MOST_POINTS + 1).count() <= MOST_POINTS:
-        pairs = nodes.select("node", "lon", "lat", "node_ord").join(F.broadcast(named), F.lit(True)).withColumn("sq", squared)
-        return pairs.groupBy("request_id").agg(best.alias("node"))
-    size, rest, done = POINT_CELL, named, None
+    done = rest.limit(0).select("request_id", F.lit(None).cast("long").alias("node"))
+    size, known = POINT_CELL, nodes.select("node", "lon", "lat", "node_ord")
     if nodes.isEmpty():
-        return named.limit(0).select("request_id", F.lit(None).cast("long").alias("node"))
+        return done
     while size < 1024 and not rest.isEmpty():
         at = lambda c, size=size: F.floor(F.col(c) / F.lit(size)).cast("long")
         step = lambda c, at=at: F.explode(F.sequence(at(c) - 1, at(c) + 1))
         spread = rest.select("*", step("plon").alias("gx")).select("*", step("plat").alias("gy"))
-        pairs = nodes.select("node", "lon", "lat", "node_ord", at("lon").alias("gx"), at("lat").alias("gy")).join(spread, ["gx", "gy"]).withColumn("sq", squared)
-        found = pairs.groupBy("request_id").agg(best.alias("node"), F.min("sq").alias("sq")).filter(F.col("sq") <= F.lit(size * size)).select("request_id", "node")
-        done = found if done is None else done.unionByName(found)
-        rest = rest.join(found, "request_id", "left_anti")
+        pairs = known.select("*", at("lon").alias("gx"), at("lat").alias("gy")).join(spread, ["gx", "gy"]).withColumn("sq", squared)
+        found = cut(pairs.groupBy("request_id").agg(best.alias("node"), F.min("sq").alias("sq")).filter(F.col("sq") <= F.lit(size * size)).select("request_id", "node"))
+        done = done.unionByName(found)
+        rest = cut(rest.join(found, "request_id", "left_anti"))
         size *= 4
     return done
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.order import running_sum
 from ..sources.osm import line_json
 
 ROUTE = ["request_id", "route_id"]
+# Fixed value: the frame of a GPX 1.1 track.
 GPX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="spokeworks" xmlns="http://www.topografix.com/GPX/1/1">\n  <trk>\n    <name>'
 
 
@@ -146,18 +148,14 @@ def serve_routes(log: DataFrame, routes: DataFrame) -> DataFrame:
     log: request_id, ts, cache_key and refresh (whether the lanes changed just before it). routes:
     request_id, route_id of what a search for that request finds. Within a key, and until the next
     refresh of any, the first request that finds routes leads: its routes are shuffled once, and it and
-    later requests of the key get them in turn. Requests before it find none: status no_route.
+    later requests of the key get them in turn. Requests before it find none: status no_route. Refreshes
+    and ranks are counted over ranges of the log, so neither a day nor a popular key lies in one task.
     """
-    times = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    daily = log.groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("refresh").cast("int")).alias("n"))
-    before = daily.select("day", F.coalesce(F.sum("n").over(times), F.lit(0)).alias("before"))  # one row a day
-    within = Window.partitionBy("day").orderBy("ts", "request_id")
-    dated = log.withColumn("day", F.to_date("ts")).join(before, "day")
-    epochs = dated.withColumn("epoch", F.col("before") + F.sum(F.col("refresh").cast("int")).over(within)).drop("day", "before")
-    some = routes.select("request_id").distinct().withColumn("some", F.lit(True))
     key = ["cache_key", "epoch"]
-    order = Window.partitionBy(*key).orderBy("ts", "request_id")
-    rows = epochs.join(some, "request_id", "left").withColumns({"rank": F.row_number().over(order), "leads": F.coalesce("some", F.lit(False))})
+    epochs = running_sum(log, ["ts", "request_id"], F.col("refresh").cast("int"), "epoch")
+    some = routes.select("request_id").distinct().withColumn("some", F.lit(True))
+    placed_log = running_sum(epochs.join(some, "request_id", "left"), [*key, "ts", "request_id"], F.lit(1), "rank")  # over all keys; only differences count
+    rows = placed_log.withColumn("leads", F.coalesce("some", F.lit(False)))
     leader = rows.filter("leads").groupBy(*key).agg(F.min_by(F.struct(F.col("request_id").alias("leader"), F.col("rank").alias("first")), "rank").alias("l")).select(*key, "l.*")
     placed = shuffle_routes(routes).select(F.col("request_id").alias("leader"), "route_id", F.col("shuffled").cast("long").alias("turn"))
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))

@@ -3,13 +3,19 @@
 Edges hold gap candidates up to the widest tolerance; a request uses those of its own. Searches work
 on starts (request_id, node, cand_ord, max_gap_m, min_distance_m, max_distance_m and, one-way,
 end_node) and give steps (request_id, cand_ord, attempt, seg_idx, src, dst, edge_id, distance_m, is_gap).
+
+Each search is a table of states that lie at a node. The graph is cut into square blocks of nodes, a
+state meets the hops of its block in one task and goes on there until it leaves the block; then it is
+shuffled to the next one. Graphs of at most MOST_HOPS hops are one block, which is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import count
+import heapq
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,175 +26,304 @@ from .requests import nearest_node, request_mode, start_candidates
 ATTEMPTS = 80
 WIDE_GAP_M = 1000.0
 ENOUGH_ROUTES = 3
-#: Hops of a graph whose neighbour lists are broadcast at most (about 60 MB), and steps or rounds between two checkpoints then.
+#: Hops of a graph that is broadcast at most (about 60 MB).
 MOST_HOPS = 500_000
-STEPS = 6
-ROUNDS = 3
-STEP = "struct<src: bigint, dst: bigint, edge_id: string, distance_m: double, is_gap: boolean>"
+#: Side of a block in cells of the node ids, about 1.5 km, and states of a block that one task moves, on average.
+BLOCK_CELLS = 1500
+STATES = 4000
+HOP = ["src", "dst", "edge_id", "distance_m", "is_gap", "dlon", "dlat"]
+PATH = "array<struct<src: bigint, dst: bigint, edge_id: string, distance_m: double, is_gap: boolean>>"
 WALKER = ["request_id", "cand_ord", "attempt"]
-ROUTE = ["request_id", "cand_ord", "attempt"]
+ROUTE = WALKER
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
+#: Neighbours of a node: lanes and gaps, each as (dst, edge_id, distance_m, is_gap, dlon, dlat).
+Hops = dict[int, tuple[list[tuple], list[tuple]]]
 
 
-def small_lists(adj: DataFrame) -> DataFrame | None:
-    """Neighbour lists to broadcast, if the graph has at most MOST_HOPS hops; else none, and searches join."""
-    if adj.limit(MOST_HOPS + 1).count() > MOST_HOPS:
-        return None
-    return F.broadcast(cut(network.neighbor_lists(adj)))
+def block_of(node: Column) -> Column:
+    """The square that holds a node, whose id holds its cell."""
+    return F.floor(F.shiftright(node, 25) / BLOCK_CELLS).cast("long") * (1 << 20) + F.floor(node.bitwiseAND((1 << 25) - 1) / BLOCK_CELLS).cast("long")
 
 
-def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
-    """Random walks from each start, ``attempts`` each.
+def same_block(node: int) -> int:
+    return (node >> 25) // BLOCK_CELLS * (1 << 20) + (node & (1 << 25) - 1) // BLOCK_CELLS
 
-    Without ``loop`` a walk never meets a node twice and ends when it is min_distance_m long. With it,
-    no edge is used twice; it ends on return to the start, which must not come before min_distance_m,
-    and dies on a step beyond max_distance_m. Lane edges go before gaps; among equals the choice is
-    uniform by md5 of seed, walker, step and node, so reruns agree. The search goes on until no walker
-    is left: as nodes or edges are used up, every walk ends. On small graphs the walkers stay where they are and look their hops up
-    in a broadcast, several steps between two checkpoints; on others each step is a join.
-    """
-    lists = small_lists(adj)
-    state = starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), F.array().cast(f"array<{STEP}>").alias("path"), F.lit(False).alias("done"))
-    state = state.repartition(*WALKER) if lists is not None else state
-    done: list[DataFrame] = []
-    for step in count():
-        if not loop:
-            state = state.filter("done or total < max_distance_m")
-        hopped = joined_hops(state, adj, loop, seed, step) if lists is None else looked_up_hops(state, lists, loop, seed, step)
-        state = moved(hopped, loop)
-        if lists is None or step % STEPS == STEPS - 1:
-            state = cut(state)
-            ended, going = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-            if ended or not going and not done:
-                done.append(state.filter("done").select(*WALKER, "path"))
-            if not going:
-                break
-            state = state.filter("not done")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return steps_of(out)
 
+def hops_of(table: pa.Table) -> Hops:
+    out: Hops = {}
+    for src, *hop in zip(*(table[c].to_pylist() for c in HOP), strict=True):
+        out.setdefault(src, ([], []))[bool(hop[3])].append(tuple(hop))
+    return out
 
-def draw(seed: int, step: int, dst: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(step)), *(F.col(c).cast("string") for c in WALKER), dst.cast("string")))
 
+def usable(hop: tuple, gap: float) -> bool:
+    """As ``network.usable``."""
+    reach = gap / 111_000.0 * 1.5
+    return not hop[3] or hop[2] <= gap and abs(hop[5]) <= reach and abs(hop[4]) <= reach * 2
 
-def is_new(loop: bool, edge_id: Column, dst: Column) -> Column:
-    """Whether a walker hasn't used this edge (loops) or met this node (others)."""
-    if loop:
-        return ~F.exists("path", lambda s: s["edge_id"] == edge_id)
-    return (dst != F.col("start")) & ~F.exists("path", lambda s: s["dst"] == dst)
 
+class Blocks:
+    """A graph's hops, broadcast as one block where they are few, or by block."""
 
-def joined_hops(state: DataFrame, adj: DataFrame, loop: bool, seed: int, step: int) -> DataFrame:
-    """The walkers that can move on, with their hop; candidates are reduced before the shuffle, without the paths."""
-    hops = state.join(adj, F.col("cur") == F.col("src")).filter(network.usable(F.col("max_gap_m")) & is_new(loop, F.col("edge_id"), F.col("dst")))
-    hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap")
-    chosen = hops.groupBy(*WALKER).agg(F.min_by(hop, F.struct("is_gap", draw(seed, step, F.col("dst")))).alias("hop"))
-    return state.join(chosen, WALKER)
+    def __init__(self, adj: DataFrame):
+        few = adj.select(*HOP).limit(MOST_HOPS + 1).toArrow()  # bounded by MOST_HOPS
+        self.whole = adj.sparkSession.sparkContext.broadcast(few) if few.num_rows <= MOST_HOPS else None
+        self.adj = adj
 
+    def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[dict]], schema: str, key: list[str], at: str = "cur") -> DataFrame:
+        """The rows that ``work`` gives for the states at the nodes of one block, its hops, and the test for its nodes.
 
-def looked_up_hops(state: DataFrame, lists: DataFrame, loop: bool, seed: int, step: int) -> DataFrame:
-    """The walkers with their hop, null for those that are done; those that can't move on go."""
-    gap = F.col("max_gap_m")
+        key: columns that tell states apart; those of a crowded block are dealt to several tasks by them.
+        """
+        kind = _arrow(states.sparkSession, schema)
+        if self.whole is not None:
+            shared = self.whole
 
-    def pick(hops: str) -> Column:
-        free = F.filter(hops, lambda h: network.usable(gap, lambda f: h[f]) & is_new(loop, h["edge_id"], h["dst"]))
-        drawn = F.transform(free, lambda h: F.struct(draw(seed, step, h["dst"]).alias("draw"), *(h[f].alias(f) for f in ("src", "dst", "edge_id", "distance_m", "is_gap"))))
-        best = F.array_min(drawn)
-        return F.when(best.isNotNull(), F.struct(*(best[f].alias(f) for f in ("src", "dst", "edge_id", "distance_m", "is_gap"))))
+            def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                hops = None
+                for batch in batches:
+                    hops = hops_of(shared.value) if hops is None else hops
+                    for part in _batches(work(batch.to_pylist(), hops, lambda node: True), kind):
+                        yield part
 
-    rows = state.join(lists, F.col("cur") == F.col("src"), "left")
-    rows = rows.withColumn("hop", F.when(~F.col("done"), F.coalesce(pick("lanes"), pick("gaps")))).drop("src", "lanes", "gaps")
-    return rows.filter("done or hop is not null")
+            return states.repartition(*key).mapInArrow(move, schema)
 
+        def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = left.drop_columns(["__block", "__share"]).to_pylist()
+            home = left["__block"][0].as_py() if rows else None
+            return pa.Table.from_batches(_batches(work(rows, hops_of(right), lambda node: same_block(node) == home), kind), kind)
 
-def moved(hopped: DataFrame, loop: bool) -> DataFrame:
-    """The walkers after their hop: those that have reached their aim are done, those that have failed go."""
-    went = ~F.col("done")
-    ahead = {"cur": F.when(went, F.col("hop.dst")).otherwise(F.col("cur")), "total": F.when(went, F.col("total") + F.col("hop.distance_m")).otherwise(F.col("total")), "path": F.when(went, F.concat("path", F.array("hop"))).otherwise(F.col("path"))}
-    rows = hopped.withColumns(ahead).drop("hop")
-    long_enough = F.col("total") >= F.col("min_distance_m")
-    if not loop:
-        return rows.withColumn("done", F.col("done") | long_enough)
-    back = F.col("cur") == F.col("start")
-    rows = rows.filter(F.col("done") | (F.col("total") <= F.col("max_distance_m")) & (~back | long_enough))
-    return rows.withColumn("done", F.col("done") | back)
+        # a block that few states lie in is met in one task, a crowded one in as many as its states need
+        placed = states.withColumn("__block", block_of(F.col(at)))
+        crowds = placed.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / STATES).cast("long").alias("__tasks"))
+        left = placed.join(crowds, "__block").withColumn("__share", F.pmod(F.xxhash64(*key), F.col("__tasks"))).drop("__tasks")
+        tasks = left.select(F.col("__block").alias("__b"), F.col("__share").alias("__s")).distinct()
+        right = self.adj.select(*HOP).withColumn("__block", block_of(F.col("src"))).join(tasks, F.col("__block") == F.col("__b")).drop("__b").withColumnRenamed("__s", "__share")
+        by = ["__block", "__share"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
 
 
-def steps_of(paths: DataFrame) -> DataFrame:
-    return paths.select(*ROUTE, F.posexplode("path").alias("seg_idx", "s")).select(*ROUTE, "seg_idx", "s.*")
+def _arrow(spark, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
+def _batches(rows: Iterator[dict], kind: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, kind)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, kind)
+
 
+def walkers(starts: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """The states of ``attempts`` walks from each start."""
+    empty = F.array().cast(PATH)
+    return starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), empty.alias("path"), F.lit(False).alias("done"))
 
-def shortest_trees(adj: DataFrame, ends: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Shortest ways from every node to each end (end_node, max_gap_m, max_distance_m): end_node, max_gap_m, node, dist, hops, next.
 
-    The graph is undirected, so one search per distinct end serves all starts. Each round relaxes the
-    nodes that got nearer in the last one; ties take fewer hops, then the smaller next node.
+def free_hops(near: list[tuple], walker: dict, met: set, loop: bool) -> list[tuple]:
+    """The hops that a walker may take: to nodes that it hasn't met, or for loops by edges that it hasn't used."""
+    fresh = (lambda h: h[1] not in met) if loop else (lambda h: h[0] not in met)
+    return [h for h in near if usable(h, walker["max_gap_m"]) and fresh(h)]
+
+
+def met_by(walker: dict, loop: bool) -> set:
+    return {s["edge_id"] for s in walker["path"]} if loop else {walker["start"], *(s["dst"] for s in walker["path"])}
+
+
+def walk(walker: dict, hops: Hops, inside: Callable[[int], bool], loop: bool, seed: int) -> dict | None:
+    """The walker when it is done or has left the block; none if it is lost.
+
+    Lane edges go before gaps; among equals the one with the smallest md5 of seed, step, walker and node.
     """
-    by = ["end_node", "max_gap_m", "most", "node"]
-    lists = small_lists(adj)
-    bounds = ends.groupBy("end_node", "max_gap_m").agg(F.max("max_distance_m").alias("most"))
-    best = cut(bounds.select("end_node", "max_gap_m", "most", F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("new")))
-    least = F.min_by(F.struct("dist", "hops", "next", "new"), F.struct("dist", "hops", "new", "next")).alias("b")
-    for k in range(most_rounds):
-        both = joined_reach(best, adj) if lists is None else looked_up_reach(best, lists)
-        best = both.groupBy(*by).agg(least).select(*by, "b.*")
-        if lists is None or k % ROUNDS == ROUNDS - 1 or k == most_rounds - 1:
-            best = cut(best)
-            if best.filter("new").isEmpty():
+    met, path, who = met_by(walker, loop), walker["path"], "|".join(str(walker[c]) for c in WALKER)
+    while True:
+        if not loop and walker["total"] >= walker["max_distance_m"]:
+            return None
+        if not inside(walker["cur"]):
+            return walker
+        for near in hops.get(walker["cur"], ()):
+            if free := free_hops(near, walker, met, loop):
                 break
-    else:
-        raise RuntimeError(f"the shortest ways did not settle in {most_rounds} rounds")
-    return best.drop("new")
+        else:
+            return None
+        draw = f"{seed}|{len(path)}|{who}|"
+        dst, edge, length, gap, *_ = min(free, key=lambda h: md5((draw + str(h[0])).encode()).digest()) if len(free) > 1 else free[0]
+        path.append({"src": walker["cur"], "dst": dst, "edge_id": edge, "distance_m": length, "is_gap": gap})
+        met.add(edge if loop else dst)
+        walker["cur"], walker["total"] = dst, walker["total"] + length
+        long_enough = walker["total"] >= walker["min_distance_m"]
+        if not loop:
+            walker["done"] = long_enough
+        elif walker["total"] > walker["max_distance_m"] or dst == walker["start"] and not long_enough:
+            return None
+        else:
+            walker["done"] = dst == walker["start"]
+        if walker["done"]:
+            return walker
+
+
+def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
+    """Steps of random walks from each start, ``attempts`` each.
+
+    Without ``loop`` a walk never meets a node twice and ends when it is min_distance_m long. With it,
+    no edge is used twice; it ends on return to the start, which must not come before min_distance_m,
+    and dies on a step beyond max_distance_m. Choices are uniform by hash and the same in each run.
+    The search goes on until no walker is left: as nodes or edges are used up, every walk ends. A round
+    moves the walkers until they leave their block.
+    """
+    blocks, state = Blocks(adj), walkers(starts, attempts)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
+    out = None
+
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+        return (w for row in rows if (w := walk(row, hops, inside, loop, seed)))
+
+    while True:
+        moved = cut(blocks.apply(state, work, schema, WALKER))
+        done = steps_of(moved.filter("done"))
+        out = done if out is None else out.unionByName(done)
+        state = moved.filter("not done")
+        if blocks.whole is not None or state.isEmpty():
+            return out
+
+
+def unvisited(adj: DataFrame, state: DataFrame, loop: bool = False) -> DataFrame:
+    """The hops (WALKER, dst, edge_id) that each walker (as ``walkers`` gives them, with a path) may take from its node."""
+
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+        for w in rows:
+            met = met_by(w, loop)
+            for near in hops.get(w["cur"], ()):
+                yield from ({c: w[c] for c in WALKER} | {"dst": h[0], "edge_id": h[1]} for h in free_hops(near, w, met, loop))
+
+    schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in WALKER) + ", dst bigint, edge_id string"
+    return Blocks(adj).apply(state, work, schema, WALKER)
+
+
+def steps_of(paths: DataFrame) -> DataFrame:
+    return paths.select(*ROUTE, F.posexplode("path").alias("seg_idx", "s")).select(*ROUTE, "seg_idx", "s.*")
 
 
-def joined_reach(best: DataFrame, adj: DataFrame) -> DataFrame:
-    """The known ways, not new any more, and those one hop longer than the new ones."""
-    front = best.filter("new").join(adj, F.col("node") == F.col("src")).filter(network.usable(F.col("max_gap_m")) & (F.col("dist") + F.col("distance_m") <= F.col("most")))
-    reached = front.select("end_node", "max_gap_m", "most", F.col("dst").alias("node"), (F.col("dist") + F.col("distance_m")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("next"), F.lit(True).alias("new"))
-    return best.withColumn("new", F.lit(False)).unionByName(reached)
+SEARCH = ["end_node", "max_gap_m", "most"]
+TREE = "end_node bigint, max_gap_m double, most double, node bigint, dist double, hops int, next bigint, edge_id string, distance_m double, is_gap boolean"
 
 
-def looked_up_reach(best: DataFrame, lists: DataFrame) -> DataFrame:
-    """The same rows in one pass over ``best``."""
-    own = F.array(F.struct("node", "dist", "hops", "next", F.lit(False).alias("new")))
-    ok = lambda h: network.usable(F.col("max_gap_m"), lambda f: h[f]) & (F.col("dist") + h["distance_m"] <= F.col("most"))
-    way = lambda h: F.struct(h["dst"].alias("node"), (F.col("dist") + h["distance_m"]).alias("dist"), (F.col("hops") + 1).alias("hops"), h["src"].alias("next"), F.lit(True).alias("new"))
-    found = lambda hops: F.transform(F.filter(hops, ok), way)
-    rows = best.join(lists, F.col("node") == F.col("src"), "left")
-    ways = F.when(F.col("new") & F.col("src").isNotNull(), F.concat(own, found("lanes"), found("gaps"))).otherwise(own)
-    return rows.select("end_node", "max_gap_m", "most", F.explode(ways).alias("w")).select("end_node", "max_gap_m", "most", "w.*")
+def rank(way: tuple) -> tuple:
+    """Ways (dist, hops, next, edge of the hop to next) are compared by length, then hops, then next node."""
+    return way[0], way[1], -1 if way[2] is None else way[2]
 
 
-def shortest_paths(adj: DataFrame, starts: DataFrame, most_hops: int = 10_000) -> DataFrame:
-    """The shortest path from each start to its end_node if its length is within the start's bounds; none from the end itself."""
+def settle(best: dict[int, tuple], news: list[tuple[int, tuple]], hops: Hops, inside: Callable[[int], bool], gap: float, most: float) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """Shortest ways of one search within a block, from known ones and new ones: (ways that got better, ways to nodes outside)."""
+    better: dict[int, tuple] = {}
+    beyond: dict[int, tuple] = {}
+    heap = [(rank(way), node, way) for node, way in news]
+    heapq.heapify(heap)
+    worse = lambda node, way: (known := better.get(node) or best.get(node)) is not None and rank(known) <= rank(way)
+    while heap:
+        _, node, way = heapq.heappop(heap)
+        if worse(node, way):
+            continue
+        known = better.get(node) or best.get(node)
+        better[node] = way
+        if known and known[:2] == way[:2]:
+            continue  # a tie changes the next node only
+        for h in (h for near in hops.get(node, ()) for h in near):
+            if way[0] + h[2] > most or not usable(h, gap):
+                continue
+            new = (way[0] + h[2], way[1] + 1, node, h[1:4])
+            if not inside(h[0]):
+                if h[0] not in beyond or rank(new) < rank(beyond[h[0]]):
+                    beyond[h[0]] = new
+            elif not worse(h[0], new):
+                heapq.heappush(heap, (rank(new), h[0], new))
+    return better, beyond
+
+
+def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
+    """Shortest ways from every node to each end (end_node, max_gap_m, max_distance_m): TREE without most, with the hop to next.
+
+    The graph is undirected, so one search per distinct end serves all starts. A round settles each
+    search in the blocks that it has reached and hands the ways that leave them to their neighbours;
+    known ways are read again only for blocks that are reached anew. Ties take fewer hops, then the
+    smaller next node.
+    """
+    blocks = Blocks(adj)
+    bounds = ends.groupBy("end_node", "max_gap_m").agg(F.max("max_distance_m").alias("most"))
+    news = bounds.select(*SEARCH, F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("boolean").alias("is_gap"), F.lit("new").alias("state"))
+    schema = TREE + ", state string"
+
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+        searches: dict[tuple, tuple[dict, list]] = {}
+        for r in rows:
+            best, fresh = searches.setdefault(tuple(r[c] for c in SEARCH), ({}, []))
+            way = (r["dist"], r["hops"], r["next"], (r["edge_id"], r["distance_m"], r["is_gap"]))
+            if r["state"] == "new":
+                fresh.append((r["node"], way))
+            elif r["node"] not in best or rank(way) < rank(best[r["node"]]):
+                best[r["node"]] = way
+        for key, (best, fresh) in searches.items():
+            better, beyond = settle(best, fresh, hops, inside, key[1], key[2])
+            for state, ways in (("known", better), ("new", beyond)):
+                for node, (dist, n, following, edge) in ways.items():
+                    yield dict(zip(SEARCH, key, strict=True)) | {"node": node, "dist": dist, "hops": n, "next": following, "edge_id": edge[0], "distance_m": edge[1], "is_gap": edge[2], "state": state}
+
+    known: list[DataFrame] = []
+    while True:
+        rows = news
+        if known:
+            at = [*SEARCH, block_of(F.col("node")).alias("__at")]
+            reached = news.select(*at).distinct()
+            old = known[0]
+            for k in known[1:]:
+                old = old.unionByName(k)
+            old = old.withColumn("__at", block_of(F.col("node"))).join(reached, [*SEARCH, "__at"], "left_semi").drop("__at")
+            rows = news.unionByName(old)
+        settled = cut(blocks.apply(rows, work, schema, SEARCH, at="node"))
+        known.append(settled.filter("state = 'known'"))
+        news = settled.filter("state = 'new'")
+        if blocks.whole is not None or news.isEmpty():
+            break
+    if len(known) == 1:
+        return known[0].drop("most", "state")
+    ways = known[0]
+    for k in known[1:]:
+        ways = ways.unionByName(k)
+    rest = ["dist", "hops", "next", "edge_id", "distance_m", "is_gap"]
+    least = F.min_by(F.struct(*rest), F.struct("dist", "hops", "next")).alias("b")
+    return ways.groupBy("end_node", "max_gap_m", "node").agg(least).select("end_node", "max_gap_m", "node", "b.*")
+
+
+def shortest_paths(adj: DataFrame, starts: DataFrame) -> DataFrame:
+    """Steps of the shortest path from each start to its end_node if its length is within the start's bounds; none from the end itself.
+
+    Paths are read off the trees by doubling: after round k a row of the table spans up to 2**k hops, so
+    the longest path takes as many rounds as its length has binary digits.
+    """
     wanted = starts.filter("end_node is not null and node <> end_node")
-    trees = shortest_trees(adj, wanted.select("end_node", "max_gap_m", "max_distance_m"))
-    reached = wanted.join(trees.select("end_node", "max_gap_m", "node", "dist"), ["end_node", "max_gap_m", "node"]).filter("dist between min_distance_m and max_distance_m")
-    state = reached.select("end_node", "max_gap_m", F.col("node").alias("cur"), "request_id", "cand_ord", F.lit(1).alias("attempt"), F.array().cast(f"array<{STEP}>").alias("path"))
-    hop = F.struct("src", "dst", "edge_id", "distance_m", "is_gap").alias("hop")
-    hops = trees.filter("next is not null").join(adj, (F.col("node") == F.col("src")) & (F.col("next") == F.col("dst"))).filter(network.usable(F.col("max_gap_m")))
-    hops = cut(hops.select("end_node", "max_gap_m", F.col("node").alias("cur"), hop))
-    small = hops.limit(MOST_HOPS + 1).count() <= MOST_HOPS
-    ahead = F.broadcast(hops) if small else hops
-    out = None
-    for k in range(most_hops):
-        rows = state.join(ahead, ["end_node", "max_gap_m", "cur"], "left")  # none starts from an end
-        gone = F.col("hop").isNotNull()
-        state = rows.withColumns({"cur": F.when(gone, F.col("hop.dst")).otherwise(F.col("cur")), "path": F.when(gone, F.concat("path", F.array("hop"))).otherwise(F.col("path"))}).drop("hop")
-        if not small or k % STEPS == STEPS - 1 or k == most_hops - 1:
-            state = cut(state)
-            part = state.filter("cur = end_node").select(*ROUTE, "path")
-            out = part if out is None else out.unionByName(part)
-            state = state.filter("cur <> end_node")
-            if state.isEmpty():
-                break
-    else:
-        raise RuntimeError(f"a shortest path is longer than {most_hops} hops")
-    return steps_of(out)
+    trees = cut(shortest_trees(adj, wanted.select("end_node", "max_gap_m", "max_distance_m")))
+    by = ["end_node", "max_gap_m"]
+    reached = cut(wanted.join(trees.select(*by, "node", "dist", "hops"), [*by, "node"]).filter("dist between min_distance_m and max_distance_m"))
+    # the nodes of all wanted paths: each round adds those that lie as many hops on as are known already
+    jumps = trees.filter("next is not null").select(*by, "node", F.col("next").alias("to"))
+    own = reached.select(*by, "node", "request_id", "cand_ord", F.lit(0).alias("seg_idx"), "hops")
+    span = 1
+    longest = reached.agg(F.max("hops")).first()[0] or 0
+    while span < longest:
+        ahead = own.join(jumps, [*by, "node"]).select(*by, F.col("to").alias("node"), "request_id", "cand_ord", (F.col("seg_idx") + span).alias("seg_idx"), "hops").filter("seg_idx < hops")
+        own = cut(own.unionByName(ahead))
+        twice = jumps.withColumnRenamed("to", "mid").join(jumps.select(*by, F.col("node").alias("mid"), "to"), [*by, "mid"]).select(*by, "node", "to")
+        jumps = cut(twice)
+        span *= 2
+    hops = trees.filter("next is not null").select(*by, "node", F.col("next").alias("dst"), "edge_id", "distance_m", "is_gap")
+    return own.join(hops, [*by, "node"]).select("request_id", "cand_ord", F.lit(1).alias("attempt"), "seg_idx", F.col("node").alias("src"), "dst", "edge_id", "distance_m", "is_gap")
 
 
 def with_signature(steps: DataFrame) -> DataFrame:
@@ -201,8 +336,7 @@ def with_signature(steps: DataFrame) -> DataFrame:
 
 def distinct_routes(steps: DataFrame) -> DataFrame:
     """The steps of the first route of each request and signature, by start candidate, then attempt."""
-    order = Window.partitionBy("request_id", F.md5("signature"), "signature").orderBy("cand_ord", "attempt")
-    first = with_signature(steps).withColumn("n", F.row_number().over(order)).filter("n = 1").select(*ROUTE)
+    first = with_signature(steps).groupBy("request_id", "signature").agg(F.min(F.struct("cand_ord", "attempt")).alias("r")).select("request_id", "r.*")
     return steps.join(first, ROUTE, "left_semi")
 
 
@@ -214,13 +348,13 @@ def round_trip(adj: DataFrame, starts: DataFrame) -> DataFrame:
     return walks(adj, starts, loop=True)
 
 
-#: Strategies by request mode; ``register_strategy`` adds to them.
+#: Strategies by request mode; ``register_strategy`` gives a table with more.
 STRATEGIES: dict[str, Strategy] = {"explore": explore, "round_trip": round_trip, "one_way": shortest_paths}
 
 
-def register_strategy(mode: str, strategy: Strategy) -> None:
-    """Let requests of ``mode`` be searched by ``strategy(adj, starts) -> steps``."""
-    STRATEGIES[mode] = strategy
+def register_strategy(mode: str, strategy: Strategy, strategies: dict[str, Strategy] | None = None) -> dict[str, Strategy]:
+    """The strategies (by default STRATEGIES) with ``strategy(adj, starts) -> steps`` for requests of ``mode``."""
+    return {**(STRATEGIES if strategies is None else strategies), mode: strategy}
 
 
 def run_walks(adj: DataFrame, starts: DataFrame, loop: bool = False, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
@@ -228,18 +362,23 @@ def run_walks(adj: DataFrame, starts: DataFrame, loop: bool = False, attempts: i
     return distinct_routes(walks(adj, starts, loop, attempts, seed))
 
 
+def no_steps(starts: DataFrame) -> DataFrame:
+    kinds = {c: starts.schema[c].dataType.simpleString() for c in ("request_id", "cand_ord")} | {"attempt": "int", "seg_idx": "int"}
+    empty = starts.limit(0).select(*(F.lit(None).cast(t).alias(c) for c, t in kinds.items()), F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("boolean").alias("is_gap"))
+    return empty
+
+
 def routes_from_candidates(adj: DataFrame, starts: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
-    """Steps of the distinct routes of each request by the strategy of its mode, over all its start candidates."""
-    out = None
+    """Steps of the distinct routes of each request by the strategy of its mode, over all its start candidates.
+
+    Requests of a mode without a strategy have no routes; without requests there are no steps.
+    """
+    out = no_steps(starts)
     for mode, strategy in (strategies or STRATEGIES).items():
         own = cut(starts.filter(F.col("mode") == mode))
-        if own.isEmpty():
-            continue
-        found = strategy(adj, own)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise ValueError("no request has a mode with a strategy")
-    return cut(distinct_routes(out))
+        if not own.isEmpty():
+            out = out.unionByName(strategy(adj, own))
+    return cut(distinct_routes(cut(out)))
 
 
 def routes_per_request(requests: DataFrame, steps: DataFrame) -> DataFrame:
@@ -257,12 +396,13 @@ def shortest_route(steps: DataFrame, one_way: Column) -> DataFrame:
 
 
 def find_routes(graph: network.Graph, requests: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
-    """Steps of the routes of each request (all preferences filled), with its gap_m.
+    """Steps of the routes of each request (all preferences filled), with its gap_m and mode.
 
     graph: with gap candidates up to 1000 m and the widest request. Requests with too few routes and a
-    narrower tolerance are searched again at 1000 m, whose routes replace the first ones.
+    narrower tolerance are searched again at 1000 m, whose routes replace the first ones. The first
+    search goes over a graph without the gaps that no request may use.
     """
-    adj = cut(network.neighbors(graph.edges))
+    wide = cut(network.neighbors(graph.edges))
     nodes = cut(graph.nodes)
     ends = requests.filter("end_lon is not null and end_lat is not null").select("request_id", F.col("end_lon").alias("lon"), F.col("end_lat").alias("lat"))
     snapped = nearest_node(ends, nodes).select("request_id", F.col("node").alias("end_node"))
@@ -270,12 +410,13 @@ def find_routes(graph: network.Graph, requests: DataFrame, strategies: dict[str,
     columns = ["request_id", "mode", "end_node", "max_gap_m", "min_distance_m", "max_distance_m"]
     known = cut(known)
     starts = cut(start_candidates(known, nodes).join(known.select(*columns), "request_id"))
-    first = routes_from_candidates(adj, starts, strategies)
+    widest = known.agg(F.max("max_gap_m")).first()[0] or 0.0
+    first = routes_from_candidates(wide.filter(network.usable(F.lit(float(widest)))), starts, strategies)
     flagged = routes_per_request(known, first).filter("too_few").join(known.filter(F.col("max_gap_m") < WIDE_GAP_M).select("request_id"), "request_id", "left_semi").select("request_id")
     flagged = cut(flagged)
     steps = first.join(flagged, "request_id", "left_anti").join(known.select("request_id", F.col("max_gap_m").alias("gap_m")), "request_id")
     if not flagged.isEmpty():
         again = starts.join(flagged, "request_id", "left_semi").withColumn("max_gap_m", F.lit(WIDE_GAP_M))
-        steps = steps.unionByName(routes_from_candidates(adj, again, strategies).withColumn("gap_m", F.lit(WIDE_GAP_M)))
+        steps = steps.unionByName(routes_from_candidates(wide, again, strategies).withColumn("gap_m", F.lit(WIDE_GAP_M)))
     moded = steps.join(known.select("request_id", "mode"), "request_id")
     return shortest_route(moded, F.col("mode") == "one_way")

@@ -1,7 +1,7 @@
 """Map tables derived from the star schema by whole-number rules, alike in Spark and in SQL.
 
 Every customer is a place on a jittered grid, every order a way from its customer's place to a
-neighbouring one or none, nations are route requests, events are snapshots of areas.
+neighbouring one or none, suppliers are route requests, events are snapshots of areas and a log of requests.
 """
 
 from __future__ import annotations
@@ -73,19 +73,18 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's lanes, in order, taken as a route of the request that the customer's number names; paths are gaps."""
-    ways = raw_ways(spark, sf_dir).select(F.col("feature_seq").alias("lane_seq"), "k")
-    rows = lanes(spark, sf_dir).join(ways, "lane_seq")
+    """A customer's lanes, in order, taken as a route of the supplier's request that 15 customers share; paths are gaps."""
+    rows = osm.to_lanes(features(spark, sf_dir), keep=("k",))
     order = F.expr("row_number() over (partition by k order by lane_seq) - 1")
     at = lambda p: geo.node_id(geo.cell(p["lon"]), geo.cell(p["lat"]))
     return rows.select(
-        (F.col("k") % 25).alias("request_id"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("route_id"), order.alias("seg_idx"), at(geo.start_of(F.col("geometry"))).alias("src"), at(geo.end_of(F.col("geometry"))).alias("dst"),
+        F.expr("k div 15").alias("request_id"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("route_id"), order.alias("seg_idx"), at(geo.start_of(F.col("geometry"))).alias("src"), at(geo.end_of(F.col("geometry"))).alias("dst"),
         "geometry", F.when(F.col("lane_type") == "path", "gap").otherwise("bike_lane").alias("type"), geo.line_length_m(F.col("geometry")).alias("distance_m"), "lane_seq",
     )
 
 
 def request_columns(spark: bool) -> dict[str, str]:
-    n, k, e = "cast(n_nationkey as bigint)", "(cast(n_nationkey as bigint) * 4)", "(cast(n_nationkey as bigint) * 4 + 41)"
+    n, k, e = "s_suppkey", "(s_suppkey * 14)", "(s_suppkey * 14 + 41)"
     f = "1e5D" if spark else "1e5"
     end = lambda q: f"case when {n} % 3 = 0 then {q} / {f} end"
     number = lambda x: f"cast({x} as double)"
@@ -96,7 +95,7 @@ def request_columns(spark: bool) -> dict[str, str]:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(*(F.expr(e).alias(c) for c, e in request_columns(True).items()))
+    return read(spark, sf_dir, "supplier").select(*(F.expr(e).alias(c) for c, e in request_columns(True).items()))
 
 
 def area_columns(spark: bool) -> dict[str, str]:

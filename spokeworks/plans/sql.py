@@ -44,9 +44,9 @@ CTES = {
     "pairs": f"select least(a.node, b.node) || '-' || greatest(a.node, b.node) as edge_id, a.node as u, b.node as v, {equirect('a.lon', 'a.lat', 'b.lon', 'b.lat')} as distance_m, true as is_gap from nodes a join nodes b on a.node_ord < b.node_ord and {near('a.lon - b.lon', 'a.lat - b.lat', str(d.GAP_M))} and {equirect('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= {d.GAP_M}",
     "edges": "select edge_id, u, v, distance_m, is_gap from lane_edges union all select edge_id, u, v, distance_m, is_gap from pairs where edge_id not in (select edge_id from lane_edges)",
     "adj": "select u as src, v as dst, edge_id, distance_m, is_gap from edges union all select v, u, edge_id, distance_m, is_gap from edges",
-    "segments": f"select k % 25 as request_id, 'r' || k as route_id, row_number() over (partition by k order by lane_seq) - 1 as seg_idx, {node('g[1]')} as src, {node('g[-1]')} as dst, g, case when lane_type = 'path' then 'gap' else 'bike_lane' end as type, {length_of('g')} as distance_m from lanes",
+    "segments": f"select k // 15 as request_id, 'r' || k as route_id, row_number() over (partition by k order by lane_seq) - 1 as seg_idx, {node('g[1]')} as src, {node('g[-1]')} as dst, g, case when lane_type = 'path' then 'gap' else 'bike_lane' end as type, {length_of('g')} as distance_m from lanes",
     "metrics": "select request_id, route_id, sum(distance_m) as total_m, coalesce(sum(distance_m) filter (where type = 'bike_lane'), 0) as lane_m, count(*) filter (where type = 'gap') as gap_count, count(*) as n_segments, string_agg(g[1].lon || ',' || g[1].lat, '|' order by seg_idx) as signature from segments group by all",
-    "requests": f"select {_columns(d.request_columns(False))} from nation",
+    "requests": f"select {_columns(d.request_columns(False))} from supplier",
     "saves": f"select *, {fixed('west', 3)} || ',' || {fixed('south', 3)} || ',' || {fixed('east', 3)} || ',' || {fixed('north', 3)} as id from (select {_columns(d.area_columns(False))} from events)",
     "areas": "select id, any_value(west) as west, any_value(south) as south, any_value(east) as east, any_value(north) as north, max(fetched_at) as fetched_at from saves group by id",
     "close": f"select r.request_id, n.node, n.node_ord from requests r join nodes n on {near('n.lon - r.start_lon', 'n.lat - r.start_lat', 'r.start_proximity_m')} and {equirect('r.start_lon', 'r.start_lat', 'n.lon', 'n.lat')} <= r.start_proximity_m",

@@ -12,8 +12,6 @@ from . import osm
 
 STALE_AFTER_MS = 7 * 24 * 60 * 60 * 1000
 MOST_KM = 50.0
-#: Boxes that are broadcast at most; more meet the ways by grid cells.
-MOST_BOXES = 10_000
 
 
 def latest_areas(areas: DataFrame) -> DataFrame:
@@ -69,23 +67,19 @@ def split_cached(requested: DataFrame, areas: DataFrame, force_refresh: bool = F
 def extract_areas(ways: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
     """area_id and the way's columns for each way that meets a box (id, west, south, east, north).
 
-    Up to MOST_BOXES boxes are broadcast; more are joined by the grid cells that both boxes touch,
-    each pair at the first cell they share.
+    Joined by the grid cells that a way's own box and the box both touch, each pair at the first cell they share.
     """
     sides = ["west", "south", "east", "north"]
     named = boxes.select(F.col("id").alias("area_id"), *(F.col(c).alias(f"b_{c}") for c in sides))
-    edged = ways.withColumn("__box", osm.box_of(F.col("geometry")))
     b = {c: F.col(f"b_{c}") for c in sides}
-    overlap = (F.col("__box.west") <= b["east"]) & (F.col("__box.east") >= b["west"]) & (F.col("__box.south") <= b["north"]) & (F.col("__box.north") >= b["south"])
-    if boxes.limit(MOST_BOXES + 1).count() <= MOST_BOXES:
-        pairs = edged.join(F.broadcast(named), overlap)
-    else:
-        at = lambda x: F.floor(x / F.lit(cell)).cast("long")
-        cells = lambda low, high, name: F.explode(F.sequence(at(low), at(high))).alias(name)
-        left = edged.select("*", cells(F.col("__box.west"), F.col("__box.east"), "__x")).select("*", cells(F.col("__box.south"), F.col("__box.north"), "__y"))
-        right = named.select("*", cells(b["west"], b["east"], "__x")).select("*", cells(b["south"], b["north"], "__y"))
-        first = (F.col("__x") == at(F.greatest(F.col("__box.west"), b["west"]))) & (F.col("__y") == at(F.greatest(F.col("__box.south"), b["south"])))
-        pairs = left.join(right, ["__x", "__y"]).filter(overlap & first).drop("__x", "__y")
+    at = lambda x: F.floor(x / F.lit(cell)).cast("long")
+    cells = lambda low, high, name: F.explode(F.sequence(at(low), at(high))).alias(name)
+    own = {c: F.col(f"__box.{c}") for c in sides}
+    left = ways.withColumn("__box", osm.box_of(F.col("geometry"))).select("*", cells(own["west"], own["east"], "__x")).select("*", cells(own["south"], own["north"], "__y"))
+    right = named.select("*", cells(b["west"], b["east"], "__x")).select("*", cells(b["south"], b["north"], "__y"))
+    first = (F.col("__x") == at(F.greatest(own["west"], b["west"]))) & (F.col("__y") == at(F.greatest(own["south"], b["south"])))
+    overlap = (own["west"] <= b["east"]) & (own["east"] >= b["west"]) & (own["south"] <= b["north"]) & (own["north"] >= b["south"])
+    pairs = left.join(right, ["__x", "__y"]).filter(overlap & first)
     return pairs.filter(osm.meets_box(F.col("geometry"), *b.values())).select("area_id", *ways.columns)
 
 

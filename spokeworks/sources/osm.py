@@ -98,15 +98,15 @@ def filter_bbox(ways: DataFrame, west: float, south: float, east: float, north:
     return ways.filter(overlap & meets_box(F.col(geometry), *edges))
 
 
-def to_lanes(features: DataFrame) -> DataFrame:
-    """Lanes of line features. Lines with fewer than two vertices or null coordinates are left out."""
+def to_lanes(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lanes of line features, with the columns ``keep`` of theirs. Lines with fewer than two vertices or null coordinates are left out."""
     tags = F.col("properties")
     whole = (F.size("geometry") >= 2) & ~F.exists("geometry", lambda p: p["lon"].isNull() | p["lat"].isNull())
     osm_id = F.coalesce(geo.tag(tags, "id"), geo.tag(tags, "@id"), F.lit(""))
     rows = filter_linestrings(features).filter(whole)
     return rows.select(
         F.md5(F.concat_ws("#", osm_id, F.col("feature_seq").cast("string"))).alias("id"), osm_id.alias("osm_id"), F.col("feature_seq").alias("lane_seq"), "geometry",
-        geo.lane_type(tags).alias("lane_type"), geo.tag(tags, "name").alias("name"), geo.tag(tags, "surface").alias("surface"), tags.alias("tags"),
+        geo.lane_type(tags).alias("lane_type"), geo.tag(tags, "name").alias("name"), geo.tag(tags, "surface").alias("surface"), tags.alias("tags"), *keep,
     )
 
 
