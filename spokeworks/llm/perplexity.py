@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, text_of
+from .common import cut, over_batches, table, text_of
 
 ORDER = 5
 LANGUAGES = ("en", "de", "fr", "es")
@@ -114,12 +114,19 @@ def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def model_name(lang: Column, number: Column) -> Column:
-    return F.concat_ws("/", lang, number.cast("string"))
+def model_of(lang: Column, number: Column, languages: tuple[str, ...]) -> Column:
+    """The number of the model that judges the texts of a language and fold."""
+    named = F.coalesce(*(F.when(lang == x, F.lit(k)) for k, x in enumerate(languages)), F.lit(len(languages)))
+    return (named * FOLDS + number).cast("int")
+
+
+def joined_partitions(docs: DataFrame) -> DataFrame:
+    """``docs`` in fewer partitions if they are small, without a shuffle, so that a task's n-grams are worth their shuffle."""
+    return docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.count() // 20_000))
 
 
 def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """n-gram counts over whole texts: model (language/fold that the model judges), gram string, n long.
+    """n-gram counts over whole texts: model int (``model_of`` the texts that it judges), gram string, n long.
 
     Languages that aren't named, null among them, are counted together. Null and empty texts count nothing.
     """
@@ -131,11 +138,11 @@ def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text:
             for a, b in blocks(own):
                 grams = grams_of(own[a:b], order)
                 if len(grams.codes):
-                    parts.append((pa.array([name] * len(grams.codes)), pa.array(grams.texts()), pa.array(grams.counts())))
+                    parts.append((pa.array(np.full(len(grams.codes), name, np.int32)), pa.array(grams.texts()), pa.array(grams.counts())))
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "gram", "n"]) if parts else None
 
-    judged = model_name(language(lang, languages), (fold(text_of(text)) + 1) % FOLDS)
-    parts = over_batches(docs, [judged, text_of(text)], work, "model string, gram string, n long")
+    judged = model_of(language(lang, languages), (fold(text_of(text)) + 1) % FOLDS, languages)
+    parts = over_batches(joined_partitions(docs), [judged, text_of(text)], work, "model int, gram string, n long")
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -157,16 +164,16 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     kind p: log probability of an n-gram's last character after the others (gram '' stands for any
     character not seen); kind b: log back-off weight of a context.
     """
-    by_order = [cut(counts)]
+    by_order = [table(counts)]
     for _ in range(order - 1):  # below the highest order: in how many contexts an n-gram ends
-        by_order.insert(0, cut(by_order[0].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+        by_order.insert(0, table(by_order[0].groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
     letters = by_order[0].groupBy("model").agg((1 / (F.count(F.lit(1)) + 1)).alias("below"))
     out, below = None, None
     for k, c in enumerate(by_order, 1):
         cost = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         spent = c.join(F.broadcast(discounts(c)), "model").withColumn("cost", cost).withColumn("context", F.expr("substring(gram, 1, char_length(gram) - 1)")).drop("d1", "d2", "d3")
         weights = spent.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cost").alias("spent")).select("model", "context", "total", (F.col("spent") / F.col("total")).alias("gamma"))
-        weights = cut(weights) if k > 1 else weights
+        weights = table(weights)
         rows = spent.join(weights, ["model", "context"])
         if k == 1:
             rows = rows.join(letters, "model")
@@ -174,7 +181,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(below.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["model", "suffix"])
         p = rows.select("model", "gram", ((F.col("n") - F.col("cost")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
-        below = cut(p.unionByName(unseen) if k == 1 else p)
+        below = table(p.unionByName(unseen) if k == 1 else p)
         entries = below.select("model", F.lit("p").alias("kind"), "gram", F.log("p").alias("value"))
         if k > 1:
             entries = entries.unionByName(weights.select("model", F.lit("b").alias("kind"), F.col("context").alias("gram"), F.log("gamma").alias("value")))
@@ -213,7 +220,7 @@ class HashedModel:
         return out
 
 
-def hashed(entries: DataFrame, order: int = ORDER) -> dict[str, HashedModel]:
+def hashed(entries: DataFrame, order: int = ORDER) -> dict[int, HashedModel]:
     """The models as sorted arrays, from at most MOST_ENTRIES rows of ``kneser_ney``."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,9 +233,9 @@ def hashed(entries: DataFrame, order: int = ORDER) -> dict[str, HashedModel]:
             h[own] = hashes(codes)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(h.view(np.int64)), batch.column(3).cast(pa.float32())], ["model", "kind", "size", "hash", "value"])
 
-    table = over_batches(entries, [F.col(c) for c in ("model", "kind", "gram", "value")], work, "model string, kind string, size int, hash long, value float")
-    packed = table.groupBy("model", "kind", "size").agg(F.sort_array(F.collect_list(F.struct("hash", "value"))).alias("rows")).select("model", "kind", "size", F.col("rows.hash").alias("hash"), F.col("rows.value").alias("value"))
-    models: dict[str, dict] = {}
+    rows = over_batches(entries, [F.col(c) for c in ("model", "kind", "gram", "value")], work, "model int, kind string, size int, hash long, value float")
+    packed = rows.groupBy("model", "kind", "size").agg(F.sort_array(F.collect_list(F.struct("hash", "value"))).alias("rows")).select("model", "kind", "size", F.col("rows.hash").alias("hash"), F.col("rows.value").alias("value"))
+    models: dict[int, dict] = {}
     for batch in packed.toArrow().to_batches():  # bounded by MOST_ENTRIES
         for i in range(batch.num_rows):
             model, kind, size = (batch.column(c)[i].as_py() for c in range(3))
@@ -273,7 +280,7 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - white, marks, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def rules_of(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", models: dict[str, HashedModel] | None = None) -> DataFrame:
+def rules_of(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", models: dict[int, HashedModel] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, the rule counts, n_chars, model, text_hash, nll (nats over the whole text, 0 without ``models``)."""
     shared = docs.sparkSession.sparkContext.broadcast(models or {})
 
@@ -292,9 +299,9 @@ def rules_of(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, rules), size, batch.column(2), batch.column(3), pa.array(nll)], NAMES)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, lang string, " + "".join(f"{c} long, " for c in NAMES[2:8]) + "model string, text_hash long, nll double"
+    schema = f"doc_id {kind}, lang string, " + "".join(f"{c} long, " for c in NAMES[2:8]) + "model int, text_hash long, nll double"
     own = language(lang, languages)
-    return over_batches(docs, [F.col(doc_id), own, model_name(own, fold(text_of(text))), F.xxhash64(text_of(text)), text_of(text)], work, schema)
+    return over_batches(docs, [F.col(doc_id), own, model_of(own, fold(text_of(text)), languages), F.xxhash64(text_of(text)), text_of(text)], work, schema)
 
 
 NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "model", "text_hash", "nll"]
@@ -302,17 +309,17 @@ NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
 
 def log_p_by_joins(grams: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
     """model, gram, log_p of distinct n-grams by joins with ``kneser_ney`` rows, however many these are."""
-    table = lambda kind, name, value: entries.filter(F.col("kind") == kind).select("model", F.col("gram").alias(name), F.col("value").alias(value))
+    values = lambda kind, name, value: entries.filter(F.col("kind") == kind).select("model", F.col("gram").alias(name), F.col("value").alias(value))
     rows = grams.select("model", "gram").withColumns({"log_p": F.lit(None).cast("double"), "spent": F.lit(0.0)})
     for k in range(order, 0, -1):
         rows = rows.withColumns({"part": F.expr(f"substring(gram, {order - k + 1})"), "context": F.expr(f"substring(gram, {order - k + 1}, {k - 1})")})
-        rows = rows.join(table("p", "part", "value"), ["model", "part"], "left")
+        rows = rows.join(values("p", "part", "value"), ["model", "part"], "left")
         rows = rows.withColumn("log_p", F.coalesce("log_p", F.col("spent") + F.col("value"))).drop("value")
         if k > 1:
-            rows = rows.join(table("b", "context", "value"), ["model", "context"], "left")
+            rows = rows.join(values("b", "context", "value"), ["model", "context"], "left")
             rows = rows.withColumn("spent", F.col("spent") + F.coalesce("value", F.lit(0.0))).drop("value")
         rows = cut(rows.select("model", "gram", "log_p", "spent"))
-    rows = rows.join(F.broadcast(table("p", "part", "value").filter("part = ''")), "model", "left")
+    rows = rows.join(F.broadcast(values("p", "part", "value").filter("part = ''")), "model", "left")
     return rows.select("model", "gram", F.coalesce("log_p", F.col("spent") + F.coalesce("value", F.lit(0.0))).alias("log_p"))
 
 
@@ -328,12 +335,12 @@ def scored_by_joins(docs: DataFrame, entries: DataFrame, frequent: int, language
         for name, h, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             grams = grams_of([t])
             if n := len(grams.codes):
-                parts.append((pa.array([name] * n), pa.array([h] * n), pa.array(grams.texts()), pa.array(grams.counts())))
+                parts.append((pa.array([name] * n, pa.int32()), pa.array([h] * n, pa.int64()), pa.array(grams.texts()), pa.array(grams.counts())))
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "text_hash", "gram", "n"]) if parts else None
 
     base = rules_of(docs, languages, text, lang, doc_id)
-    named = model_name(language(lang, languages), fold(text_of(text)))
-    held = over_batches(docs, [named, F.xxhash64(text_of(text)), text_of(text)], work, "model string, text_hash long, gram string, n long")
+    named = model_of(language(lang, languages), fold(text_of(text)), languages)
+    held = over_batches(docs, [named, F.xxhash64(text_of(text)), text_of(text)], work, "model int, text_hash long, gram string, n long")
     asked = cut(held.groupBy("model", "gram").agg(F.count(F.lit(1)).alias("texts")))
     logs = cut(log_p_by_joins(asked, entries))
     often = asked.orderBy(F.desc("texts"), "model", "gram").limit(frequent).select("model", "gram")
