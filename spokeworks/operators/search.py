@@ -46,8 +46,9 @@ def block_of(node: Column) -> Column:
     return F.floor(F.shiftright(node, 25) / BLOCK_CELLS).cast("long") * (1 << 20) + F.floor(node.bitwiseAND((1 << 25) - 1) / BLOCK_CELLS).cast("long")
 
 
-def same_block(node: int) -> int:
-    return (node >> 25) // BLOCK_CELLS * (1 << 20) + (node & (1 << 25) - 1) // BLOCK_CELLS
+def number_of_block(node: int, size: int) -> int:
+    """As ``block_of``, of blocks of ``size`` cells."""
+    return (node >> 25) // size * (1 << 20) + (node & (1 << 25) - 1) // size
 
 
 def hops_of(table: pa.Table) -> Hops:
@@ -89,10 +90,12 @@ class Blocks:
 
             return states.repartition(*key).mapInArrow(move, schema)
 
+        size = BLOCK_CELLS
+
         def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.drop_columns(["__block", "__share"]).to_pylist()
             home = left["__block"][0].as_py() if rows else None
-            return pa.Table.from_batches(_batches(work(rows, hops_of(right), lambda node: same_block(node) == home), kind), kind)
+            return pa.Table.from_batches(_batches(work(rows, hops_of(right), lambda node: number_of_block(node, size) == home), kind), kind)
 
         # a block that few states lie in is met in one task, a crowded one in as many as its states need
         placed = states.withColumn("__block", block_of(F.col(at)))

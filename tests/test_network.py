@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spokeworks.functions import geo
+from spokeworks.functions.order import running_sum
 from spokeworks.operators import network, requests, routes, search
 from spokeworks.sources import areas, osm
+from spokeworks.streaming.lanes import stream_lanes
 
 LANES = "lane_seq long, osm_id string, geometry array<struct<lon: double, lat: double>>, lane_type string, name string"
 
@@ -25,6 +27,7 @@ def test_nearby_coordinates_share_a_key(spark):
     assert len({r[0] for r in rows.select(geo.coord_key(F.col("lon"), F.col("lat"))).collect()}) == 1
 
 
+# Lanes, tolerance, nodes, lane edges and gaps.
 @pytest.mark.parametrize(
     ("lines", "gap", "n_nodes", "n_lanes", "n_gaps"),
     [
@@ -58,14 +61,26 @@ def test_first_of_parallel_lanes_wins(spark):
     assert [e.lane_seq for e in edges] == [0]
 
 
-def test_nearest_node_by_both_ways(spark, monkeypatch):
+def test_nearest_node_equals_a_check_of_all(spark):
     rng = random.Random(3)
-    nodes = spark.createDataFrame([(k, rng.uniform(0, 1), rng.uniform(0, 1), k) for k in range(200)], "node long, lon double, lat double, node_ord long")
-    points = spark.createDataFrame([(k, rng.uniform(-3, 3), rng.uniform(-1, 2)) for k in range(40)], "request_id long, lon double, lat double")
-    few = {tuple(r) for r in requests.nearest_node(points, nodes).collect()}
-    monkeypatch.setattr(requests, "MOST_POINTS", 5)
-    assert few == {tuple(r) for r in requests.nearest_node(points, nodes).collect()}
-    assert len(few) == 40
+    at = [(k, rng.uniform(0, 1), rng.uniform(0, 1), k) for k in range(200)] + [(900, 0.5, 0.5, 900), (901, 0.5, 0.5, 901)]
+    nodes = spark.createDataFrame(at, "node long, lon double, lat double, node_ord long")
+    asked = [(k, rng.uniform(-3, 3), rng.uniform(-1, 2)) for k in range(40)] + [(40, 0.5, 0.5)]
+    points = spark.createDataFrame(asked, "request_id long, lon double, lat double")
+    want = {(r, min(at, key=lambda n: ((n[1] - x) ** 2 + (n[2] - y) ** 2, n[3]))[0]) for r, x, y in asked}
+    assert {tuple(r) for r in requests.nearest_node(points, nodes).collect()} == want
+    assert requests.nearest_node(points, nodes.limit(0)).count() == 0 and requests.nearest_node(points.limit(0), nodes).count() == 0
+
+
+def test_places_and_sums_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 50), k, rng.randint(-3, 9)) for k in range(500)]
+    got = {r.k: r.s for r in running_sum(spark.createDataFrame(rows, "x int, k int, v int"), ["x", "k"], F.col("v"), "s").collect()}
+    total = 0
+    for _, k, v in sorted(rows):
+        total += v
+        assert got[k] == total
+    assert running_sum(spark.createDataFrame([], "x int, v int"), ["x"], F.col("v"), "s").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -95,7 +110,7 @@ def test_areas_of_just_seven_days_are_neither_fresh_nor_stale(spark):
     assert {r.id for r in rows.filter(areas.is_area_stale(now)).collect()} == {"over"}
 
 
-#: name: edges (a gap's distance negative), start, end, least length, loop, found, whether all of them.
+# Scenarios by name: edges (a gap's distance negative), start, end, least length, loop, found.
 SCENARIOS = {
     "simple-chain": ("AB200 BC200 CD200 DE200", "A", None, 800, False, ["ABCDE"]),
     "gap-bridging": ("AB200 BC200 CD-150 DE200 EF200", "A", None, 800, False, ["ABCDEF"]),
@@ -104,76 +119,179 @@ SCENARIOS = {
     "isolated": ("AB50 CD50", "A", None, 200, False, []),
     "round-trip": ("AB-50 BC200 CD200 DA-50", "A", None, 400, True, ["ABCDA", "ADCBA"]),
     "one-way-chain": ("AB200 BC200 CD200 DE200", "A", "E", 0, False, ["ABCDE"]),
+    "one-way-branching": ("AB200 BC200 CE200 BD200 DE200", "A", "E", 0, False, ["ABCE"]),  # of two equal ones, by the smaller next node
 }
 
 
-@pytest.mark.parametrize(("name", "most_hops"), [*((name, search.MOST_HOPS) for name in SCENARIOS), ("gap-bridging", 0), ("one-way-chain", 0)])
-def test_route_scenarios(spark, name, most_hops, monkeypatch):
-    monkeypatch.setattr(search, "MOST_HOPS", most_hops)
+@pytest.fixture(params=["broadcast", "blocks"])
+def way(request, monkeypatch):
+    """Small graphs as one block, or with every node in a block of its own."""
+    if request.param == "blocks":
+        monkeypatch.setattr(search, "MOST_HOPS", 0)
+        monkeypatch.setattr(search, "BLOCK_CELLS", 1)
+    return request.param
+
+
+EDGES = "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"
+STARTS = "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double"
+
+
+def adjacency(spark, edges):
+    return network.neighbors(spark.createDataFrame([(f"{a}-{b}", a, b, float(w), gap, 0.0, 0.0) for a, b, w, gap in edges], EDGES))
+
+
+# Geometries by name: the tolerance, lanes between named points, and the expected edges, gaps in small letters.
+SHAPES = {
+    "simple-chain": (0, {"A": (0, 0), "B": (0.001, 0), "C": (0.002, 0)}, "AB BC", "AB BC"),
+    "gap-bridging": (100, {"A": (0, 0), "B": (0.001, 0), "C": (0.0015, 0), "D": (0.0025, 0)}, "AB CD", "AB CD bc"),
+    "shared-endpoint": (0, {"A": (0, 0), "B": (0.001, 0), "C": (0.001, 0.001), "D": (0.002, 0)}, "AB CB BD", "AB CB BD"),
+    "round-trip": (0, {"A": (0, 0), "B": (0.001, 0), "C": (0.001, 0.001)}, "AB BC CA", "AB BC CA"),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_graphs_of_shapes_pass_the_check_and_others_fail_it(spark, name):
+    gap, points, drawn, expected = SHAPES[name]
+    graph = network.build_graph(lanes(spark, *([tuple(map(float, points[p])) for p in pair] for pair in drawn.split())), gap)
+    at = {(round(n.lon, 6), round(n.lat, 6)): n.node for n in graph.nodes.collect()}
+    node = {p: at[tuple(map(float, xy))] for p, xy in points.items()}
+    want = [(node[e[0].upper()], node[e[1].upper()], e.islower()) for e in expected.split()]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long, is_gap boolean")
+    assert graph.nodes.count() == len(points) and network.check_graph(graph.edges, frame(want)).count() == 0
+    wrong = [(want[0][0], want[0][1], True), *want[2:], (1, 2, False)]
+    assert sorted(r.problem for r in network.check_graph(graph.edges, frame(wrong)).collect()) == ["extra", "missing", "wrong flag"]
+
+
+@pytest.mark.parametrize("name", SCENARIOS)
+def test_route_scenarios(spark, name, way):
     text, start, end, least, loop, expected = SCENARIOS[name]
-    rows = [(f"{e[0]}-{e[1]}", ord(e[0]), ord(e[1]), abs(float(e[2:])), e[2] == "-", 0.0, 0.0) for e in text.split()]
-    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
-    starts = spark.createDataFrame([(1, ord(start), 0, 1000.0, float(least), 5000.0, ord(end) if end else None)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double, end_node long")
+    adj = adjacency(spark, [(ord(e[0]), ord(e[1]), abs(float(e[2:])), e[2] == "-") for e in text.split()])
+    starts = spark.createDataFrame([(1, ord(start), 0, 1000.0, float(least), 5000.0, ord(end) if end else None)], STARTS + ", end_node long")
     steps = search.shortest_paths(adj, starts) if end else search.run_walks(adj, starts, loop)
     ways = {}
     for s in sorted(steps.collect(), key=lambda s: s.seg_idx):
-        way = ways.setdefault((s.cand_ord, s.attempt), [chr(s.src)])
-        assert way[-1] == chr(s.src)
-        way.append(chr(s.dst))
-    found = {"".join(way) for way in ways.values()}
+        path = ways.setdefault((s.cand_ord, s.attempt), [chr(s.src)])
+        assert path[-1] == chr(s.src)
+        path.append(chr(s.dst))
+    found = {"".join(path) for path in ways.values()}
     assert set(expected) <= found
     if not expected or end:
         assert found == set(expected)
 
 
-@pytest.mark.parametrize("most_hops", [search.MOST_HOPS, 0], ids=["looked up", "joined"])
-def test_shortest_distances_equal_dijkstra(spark, most_hops, monkeypatch):
-    monkeypatch.setattr(search, "MOST_HOPS", most_hops)
+def test_shortest_distances_equal_dijkstra(spark, way):
     rng = random.Random(5)
-    edges = {tuple(sorted(rng.sample(range(25), 2))): float(rng.randint(1, 9)) for _ in range(60)}
-    rows = [(f"{a}-{b}", a, b, w, False, 0.0, 0.0) for (a, b), w in edges.items()]
-    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
-    ends = spark.createDataFrame([(0, 10.0, 14.0), (7, 10.0, 14.0)], "end_node long, max_gap_m double, max_distance_m double")
-    found = {(r.end_node, r.node): r.dist for r in search.shortest_trees(adj, ends).collect()}
+    edges = {tuple(sorted(rng.sample(range(25), 2))): float(rng.randint(0, 9)) for _ in range(60)}
+    adj = adjacency(spark, [(a, b, w, False) for (a, b), w in edges.items()])
+    ends = spark.createDataFrame([(0, 10.0, 14.0), (7, 10.0, 14.0), (7, 10.0, 3.0)], "end_node long, max_gap_m double, max_distance_m double")
+    rows = search.shortest_trees(adj, ends).collect()
+    found = {(r.end_node, r.node): (r.dist, r.hops) for r in rows}
+    assert len(found) == len(rows)
     for end in (0, 7):
-        best, heap = {}, [(0.0, end)]
+        best, heap = {}, [(0.0, 0, end)]
         while heap:
-            d, x = heapq.heappop(heap)
+            d, n, x = heapq.heappop(heap)
             if x in best:
                 continue
-            best[x] = d
+            best[x] = (d, n)
             for (a, b), w in edges.items():
                 if x in (a, b) and d + w <= 14:
-                    heapq.heappush(heap, (d + w, b if x == a else a))
+                    heapq.heappush(heap, (d + w, n + 1, b if x == a else a))
         assert {n: d for (e, n), d in found.items() if e == end} == best
+    starts = spark.createDataFrame([(n, n, 0, 10.0, 0.0, 14.0, 0) for n in range(1, 25)], STARTS + ", end_node long")
+    routes_ = {r.request_id: r for r in search.with_signature(search.shortest_paths(adj, starts)).collect()}
+    assert {n: (r.total_m, r.n_segments) for n, r in routes_.items()} == {n: d for (e, n), d in found.items() if e == 0 and n}
 
 
 def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
     rng = random.Random(7)
     pairs = {tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)}
-    rows = [(f"{a}-{b}", a, b, float(rng.randint(20, 90)), rng.random() < 0.3, 0.0, 0.0) for a, b in sorted(pairs)]
-    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
-    starts = spark.createDataFrame([(r, r * 3, 0, 60.0, 150.0, 400.0) for r in range(4)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double")
+    adj = adjacency(spark, [(a, b, rng.randint(20, 90), rng.random() < 0.3) for a, b in sorted(pairs)])
+    starts = spark.createDataFrame([(r, r * 3, 0, 60.0, 150.0, 400.0) for r in range(4)], STARTS)
     for loop in (False, True):
         monkeypatch.setattr(search, "MOST_HOPS", 500_000)
         first = {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
         monkeypatch.setattr(search, "MOST_HOPS", 0)
+        monkeypatch.setattr(search, "BLOCK_CELLS", 7)
+        monkeypatch.setattr(search, "STATES", 5)
         assert len(first) >= 3
         assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
 
 
-def test_walks_have_no_step_cap_and_shortest_searches_that_stop_early_say_so(spark, monkeypatch):
-    rows = [(f"{k}-{k + 1}", k, k + 1, 20.0, False, 0.0, 0.0) for k in range(9)]
-    adj = network.neighbors(spark.createDataFrame(rows, "edge_id string, u long, v long, distance_m double, is_gap boolean, dlon double, dlat double"))
-    starts = spark.createDataFrame([(1, 0, 0, 60.0, 0.0, 400.0, 9)], "request_id long, node long, cand_ord int, max_gap_m double, min_distance_m double, max_distance_m double, end_node long")
-    with pytest.raises(RuntimeError):
-        search.shortest_trees(adj, starts.select("end_node", "max_gap_m", "max_distance_m"), most_rounds=3)
-    taken = []  # stands in for real steps, which are slow: the walker comes back at the 450th
-    path = F.array(F.struct(F.lit(0).alias("src"), F.lit(1).alias("dst"), F.lit("e").alias("edge_id"), F.lit(20.0).alias("distance_m"), F.lit(False).alias("is_gap"))).cast(f"array<{search.STEP}>")
-    monkeypatch.setattr(search, "STEPS", 50)
-    monkeypatch.setattr(search, "looked_up_hops", lambda state, lists, loop, seed, step: taken.append(step) or state)
-    monkeypatch.setattr(search, "moved", lambda state, loop: state.withColumns({"done": F.lit(True), "path": path}) if len(taken) == 450 else state)
-    assert search.walks(adj, starts, loop=True, attempts=1).count() == 1
+@pytest.mark.parametrize("blocks", [False, True])
+def test_walks_and_shortest_ways_of_over_a_thousand_steps_are_whole(spark, blocks, monkeypatch):
+    if blocks:
+        monkeypatch.setattr(search, "MOST_HOPS", 0)
+        monkeypatch.setattr(search, "BLOCK_CELLS", 500)
+    adj = adjacency(spark, [(k, (k + 1) % 1500, 20.0, False) for k in range(1500)])
+    starts = spark.createDataFrame([(1, 0, 0, 60.0, 24_000.0, 31_000.0, 749)], STARTS + ", end_node long")
+    there = search.walks(adj, starts, loop=False, attempts=2)
+    assert sorted(r.n_segments for r in search.with_signature(there).collect()) == [1200, 1200]
+    back = search.walks(adj, starts, loop=True, attempts=2)
+    assert sorted(r.n_segments for r in search.with_signature(back).collect()) == [1500, 1500]
+    bounds = starts.withColumns({"min_distance_m": F.lit(0.0), "max_distance_m": F.lit(20_000.0)})
+    assert [r.n_segments for r in search.with_signature(search.shortest_paths(adj, bounds)).collect()] == [749]
+
+
+def test_requests_without_rows_or_strategy_give_no_routes_and_strategies_can_be_added(spark):
+    adj = adjacency(spark, [(1, 2, 20.0, False), (2, 3, 20.0, False)])
+    starts = spark.createDataFrame([(1, 1, 0, 60.0, 10.0, 400.0, None, "own"), (2, 2, 0, 60.0, 10.0, 400.0, None, "explore")], STARTS + ", end_node long, mode string")
+    assert search.routes_from_candidates(adj, starts.limit(0)).count() == 0
+    assert {r.request_id for r in search.routes_from_candidates(adj, starts).collect()} == {2}
+    more = search.register_strategy("own", search.explore)
+    assert "own" not in search.STRATEGIES and {r.request_id for r in search.routes_from_candidates(adj, starts, more).collect()} == {1, 2}
+
+
+def test_whole_requests_widen_the_gap_where_routes_are_too_few(spark):
+    lines = [[(k * 0.001, 0.0), ((k + 1) * 0.001, 0.0)] for k in range(6)] + [[(0.012 + k * 0.001, 0.0), (0.013 + k * 0.001, 0.0)] for k in range(3)]
+    graph = network.build_graph(lanes(spark, *lines), 1000.0)
+    asked = spark.createDataFrame([(1, 0.0, 0.0, 0.004, 0.0, 50.0, 0.0, 5000.0, False), (2, 0.0, 0.0, 0.015, 0.0, 50.0, 0.0, 5000.0, False), (3, 0.0, 0.0, None, None, 50.0, 300.0, 900.0, False)], "request_id long, start_lon double, start_lat double, end_lon double, end_lat double, max_gap_m double, min_distance_m double, max_distance_m double, round_trip boolean")
+    found = search.find_routes(graph, asked.withColumn("start_proximity_m", F.lit(10.0)))
+    rows = found.groupBy("request_id", "mode", "gap_m").agg(F.round(F.sum("distance_m")).alias("m"), F.count_distinct("cand_ord", "attempt").alias("n")).collect()
+    by = {r.request_id: r for r in rows}
+    assert len(rows) == 3 and (by[1].mode, by[1].gap_m, by[1].m, by[1].n) == ("one_way", 50.0, 445.0, 1)
+    assert (by[2].gap_m, by[2].m, by[2].n) == (1000.0, 1668.0, 1) and by[3].mode == "explore" and by[3].gap_m == 1000.0 and by[3].n >= 1
+    assert search.find_routes(graph, asked.withColumn("start_proximity_m", F.lit(10.0)).limit(0)).count() == 0
+
+
+def test_extracted_ways_equal_a_check_of_all_pairs(spark):
+    rng = random.Random(11)
+    lines = [[(x := rng.uniform(0, 0.4), y := rng.uniform(0, 0.4)), (x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1))] for _ in range(80)]
+    boxes = [(str(k), w := rng.uniform(0, 0.4), s := rng.uniform(0, 0.4), w + rng.uniform(0, 0.2), s + rng.uniform(0, 0.2)) for k in range(25)]
+    found = {(r.area_id, r.lane_seq) for r in areas.extract_areas(lanes(spark, *lines), spark.createDataFrame(boxes, "id string, west double, south double, east double, north double")).collect()}
+
+    def meets(line, w, s, e, n):
+        (x1, y1), (x2, y2) = line
+        low, high = 0.0, 1.0
+        for a, d, lo, hi in ((x1, x2 - x1, w, e), (y1, y2 - y1, s, n)):
+            one, two = sorted(((lo - a) / d, (hi - a) / d))
+            low, high = max(low, one), min(high, two)
+        return low <= high
+
+    assert found == {(b, k) for b, *box in boxes for k, line in enumerate(lines) if meets(line, *box)}
+    kept = osm.filter_bbox(lanes(spark, *lines), *boxes[0][1:]).select("lane_seq").collect()
+    assert {("0", r.lane_seq) for r in kept} == {x for x in found if x[0] == "0"}
+
+
+def test_areas_are_upserted_pruned_with_their_lanes_and_read_again(spark, tmp_path):
+    kind = "id string, west double, south double, east double, north double, fetched_at timestamp_ntz"
+    old = spark.sql("select * from values ('a', 0D, 0D, 1D, 1D, timestamp '2024-01-01'), ('b', 0D, 0D, 1D, 1D, timestamp '2024-01-09') as t(id, west, south, east, north, fetched_at)")
+    new = spark.sql("select * from values ('a', 0D, 0D, 2D, 2D, timestamp '2024-01-10') as t(id, west, south, east, north, fetched_at)")
+    assert len(kind.split(",")) == len(old.columns)
+    areas.save_areas(old, new, str(tmp_path / "x"))
+    assert areas.load_area(spark, str(tmp_path / "x"), "a").first().east == 2.0 and areas.load_all_areas(spark, str(tmp_path / "x")).count() == 2
+    of = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "area_id string, lane_seq int")
+    kept, rest = areas.prune_stale_areas(areas.load_all_areas(spark, str(tmp_path / "x")), of, F.expr("timestamp '2024-01-16 12:00:00'"))
+    assert [r.id for r in kept.collect()] == ["a"] and [r.lane_seq for r in rest.collect()] == [1]
+
+
+def test_lanes_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{"id":7,"highway":"cycleway"}}]}')
+    stream = spark.readStream.schema(osm.FEATURES).json(str(tmp_path / "in"))
+    query = stream_lanes(osm.features_of(stream)).writeStream.format("memory").queryName("lanes_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert [(r.osm_id, r.lane_type) for r in spark.table("lanes_out").collect()] == [("7", "cycleway")]
 
 
 def test_one_way_requests_keep_the_shortest_route_and_others_all(spark):
@@ -192,6 +310,16 @@ def test_serving_rotates_and_a_refresh_starts_anew(spark):
     assert rows[2].route_id == rows[4].route_id != rows[3].route_id == rows[5].route_id
 
 
+def test_serving_over_several_days_counts_refreshes_of_all_before(spark):
+    log = spark.sql("select id as request_id, timestamp '2024-01-01' + make_interval(0, 0, 0, id, 6) as ts, if(id % 2 = 0, 'k', 'l') as cache_key, id in (5, 9) as refresh from range(0, 12)")
+    found = spark.createDataFrame([(r, f"r{r}{i}") for r in range(12) for i in "abc"], "request_id long, route_id string")
+    rows = {r.request_id: r for r in routes.serve_routes(log, found).collect()}
+    assert [rows[k].epoch for k in range(12)] == [0] * 5 + [1] * 4 + [2] * 3
+    leaders = {(r.cache_key, r.epoch): min(k for k in range(12) if (rows[k].cache_key, rows[k].epoch) == (r.cache_key, r.epoch)) for r in rows.values()}
+    assert all(r.route_id[:-1] == f"r{leaders[r.cache_key, r.epoch]}" for r in rows.values())
+    assert [rows[k].turn for k in (0, 2, 4, 6, 8, 10)] == [0, 1, 2, 0, 1, 0]
+
+
 def test_gpx_escapes_names_and_numbers_are_short(spark):
     seg = spark.createDataFrame([(1, "a", 0, [(1.5, 2.0), (1.25, -0.00012)], "bike_lane", 3.0, 1, 2)], "request_id long, route_id string, seg_idx int, geometry array<struct<lon: double, lat: double>>, type string, distance_m double, src long, dst long")
     text = routes.routes_to_gpx(seg, F.lit("a<b&c")).first().gpx
