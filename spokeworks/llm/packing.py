@@ -42,6 +42,10 @@ _SPECIAL = re.compile(rb"<\|")
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 
 
+#: A text on which the ids by words must be the library's, so that a tokenizer of another kind is refused.
+PROBE = "The Quick brown fox's ÉTÉ, Straße... 12,345 x-ray\n\n  naïve (Test)!? 漢字 a_b don't ÿ¡ End."
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that the tokenizer's byte level writes for the UTF-8 bytes of each Latin-1 character."""
     own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
@@ -62,6 +66,8 @@ class WordTokenizer:
         self.merge, self.letters = self.library.model.tokenize, _byte_letters()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        if next(self.ids([PROBE])) != self.encode([PROBE])[0]:
+            raise ValueError(f"{path}: words of this tokenizer can't be encoded one by one")
 
     def encode(self, words: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(words, add_special_tokens=False)

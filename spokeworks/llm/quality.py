@@ -152,7 +152,7 @@ def with_features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def remainder(doc_id: str = "doc_id", folds: int = 5):
-    """crc32 of the id as text, modulo ``folds``; null for a null id."""
+    """crc32 of the id as text, modulo ``folds``; null for a null id, whose row is neither held out nor learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 

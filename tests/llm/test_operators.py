@@ -493,6 +493,64 @@ def test_additive_model_learns_main_effects_and_pairs():
     assert quality.fit_table(x[:5], np.ones(5)).score(x).min() > 0.5
 
 
+def brute_tree(g, h, leaves, least):
+    """Values by bin of the tree that ``_tree`` grows, every cut of every part tried each time."""
+    worth = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        cuts = [(worth(a, k) + worth(k, b) - worth(a, b), (a, b), k) for a, b in parts for k in range(a + 1, b) if sum(h[a:k]) >= least and sum(h[k:b]) >= least]
+        if not cuts or max(c[0] for c in cuts) <= 1e-9:
+            break
+        _, (a, b), k = max(cuts)
+        parts.remove((a, b))
+        parts += [(a, k), (k, b)]
+    out = [0.0] * len(g)
+    for a, b in parts:
+        out[a:b] = [sum(g[a:b]) / (sum(h[a:b]) + 1)] * (b - a)
+    return out
+
+
+def test_trees_pair_tables_and_scores_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        g, h = rng.normal(0, 3, 12), rng.uniform(0.5, 3, 12)
+        assert quality._tree(g, h, 4, 2.0) == pytest.approx(brute_tree(g.tolist(), h.tolist(), 4, 2.0))
+        g, h = rng.normal(0, 3, (5, 4)), rng.uniform(0.5, 3, (5, 4))
+        tables = []
+        for k in range(1, 5):
+            sides = [brute_tree(a.sum(axis=0).tolist(), b.sum(axis=0).tolist(), 2, 2.0) for a, b in ((g[:k], h[:k]), (g[k:], h[k:]))]
+            table = np.array([sides[0]] * k + [sides[1]] * (5 - k))
+            tables.append((float((table * g).sum()), table))
+        assert quality._quadrants(g, h, 2.0) == pytest.approx(max(tables, key=lambda t: t[0])[1])
+    x = rng.uniform(-1, 1, (300, len(quality.FEATURES)))
+    model = quality.fit_table(x, (x[:, 0] * x[:, 3] > 0).astype(float), rounds=5, pair_rounds=5)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.intercept + sum(t[bisect.bisect_right(e.tolist(), v)] for v, e, t in zip(row, model.edges, model.tables, strict=True))
+        total += sum(t[bisect.bisect_right(model.coarse[i].tolist(), row[i]), bisect.bisect_right(model.coarse[j].tolist(), row[j])] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_operators_on_empty_tables_and_repeated_rows(spark):
+    docs = docs_of(spark, ODD)
+    twice, none = docs.unionByName(docs), docs.limit(0)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    model = quality.fit(twice, labels)
+    tokens, words = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rules = [("block", "net", "/")]
+    for work in (lambda d: quality.score(d, model), lambda d: token_counts.count_tokens(d, tokens), lambda d: packing.pack(d, words, keep_ids=True).drop("sequence_id", "offset")):
+        rows = sorted(map(str, work(docs).collect()))
+        assert sorted(map(str, work(twice).collect())) == sorted(rows * 2) and work(none).count() == 0
+    judged = sorted(map(str, url_rules.judge_urls(pages, rules).collect()))
+    assert sorted(map(str, url_rules.judge_urls(pages.unionByName(pages), rules).collect())) == sorted(judged * 2)
+    assert url_rules.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_a_tokenizer_whose_words_do_not_stand_alone_is_refused():
+    with pytest.raises(ValueError, match="one by one"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_quality_held_out_accuracy_and_odd_rows(spark):
     good = [prose(60, k) for k in range(150)]
     bad = [" ".join(f"{w.upper()}!!" for w in prose(60, k).split()) for k in range(150)]
