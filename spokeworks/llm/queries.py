@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline of this subpackage, and the SQL that checks them."""
+"""The queries op1_ to op13_ and pipeline of this subpackage, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules
+from . import kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules, whitening
 from .common import read
 
 # The rules of op7.
@@ -66,6 +66,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing]
+    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing, op13_whitening]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
