@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules, whitening
+from . import filter_audit, kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules, whitening
 from .common import read
 
 # The rules of op7.
@@ -66,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing, op13_whitening]
+    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing, op12_filter_audit, op13_whitening]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
@@ -109,4 +113,35 @@ won as (
   group by host, path)
 select page_id, p.host, p.path, w.w.rule as rule, coalesce(w.w.verdict, 'allow') as verdict
 from parts p left join won w on p.host = w.host and p.path = w.path""",
+        "op12_filter_audit": r"""
+with recursive said as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+marked as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         case when len(words) < 50 then 1 else 0 end
+         + case when 100 * len(list_distinct(words)) < 65 * len(words) then 2 else 0 end
+         + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) then 4 else 0 end
+         + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+         + case when t.doc_id > min(t.doc_id) over (partition by text) then 16 else 0 end as mask
+  from texts t left join said using (doc_id)),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from marked group by part, mask),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(o, used) as (select '', 0 union all select o || letter, used | bit from orders join letters on used & bit = 0),
+places as (
+  select o, k as step, bit, (select coalesce(sum(b.bit), 0) from letters b where position(b.letter in substring(o, 1, k - 1)) > 0) as before
+  from (select o, unnest(range(1, 6)) as k from orders where length(o) = 5) join letters on letter = substring(o, k, 1)),
+rows as (
+  select part, o as filter_order, step, bit,
+         sum(case when mask & (before::bigint | bit) = 0 then n else 0 end) as kept,
+         sum(case when mask & before::bigint = 0 and mask & bit <> 0 then n else 0 end) as removed,
+         sum(case when mask & before::bigint <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+         sum(case when mask = bit then n else 0 end) as unique_fails,
+         sum(case when mask & before::bigint = 0 and mask & bit <> 0 then good else 0 end) as good_lost,
+         sum(case when mask & before::bigint = 0 and mask & bit <> 0 then toxic else 0 end) as toxic_lost
+  from cells cross join places group by part, o, step, bit)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from rows""",
     }
