@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules, whitening
+from . import filter_audit, kdtree, licenses, metric_join, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules, whitening
 from .common import read
 
 # The rules of op7.
@@ -66,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing, op12_filter_audit, op13_whitening]
+    named = [op1_secrets, op2_token_counts, op3_licenses, op4_nearest, op5_quality_rules, op6_mixing, op7_url_rules, op8_near_duplicates, op9_quality, op10_packing, op11_jaccard, op12_filter_audit, op13_whitening]
     return {f.__name__: f for f in named} | {"pipeline": pipeline}
 
 
@@ -113,6 +117,24 @@ won as (
   group by host, path)
 select page_id, p.host, p.path, w.w.rule as rule, coalesce(w.w.verdict, 'allow') as verdict
 from parts p left join won w on p.host = w.host and p.path = w.path""",
+        "op11_jaccard": r"""
+with recursive words as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s
+  from words),
+each as (select r, len(s) as n, unnest(s) as x from sets),
+few as (select x from each group by x having count(*) > 1),
+both as (
+  select a.r as a, b.r as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as same
+  from each a join each b on a.x = b.x and a.r < b.r and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+  where a.x in (select x from few) group by a.r, b.r),
+links as (select a, b from both where 100 * same >= 85 * (n_a + n_b - same)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select r, r as other from sets union select reach.r, ways.b from reach join ways on ways.a = reach.other),
+low as (select reach.r, min(sets.doc_id) as component_id from reach join sets on sets.r = reach.other group by reach.r)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id from sets join low using (r)""",
         "op12_filter_audit": r"""
 with recursive said as (
   select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
