@@ -26,8 +26,8 @@ def lane_ends(lanes: DataFrame) -> DataFrame:
 
 
 def build_nodes(lanes: DataFrame) -> DataFrame:
-    """Distinct ends by cell: order of the first sighting, coordinates of the last."""
-    last = F.max_by(F.struct("lon", "lat"), "seq").alias("p")
+    """Distinct ends by cell: order of the first sighting, coordinates of the last, the largest where several have one seq."""
+    last = F.max_by(F.struct("lon", "lat"), F.struct("seq", "lon", "lat")).alias("p")
     rows = lane_ends(lanes).groupBy("node", "cx", "cy").agg(F.min("seq").alias("node_ord"), last)
     return rows.select("node", "cx", "cy", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), "node_ord")
 
@@ -44,12 +44,14 @@ def edge_id(u: Column, v: Column) -> Column:
 def build_lane_edges(lanes: DataFrame) -> DataFrame:
     """One edge per unordered pair of nodes, the first lane's; lanes whose ends share a node give none.
 
-    The pairs are grouped by ids alone; geometry meets the winners only.
+    Of lanes with one lane_seq, such as those of a way in two areas, the smallest hash of the content
+    comes first. A pair's lanes are one group, whose first lane is found in each task before the shuffle, so
+    that the geometry of one lane a pair and task is shuffled, and the lanes are made once.
     """
     at = lambda p: geo.node_id(geo.cell(p["lon"]), geo.cell(p["lat"]))
-    ends = lanes.select("lane_seq", at(geo.start_of(F.col("geometry"))).alias("u"), at(geo.end_of(F.col("geometry"))).alias("v")).filter("u <> v")
-    first = ends.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by(F.struct("lane_seq", "u", "v"), "lane_seq").alias("e")).select("e.*")
-    rows = first.join(lanes.select("lane_seq", "geometry", "lane_type"), "lane_seq")
+    ends = lanes.select("lane_seq", at(geo.start_of(F.col("geometry"))).alias("u"), at(geo.end_of(F.col("geometry"))).alias("v"), "geometry", "lane_type").filter("u <> v")
+    order = F.struct("lane_seq", F.xxhash64("geometry", "lane_type"))
+    rows = ends.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by(F.struct(*ends.columns), order).alias("e")).select("e.*")
     none = F.lit(0.0)
     return rows.select(edge_id(F.col("u"), F.col("v")).alias("edge_id"), "u", "v", geo.line_length_m(F.col("geometry")).alias("distance_m"), F.lit(False).alias("is_gap"), none.alias("dlon"), none.alias("dlat"), "lane_seq", "geometry", "lane_type")
 

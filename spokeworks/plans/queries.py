@@ -45,28 +45,32 @@ def lane_columns(lanes: DataFrame, *more: str) -> DataFrame:
 # Sources and sinks
 
 
+def _documents(rows, name, item, groups):
+    """Writes ``item`` of the rows (feature_seq and others) as documents of about 200 elements, in ``groups`` files in order."""
+    several = rows.select(c("feature_seq"), F.expr("feature_seq div 800").alias("doc"), item.alias("item"))
+    docs = several.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("feature_seq", "item"))).alias("items"))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "bbox": [{"features": 0}], "' + name + '": ['), F.array_join(F.transform("items", lambda x: x["item"]), ",\n"), F.lit("]}"))
+    path = new_path(rows.sparkSession, name)
+    docs.select("doc", text.alias("value")).repartitionByRange(groups, "doc").sortWithinPartitions("doc").select("value").write.text(path)
+    return path
+
+
 @add("s1_read_osm_ways", f"select {_LANE} from lanes", "lanes")
 def s1(spark, sf):
-    """Ways written as extract documents and read again, as lanes."""
+    """Ways written as extract documents in several files and read again, as lanes."""
     rows = d.raw_ways(spark, sf)
     tags = F.map_filter("properties", lambda k, v: k != "id")
     points = F.transform("geometry", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    element = F.struct(F.lit("way").alias("type"), c("feature_seq").alias("id"), tags.alias("tags"), points.alias("geometry"))
-    path = new_path(spark, "ways")
-    rows.select(F.array(element).alias("elements")).write.json(path)
-    lines = spark.read.schema(osm.WAYS).json(path)  # a document a line here, so that it can be split
-    return lane_columns(osm.to_lanes(osm.filter_bike_ways(osm.ways_of(lines))))
+    element = F.to_json(F.struct(F.lit("way").alias("type"), c("feature_seq").alias("id"), tags.alias("tags"), points.alias("geometry")))
+    return lane_columns(osm.to_lanes(osm.filter_bike_ways(osm.read_osm_ways(spark, _documents(rows, "elements", element, 3)))))
 
 
-@add("s2_read_geojson", f"select {_LANE} from lanes", "lanes")
+@add("s2_read_geojson", f"select {_LANE.replace('lane_seq', 'row_number() over (order by lane_seq) - 1 as lane_seq', 1)} from lanes", "lanes")
 def s2(spark, sf):
-    """Lanes' features written as collections, one a line, and read again."""
+    """Lanes' features written as collections in several files and read again, counted in order over all of them."""
     rows = d.features(spark, sf)
-    feature = F.struct(F.lit("Feature").alias("type"), osm.line_json(c("geometry")).alias("geometry"), F.map_concat("properties", F.create_map(F.lit("seq"), c("feature_seq").cast("string"))).alias("properties"))
-    path = new_path(spark, "features")
-    rows.select(F.array(feature).alias("features")).write.json(path)
-    back = osm.features_of(spark.read.schema(osm.FEATURES).json(path))
-    return lane_columns(osm.to_lanes(back.withColumn("feature_seq", geo.tag(c("properties"), "seq").cast("long"))))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), osm.line_json(c("geometry")).alias("geometry"), c("properties")))
+    return lane_columns(osm.to_lanes(osm.read_geojson(spark, _documents(rows, "features", feature, 4))))
 
 
 @add("s3_save_areas", "select id, west, south, east, north, fetched_at from areas", "areas")
@@ -551,6 +555,18 @@ def g1(spark, sf):
     return d.graph(spark, sf).edges.groupBy("is_gap").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("distance_m"), 1).alias("metres"))
 
 
+_BY_AREA = f"(select *, row_number() over (order by area_id, own) - 1 as lane_seq from (select area_id, l.lane_seq as own, g from {_AREA_LANES} l where area_id in (select id from areas where {_AGE} < {_WEEK})))"
+
+
+@add("g1_graph_of_areas", f"select edge_id, area_id, lane_seq, u, v, round(distance_m, 3) as distance_m from (select least(u, v) || '-' || greatest(u, v) as edge_id, area_id, lane_seq, u, v, {length_of('g')} as distance_m, row_number() over (partition by least(u, v), greatest(u, v) order by lane_seq) as n from (select *, {node('g[1]')} as u, {node('g[-1]')} as v from {_BY_AREA}) where u <> v) where n = 1", "lanes", "areas")
+def g1_areas(spark, sf):
+    """The lane edges of all fresh areas' lanes together, though areas overlap: one edge a pair, of the first area's lane."""
+    fresh = areas.fresh_areas(areas.latest_areas(d.area_saves(spark, sf)), as_of())
+    lanes = cut(areas.in_area_order(areas.lanes_of_areas(fresh, d.area_lanes(spark, sf))))
+    edges = network.build_graph(lanes, 0.0).edges
+    return edges.join(lanes.select("lane_seq", "area_id"), "lane_seq").select("edge_id", "area_id", "lane_seq", "u", "v", r3(c("distance_m"), "distance_m"))
+
+
 def _starts(spark, sf, nodes):
     """One start per request, its nearest node."""
     asked = d.requests(spark, sf)

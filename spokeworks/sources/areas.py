@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.order import running_sum
 from . import osm
 
 STALE_AFTER_MS = 7 * 24 * 60 * 60 * 1000
@@ -92,6 +93,15 @@ def lanes_of_areas(areas: DataFrame, area_lanes: DataFrame, dedupe_ways: bool =
     return lanes.withColumn("__row", row).filter("__row = 1").drop("__row")
 
 
+def in_area_order(lanes: DataFrame) -> DataFrame:
+    """``lanes`` of areas with lane_seq counted from 0 over all areas: by area id, then by their own lane_seq.
+
+    This is the order of one list of lanes made of the areas' lists, which tells which of parallel lanes is an edge.
+    """
+    placed = running_sum(lanes.withColumn("__own", F.col("lane_seq")).withColumn("__hash", F.xxhash64("geometry", "lane_type")), ["area_id", "__own", "__hash"], F.lit(1), "__place")
+    return placed.withColumn("lane_seq", F.col("__place") - 1).drop("__own", "__hash", "__place")
+
+
 def lane_counts(area_lanes: DataFrame) -> DataFrame:
     return area_lanes.groupBy("area_id").agg(F.count(F.lit(1)).alias("n_lanes"))
 

@@ -6,36 +6,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .documents import read_elements
 
 POINTS = "array<struct<lon: double, lat: double>>"
-WAYS = "elements array<struct<type: string, id: bigint, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>>>"
-FEATURES = "features array<struct<geometry: string, properties: map<string, string>>>"
+WAY = "struct<type: string, id: bigint, tags: map<string, string>, geometry: array<struct<lat: double, lon: double>>>"
+FEATURE = "struct<geometry: string, properties: map<string, string>>"
+FEATURES = f"features array<{FEATURE}>"
 
 
 def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
-    """Ways of JSON extracts (one document a file, ``elements`` with inline geometry) as features.
+    """Ways of JSON extracts (``elements`` with inline geometry) as features; large documents are read by several tasks.
 
-    feature_seq is the way's id, since an extract has no order of its own.
+    feature_seq is the way's id, since an extract has no order of its own. A way that several extracts
+    hold comes once for each.
     """
-    return ways_of(spark.read.schema(WAYS).option("multiLine", True).json(path))
-
-
-def ways_of(documents: DataFrame) -> DataFrame:
-    """The ways of extract documents (elements) that are read already, such as one a line."""
-    rows = documents.select(F.explode("elements").alias("e"))
+    rows = read_elements(spark, path, "elements").select(F.from_json("element", WAY).alias("e"))
     points = F.transform("e.geometry", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     tags = F.map_concat(F.create_map(F.lit("id"), F.concat(F.lit("way/"), F.col("e.id").cast("string"))), F.map_filter(F.coalesce("e.tags", F.create_map().cast("map<string,string>")), lambda k, v: k != "id"))
     return rows.filter("e.type = 'way'").select(F.col("e.id").alias("feature_seq"), F.lit("LineString").alias("geometry_type"), points.alias("geometry"), tags.alias("properties"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of collections, one collection a file, in file order: feature_seq counts within a file."""
-    return features_of(spark.read.schema(FEATURES).option("multiLine", True).json(path))
+    """Features of the collections in files, a folder or a pattern; large documents are read by several tasks.
+
+    feature_seq counts from 0 over all files in the order of their paths and of the features in them, as
+    if they were one collection.
+    """
+    return _features(read_elements(spark, path, "features").select(F.col("seq").alias("feature_seq"), F.from_json("element", FEATURE).alias("f")))
 
 
 def features_of(collections: DataFrame) -> DataFrame:
-    """The features of collections that are read already."""
-    rows = collections.select(F.posexplode("features").alias("feature_seq", "f"))
+    """The features of collections that are read already, such as those of a stream; feature_seq counts within each."""
+    return _features(collections.select(F.posexplode("features").alias("feature_seq", "f")))
+
+
+def _features(rows: DataFrame) -> DataFrame:
     kind = F.get_json_object("f.geometry", "$.type")
     lines = F.from_json(F.when(kind == "LineString", F.get_json_object("f.geometry", "$.coordinates")), "array<array<double>>")
     points = F.transform(lines, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
