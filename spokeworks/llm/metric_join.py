@@ -17,6 +17,7 @@ The order is a heuristic that changes no result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,23 @@ MOST_MARKED = 1 << 23
 HOT = 1000
 #: Tasks that share a hot key, members and boundary documents of a tile, and keys in an Arrow batch.
 SHARES, TILE, SLICE = 64, 256, 1 << 19
-#: Of the histograms that bound a pair's overlap, and documents of a bucket that meet in one task.
-BINS, LARGEST = 64, 2048
+#: Of the histograms that bound a pair's overlap, and sets of a bucket that meet in one task, and members of a region that is large.
+BINS, LARGEST, LARGE = 64, 2048, 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class _Hashes(dict):
-    """XXH64 of words, remembered."""
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+#: Of the words' hashes: a random number for each byte, and the powers of an odd number and of its inverse modulo 2^64.
+_BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes whose words are hashed at once, unless one word is longer.
+BLOCK = 1 << 18
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
 
-
-_words = _Hashes()
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x, np.uint64)])) for x in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))))
+    return up, down
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,17 +61,61 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data`` between ASCII white space, and where they begin."""
+    every = np.frombuffer(data, np.uint8)
+    hashes, starts, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while low < len(every):
+        high, size = min(low + BLOCK, len(every)), BLOCK
+        while high < len(every) and not (space := np.flatnonzero(_SPACE[every[low:high]])).size:
+            size *= 2
+            high = min(low + size, len(every))
+        if high < len(every):
+            high = low + int(space[-1]) + 1
+        b = every[low:high]
+        up, down = _powers(max(BLOCK, 1 << int(len(b) - 1).bit_length()))
+        word = np.concatenate([[False], ~_SPACE[b], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)])
+        hashes.append(_mixed((sums[edges[1::2]] - sums[edges[::2]]) * down[edges[::2]]))
+        starts.append(edges[::2] + low)
+        low = high
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _joined(w: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    h = np.zeros(len(w) - width + 1, np.uint64)
+    for i in range(width):
+        h = _mixed(h * np.uint64(3) + w[i : i + len(h)] + np.uint64(_BASE))
+    return h
+
+
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Of each text the distinct ``width``-word shingles as sorted 64-bit hashes; the whole sequence where it is shorter; none without words."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    for k, t in enumerate(texts):
+        held.append(t.encode("utf-8", "replace").translate(_LOWER))
+        if sum(map(len, held[-1:])) > BLOCK or len(held) == 64 or k == len(texts) - 1:
+            out += _sets_of(held, width)
+            held = []
+    return out
+
+
+def _sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
+    w, starts = word_hashes(b"\n".join(texts))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    every = _joined(w, width) if len(w) >= width else np.zeros(0, np.uint64)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = every[a : b - width + 1] if b - a >= width else _joined(w[a:b], b - a) if b > a else every[:0]
+        out.append(np.unique(own))
+    return out
+
+
 def shingles(text: str, width: int) -> np.ndarray:
-    """The distinct ``width``-word shingles of a text as sorted 64-bit hashes; the whole sequence where it is shorter; none without words."""
-    words = text.encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(w) - width + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(min(width, len(w))):
-        h = _mixed(h * np.uint64(3) + w[i : i + n] + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(h)
+    return shingle_sets([text], width)[0]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -106,20 +152,21 @@ def frequent(docs: DataFrame, text: str, width: int, percent: int) -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = [], [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                s = shingles(t, width)
-                keys.append(s[: 2 * prefix_length(len(s), percent)])
-                owners.append(np.full(len(keys[-1]), xxhash.xxh32_intdigest(s.tobytes()), np.uint32))
-                held += len(keys[-1])
+            for at in range(0, batch.num_rows, 64):
+                for s in shingle_sets(batch.column(0).slice(at, 64).to_pylist(), width):
+                    keys.append((s[: 2 * prefix_length(len(s), percent)] >> np.uint64(32)).astype(np.uint32))
+                    owners.append(np.full(len(keys[-1]), xxhash.xxh32_intdigest(s.tobytes()), np.uint32))
+                    held += len(keys[-1])
                 if held >= SLICE:
-                    yield _columns(["key", "owner"], np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int32))
+                    yield _columns(["key", "owner"], np.concatenate(keys).view(np.int32), np.concatenate(owners).view(np.int32))
                     keys, owners, held = [], [], 0
         if held:
-            yield _columns(["key", "owner"], np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int32))
+            yield _columns(["key", "owner"], np.concatenate(keys).view(np.int32), np.concatenate(owners).view(np.int32))
 
-    rows = docs.select(text_of(text)).mapInArrow(run, "key long, owner int")
+    # 32 bits of a shingle are enough here, as the order changes no result
+    rows = docs.select(text_of(text)).mapInArrow(run, "key int, owner int")
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high")
-    several = cut(held.select("key", F.floor(F.log2("n")).cast("int").alias("level")))
+    several = cut(held.select(F.shiftleft(F.col("key").cast("long"), 32).alias("key"), F.floor(F.log2("n")).cast("int").alias("level")))
     at, marked = None, 0
     for level, n in sorted(((r["level"], r["count"]) for r in several.groupBy("level").count().collect()), reverse=True):  # 64 levels at most
         marked += n
@@ -139,8 +186,7 @@ def digests(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, m
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, sizes, keys = [], [], []
-        for t in batch.column(1).to_pylist():
-            s = shingles(t, width)
+        for s in shingle_sets(batch.column(1).to_pylist(), width):
             fps.append(xxhash.xxh128_digest(s.tobytes(), SEED))
             sizes.append(len(s))
             keys.append(first_shingles(s, prefix_length(len(s), percent), shared.value).view(np.int64))
@@ -172,14 +218,24 @@ def candidates(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
     """fp, n, s (array<long>, the whole set) of each set that shares one of its first shingles with another set."""
     part = F.xxhash64("fp")  # tells sets under one shingle apart
     keys = marks.select(F.explode("keys").alias("key"), part.alias("fp"))
-    parts = dealt_join(keys, cut(shared_keys(keys).select("key", "held")), "key", "held").select(F.col("fp").alias("part")).distinct()
+    several = cut(shared_keys(keys).select("key", "held"))
+    maybe = docs.sparkSession.sparkContext.broadcast(bitmap(several, "key"))  # 8 MB
+
+    def holding(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys = batch.column(1).flatten()
+        owner = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))))
+        on = pa.array(np.flatnonzero(_holds(maybe.value, keys.to_numpy().view(np.uint64))))
+        return _columns(["key", "fp"], keys.take(on), owner.take(on)) if len(on) else None
+
+    few = over_batches(marks, [part, F.col("keys")], holding, "key long, fp long")
+    parts = dealt_join(few, several, "key", "held").select(F.col("fp").alias("part")).distinct()
     first = marks.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(first.withColumn("part", part).join(parts, "part").select(F.col("fp").alias("whole"), "doc_id"))
     ids = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         on = np.flatnonzero(_holds(ids.value, batch.column(0).to_numpy().view(np.uint64)))
-        sets = [shingles(t, width) for t in batch.column(1).take(pa.array(on)).to_pylist()]
+        sets = shingle_sets(batch.column(1).take(pa.array(on)).to_pylist(), width)
         fps = [xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets]
         return _columns(["fp", "n", "s"], pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))) if fps else None
 
@@ -204,39 +260,66 @@ def near(same: str, a: str, b: str, percent: int) -> Column:
     return 100 * F.col(same) >= percent * (F.col(a) + F.col(b) - F.col(same))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b and others; many a for a b) with n_a, n_b and same: the sizes of the two sets and of what they share."""
-    named = lambda x: sets.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
-    both = dealt_join(dealt_join(pairs, named("b"), "b"), named("a"), "a")
-    return both.withColumn("same", F.size(F.array_intersect("s_a", "s_b")).cast("long")).drop("s_a", "s_b")
+def histograms(sets: DataFrame) -> DataFrame:
+    """fp, n, h array<tinyint>: how many of a set's shingles lie in each of BINS classes, 127 at most."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s = batch.column(2)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(s.offsets.to_numpy()))
+        at = (s.flatten().to_numpy().view(np.uint64) % np.uint64(BINS)).astype(np.int64)
+        h = np.minimum(np.bincount(owner * BINS + at, minlength=batch.num_rows * BINS), 127).astype(np.int8)
+        return _columns(["fp", "n", "h"], batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BINS), pa.array(h)))
+
+    return over_batches(sets, [F.col("fp"), F.col("n"), F.col("s")], work, "fp binary, n long, h array<tinyint>")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b and others; many a for a b) those with the similarity, and n_a, n_b and same: the sizes of the two sets and of what they share.
+
+    Histograms go first, 64 bytes each: their difference is never more than that of the sets, so most
+    pairs that are too far apart never meet their whole sets.
+    """
+    named = lambda x, what: sets.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) if what == "s" else bins.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("h").alias(f"h_{x}"))
+    with_both = lambda rows, what: dealt_join(dealt_join(rows, named("b", what), "b"), named("a", what), "a")
+    apart = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    most = (F.col("n_a") + F.col("n_b") - apart) / 2
+    some = cut(with_both(pairs, "h").filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).drop("h_a", "h_b"))
+    return with_both(some, "s").withColumn("same", F.size(F.array_intersect("s_a", "s_b")).cast("long")).drop("s_a", "s_b").filter(near("same", "n_a", "n_b", percent))
 
 
 def distance(same: str, a: str, b: str) -> Column:
     return 1 - F.col(same) / (F.col(a) + F.col(b) - F.col(same))
 
 
-def regions(sets: DataFrame, keys: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+def regions(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Members of the regions, pivots among them (fp, pivot, d), and the keys of the sets in no region.
 
-    In each round a set votes for the smallest fp that shares a key with it, and is a member of that
-    one's region if it is near enough. Members and pivots leave; rounds end when no region is made.
+    In each round a set votes for one of those that share a key with it, the first in an order drawn
+    anew, so that a large group of near sets soon votes for one of its own. It is a member of that one's
+    region if it is near enough; members and pivots leave. Rounds go on while there are regions of
+    LARGE members or more.
     """
     out = None
-    for _ in range(rounds):
-        lows = cut(shared_keys(keys).select("key", F.col("low").alias("b"), "held"))
-        votes = dealt_join(keys.select("key", F.col("fp").alias("a")), lows, "key", "held").groupBy("a").agg(F.min("b").alias("b")).filter("a <> b")
-        members = overlaps(cut(votes), sets).filter(near("same", "n_a", "n_b", percent))
+    for k in range(rounds):
+        first = F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp"))
+        # keys that are held by one set only from now on vote for nothing
+        lows = cut(keys.groupBy("key").agg(first.alias("low"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
+        votes = dealt_join(keys.select("key", F.col("fp").alias("a")), lows, "key", "held").groupBy("a").agg(F.min("low").alias("low"))
+        members = overlaps(cut(votes.select("a", F.col("low.fp").alias("b")).filter("a <> b")), sets, bins, percent)
         members = cut(members.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), distance("same", "n_a", "n_b").alias("d")))
-        if members.isEmpty():
+        sizes = members.groupBy("pivot").count().agg(F.max("count")).first()[0] or 0
+        if not sizes:
             break
         pivots = members.select(F.col("pivot").alias("fp"), "pivot", F.lit(0.0).alias("d")).distinct()
         found = members.unionByName(pivots)
         out = found if out is None else out.unionByName(found)
         keys = cut(keys.join(found.select("fp").distinct(), "fp", "left_anti"))
+        if sizes < LARGE and k:
+            break
     return out if out is not None else sets.select("fp", F.col("fp").alias("pivot"), F.lit(0.0).alias("d")).limit(0), keys
 
 
-def windows(sets: DataFrame, members: DataFrame, percent: int, marked: np.ndarray) -> DataFrame:
+def windows(sets: DataFrame, bins: DataFrame, members: DataFrame, percent: int, marked: np.ndarray) -> DataFrame:
     """fp, pivot, d: sets outside a region that may link to one of its members, within the region's radius plus r of its pivot."""
     r, wide = 1 - percent / 100, max(1, 2 * percent - 100)  # members lie within r, so the windows within 2r
     keys = cut(keys_of(sets, wide, marked))
@@ -249,7 +332,7 @@ def windows(sets: DataFrame, members: DataFrame, percent: int, marked: np.ndarra
     # beyond its first shingles the set whose first ones end earlier in the order has wide % of its size at most
     needed = wide * (F.col("n_a") + F.col("n_b")) / (100 + wide)
     pairs = counted.filter(F.col("c") + F.floor(wide * F.greatest("n_a", "n_b") / 100) + 1e-9 >= needed).select("a", "b")
-    found = overlaps(cut(pairs), sets).withColumn("d", distance("same", "n_a", "n_b"))
+    found = overlaps(cut(pairs), sets, bins, wide).withColumn("d", distance("same", "n_a", "n_b"))
     return found.join(radius.withColumnRenamed("pivot", "b"), "b").filter(F.col("d") <= F.col("radius") + r + 1e-9).select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "d")
 
 
@@ -290,11 +373,10 @@ def boundary_links(sets: DataFrame, members: DataFrame, outside: DataFrame, perc
     return rows.groupBy("pivot", "i", "j").applyInArrow(tile, "a binary, b binary")
 
 
-def rest_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """a, b: all links between the sets of ``keys`` (key, fp, n), which lie in no region.
 
-    Under each key only pairs go out whose histograms of shingles, whose difference is never more than
-    that of the sets, leave the similarity possible; they are verified. Keys with more than LARGEST sets are
+    Under each key only pairs go out whose histograms leave the similarity possible; they are verified. Keys with more than LARGEST sets are
     cut into tiles of that size.
     """
     several = cut(shared_keys(keys).select("key", "held", F.ceil(F.col("held") / LARGEST).cast("int").alias("tiles")))
@@ -303,15 +385,9 @@ def rest_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
     rows = rows.select("key", "fp", "n", "i", tiles.alias("tile")).select("key", "tile.lo", "tile.hi", "fp", "n", "i")
 
-    def bins(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [np.minimum(np.bincount((np.array(s, np.int64).view(np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for s in batch.column(1).to_pylist()]
-        return _columns(["fp", "h"], batch.column(0), pa.array(out, pa.binary()))
-
-    histograms = over_batches(sets, [F.col("fp"), F.col("s")], bins, "fp binary, h binary")
-
     def tile(t: pa.Table) -> pa.Table:
         fp, n, i = (t.column(c).to_numpy() for c in ("fp", "n", "i"))
-        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint8).reshape(len(fp), BINS).astype(np.int16)
+        h = t.column("h").combine_chunks().flatten().to_numpy().reshape(len(fp), BINS).astype(np.int16)
         order = np.argsort(n, kind="stable")
         fp, n, i, h = fp[order], n[order], i[order], h[order]
         crossed = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
@@ -328,9 +404,9 @@ def rest_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    pairs = dealt_join(rows, histograms, "fp").groupBy("key", "lo", "hi").applyInArrow(tile, "a binary, b binary")
+    pairs = dealt_join(rows, bins.select("fp", "h"), "fp").groupBy("key", "lo", "hi").applyInArrow(tile, "a binary, b binary")
     one_way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return overlaps(cut(one_way), sets).filter(near("same", "n_a", "n_b", percent)).select("a", "b")
+    return overlaps(cut(one_way), sets, bins, percent).select("a", "b")
 
 
 def links(sets: DataFrame, marked: np.ndarray, percent: int, rounds: int = 20) -> DataFrame:
@@ -338,13 +414,14 @@ def links(sets: DataFrame, marked: np.ndarray, percent: int, rounds: int = 20) -
 
     rounds: of regions; whatever is left after the last one is compared without regions.
     """
-    members, rest = regions(sets, cut(keys_of(sets, percent, marked)), percent, rounds)
+    bins = cut(histograms(sets))
+    members, rest = regions(sets, bins, cut(keys_of(sets, percent, marked)), percent, rounds)
     members = cut(members)
     if members.isEmpty():
-        return rest_links(sets, rest, percent)
+        return rest_links(sets, bins, rest, percent)
     inner = members.filter("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    outside = cut(windows(sets, members, percent, marked))
-    return inner.unionByName(boundary_links(sets, members, outside, percent)).unionByName(rest_links(sets, rest, percent))
+    outside = cut(windows(sets, bins, members, percent, marked))
+    return inner.unionByName(boundary_links(sets, members, outside, percent)).unionByName(rest_links(sets, bins, rest, percent))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:

@@ -126,11 +126,11 @@ sets as (
   from words),
 each as (select r, len(s) as n, unnest(s) as x from sets),
 few as (select x from each group by x having count(*) > 1),
-both as (
+met as (
   select a.r as a, b.r as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as same
   from each a join each b on a.x = b.x and a.r < b.r and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
   where a.x in (select x from few) group by a.r, b.r),
-links as (select a, b from both where 100 * same >= 85 * (n_a + n_b - same)),
+links as (select a, b from met where 100 * same >= 85 * (n_a + n_b - same)),
 ways as (select a, b from links union all select b, a from links),
 reach as (select r, r as other from sets union select reach.r, ways.b from reach join ways on ways.a = reach.other),
 low as (select reach.r, min(sets.doc_id) as component_id from reach join sets on sets.r = reach.other group by reach.r)
