@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ SEED = 42
 #: Bits of the bitmaps, and shingles marked in one at most: the most frequent.
 BITMAP_BITS = 26
 MOST_MARKED = 1 << 23
-#: A key of more than one row in so many is hot; fewer keys than this are.
-HOT = 1000
+#: A key of more than one row in so many is hot; fewer keys than this are. Fewer rows than DEALT are no load for one task.
+HOT, DEALT = 1000, 100_000
 #: Tasks that share a hot key, members and boundary documents of a tile, and keys in an Arrow batch.
 SHARES, TILE, SLICE = 64, 256, 1 << 19
 #: Of the histograms that bound a pair's overlap, and sets of a bucket that meet in one task, and members of a region that is large.
@@ -146,8 +147,8 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def frequent(docs: DataFrame, text: str, width: int, percent: int) -> np.ndarray:
-    """Bitmap of shingles that several different sets hold among twice their first ones by hash; the most frequent, if they are too many for it."""
+def frequent(docs: DataFrame, text: str, width: int, percent: int) -> Broadcast:
+    """Broadcast bitmap of shingles that several different sets hold among twice their first ones by hash; the most frequent, if they are too many for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = [], [], 0
@@ -173,35 +174,35 @@ def frequent(docs: DataFrame, text: str, width: int, percent: int) -> np.ndarray
         if marked > MOST_MARKED:
             break
         at = level
-    return bitmap(several.filter(F.col("level") >= (at if at is not None else 64)), "key")
+    return docs.sparkSession.sparkContext.broadcast(bitmap(several.filter(F.col("level") >= (at if at is not None else 64)), "key"))  # 8 MB
 
 
 def _columns(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def digests(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, marked: np.ndarray) -> DataFrame:
+def digests(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, marked: Broadcast) -> DataFrame:
     """doc_id, fp binary (128 bits that stand for the set), n long (its size), keys array<long> (its first shingles) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(marked)  # 8 MB
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, sizes, keys = [], [], []
         for s in shingle_sets(batch.column(1).to_pylist(), width):
             fps.append(xxhash.xxh128_digest(s.tobytes(), SEED))
             sizes.append(len(s))
-            keys.append(first_shingles(s, prefix_length(len(s), percent), shared.value).view(np.int64))
+            keys.append(first_shingles(s, prefix_length(len(s), percent), marked.value).view(np.int64))
         return _columns(["doc_id", "fp", "n", "keys"], batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())))
 
     return over_batches(docs, [F.col(doc_id), text_of(text)], work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp binary, n long, keys array<long>")
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: str, held: str | None = None) -> DataFrame:
-    """Inner join of many rows a key with one row a key. Hot keys, fewer than HOT by their definition, are dealt to several tasks each.
+    """Inner join of many rows a key with one row a key. Hot keys of over DEALT rows, fewer than HOT by their definition, are dealt to several tasks each.
 
     held: the column of ``one`` that tells the rows of its key in ``many``, where they are counted already.
     """
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")) if held is None else one.select(key, F.col(held).alias("__n"))
     total = many.count() if held is None else counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    if total <= DEALT:
+        return many.join(one, key)
     hot = F.broadcast(cut(counts.filter(F.col("__n") * HOT > total).select(key, F.lit(True).alias("__hot"))))
     share = F.when(F.col("__hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SHARES))).otherwise(0)
     each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
@@ -231,6 +232,14 @@ def candidates(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
     parts = dealt_join(few, several, "key", "held").select(F.col("fp").alias("part")).distinct()
     first = marks.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(first.withColumn("part", part).join(parts, "part").select(F.col("fp").alias("whole"), "doc_id"))
+    return whole_sets(docs, wanted, text, doc_id, width)
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """fp, n, s (array<long>) of the sets ``wanted`` (whole: their fp, doc_id: of a document that has it), made anew of the texts.
+
+    Texts of other ids, told by a bitmap, are neither hashed nor shuffled.
+    """
     ids = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -243,12 +252,10 @@ def candidates(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
     return sets.join(wanted.select(F.col("whole").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def keys_of(sets: DataFrame, percent: int, marked: np.ndarray) -> DataFrame:
+def keys_of(sets: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
     """key, fp, n, count (of first shingles) for each of the first shingles of ``sets`` (fp, n, s)."""
-    shared = sets.sparkSession.sparkContext.broadcast(marked)  # 8 MB
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [first_shingles(np.array(s, np.int64).view(np.uint64), prefix_length(len(s), percent), shared.value).view(np.int64) for s in batch.column(1).to_pylist()]
+        keys = [first_shingles(np.array(s, np.int64).view(np.uint64), prefix_length(len(s), percent), marked.value).view(np.int64) for s in batch.column(1).to_pylist()]
         return _columns(["fp", "n", "keys"], batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())))
 
     rows = over_batches(sets, [F.col("fp"), F.col("s"), F.col("n")], work, "fp binary, n long, keys array<long>")
@@ -319,7 +326,7 @@ def regions(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rou
     return out if out is not None else sets.select("fp", F.col("fp").alias("pivot"), F.lit(0.0).alias("d")).limit(0), keys
 
 
-def windows(sets: DataFrame, bins: DataFrame, members: DataFrame, percent: int, marked: np.ndarray) -> DataFrame:
+def windows(sets: DataFrame, bins: DataFrame, members: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
     """fp, pivot, d: sets outside a region that may link to one of its members, within the region's radius plus r of its pivot."""
     r, wide = 1 - percent / 100, max(1, 2 * percent - 100)  # members lie within r, so the windows within 2r
     keys = cut(keys_of(sets, wide, marked))
@@ -409,7 +416,7 @@ def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int)
     return overlaps(cut(one_way), sets, bins, percent).select("a", "b")
 
 
-def links(sets: DataFrame, marked: np.ndarray, percent: int, rounds: int = 20) -> DataFrame:
+def links(sets: DataFrame, marked: Broadcast, percent: int, rounds: int = 20) -> DataFrame:
     """a, b: enough links between the sets (fp, n, s) to join all that chains of links join, and no other.
 
     rounds: of regions; whatever is left after the last one is compared without regions.

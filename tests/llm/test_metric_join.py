@@ -71,7 +71,7 @@ def test_components_equal_a_comparison_of_all_pairs(spark, seed):
 
 
 def test_small_tiles_shares_and_bitmaps_change_nothing(spark, monkeypatch):
-    for name, value in (("TILE", 3), ("LARGEST", 3), ("SHARES", 3), ("HOT", 20), ("MOST_MARKED", 40), ("SLICE", 50), ("LARGE", 2), ("BLOCK", 40)):
+    for name, value in (("TILE", 3), ("LARGEST", 3), ("SHARES", 3), ("HOT", 20), ("MOST_MARKED", 40), ("SLICE", 50), ("LARGE", 2), ("DEALT", 0), ("BLOCK", 40)):
         monkeypatch.setattr(metric_join, name, value)
     check(spark, corpus(4, templates=3, copies=25, changes=(3, 4, 5, 6, 7)))
 
