@@ -5,16 +5,10 @@ at least, so they meet under one of the 20 choices of 3 blocks. Distinct fingerp
 compared: a group of copies is one of them. A bucket gives a spanning forest of its links, found
 in its one task, never its pairs. Buckets beyond a size are cut by the 560 choices of 13 of 16
 blocks, which leave 12 bits free and so hold at most 4096 distinct fingerprints, whatever the input.
-
-Documents of a given similarity of their sets of shingles, such as 0.8, differ in far more bits of 64
-than any split into blocks can stand. Their fingerprints are wide: signs of 768 random projections of
-the hashed set, in 48 blocks of 16 bits. Pairs of the similarity share a block in 97 cases of 100, are
-compared under it, and link if few enough of 512 bits differ.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,10 +25,6 @@ EDGES = (0, 11, 22, 32, 43, 54, 64)
 FINE = tuple(range(0, 65, 4))
 #: A fingerprint of more than one row in so many is hot; there are fewer hot ones than this, so that they can be broadcast.
 HOT = 1000
-#: Of wide fingerprints: hash buckets of shingles, bits of a block, blocks, and 64-bit words that are compared.
-BUCKETS, BLOCK_BITS, BLOCKS, WORDS = 2048, 16, 48, 8
-#: Fingerprints of a bucket that one task compares; larger buckets are cut by further blocks.
-LARGEST = 32_768
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -157,119 +147,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
-@lru_cache(maxsize=1)
-def projections() -> np.ndarray:
-    """Random signs, the same everywhere."""
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (BUCKETS, BLOCKS * BLOCK_BITS))
-
-
-def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """Distinct XXH64 of the shingles; of the whole sequence where it is shorter; none without words."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))), np.uint64))
-
-
-def wide_bits(texts: list[str], width: int) -> np.ndarray:
-    """The wide fingerprint of each text as a row of bytes; zero without words."""
-    out = np.zeros((len(texts), BLOCKS * BLOCK_BITS // 8), np.uint8)
-    for at in range(0, len(texts), 512):
-        own = [shingle_hashes(t, width) for t in texts[at : at + 512]]
-        sums = np.zeros((len(own), BUCKETS), np.float32)
-        for row, h in zip(sums, own, strict=True):
-            sign = (h >> np.uint64(63)).astype(np.int64) * 2 - 1
-            row += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), sign, BUCKETS)
-        out[at : at + 512] = np.packbits(sums @ projections() > 0, axis=1)
-    return out
-
-
-def wide_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5) -> DataFrame:
-    """doc_id, fp long (a hash that stands for the fingerprint), text_hash long, bits binary for each row."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = [row.tobytes() for row in wide_bits(batch.column(2).to_pylist(), width)]
-        fp = np.array([xxhash.xxh64_intdigest(b, SEED) for b in bits], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(1), pa.array(bits, pa.binary())], ["doc_id", "fp", "text_hash", "bits"])
-
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long, text_hash long, bits binary"
-    return over_batches(docs, [F.col(doc_id), F.xxhash64(text_of(text)), text_of(text)], work, schema)
-
-
-def most_bits(similarity: float) -> int:
-    """The most of the compared bits in which sets of equal size and this similarity differ, but for one pair in twenty."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = WORDS * 64
-    return int(n * share + 1.65 * (n * share * (1 - share)) ** 0.5)
-
-
-def wide_links(first: DataFrame, most: int, largest: int = LARGEST) -> DataFrame:
-    """Links a, b between the distinct fingerprints ``first`` (fp, bits) that share a block and differ in ``most`` bits or fewer: enough to join every chain of them.
-
-    Buckets of more than ``largest`` are cut by every further block, until none is larger.
-    """
-
-    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        parts = rows.view("<u2").astype(np.int32)
-        own = np.ascontiguousarray(rows[:, : WORDS * 8])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in own], pa.binary()), pa.array(list(parts), pa.list_(pa.int32()))], ["fp", "bits", "parts"])
-
-    cutup = cut(over_batches(first, [F.col("fp"), F.col("bits")], blocks, "fp long, bits binary, parts array<int>"))
-    keyed = cutup.select("fp", "bits", F.posexplode("parts").alias("block", "part")).select(F.xxhash64("block", "part").alias("key"), F.array("block").alias("used"), "fp", "bits")
-    if cutup.count() <= largest:
-        return compared(keyed, most)
-    out = None
-    while True:
-        large = cut(keyed.groupBy("key").count().filter(F.col("count") > largest).select("key"))
-        if large.isEmpty():
-            return compared(keyed, most) if out is None else out.unionByName(compared(keyed, most))
-        found = compared(keyed.join(F.broadcast(large), "key", "left_anti"), most)
-        out = found if out is None else out.unionByName(found)
-        rest = keyed.join(F.broadcast(large), "key", "left_semi").join(cutup.select("fp", "parts"), "fp")
-        deeper = rest.select("fp", "bits", "key", "used", F.posexplode("parts").alias("block", "part")).filter(F.col("block") > F.array_max("used"))
-        keyed = cut(deeper.select(F.xxhash64("key", "block", "part").alias("key"), F.concat("used", F.array("block")).alias("used"), "fp", "bits"))
-
-
-def compared(keyed: DataFrame, most: int) -> DataFrame:
-    """Links a, b of the buckets (key, fp, bits), each in one task."""
-
-    def run(batches):
-        fps, bits, key = [], [], None
-        for batch in batches:
-            keys, fp = (batch.column(c).to_numpy() for c in (0, 1))
-            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(fp), -1)
-            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            out = []
-            for a, b in zip([0, *edges], [*edges, len(fp)], strict=True):
-                if keys[a] != key:
-                    out += wide_forest(np.concatenate(fps), np.concatenate(bits), most) if fps else []
-                    fps, bits, key = [], [], keys[a]
-                fps.append(fp[a:b])
-                bits.append(words[a:b])
-            if out:
-                yield _links(out)
-        if fps and (out := wide_forest(np.concatenate(fps), np.concatenate(bits), most)):
-            yield _links(out)
-
-    return keyed.select("key", "fp", "bits").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
-
-
-def wide_forest(fps: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """As ``forest``, for rows of words."""
-    left, links = np.arange(len(fps)), []
-    while len(left) > 1:
-        root, queue = left[0], [left[0]]
-        left = left[1:]
-        while queue and len(left):
-            near = np.bitwise_count(bits[left] ^ bits[queue.pop()]).sum(axis=1) <= most
-            if near.any():
-                queue += list(left[near])
-                links += [(int(fps[root]), int(fps[x])) for x in left[near]]
-                left = left[~near]
-    return links
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, most: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp long, component_id (the smallest doc_id reachable by links).
 
@@ -308,26 +185,3 @@ def with_components(marked: DataFrame, by_fp: DataFrame, hot: int = HOT) -> Data
 def hexadecimal(column: str):
     """16 lower-case hexadecimal digits of a long."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of documents whose sets of ``width``-word shingles have about the ``similarity`` or more, chains of them joined.
-
-    The row with the smallest doc_id stays, of rows that repeat it one with the smallest hash of its
-    text, then of all its columns. Texts without words are one group, null texts among them. Rows without
-    doc_id stay. An empty table gives no rows; all columns are kept, whatever their names.
-    """
-    marked = cut(wide_fingerprints(docs.filter(F.col(doc_id).isNotNull()), text, doc_id, width))
-    best = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    first = cut(marked.groupBy("fp", "bits").agg(best, F.count(F.lit(1)).alias("n")))
-    low = named_components(first.select("fp", F.struct("first.*", "fp").alias("first")), wide_links(first, most_bits(similarity)))
-    chosen = low.filter("first = low").select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    times = marked.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = cut(chosen.join(times, ["__id", "__hash"]))
-    same = (F.col(doc_id) == F.col("__id")) & (F.xxhash64(text_of(text)) == F.col("__hash"))
-    # ids are hashed in each partition, so the texts are shuffled once and never sorted
-    alone = docs.join(kept.filter("__n = 1").hint("shuffle_hash"), same, "left_semi")
-    again = docs.join(kept.filter("__n > 1").hint("shuffle_hash"), same, "left_semi")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = again.groupBy(F.col(doc_id).alias("__id")).agg(F.min_by(row, F.xxhash64(row)).alias("__row")).select("__row.*")
-    return alone.unionByName(one).unionByName(docs.filter(F.col(doc_id).isNull()))

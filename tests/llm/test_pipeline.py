@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spokeworks.llm import quality, secret_scan, simhash
+from spokeworks.llm import metric_join, quality, secret_scan
 from spokeworks.llm.queries import POWERS
 
 SF = "/root/testdata/sf0.001"
@@ -24,10 +24,8 @@ def kept(spark, tmp_path_factory):
 
 
 def brute_survivors(rows):
-    """The ids that stay when all pairs of wide fingerprints are compared, those that share a block linked."""
-    bits = simhash.wide_bits([r.text or "" for r in rows], 5)
-    words = np.ascontiguousarray(bits[:, : simhash.WORDS * 8]).view(np.uint64)
-    blocks, most = bits.view("<u2"), simhash.most_bits(0.8)
+    """The ids that stay when all pairs of sets of five-word shingles are compared."""
+    sets = [set(metric_join.shingles(r.text or "", 5).tolist()) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -37,7 +35,8 @@ def brute_survivors(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if np.bitwise_count(words[i] ^ words[j]).sum() <= most and (blocks[i] == blocks[j]).any():
+            same = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or same and 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups = {}
