@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spokeworks.llm import mixing, packing, quality, secret_scan, simhash
+from spokeworks.llm import mixing, near_copies, packing, quality, secret_scan
 from spokeworks.llm.common import read, shared_folder
 from spokeworks.llm.queries import POWERS
 
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are one group. Of rows that repeat an id each different text is a document of
     its own; rows without an id stay.
     """
-    return simhash.one_of_each(docs, width=5, similarity=0.8)
+    return near_copies.one_of_each(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
