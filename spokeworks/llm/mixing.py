@@ -7,17 +7,19 @@ each category's share of the tokens to a power.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .metric_join import dealt_join
 
-Targets = dict[str, dict[str, float]]
-#: Stands for all categories that have no target of their own, null among them.
-REST = "rest"
+#: Stands for all categories that have no target of their own, null among them; no value equals it.
+REST = None
+Targets = dict[str, dict[str | None, float]]
+#: Cells whose probabilities are broadcast; more are joined.
+MOST_CELLS = 100_000
 #: Topics by words that speak of them, in text without regard to case; the topic with most of them wins, the first on ties.
 TOPICS = {
     "software": ("licen[cs]ed?", "software", "source code", "api", "token", "password", "secret", "server", "version", "copyright"),
@@ -41,28 +43,28 @@ def topic_of(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Colum
     return out
 
 
-def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 2000, close: float = 1e-12) -> tuple[np.ndarray, float]:
-    """Weights of the shape of ``cells`` whose marginals are in the proportions of ``targets``, 1 in sum, and the largest difference left.
+def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = 2000, close: float = 1e-12) -> tuple[np.ndarray, float]:
+    """Weights of the cells with these ``tokens``, 1 in sum, whose marginals are in the proportions of ``targets``, and the largest difference left.
 
-    A category without tokens can't meet its target; the others of its marginal share it. A marginal
-    whose categories with tokens have no target keeps its own proportions.
+    places: for each marginal the number of each cell's category; only cells that exist are listed. A
+    category without tokens can't meet its target; the others of its marginal share it. A marginal whose
+    categories with tokens have no target keeps its own proportions.
     """
-    sums = lambda w, axis: w.sum(axis=tuple(i for i in range(w.ndim) if i != axis))
-    w = cells / max(cells.sum(), 1)
+    w = tokens / max(tokens.sum(), 1)
+    sums = lambda axis: np.bincount(places[axis], w, len(targets[axis])).astype(float)
     wanted = []
     for axis, target in enumerate(targets):
-        own = sums(w, axis)
+        own = sums(axis)
         t = np.where(own > 0, target, 0.0)
         wanted.append(t / t.sum() if t.sum() > 0 else own)
     for _ in range(rounds):
         before = w
         for axis, t in enumerate(wanted):
-            own = sums(w, axis)
-            factor = np.divide(t, own, out=np.zeros_like(own), where=own > 0)
-            w = w * factor.reshape([-1 if i == axis else 1 for i in range(w.ndim)])
+            own = sums(axis)
+            w = w * np.divide(t, own, out=np.zeros_like(own), where=own > 0)[places[axis]]
         if np.abs(w - before).max(initial=0) < close:
             break
-    return w, max(float(np.abs(sums(w, axis) - t).max(initial=0)) for axis, t in enumerate(wanted)) if cells.sum() else 0.0
+    return w, max(float(np.abs(sums(axis) - t).max(initial=0)) for axis, t in enumerate(wanted)) if tokens.sum() else 0.0
 
 
 def tempered(base: DataFrame, powers: dict[str, float], tokens: str = "n_tokens", most: int = 1000) -> Targets:
@@ -83,48 +85,56 @@ def tempered(base: DataFrame, powers: dict[str, float], tokens: str = "n_tokens"
     return out
 
 
-def category(column: Column, target: dict[str, float]) -> Column:
-    return F.when(column.isin(*target), column).otherwise(F.lit(REST))
+def category(column: Column, target: dict[str | None, float]) -> Column:
+    """The value where it has a target of its own, else null."""
+    return F.when(column.isin(*(k for k in target if k is not REST)), column)
 
 
-def probabilities(base: DataFrame, targets: Targets, share: float | None = None, most_residual: float = 0.02, tokens: str = "n_tokens") -> dict[tuple[str, ...], float]:
-    """The probability with which a document of each cell of the columns that ``targets`` names is kept.
+def probabilities(base: DataFrame, targets: Targets, share: float | None = None, most_residual: float = 0.02, tokens: str = "n_tokens", name: str = "probability") -> DataFrame:
+    """The cells of ``base``, by the categories of the columns that ``targets`` names, and the probability with which a document of each is kept.
 
-    The cells are bounded by the targets, which are parameters: categories without a target form one
-    (REST), whose target is what those of its marginal leave of 1. If they leave nothing, REST keeps its
-    own proportion of the tokens, and the targets share the others; only REST: 0.0 among the targets
-    drops it. share: tokens kept of all, if the rarest cell allows it; by default as many as possible
-    with the whole rarest cell kept. Targets that can't be met together, so that a marginal misses one
-    by more than ``most_residual``, are refused.
+    There is a cell for each combination that occurs, at most the product of the numbers of targets, which
+    are parameters: categories without a target form one (REST), whose target is what those of its marginal
+    leave of 1. If they leave nothing, REST keeps its own proportion of the tokens, and the targets share
+    the others; only REST: 0.0 among the targets drops it. share: tokens kept of all, if the rarest cell
+    allows it; by default as many as possible with the whole rarest cell kept. Cells without tokens are
+    kept whole. Targets that can't be met together, so that a marginal misses one by more than
+    ``most_residual``, are refused.
     """
     names = [[*targets[m], *([] if REST in targets[m] else [REST])] for m in targets]
     full = [np.array([targets[m].get(k, max(0.0, 1 - sum(targets[m].values()))) for k in ks]) for m, ks in zip(targets, names, strict=True)]
-    rows = base.groupBy(*(category(F.col(m), targets[m]).alias(m) for m in targets)).agg(F.sum(tokens).alias("tokens")).collect()
-    cells = np.zeros([len(k) for k in names])
-    for r in rows:
-        cells[tuple(k.index(r[m]) for m, k in zip(targets, names, strict=True))] = r["tokens"]
+    rows = base.groupBy(*(category(F.col(m), targets[m]).alias(m) for m in targets)).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens")).toArrow()
+    cells = rows.column("tokens").to_numpy().astype(float)
+    places = [np.array([{k: i for i, k in enumerate(ks)}[v] for v in rows.column(m).to_pylist()], np.int64) for m, ks in zip(targets, names, strict=True)]
     for axis, (m, ks) in enumerate(zip(targets, names, strict=True)):
         at = ks.index(REST)
         if REST not in targets[m] and full[axis][at] < 1e-9:
-            own = cells.sum(axis=tuple(i for i in range(cells.ndim) if i != axis))[at] / max(cells.sum(), 1)
+            own = cells[places[axis] == at].sum() / max(cells.sum(), 1)
             full[axis] = full[axis] * (1 - own)
             full[axis][at] = own
-    weights, residual = rake(cells, full)
+    weights, residual = rake(cells, places, full)
     if residual > most_residual:
         raise ValueError(f"the targets can't be met together: a share of the tokens misses its target by {residual:.3f}")
     factor = np.divide(weights, cells, out=np.zeros_like(weights), where=cells > 0)
-    scale = 1 / factor.max() if factor.max() > 0 else 0.0
+    scale = 1 / factor.max(initial=0) if factor.max(initial=0) > 0 else 0.0
     if share is not None:
         scale = min(scale, share * cells.sum())
     kept = np.where(cells > 0, np.minimum(1.0, factor * scale), 1.0)
-    return {key: float(kept[tuple(k.index(v) for k, v in zip(names, key, strict=True))]) for key in product(*names)}
+    spark = base.sparkSession
+    if not len(kept):
+        return spark.createDataFrame([], ", ".join(f"`{m}` string" for m in targets) + f", {name} double")
+    return spark.createDataFrame(rows.select(list(targets)).append_column(name, pa.array(kept)))
 
 
-def with_probability(docs: DataFrame, targets: Targets, p: dict[tuple[str, ...], float], columns: dict[str, Column], name: str = "probability") -> DataFrame:
-    """``docs`` with the probability of each row's cell."""
-    table = docs.sparkSession.createDataFrame([("\x1f".join(key), value) for key, value in p.items()], f"__cell string, {name} double")
-    cell = F.concat_ws("\x1f", *(category(columns[m], targets[m]) for m in targets))
-    return docs.withColumn("__cell", cell).join(F.broadcast(table), "__cell", "left").drop("__cell")
+def with_probability(docs: DataFrame, targets: Targets, p: DataFrame, columns: dict[str, Column], name: str = "probability") -> DataFrame:
+    """``docs`` with the probability of each row's cell of ``p``."""
+    text = lambda value: F.coalesce(F.concat(F.lit("="), value), F.lit("*"))  # noqa: E731  no value is "*"
+    cell = lambda column: F.to_json(F.array(*(text(column(m)) for m in targets)))
+    table = p.select(cell(F.col).alias("__cell"), name)
+    rows = docs.withColumn("__cell", cell(lambda m: category(columns[m], targets[m])))
+    if p.count() > MOST_CELLS:
+        return dealt_join(rows, table, "__cell").drop("__cell")
+    return rows.join(F.broadcast(table), "__cell").drop("__cell")
 
 
 def drawn(doc_id: str, probability: str, seed: int) -> Column:
@@ -143,7 +153,7 @@ def weighed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", lan
 
 
 def mix(docs: DataFrame, targets: Targets | None = None, powers: dict[str, float] | None = None, share: float | None = None, seed: int = 7, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Every row of ``docs``: doc_id, n_tokens, source, lang, topic (categories), probability, kept.
+    """Every row of ``docs``: doc_id, n_tokens, source, lang, topic (categories; null for REST), probability, kept.
 
     targets: for source, lang and topic, shares of the tokens by category, 1 in sum at most; those that
     aren't given are ``tempered`` by ``powers``. Texts that are null or without words weigh nothing and
@@ -160,7 +170,7 @@ def sample(docs: DataFrame, targets: Targets | None = None, powers: dict[str, fl
     """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
     base = weighed(docs, doc_id)
     goals = (targets or {}) | tempered(base, powers or {})
-    rows = with_probability(docs, goals, probabilities(base, goals, share), marginals(), "__p")
+    rows = with_probability(docs, goals, probabilities(base, goals, share, name="__p"), marginals(), "__p")
     return rows.filter(drawn(doc_id, "__p", seed)).select(*docs.columns)
 
 

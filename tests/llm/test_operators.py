@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spokeworks.llm import kdtree, licenses, mixing, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules
+from spokeworks.llm import kdtree, licenses, mixing, near_copies, packing, perplexity, quality, secret_scan, simhash, token_counts, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, spans string, length string"
 WORDS = "the of and to in is it on that with for was by are from at this be or an".split()
@@ -347,11 +347,11 @@ def test_twenty_sources_get_tempered_targets_and_the_report_tells_them(spark):
     told = {r.category: r for r in mixing.report(mixed, "source").collect()}
     assert all(told[v].expected == pytest.approx(own[v]) and told[v].all == pytest.approx(sums[v] / total) for v in own)
     few = mixing.tempered(mixed, {"source": 1.0}, most=3)["source"]
-    assert len(few) == 4 and sum(few.values()) == pytest.approx(1) and few["rest"] == pytest.approx(1 - sum(sorted(n for n in sums.values())[-3:]) / total)
+    assert len(few) == 4 and sum(few.values()) == pytest.approx(1) and few[mixing.REST] == pytest.approx(1 - sum(sorted(n for n in sums.values())[-3:]) / total)
 
 
 def test_targets_that_cannot_be_met_together_are_refused(spark):
-    _, residual = mixing.rake(np.array([[10.0, 0.0], [0.0, 10.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
+    _, residual = mixing.rake(np.array([10.0, 10.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
     assert residual == pytest.approx(0.8)
     docs = mixed_docs(spark, 60).withColumn("source", F.concat(F.lit("s"), F.col("lang")))
     with pytest.raises(ValueError, match="can't be met"):
@@ -363,10 +363,56 @@ def test_languages_without_a_target_keep_their_proportion_unless_it_is_zero(spar
     targets = {"source": {"s3": 0.05}, "lang": {"en": 0.5, "de": 0.5}, "topic": {}}
     rows = mixing.mix(docs, targets).collect()
     own = shares_of(rows, "lang")
-    rest = sum(r.n_tokens for r in rows if r.lang == "rest") / sum(r.n_tokens for r in rows)
-    assert own["rest"] == pytest.approx(rest, abs=1e-6) and own["en"] == pytest.approx(own["de"])
-    none = mixing.mix(docs, {"source": {}, "topic": {}} | {"lang": {"en": 0.5, "de": 0.5, "rest": 0.0}}).collect()
-    assert all((r.probability == 0) == (r.lang == "rest") for r in none)
+    rest = sum(r.n_tokens for r in rows if r.lang is mixing.REST) / sum(r.n_tokens for r in rows)
+    assert own[mixing.REST] == pytest.approx(rest, abs=1e-6) and own["en"] == pytest.approx(own["de"])
+    none = mixing.mix(docs, {"source": {}, "topic": {}} | {"lang": {"en": 0.5, "de": 0.5, mixing.REST: 0.0}}).collect()
+    assert all((r.probability == 0) == (r.lang is mixing.REST) for r in none)
+
+
+def plain_raking(tokens, targets):
+    """Weights by cell (a dict) whose marginals meet the targets (a dict each), by plain loops."""
+    w = {c: n / sum(tokens.values()) for c, n in tokens.items()}
+    for _ in range(500):
+        for axis, target in enumerate(targets):
+            for k, t in target.items():
+                own = sum(x for c, x in w.items() if c[axis] == k)
+                w = {c: x * t / own if c[axis] == k and own else x for c, x in w.items()}
+    return w
+
+
+def test_probabilities_equal_a_plain_raking_of_cells(spark):
+    docs = mixed_docs(spark, 240)
+    targets = {"source": {"s0": 0.2, "s1": 0.1}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"software": 0.5, "contact": 0.3, "general": 0.2}}
+    rows = mixing.mix(docs, targets).collect()
+    tokens = {}
+    for r in rows:
+        tokens[r.source, r.lang, r.topic] = tokens.get((r.source, r.lang, r.topic), 0) + r.n_tokens
+    w = plain_raking(tokens, [{"s0": 0.2, "s1": 0.1, None: 0.7}, *list(targets.values())[1:]])
+    factor = {c: w[c] / n for c, n in tokens.items()}
+    assert len(tokens) > 10 and all(r.probability == pytest.approx(factor[r.source, r.lang, r.topic] / max(factor.values()), abs=1e-6) for r in rows)
+
+
+def test_categories_named_like_marks_are_categories_of_their_own(spark, monkeypatch):
+    names = ["rest", "*", "=*", "=", "", "a\x1fb", "a", "b", '"],["', None]
+    docs = spark.createDataFrame([(k, "a word or two " * (1 + k % 7), names[k % 10], names[k // 10 % 10]) for k in range(600)], "doc_id long, text string, source string, lang string")
+    for most in (mixing.MOST_CELLS, 3):
+        monkeypatch.setattr(mixing, "MOST_CELLS", most)
+        rows = mixing.mix(docs, powers={"source": 0.5, "lang": 0.8, "topic": 1.0}).collect()
+        assert len(rows) == 600 and all(r.probability > 0 for r in rows)
+        assert all((r.source, r.lang) == (names[r.doc_id % 10], names[r.doc_id // 10 % 10]) for r in rows)
+        own = shares_of(rows, "source")
+        assert max(own.values()) < 2 * min(own.values())
+        only = mixing.sample(docs, {"source": {"rest": 0.5, mixing.REST: 0.0, "*": 0.5}, "lang": {}, "topic": {}}).collect()
+        assert {r.source for r in only} == {"rest", "*"}
+
+
+def test_a_thousand_categories_of_two_kinds_meet_their_targets(spark):
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit("some words of text").alias("text"), F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(1000))).alias("source"), F.concat(F.lit("l"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000))).alias("lang"))
+    mixed = mixing.mix(docs, powers={"source": 0.9, "lang": 0.9, "topic": 1.0})
+    told = mixing.report(mixed, "lang").collect()
+    assert len(told) >= 1000 and mixed.select("source", "lang").distinct().count() > mixing.MOST_CELLS
+    total = sum(r.all**0.9 for r in told)
+    assert all(r.expected == pytest.approx(r.all**0.9 / total, abs=2e-5) for r in told)
 
 
 URLS = ["http://A.net/en/x", "https://b.Example.net/en/1?q", "https://example.net/en", "ftp://x.example.com/de/#f", "http://example.org/fr/", "nothing", None, "http://net", "http://notnet/", "http://example.com.net/", "x://y://a.org/fr/z", "http://a.net:80/"]
@@ -434,44 +480,19 @@ def test_near_duplicates_end_to_end(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def edited(text, share, seed):
-    rng = random.Random(seed)
-    words = text.split()
-    for k in rng.sample(range(len(words)), int(len(words) * share)):
-        words[k] = f"new{rng.randint(0, 10**9)}"
-    return " ".join(words)
-
-
-def jaccard(a, b, width=5):
-    x, y = ({" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-@pytest.mark.parametrize("largest", [simhash.LARGEST, 3])
-def test_documents_of_a_similarity_are_joined_and_others_are_not(spark, largest, monkeypatch):
-    monkeypatch.setattr(simhash.wide_links, "__defaults__", (largest,))
-    originals = [prose(300, 1000 + k) for k in range(30)]
-    near = [edited(t, 0.02, k) for k, t in enumerate(originals[:20])]
-    far = [edited(t, 0.12, k) for k, t in enumerate(originals[20:])]
-    assert all(jaccard(a, b) >= 0.8 for a, b in zip(originals, near)) and all(jaccard(a, b) < 0.6 for a, b in zip(originals[20:], far, strict=True))
-    texts = originals + near + far
-    kept = {r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect()}
-    assert kept >= {*range(30), *range(50, 60)} and len(kept & set(range(30, 50))) <= 2  # one in some dozens may be missed
-
-
 def test_survivors_do_not_depend_on_the_order_and_repeated_ids_lose_no_text(spark):
     docs = docs_of(spark, [*ODD, prose(300, 2), prose(300, 3)])
     other = spark.createDataFrame([(9, prose(300, 4), "en", "s", "", ""), (10, None, "en", "s", "", ""), (None, prose(300, 2), "en", "s", "", ""), (None, None, "en", "s", "", "")], DOCS)
     rows = docs.unionByName(docs).unionByName(other)
-    kept = simhash.one_of_each(rows)
+    kept = near_copies.one_of_each(rows)
     assert kept.columns == docs.columns
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect())
     texts = [*ODD, prose(300, 2), prose(300, 3)]
     want = [(0, ""), (3, "a"), (4, ODD[4]), (6, ODD[6]), (7, ODD[7]), (9, texts[9]), (10, texts[10]), (9, prose(300, 4)), (-1, prose(300, 2)), (-1, "")]
     assert found == sorted(want)
-    again = simhash.one_of_each(rows.orderBy(F.desc("text"), "doc_id"))
+    again = near_copies.one_of_each(rows.orderBy(F.desc("text"), "doc_id"))
     assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
-    assert simhash.one_of_each(docs.limit(0)).count() == 0
+    assert near_copies.one_of_each(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(rows).filter("doc_id is null").count() == 2
 
 
