@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.order import running_sum
+from ..session import cut
 from ..sources.areas import cell_degrees
 
+#: Cells in degrees of the part of a graph that requests can reach.
+REACH_CELL = 0.03
+
 
 class Graph(NamedTuple):
     nodes: DataFrame
@@ -56,19 +60,21 @@ def build_lane_edges(lanes: DataFrame) -> DataFrame:
     return rows.select(edge_id(F.col("u"), F.col("v")).alias("edge_id"), "u", "v", geo.line_length_m(F.col("geometry")).alias("distance_m"), F.lit(False).alias("is_gap"), none.alias("dlon"), none.alias("dlat"), "lane_seq", "geometry", "lane_type")
 
 
-def gap_candidates(nodes: DataFrame, max_gap_m: float) -> DataFrame:
+def gap_candidates(nodes: DataFrame, max_gap_m: float, inside: Column | None = None) -> DataFrame:
     """Unordered pairs of nodes within ``max_gap_m``, u before v in node order, with distance_m, dlon and dlat.
 
+    inside: a condition on nodes; pairs of which it holds for neither are left out.
+
     A grid join: one side lies in its own cell, the other is copied to the nine around it, which hold
     every pair that passes the degree box. Dense cells are left to adaptive skew joins.
     """
     x, y = cell_degrees(max_gap_m) if max_gap_m > 0 else (1.0, 1.0)
     at = lambda c, size: F.floor(F.col(c) / F.lit(size)).cast("long")
-    placed = nodes.select("node", "lon", "lat", "node_ord", at("lon", x).alias("gx"), at("lat", y).alias("gy"))
+    placed = nodes.select("node", "lon", "lat", "node_ord", at("lon", x).alias("gx"), at("lat", y).alias("gy"), (F.lit(True) if inside is None else inside).alias("inside"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-    b = placed.select(F.col("node").alias("v"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("node_ord").alias("ord2"), "gx", "gy", around)
-    b = b.select("v", "lon2", "lat2", "ord2", (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
-    pairs = placed.join(b, ["gx", "gy"]).filter("node_ord < ord2")
+    b = placed.select(F.col("node").alias("v"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("node_ord").alias("ord2"), F.col("inside").alias("inside2"), "gx", "gy", around)
+    b = b.select("v", "lon2", "lat2", "ord2", "inside2", (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
+    pairs = placed.join(b, ["gx", "gy"]).filter("node_ord < ord2 and (inside or inside2)")
     pairs = pairs.withColumns({"dlon": F.col("lon2") - F.col("lon"), "dlat": F.col("lat2") - F.col("lat")})
     near = pairs.filter(geo.in_degree_box(F.col("dlon"), F.col("dlat"), F.lit(float(max_gap_m))))
     near = near.withColumn("distance_m", geo.equirect_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).filter(F.col("distance_m") <= float(max_gap_m))
@@ -82,6 +88,48 @@ def exclude_connected(gaps: DataFrame, lane_edges: DataFrame) -> DataFrame:
     return gaps.join(lane_edges.select("edge_id"), "edge_id", "left_anti")
 
 
+def stretch(nodes: DataFrame, lane_edges: DataFrame) -> float:
+    """The largest ratio of the distance between a lane edge's nodes to its length; infinite if an edge has no length.
+
+    A node lies at its last sighting, so an edge may span a little more than its lane is long. Within a way
+    of some length no node lies farther off than this many times the length.
+    """
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("lon").alias(f"lon_{side}"), F.col("lat").alias(f"lat_{side}"))
+    both = lane_edges.select("u", "v", "distance_m").join(at("u"), "u").join(at("v"), "v")
+    span = geo.equirect_m(F.col("lon_u"), F.col("lat_u"), F.col("lon_v"), F.col("lat_v"))
+    ratio = F.when(F.col("distance_m") > 0, span / F.nullif(F.col("distance_m"), F.lit(0.0))).otherwise(float("inf"))
+    return max(1.0, both.agg(F.max(ratio)).first()[0] or 1.0)
+
+
+def boxes_within(points: DataFrame, reach_m: Column) -> DataFrame:
+    """Boxes (w, e, s, n) of cells of REACH_CELL degrees that hold all nodes within ``reach_m`` of one of ``points`` (lon, lat)."""
+    high = F.least(reach_m / 110_000.0, F.lit(90.0))
+    wide = F.least(high / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + high, F.lit(89.0)))), F.lit(0.01)), F.lit(360.0))
+    at = lambda c: F.floor(c / F.lit(REACH_CELL)).cast("long")
+    return points.select(at(F.col("lon") - wide).alias("w"), at(F.col("lon") + wide).alias("e"), at(F.col("lat") - high).alias("s"), at(F.col("lat") + high).alias("n")).distinct()
+
+
+def hops_around(graph: Graph, boxes: DataFrame | None, max_gap_m: float) -> DataFrame:
+    """Both directions of the lane edges and gaps up to ``max_gap_m``, as ``neighbors``, from the nodes in the boxes of cells; from all nodes without boxes.
+
+    Only nodes in the boxes and around them meet each other; elsewhere no gap is looked for.
+    """
+    lane_edges = graph.edges.filter(~F.col("is_gap"))
+    if boxes is None:
+        return neighbors(lane_edges.unionByName(exclude_connected(gap_candidates(graph.nodes, max_gap_m), lane_edges)))
+    if 3 * max_gap_m / 111_000.0 > REACH_CELL:
+        raise ValueError("the cells are too small for the tolerance")
+    at = lambda c: F.floor(F.col(c) / F.lit(REACH_CELL)).cast("long")
+    step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    cells = boxes.select(F.explode(F.sequence("w", "e")).alias("gx"), "s", "n").select("gx", F.explode(F.sequence("s", "n")).alias("gy")).distinct()
+    around = cells.select(step("gx"), "gy").select("gx", step("gy")).distinct().join(cells.withColumn("inside", F.lit(True)), ["gx", "gy"], "left")
+    near = cut(graph.nodes.withColumn("gx", at("lon")).withColumn("gy", at("lat")).join(around, ["gx", "gy"]).withColumn("inside", F.coalesce("inside", F.lit(False))).drop("gx", "gy"))
+    own = near.filter("inside").select(F.col("node").alias("src"))
+    # gaps first: lane edges that join none of these nodes are met by id only
+    gaps = exclude_connected(gap_candidates(near, max_gap_m, F.col("inside")), lane_edges)
+    return neighbors(lane_edges.unionByName(gaps)).join(own, "src", "left_semi")
+
+
 def edges_for_gap(edges: DataFrame, max_gap_m: Column) -> DataFrame:
     """Of edges with candidates for a wider tolerance, those of the given one."""
     return edges.filter(usable(max_gap_m))

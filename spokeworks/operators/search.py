@@ -28,6 +28,8 @@ WIDE_GAP_M = 1000.0
 ENOUGH_ROUTES = 3
 #: Hops of a graph that is broadcast at most (about 60 MB).
 MOST_HOPS = 500_000
+#: Cells of network.REACH_CELL that the box around one search may span; for larger ones all of the graph is widened.
+MOST_CELLS = 10_000
 #: Side of a block in cells of the node ids, about 1.5 km, and states of a block that one task moves, on average.
 BLOCK_CELLS = 1500
 STATES = 4000
@@ -68,8 +70,8 @@ class Blocks:
     """A graph's hops, broadcast as one block where they are few, or by block."""
 
     def __init__(self, adj: DataFrame):
-        few = adj.select(*HOP).limit(MOST_HOPS + 1).toArrow()  # bounded by MOST_HOPS
-        self.whole = adj.sparkSession.sparkContext.broadcast(few) if few.num_rows <= MOST_HOPS else None
+        few = adj.count() <= MOST_HOPS
+        self.whole = adj.sparkSession.sparkContext.broadcast(adj.select(*HOP).toArrow()) if few else None
         self.adj = adj
 
     def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[dict]], schema: str, key: list[str], at: str = "cur") -> DataFrame:
@@ -401,25 +403,49 @@ def shortest_route(steps: DataFrame, one_way: Column) -> DataFrame:
 def find_routes(graph: network.Graph, requests: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
     """Steps of the routes of each request (all preferences filled), with its gap_m and mode.
 
-    graph: with gap candidates up to 1000 m and the widest request. Requests with too few routes and a
-    narrower tolerance are searched again at 1000 m, whose routes replace the first ones. The first
-    search goes over a graph without the gaps that no request may use.
+    graph: with gap candidates up to the widest request. Requests with too few routes and a tolerance
+    below 1000 m are searched again at 1000 m, whose routes replace the first ones; gaps of that size are
+    looked for only around the nodes that these requests can reach. mode: a column of the requests, if they
+    have it; where it is null or missing it follows from the end and round_trip. Requests of a mode
+    without a strategy have no routes.
     """
-    wide = cut(network.neighbors(graph.edges))
     nodes = cut(graph.nodes)
+    graph = network.Graph(nodes, cut(graph.edges))
     ends = requests.filter("end_lon is not null and end_lat is not null").select("request_id", F.col("end_lon").alias("lon"), F.col("end_lat").alias("lat"))
     snapped = nearest_node(ends, nodes).select("request_id", F.col("node").alias("end_node"))
-    known = requests.join(snapped, "request_id", "left").withColumn("mode", request_mode(F.col("end_node"), F.col("round_trip")))
+    usual = request_mode(F.col("end_node"), F.col("round_trip"))
+    known = requests.join(snapped, "request_id", "left").withColumn("mode", F.coalesce("mode", usual) if "mode" in requests.columns else usual)
     columns = ["request_id", "mode", "end_node", "max_gap_m", "min_distance_m", "max_distance_m"]
     known = cut(known)
     starts = cut(start_candidates(known, nodes).join(known.select(*columns), "request_id"))
     widest = known.agg(F.max("max_gap_m")).first()[0] or 0.0
-    first = routes_from_candidates(wide.filter(network.usable(F.lit(float(widest)))), starts, strategies)
+    adj = cut(network.neighbors(network.edges_for_gap(graph.edges, F.lit(float(widest)))))
+    first = routes_from_candidates(adj, starts, strategies)
     flagged = routes_per_request(known, first).filter("too_few").join(known.filter(F.col("max_gap_m") < WIDE_GAP_M).select("request_id"), "request_id", "left_semi").select("request_id")
     flagged = cut(flagged)
     steps = first.join(flagged, "request_id", "left_anti").join(known.select("request_id", F.col("max_gap_m").alias("gap_m")), "request_id")
     if not flagged.isEmpty():
-        again = starts.join(flagged, "request_id", "left_semi").withColumn("max_gap_m", F.lit(WIDE_GAP_M))
+        again = cut(starts.join(flagged, "request_id", "left_semi").withColumn("max_gap_m", F.lit(WIDE_GAP_M)))
+        wide = cut(widened(graph, again))
         steps = steps.unionByName(routes_from_candidates(wide, again, strategies).withColumn("gap_m", F.lit(WIDE_GAP_M)))
     moded = steps.join(known.select("request_id", "mode"), "request_id")
     return shortest_route(moded, F.col("mode") == "one_way")
+
+
+def widened(graph: network.Graph, starts: DataFrame) -> DataFrame:
+    """The hops, with gaps up to 1000 m, from all nodes that searches from ``starts`` can reach within their bounds.
+
+    A search leaves no node that lies farther off than the longest way allows: one-way searches start at
+    their end, strategies that aren't built in may begin at either. If one request's bounds span too
+    many cells, or a lane edge has no length, which leaves a way's reach open, the whole graph is widened.
+    """
+    longest = network.stretch(graph.nodes, graph.edges.filter(~F.col("is_gap"))) * 1.01
+    if longest == float("inf"):
+        return network.hops_around(graph, None, WIDE_GAP_M)
+    places = graph.nodes.select("node", "lon", "lat")
+    begun = starts.filter("mode <> 'one_way'").select("node", "max_distance_m").unionByName(starts.filter("end_node is not null").select(F.col("end_node").alias("node"), "max_distance_m"))
+    points = begun.groupBy("node").agg(F.max("max_distance_m").alias("most")).join(places, "node")
+    boxes = cut(network.boxes_within(points, F.col("most") * longest))
+    if (boxes.agg(F.max((F.col("e") - F.col("w") + 1) * (F.col("n") - F.col("s") + 1))).first()[0] or 0) > MOST_CELLS:
+        boxes = None
+    return network.hops_around(graph, boxes, WIDE_GAP_M)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -698,27 +698,36 @@ _FIND = (
 @add("g7_find_routes", _recursive(_FIND, "adj", "requests", "nodes", "close", "lane_edges"))
 def g7(spark, sf):
     """Routes of all requests, with the tolerance at which they were found; one-way routes without signature."""
-    found = search.find_routes(d.graph(spark, sf, 1000.0), d.requests(spark, sf))
+    found = search.find_routes(d.graph(spark, sf), d.requests(spark, sf))
     about = found.groupBy("request_id").agg(F.first("gap_m").alias("gap_m"), F.first("mode").alias("mode"))
     return _summed(found).join(about, "request_id").withColumn("signature", F.when(c("mode") != "one_way", c("signature"))).drop("mode")
 
 
+def single(adj: DataFrame, starts: DataFrame) -> DataFrame:
+    hops = starts.join(adj, c("node") == c("src")).filter("not is_gap")
+    order = Window.partitionBy("request_id", "cand_ord").orderBy("edge_id")
+    return hops.select("request_id", "cand_ord", F.row_number().over(order).alias("attempt"), F.lit(0).alias("seg_idx"), "src", "dst", "edge_id", "distance_m", "is_gap")
+
+
 @add("x1_register_strategy", _recursive(f"\n, first as (select s.request_id, min(a.edge_id) as edge_id from ({_START_NEAREST}) s join adj a on a.src = s.node and not a.is_gap group by 1)\nselect f.request_id, 0::bigint as cand_ord, 1::bigint as attempt, 1::bigint as n_segments, round(e.distance_m, 3) as total_m, md5(cast(n.node as varchar)) as signature from first f join edges e using (edge_id) join ({_START_NEAREST}) n using (request_id)", "adj", "requests", "nodes"))
 def x1(spark, sf):
     """A strategy of the caller's own: each lane edge at a start is a route, the first one stays, as all begin at one node."""
-    from pyspark.sql import Window
-
     adj, nodes = _adj(spark, sf)
-
-    def single(adj: DataFrame, starts: DataFrame) -> DataFrame:
-        hops = starts.join(adj, c("node") == c("src")).filter("not is_gap")
-        order = Window.partitionBy("request_id", "cand_ord").orderBy("edge_id")
-        return hops.select("request_id", "cand_ord", F.row_number().over(order).alias("attempt"), F.lit(0).alias("seg_idx"), "src", "dst", "edge_id", "distance_m", "is_gap")
-
     strategies = search.register_strategy("single", single)
     return _summed(search.routes_from_candidates(adj, _starts(spark, sf, nodes).withColumn("mode", F.lit("single")), strategies))
 
 
+_CANDIDATES = f"select request_id, node, row_number() over (partition by request_id order by node_ord, node) - 1 as cand_ord from (select * from close union all select request_id, node, 0 from ({_START_NEAREST}) where request_id not in (select request_id from close))"
+
+
+@add("x1_modes_of_requests", f"select request_id, c.cand_ord, md5(cast(node as varchar)) as signature, round(distance_m, 3) as total_m, case when count(*) over (partition by request_id) < 3 then 1000.0 else {d.GAP_M} end as gap_m from ({_CANDIDATES}) c join (select src, arg_min(distance_m, edge_id) as distance_m from adj where not is_gap group by src) on src = node where request_id % 4 = 1", "close", "adj")
+def x1_modes(spark, sf):
+    """Whole requests, some of a mode of the caller's own, others of one without a strategy, which have no routes."""
+    asked = d.requests(spark, sf).withColumn("mode", F.when(c("request_id") % 4 == 1, "single").otherwise("unknown"))
+    found = search.find_routes(d.graph(spark, sf), asked, search.register_strategy("single", single))
+    return found.select("request_id", "cand_ord", F.md5(c("src").cast("string")).alias("signature"), r3(c("distance_m"), "total_m"), "gap_m")
+
+
 # Checks
 
 

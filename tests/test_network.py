@@ -254,6 +254,31 @@ def test_whole_requests_widen_the_gap_where_routes_are_too_few(spark):
     assert search.find_routes(graph, asked.withColumn("start_proximity_m", F.lit(10.0)).limit(0)).count() == 0
 
 
+def test_a_graph_widened_around_requests_gives_the_routes_of_one_widened_everywhere(spark, monkeypatch):
+    rng = random.Random(3)
+    at = lambda: (rng.uniform(0, 0.4), rng.uniform(52.0, 52.25))
+    lines = [[p, (p[0] + rng.uniform(-0.004, 0.004), p[1] + rng.uniform(-0.003, 0.003))] for p in (at() for _ in range(1200))]
+    lines += [[(0.2, 52.1), (0.2 + k * 1e-5, 52.1 + 1.2e-5)] for k in (1, 2)]  # edges of a metre, whose nodes may lie farther apart
+    graph = network.build_graph(lanes(spark, *lines), 100.0)
+    asked = spark.createDataFrame([(k, *at(), *(at() if k % 3 == 0 else (None, None)), 100.0, 150.0, 400.0, 4000.0, k % 3 == 1) for k in range(9)], "request_id long, start_lon double, start_lat double, end_lon double, end_lat double, max_gap_m double, start_proximity_m double, min_distance_m double, max_distance_m double, round_trip boolean")
+    made = []
+    around = network.hops_around
+    monkeypatch.setattr(network, "hops_around", lambda *a: made.append(a[1]) or around(*a))
+    rows = lambda found: sorted(map(str, found.select("request_id", "cand_ord", "attempt", "seg_idx", "src", "dst", "gap_m").collect()))
+    some = rows(search.find_routes(graph, asked))
+    monkeypatch.setattr(search, "MOST_CELLS", 0)
+    assert some == rows(search.find_routes(graph, asked)) and len(some) > 50
+    assert made[0] is not None and made[1] is None
+    assert around(graph, made[0], 1000.0).count() < 0.7 * around(graph, None, 1000.0).count()
+
+
+def test_requests_may_name_their_mode(spark):
+    lines = [[(k * 0.001, 0.0), ((k + 1) * 0.001, 0.0)] for k in range(6)]
+    asked = spark.createDataFrame([(k, 0.0, 0.0, None, None, 50.0, 10.0, 100.0, 900.0, False, ("round_trip", None, "own", "none")[k]) for k in range(4)], "request_id long, start_lon double, start_lat double, end_lon double, end_lat double, max_gap_m double, start_proximity_m double, min_distance_m double, max_distance_m double, round_trip boolean, mode string")
+    found = search.find_routes(network.build_graph(lanes(spark, *lines), 50.0), asked, search.register_strategy("own", search.explore))
+    assert {(r.request_id, r.mode) for r in found.select("request_id", "mode").distinct().collect()} == {(0, "round_trip"), (1, "explore"), (2, "own")} - ({(0, "round_trip")} if not found.filter("request_id = 0").count() else set())
+
+
 def test_extracted_ways_equal_a_check_of_all_pairs(spark):
     rng = random.Random(11)
     lines = [[(x := rng.uniform(0, 0.4), y := rng.uniform(0, 0.4)), (x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1))] for _ in range(80)]
