@@ -14,6 +14,7 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ UNKNOWN = "unknown"
 NAMES = {
     "agpl": ("GNU Affero General Public License", "AGPL-3.0", "AGPLv3"),
     "apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"),
+    "artistic": ("Artistic License", "Artistic License 2.0", "Perl Artistic License", "Artistic-2.0", "Artistic-1.0"),
+    "boost": ("Boost Software License", "Boost Software License, Version 1.0", "Boost License 1.0", "BSL-1.0"),
     "bsd": ("BSD License", "BSD-style license", "3-Clause BSD License", "BSD-3-Clause", "BSD-2-Clause"),
     "cc": (
         "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution NonCommercial License",
@@ -38,6 +41,8 @@ NAMES = {
     "lgpl": ("GNU Lesser General Public License", "LGPL-2.1", "LGPLv3"),
     "mit": ("MIT License", "MIT license terms", "MIT"),
     "mpl": ("Mozilla Public License", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"),
+    "wtfpl": ("WTFPL", "Do What The Fuck You Want To Public License", "WTFPL v2"),
+    "zlib": ("zlib License", "zlib/libpng License", "zlib-acknowledgement"),
 }
 FRAMES = (
     "Licensed under the {}", "Licensed under {}", "Released under the {}", "This work is licensed under a {}", "This project is licensed under the terms of the {}", "SPDX-License-Identifier: {}",
@@ -88,8 +93,9 @@ HARD_NEGATIVES = (
     "die Lizenz wurde entzogen", "the license was revoked for the bar", "the BSD team played well", "ISC members met in spring", "the license agreement talks failed", "the doctor is licensed in two states", "a software license costs money",
     "the license server is down", "check your license before you drive", "all copies of the book were sold", "the above notice shall be read aloud", "the version of the story is subject to debate", "the licensed product line grew", "copyright disputes delayed the release", "no license, no music in the cafe",
 )
-#: One of these stands in every template; sentences without any are unknown.
+#: One of these stands in every template; lines without any are taken for ordinary ones when the unknown class is trained.
 CUES = ("licen", "copyright", "reserved", "permission", "redistribut", "unauthorized copying", "public domain", "released under", "distributed under", "conditions and the following disclaimer")
+SPDX = "spdx-license-identifier"
 _EDGE = ".,;:!?()[]\"'*#$%&|<>/-=_"
 _END = "\n"
 
@@ -127,6 +133,24 @@ def whole(sentence: str) -> list[str]:
     return [w for x in sentence.split() if (w := x.lower().strip(_EDGE))] + [_END]
 
 
+@cache
+def _names() -> dict[tuple[str, ...], str]:
+    return {tuple(whole(name)[:-1]): family for family, names in NAMES.items() for name in names}
+
+
+def named_families(words: list[str], short: bool) -> set[str]:
+    """Families whose names stand in a sentence; ``short``: names of one plain word, such as MIT, count as well, and so do identifiers."""
+    out = set()
+    for size in {len(n) for n in _names()}:
+        for gram in zip(*(words[i:] for i in range(size)), strict=False):
+            family = _names().get(gram)
+            if family and (short or size > 1 or any(c.isdigit() for c in gram[0])):
+                out.add(family)
+    if short:
+        out |= {family for family in NAMES for w in words if re.fullmatch(rf"{family}(-[\w.+-]+)?", w)}
+    return out
+
+
 def notices() -> dict[str, list[tuple[str, str]]]:
     """By family, (group, notice): frames filled with names, grouped by frame, and the texts, each its own group."""
     out: dict[str, list[tuple[str, str]]] = {}
@@ -164,28 +188,44 @@ class LicenseModel:
         best = int(p.argmax())
         if self.classes[best] == UNKNOWN or p[best] < self.margin:
             return None
+        return self.classes[best], float(p[best]), self.similarity(self.classes[best], words)
+
+    def similarity(self, family: str, words: list[str]) -> float:
         grams = ngrams(words, (2,))
-        return self.classes[best], float(p[best]), max(len(grams & t) / len(t) for t in self.templates[self.classes[best]])
+        return max(len(grams & t) / len(t) for t in self.templates[family])
+
+    def families(self, words: list[str]) -> list[tuple[str, float, float]]:
+        """As ``find``, of all families of a sentence.
+
+        A sentence that is a notice of one family is one of the others that it names, too, and so is an
+        SPDX expression of those that its identifiers name.
+        """
+        first = self.find(words)
+        spdx = SPDX in words
+        if not (first or spdx):
+            return []
+        p = self.probabilities(words)
+        more = named_families(words, spdx)
+        if spdx and more:
+            first = first if first and first[0] in more else None
+        others = [(f, float(p[self.classes.index(f)]), 1.0) for f in sorted(more) if not first or f != first[0]]
+        return ([first] if first else []) + others
 
     def scan(self, text: str) -> list[dict]:
         """The notices of a text: neighbouring sentences of one family and paragraph are one notice."""
-        low = text.lower()
-        if not any(c in low for c in CUES):
-            return []
         found: list[dict] = []
-        before = None
+        last: dict[str, tuple[int, int]] = {}
         for n, (paragraph, start, end, words) in enumerate(sentences(text)):
-            part = text[start:end].lower()
-            if not any(c in " ".join(part.split()) for c in CUES) or not (hit := self.find(words)):
-                continue
-            family, p, similarity = hit
-            row = {"paragraph": paragraph, "start": start, "end": end, "family": family, "probability": p, "similarity": similarity, "confirmed": similarity >= self.confirm}
-            if found and before == n - 1 and (found[-1]["paragraph"], found[-1]["family"]) == (paragraph, family):
-                last = found[-1]
-                found[-1] = row | {"start": last["start"]} | {k: max(row[k], last[k]) for k in ("probability", "similarity", "confirmed")}
-            else:
-                found.append(row)
-            before = n
+            for family, p, similarity in self.families(words):
+                row = {"paragraph": paragraph, "start": start, "end": end, "family": family, "probability": p, "similarity": similarity, "confirmed": similarity >= self.confirm}
+                before, at = last.get(family, (-2, -1))
+                if before == n - 1 and found[at]["paragraph"] == paragraph:
+                    old = found[at]
+                    found[at] = row | {"start": old["start"]} | {k: max(row[k], old[k]) for k in ("probability", "similarity", "confirmed")}
+                    last[family] = n, at
+                else:
+                    last[family] = n, len(found)
+                    found.append(row)
         return found
 
 

@@ -140,6 +140,17 @@ def test_licences_are_found_confirmed_or_unknown(license_model, text, families):
     assert all(0 <= n["start"] < n["end"] <= len(text) for n in found)
 
 
+@pytest.mark.parametrize(
+    ("text", "families"),
+    [
+        ("MPL-2.0", ["mpl"]), ("The code is BSD-3-Clause and the docs are CC BY 4.0.", ["bsd", "cc"]), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["apache", "mit"]), ("# SPDX-License-Identifier: BSL-1.0", ["boost"]),
+        ("Licensed under the MIT License and the Apache License 2.0.", ["apache", "mit"]), ("Distributed under the Boost Software License, Version 1.0.", ["boost"]), ("Released under the zlib License", ["zlib"]), ("Licensed under the Artistic License 2.0", ["artistic"]), ("This work is licensed under a WTFPL", ["wtfpl"]),
+    ],
+)
+def test_notices_without_cue_words_and_of_several_families(license_model, text, families):
+    assert sorted({n["family"] for n in license_model.scan(text)}) == families
+
+
 def test_licence_probabilities_by_plain_sums_and_templates_hold_cues(license_model):
     m, words = license_model, licenses.whole("Redistribution of the MIT License is permitted")
     z = [(sum(float(m.weights[m.index[g]][c]) for g in licenses.ngrams(words) if g in m.index) + float(m.bias[c])) / m.temperature for c in range(len(m.classes))]
