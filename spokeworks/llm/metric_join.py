@@ -38,7 +38,7 @@ HOT, DEALT = 1000, 100_000
 #: Tasks that share a hot key, members and boundary documents of a tile, and keys in an Arrow batch.
 SHARES, TILE, SLICE = 64, 256, 1 << 19
 #: Of the histograms that bound a pair's overlap, and sets of a bucket that meet in one task, and members of a region that is large.
-BINS, LARGEST, LARGE = 64, 2048, 32
+BINS, LARGEST, LARGE = 64, 2048, 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -301,17 +301,18 @@ def distance(same: str, a: str, b: str) -> Column:
 def regions(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Members of the regions, pivots among them (fp, pivot, d), and the keys of the sets in no region.
 
-    In each round a set votes for one of those that share a key with it, the first in an order drawn
-    anew, so that a large group of near sets soon votes for one of its own. It is a member of that one's
-    region if it is near enough; members and pivots leave. Rounds go on while there are regions of
-    LARGE members or more.
+    In each round each key names one of its sets, the first in an order drawn anew, and a set votes for
+    the one that most of its keys name, so that a group of near sets votes for one of its own. It is a
+    member of that one's region if it is near enough; members and pivots leave. Rounds go on while there
+    are regions of LARGE members or more.
     """
     out = None
     for k in range(rounds):
         first = F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp"))
         # keys that are held by one set only from now on vote for nothing
         lows = cut(keys.groupBy("key").agg(first.alias("low"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
-        votes = dealt_join(keys.select("key", F.col("fp").alias("a")), lows, "key", "held").groupBy("a").agg(F.min("low").alias("low"))
+        seen = dealt_join(keys.select("key", F.col("fp").alias("a")), lows, "key", "held").groupBy("a", "low").agg(F.count(F.lit(1)).alias("c"))
+        votes = seen.groupBy("a").agg(F.max_by("low", F.struct("c", F.negative("low.h"))).alias("low"))
         members = overlaps(cut(votes.select("a", F.col("low.fp").alias("b")).filter("a <> b")), sets, bins, percent)
         members = cut(members.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), distance("same", "n_a", "n_b").alias("d")))
         sizes = members.groupBy("pivot").count().agg(F.max("count")).first()[0] or 0
@@ -392,30 +393,53 @@ def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int)
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
     rows = rows.select("key", "fp", "n", "i", tiles.alias("tile")).select("key", "tile.lo", "tile.hi", "fp", "n", "i")
 
-    def tile(t: pa.Table) -> pa.Table:
-        fp, n, i = (t.column(c).to_numpy() for c in ("fp", "n", "i"))
-        h = t.column("h").combine_chunks().flatten().to_numpy().reshape(len(fp), BINS).astype(np.int16)
-        order = np.argsort(n, kind="stable")
-        fp, n, i, h = fp[order], n[order], i[order], h[order]
-        crossed = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        found = []
-        for k in range(len(fp) - 1):
-            end = np.searchsorted(n, n[k] * 100 / percent + 1e-9, "right")
-            apart = np.abs(h[k + 1 : end] - h[k]).sum(axis=1, dtype=np.int64)
-            both = n[k] + n[k + 1 : end]
-            # the sets share (both - apart) / 2 at most
-            on = (both - apart) * 50 >= percent * (both + apart) / 2
-            if crossed:
-                on &= i[k + 1 : end] != i[k]
-            found += [(fp[k], fp[k + 1 + x]) for x in np.flatnonzero(on)]
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    pairs = dealt_join(rows, bins.select("fp", "h"), "fp").groupBy("key", "lo", "hi").applyInArrow(tile, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            key = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            rest = t.slice(whole)
+            if whole and (out := _possible_pairs(t.slice(0, whole), percent)) is not None:
+                yield out
+        if rest is not None and (out := _possible_pairs(rest, percent)) is not None:
+            yield out
+
+    by = ["key", "lo", "hi"]
+    pairs = dealt_join(rows, bins.select("fp", "h"), "fp").select(*by, "fp", "n", "i", "h").repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(run, "a binary, b binary")
     one_way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return overlaps(cut(one_way), sets, bins, percent).select("a", "b")
 
 
+def _possible_pairs(t: pa.Table, percent: int) -> pa.RecordBatch | None:
+    """Pairs a, b of the tiles (key, lo, hi, fp, n, i, h), sorted by n each, that their histograms leave possible."""
+    key, lo, hi, n, i = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "n", "i"))
+    h = t.column("h").combine_chunks().flatten().to_numpy().reshape(len(n), BINS).astype(np.int16)
+    same = (key[1:] == key[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
+    tile = np.concatenate([[0], np.cumsum(~same)])
+    found, step = [], 1
+    alive = np.arange(len(n) - 1)
+    while len(alive):  # each row and the one ``step`` rows on, while they are of one tile and of sizes near enough
+        other = alive + step
+        alive = alive[(other < len(n))]
+        other = alive + step
+        on = (tile[alive] == tile[other]) & (100 * n[alive] >= percent * n[other])
+        alive, other = alive[on], other[on]
+        if not len(alive):
+            break
+        apart = np.abs(h[alive] - h[other]).sum(axis=1, dtype=np.int64)
+        both = n[alive] + n[other]
+        # the sets share (both - apart) / 2 at most; pairs of one chunk are met in its own tile
+        near_enough = ((both - apart) * 50 >= percent * (both + apart) / 2) & ((lo[alive] == hi[alive]) | (i[alive] != i[other]))
+        found.append(np.stack([alive[near_enough], other[near_enough]]))
+        step += 1
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    fp = t.column("fp").combine_chunks()
+    return _columns(["a", "b"], fp.take(pa.array(pairs[0])), fp.take(pa.array(pairs[1]))) if pairs.shape[1] else None
+
+
 def links(sets: DataFrame, marked: Broadcast, percent: int, rounds: int = 20) -> DataFrame:
     """a, b: enough links between the sets (fp, n, s) to join all that chains of links join, and no other.
 
