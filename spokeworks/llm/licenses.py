@@ -14,7 +14,7 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -176,8 +176,20 @@ class LicenseModel:
     confirm: float
     templates: dict[str, tuple[frozenset, ...]]
 
+    @cached_property
+    def vocabulary(self) -> frozenset[str]:
+        return frozenset(w for g in self.index for w in g)
+
     def probabilities(self, words: list[str]) -> np.ndarray:
-        hits = sorted(k for g in ngrams(words) if (k := self.index.get(g)) is not None)
+        grams: set[tuple[str, ...]] = set()
+        run: list[str] = []
+        for w in (*words, ""):  # no n-gram of the index holds a word that isn't in its vocabulary
+            if w in self.vocabulary:
+                run.append(w)
+            elif run:
+                grams |= ngrams(run)
+                run = []
+        hits = sorted(k for g in grams if (k := self.index.get(g)) is not None)
         z = (self.weights[hits].sum(axis=0) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
@@ -200,8 +212,8 @@ class LicenseModel:
         A sentence that is a notice of one family is one of the others that it names, too, and so is an
         SPDX expression of those that its identifiers name.
         """
-        first = self.find(words)
         spdx = SPDX in words
+        first = self.find(words)
         if not (first or spdx):
             return []
         p = self.probabilities(words)
