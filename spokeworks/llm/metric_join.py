@@ -262,7 +262,7 @@ def keys_of(sets: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
     return rows.select(F.explode("keys").alias("key"), "fp", "n")
 
 
-def near(same: str, a: str, b: str, percent: int) -> Column:
+def near(same: str, a: str, b: str, percent: float | Column) -> Column:
     """Whether sets of sizes a and b with ``same`` common elements have the similarity."""
     return 100 * F.col(same) >= percent * (F.col(a) + F.col(b) - F.col(same))
 
@@ -280,8 +280,8 @@ def histograms(sets: DataFrame) -> DataFrame:
     return over_batches(sets, [F.col("fp"), F.col("n"), F.col("s")], work, "fp binary, n long, h array<tinyint>")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b and others; many a for a b) those with the similarity, and n_a, n_b and same: the sizes of the two sets and of what they share.
+def overlaps(pairs: DataFrame, sets: DataFrame, bins: DataFrame, percent: float | Column) -> DataFrame:
+    """Of ``pairs`` (a, b and others; many a for a b) those with the similarity, which may be a column of theirs, and n_a, n_b and same: the sizes of the two sets and of what they share.
 
     Histograms go first, 64 bytes each: their difference is never more than that of the sets, so most
     pairs that are too far apart never meet their whole sets.
@@ -336,12 +336,13 @@ def windows(sets: DataFrame, bins: DataFrame, members: DataFrame, percent: int,
     of_pivots = keys.join(radius.select(F.col("pivot").alias("fp")), "fp", "left_semi")
     others = dealt_join(keys, cut(shared_keys(keys).select("key", "held")), "key", "held").join(own, "fp", "left").select("key", F.col("fp").alias("a"), F.col("n").alias("n_a"), "own")
     met = others.join(of_pivots.select("key", F.col("fp").alias("b"), F.col("n").alias("n_b")), "key").filter("a <> b and not coalesce(array_contains(own, b), false)")
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    # a region of a small radius has a narrow window
+    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c")).join(radius.select(F.col("pivot").alias("b"), (100 * (1 - r - F.col("radius")) - 1e-6).alias("least")), "b")
     # beyond its first shingles the set whose first ones end earlier in the order has wide % of its size at most
-    needed = wide * (F.col("n_a") + F.col("n_b")) / (100 + wide)
-    pairs = counted.filter(F.col("c") + F.floor(wide * F.greatest("n_a", "n_b") / 100) + 1e-9 >= needed).select("a", "b")
-    found = overlaps(cut(pairs), sets, bins, wide).withColumn("d", distance("same", "n_a", "n_b"))
-    return found.join(radius.withColumnRenamed("pivot", "b"), "b").filter(F.col("d") <= F.col("radius") + r + 1e-9).select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "d")
+    needed = F.col("least") * (F.col("n_a") + F.col("n_b")) / (100 + F.col("least"))
+    pairs = counted.filter(F.col("c") + F.floor(wide * F.greatest("n_a", "n_b") / 100) + 1e-6 >= needed).select("a", "b", "least")
+    found = overlaps(cut(pairs), sets, bins, F.col("least"))
+    return found.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), distance("same", "n_a", "n_b").alias("d"))
 
 
 def boundary_links(sets: DataFrame, members: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
