@@ -4,9 +4,10 @@ Edges hold gap candidates up to the widest tolerance; a request uses those of it
 on starts (request_id, node, cand_ord, max_gap_m, min_distance_m, max_distance_m and, one-way,
 end_node) and give steps (request_id, cand_ord, attempt, seg_idx, src, dst, edge_id, distance_m, is_gap).
 
-Each search is a table of states that lie at a node. The graph is cut into square blocks of nodes, a
-state meets the hops of its block in one task and goes on there until it leaves the block; then it is
-shuffled to the next one. Graphs of at most MOST_HOPS hops are one block, which is broadcast.
+Each search is a table of states that lie at a node. The graph is cut into the leaves of a quadtree of
+at most HOPS_OF_BLOCK hops each; a state meets the hops of its block in one task and goes on there until
+it leaves the block; then it is shuffled to the next one. Graphs of at most MOST_HOPS hops are one
+block, which is broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import heapq
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,15 @@ ENOUGH_ROUTES = 3
 MOST_HOPS = 500_000
 #: Cells of network.REACH_CELL that the box around one search may span; for larger ones all of the graph is widened.
 MOST_CELLS = 10_000
-#: Side of a block in cells of the node ids, about 1.5 km, and states of a block that one task moves, on average.
-BLOCK_CELLS = 1500
+#: Hops of a block at most, but for a single node with more of them (about 60 bytes a hop in a Python worker).
+HOPS_OF_BLOCK = 100_000
+#: Sides of blocks are two to these powers of the node ids' cells: from about a metre to 18 km.
+LEVELS = range(0, 15, 2)
+#: Blocks of a graph that are broadcast at most, 8 bytes each.
+MOST_BLOCKS = 200_000
+#: Nodes whose hops a worker holds as tuples at once.
+MOST_NEAR = 50_000
+#: States of a block that one task moves, on average.
 STATES = 4000
 HOP = ["src", "dst", "edge_id", "distance_m", "is_gap", "dlon", "dlat"]
 PATH = "array<struct<src: bigint, dst: bigint, edge_id: string, distance_m: double, is_gap: boolean>>"
@@ -39,25 +48,45 @@ WALKER = ["request_id", "cand_ord", "attempt"]
 ROUTE = WALKER
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
-#: Neighbours of a node: lanes and gaps, each as (dst, edge_id, distance_m, is_gap, dlon, dlat).
-Hops = dict[int, tuple[list[tuple], list[tuple]]]
 
 
-def block_of(node: Column) -> Column:
-    """The square that holds a node, whose id holds its cell."""
-    return F.floor(F.shiftright(node, 25) / BLOCK_CELLS).cast("long") * (1 << 20) + F.floor(node.bitwiseAND((1 << 25) - 1) / BLOCK_CELLS).cast("long")
+def block_of(node: Column, level: int) -> Column:
+    """The square of a level that holds a node, whose id holds its cell."""
+    return (F.shiftright(node, 25 + level) * (1 << 25) + F.shiftright(node.bitwiseAND((1 << 25) - 1), level)) * 32 + level
 
 
-def number_of_block(node: int, size: int) -> int:
-    """As ``block_of``, of blocks of ``size`` cells."""
-    return (node >> 25) // size * (1 << 20) + (node & (1 << 25) - 1) // size
+def in_block(node: int, block: int) -> bool:
+    """Whether ``block_of`` of the block's level gives the block."""
+    level = block & 31
+    return (node >> 25 + level << 25 | (node & (1 << 25) - 1) >> level) << 5 | level == block
 
 
-def hops_of(table: pa.Table) -> Hops:
-    out: Hops = {}
-    for src, *hop in zip(*(table[c].to_pylist() for c in HOP), strict=True):
-        out.setdefault(src, ([], []))[bool(hop[3])].append(tuple(hop))
-    return out
+class Hops:
+    """The hops of a block as columns in the order of their first nodes; a node's hops become tuples when it is met."""
+
+    def __init__(self, table: pa.Table):
+        src = table["src"].to_numpy()
+        order = np.argsort(src, kind="stable")
+        self.nodes, first = np.unique(src[order], return_index=True)
+        self.ends = np.append(first, len(src))
+        self.columns = [table[c].combine_chunks().take(pa.array(order)) for c in HOP[1:]]
+        self.near: dict[int, tuple[list[tuple], list[tuple]]] = {}
+
+    def get(self, node: int) -> tuple[list[tuple], list[tuple]] | tuple[()]:
+        """Neighbours of a node: lanes and gaps, each as (dst, edge_id, distance_m, is_gap, dlon, dlat)."""
+        if (known := self.near.get(node)) is not None:
+            return known
+        k = int(np.searchsorted(self.nodes, node))
+        if k == len(self.nodes) or self.nodes[k] != node:
+            return ()
+        at, n = int(self.ends[k]), int(self.ends[k + 1] - self.ends[k])
+        out: tuple[list[tuple], list[tuple]] = ([], [])
+        for hop in zip(*(c.slice(at, n).to_pylist() for c in self.columns), strict=True):
+            out[bool(hop[3])].append(hop)
+        if len(self.near) >= MOST_NEAR:
+            self.near.clear()
+        self.near[node] = out
+        return out
 
 
 def usable(hop: tuple, gap: float) -> bool:
@@ -67,12 +96,39 @@ def usable(hop: tuple, gap: float) -> bool:
 
 
 class Blocks:
-    """A graph's hops, broadcast as one block where they are few, or by block."""
+    """A graph's hops, broadcast as one block where they are few, or by block.
+
+    Blocks are the coarsest squares of at most HOPS_OF_BLOCK hops, so dense and thin parts of a graph make
+    tasks of like size. Hops are counted by square and placed once; nodes are placed by joins with the
+    squares, broadcast up to MOST_BLOCKS, beyond which each node's block is looked up by its id.
+    """
 
     def __init__(self, adj: DataFrame):
         few = adj.count() <= MOST_HOPS
         self.whole = adj.sparkSession.sparkContext.broadcast(adj.select(*HOP).toArrow()) if few else None
-        self.adj = adj
+        if few:
+            return
+        counted = adj.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        leaves = cut(quadtree(counted))
+        self.few_blocks = leaves.count() <= MOST_BLOCKS
+        self.blocks = leaves
+        self.levels = sorted(r[0] for r in leaves.select(F.col("block").bitwiseAND(31)).distinct().collect())
+        if not self.few_blocks:
+            self.blocks = cut(counted.select("node", F.explode(F.array(*(block_of(F.col("node"), k) for k in self.levels))).alias("block")).join(leaves, "block"))
+        self.hops = cut(self.placed(adj.select(*HOP), "src"))
+
+    def placed(self, rows: DataFrame, at: str) -> DataFrame:
+        """``rows`` with __block, the block of the node in column ``at``; a node without hops is a block of its own."""
+        alone = block_of(F.col(at), 0)
+        if not self.few_blocks:
+            home = self.blocks.select(F.col("node").alias("__node"), F.col("block").alias("__home"))
+            return rows.join(home, F.col(at) == F.col("__node"), "left").withColumn("__block", F.coalesce("__home", alone)).drop("__node", "__home")
+        own = []
+        for k in self.levels:
+            own.append(f"__at{k}")
+            squares = self.blocks.filter(F.col("block").bitwiseAND(31) == k).select(F.col("block").alias(own[-1]))
+            rows = rows.join(F.broadcast(squares), block_of(F.col(at), k) == F.col(own[-1]), "left")
+        return rows.withColumn("__block", F.coalesce(*own, alone)).drop(*own)
 
     def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[dict]], schema: str, key: list[str], at: str = "cur") -> DataFrame:
         """The rows that ``work`` gives for the states at the nodes of one block, its hops, and the test for its nodes.
@@ -86,29 +142,41 @@ class Blocks:
             def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hops = None
                 for batch in batches:
-                    hops = hops_of(shared.value) if hops is None else hops
+                    hops = Hops(shared.value) if hops is None else hops
                     for part in _batches(work(batch.to_pylist(), hops, lambda node: True), kind):
                         yield part
 
             return states.repartition(*key).mapInArrow(move, schema)
 
-        size = BLOCK_CELLS
-
         def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.drop_columns(["__block", "__share"]).to_pylist()
             home = left["__block"][0].as_py() if rows else None
-            return pa.Table.from_batches(_batches(work(rows, hops_of(right), lambda node: number_of_block(node, size) == home), kind), kind)
+            return pa.Table.from_batches(_batches(work(rows, Hops(right), lambda node: in_block(node, home)), kind), kind)
 
         # a block that few states lie in is met in one task, a crowded one in as many as its states need
-        placed = states.withColumn("__block", block_of(F.col(at)))
+        placed = self.placed(states, at)
         crowds = placed.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / STATES).cast("long").alias("__tasks"))
         left = placed.join(crowds, "__block").withColumn("__share", F.pmod(F.xxhash64(*key), F.col("__tasks"))).drop("__tasks")
         tasks = left.select(F.col("__block").alias("__b"), F.col("__share").alias("__s")).distinct()
-        right = self.adj.select(*HOP).withColumn("__block", block_of(F.col("src"))).join(tasks, F.col("__block") == F.col("__b")).drop("__b").withColumnRenamed("__s", "__share")
+        right = self.hops.join(tasks, F.col("__block") == F.col("__b")).drop("__b").withColumnRenamed("__s", "__share")
         by = ["__block", "__share"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
 
 
+def quadtree(counted: DataFrame) -> DataFrame:
+    """block: the coarsest squares of at most HOPS_OF_BLOCK hops that hold all nodes (node, n hops); a node with more is one of its own.
+
+    The squares of all levels are counted at once; a square is a leaf if it is small enough and the one around it isn't.
+    """
+    node, top = F.col("node"), LEVELS[-1]
+    around = lambda k: block_of(node, k + LEVELS.step) if k < top else F.lit(None).cast("long")
+    squares = F.explode(F.array(*(F.struct(block_of(node, k).alias("block"), around(k).alias("outer")) for k in LEVELS))).alias("s")
+    sized = cut(counted.select(squares, "n").groupBy("s.block", "s.outer").agg(F.sum("n").alias("n")))
+    large = sized.filter(F.col("n") > HOPS_OF_BLOCK).select(F.col("block").alias("outer"), F.lit(True).alias("split"))
+    small = (F.col("n") <= HOPS_OF_BLOCK) | (F.col("block").bitwiseAND(31) == 0)
+    return sized.join(large, "outer", "left").filter(small & (F.col("outer").isNull() | F.col("split"))).select("block")
+
+
 def _arrow(spark, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -153,7 +221,7 @@ def walk(walker: dict, hops: Hops, inside: Callable[[int], bool], loop: bool, se
             return None
         if not inside(walker["cur"]):
             return walker
-        for near in hops.get(walker["cur"], ()):
+        for near in hops.get(walker["cur"]):
             if free := free_hops(near, walker, met, loop):
                 break
         else:
@@ -205,7 +273,7 @@ def unvisited(adj: DataFrame, state: DataFrame, loop: bool = False) -> DataFrame
     def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
         for w in rows:
             met = met_by(w, loop)
-            for near in hops.get(w["cur"], ()):
+            for near in hops.get(w["cur"]):
                 yield from ({c: w[c] for c in WALKER} | {"dst": h[0], "edge_id": h[1]} for h in free_hops(near, w, met, loop))
 
     schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in WALKER) + ", dst bigint, edge_id string"
@@ -240,7 +308,7 @@ def settle(best: dict[int, tuple], news: list[tuple[int, tuple]], hops: Hops, in
         better[node] = way
         if known and known[:2] == way[:2]:
             continue  # a tie changes the next node only
-        for h in (h for near in hops.get(node, ()) for h in near):
+        for h in (h for near in hops.get(node) for h in near):
             if way[0] + h[2] > most or not usable(h, gap):
                 continue
             new = (way[0] + h[2], way[1] + 1, node, h[1:4])
@@ -284,13 +352,11 @@ def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
     while True:
         rows = news
         if known:
-            at = [*SEARCH, block_of(F.col("node")).alias("__at")]
-            reached = news.select(*at).distinct()
+            reached = blocks.placed(news, "node").select(*SEARCH, "__block").distinct()
             old = known[0]
             for k in known[1:]:
                 old = old.unionByName(k)
-            old = old.withColumn("__at", block_of(F.col("node"))).join(reached, [*SEARCH, "__at"], "left_semi").drop("__at")
-            rows = news.unionByName(old)
+            rows = news.unionByName(blocks.placed(old, "node").join(reached, [*SEARCH, "__block"], "left_semi").drop("__block"))
         settled = cut(blocks.apply(rows, work, schema, SEARCH, at="node"))
         known.append(settled.filter("state = 'known'"))
         news = settled.filter("state = 'new'")

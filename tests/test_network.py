@@ -128,7 +128,7 @@ def way(request, monkeypatch):
     """Small graphs as one block, or with every node in a block of its own."""
     if request.param == "blocks":
         monkeypatch.setattr(search, "MOST_HOPS", 0)
-        monkeypatch.setattr(search, "BLOCK_CELLS", 1)
+        monkeypatch.setattr(search, "HOPS_OF_BLOCK", 0)
     return request.param
 
 
@@ -212,7 +212,9 @@ def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
         monkeypatch.setattr(search, "MOST_HOPS", 500_000)
         first = {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
         monkeypatch.setattr(search, "MOST_HOPS", 0)
-        monkeypatch.setattr(search, "BLOCK_CELLS", 7)
+        monkeypatch.setattr(search, "HOPS_OF_BLOCK", 30)
+        monkeypatch.setattr(search, "MOST_BLOCKS", 0 if loop else 100)
+        monkeypatch.setattr(search, "MOST_NEAR", 3)
         monkeypatch.setattr(search, "STATES", 5)
         assert len(first) >= 3
         assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
@@ -222,7 +224,7 @@ def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
 def test_walks_and_shortest_ways_of_over_a_thousand_steps_are_whole(spark, blocks, monkeypatch):
     if blocks:
         monkeypatch.setattr(search, "MOST_HOPS", 0)
-        monkeypatch.setattr(search, "BLOCK_CELLS", 500)
+        monkeypatch.setattr(search, "HOPS_OF_BLOCK", 600)
     adj = adjacency(spark, [(k, (k + 1) % 1500, 20.0, False) for k in range(1500)])
     starts = spark.createDataFrame([(1, 0, 0, 60.0, 24_000.0, 31_000.0, 749)], STARTS + ", end_node long")
     there = search.walks(adj, starts, loop=False, attempts=2)
@@ -233,6 +235,27 @@ def test_walks_and_shortest_ways_of_over_a_thousand_steps_are_whole(spark, block
     assert [r.n_segments for r in search.with_signature(search.shortest_paths(adj, bounds)).collect()] == [749]
 
 
+def test_blocks_are_the_coarsest_squares_of_at_most_so_many_hops(spark, monkeypatch):
+    monkeypatch.setattr(search, "HOPS_OF_BLOCK", 50)
+    rng = random.Random(2)
+    at = lambda x, y: (x << 25) + y
+    dense = {at(rng.randrange(300), rng.randrange(300)): rng.randint(1, 9) for _ in range(400)}
+    thin = {at(rng.randrange(1 << 20), rng.randrange(1 << 20)): rng.randint(1, 9) for _ in range(200)}
+    counted = {**thin, **dense, at(5000, 5000): 70}
+    blocks = [r.block for r in search.quadtree(spark.createDataFrame(list(counted.items()), "node long, n long")).collect()]
+    held = {b: sum(n for node, n in counted.items() if search.in_block(node, b)) for b in blocks}
+    assert all(sum(search.in_block(node, b) for b in blocks) == 1 for node in counted)
+    assert all(n <= 50 for b, n in held.items() if b & 31) and held[at(5000, 5000) << 5] == 70
+    levels = {b & 31 for b in blocks}
+    assert 14 in levels and min(levels) == 0
+    for b in blocks:
+        level = b & 31
+        if level < 14:  # the square around a block holds too many
+            x, y = b >> 30, b >> 5 & (1 << 25) - 1
+            around = ((x >> 2) << 25 | y >> 2) << 5 | level + 2
+            assert sum(n for node, n in counted.items() if search.in_block(node, around)) > 50
+
+
 def test_requests_without_rows_or_strategy_give_no_routes_and_strategies_can_be_added(spark):
     adj = adjacency(spark, [(1, 2, 20.0, False), (2, 3, 20.0, False)])
     starts = spark.createDataFrame([(1, 1, 0, 60.0, 10.0, 400.0, None, "own"), (2, 2, 0, 60.0, 10.0, 400.0, None, "explore")], STARTS + ", end_node long, mode string")
