@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from ..session import cut
 DEFAULTS = {"start_lon": 0.0, "start_lat": 0.0, "max_gap_m": 200.0, "start_proximity_m": 200.0, "min_distance_m": 10_000.0, "max_distance_m": 30_000.0, "round_trip": False}
 #: Grid cell of point searches in degrees.
 POINT_CELL = 0.01
+#: Smallest cells of the pyramid in degrees; each level's cells are four times as wide as those of the one below.
+LEAST_CELL, FOLD, PYRAMID = 0.0025, 4, 11
+#: Cells of the level from which a search starts, at most, and cells of a level that are broadcast at most (about 60 bytes each).
+TOP_CELLS, MOST_CELLS = 256, 200_000
 
 
 def with_default_preferences(requests: DataFrame, patch: DataFrame | None = None) -> DataFrame:
@@ -52,29 +58,60 @@ def nodes_within(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter(near & close).select("request_id", "node", "node_ord")
 
 
+def cells_of(nodes: DataFrame) -> DataFrame:
+    """The pyramid: level, gx, gy and the box (w, e, s, n) of the nodes in each occupied cell, of all levels at once."""
+    at = lambda c, k: F.floor(F.col(c) / F.lit(LEAST_CELL * FOLD**k)).cast("long")
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), at("lon", k).alias("gx"), at("lat", k).alias("gy")) for k in range(PYRAMID)))).alias("c")
+    box = [F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")]
+    return nodes.select("lon", "lat", cells).groupBy("c.level", "c.gx", "c.gy").agg(*box)
+
+
+def box_bounds(x: Column, y: Column, box: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Squared degrees within which no node of a box lies, and within which one does, as each side of the box touches a node."""
+    near = lambda p, low, high: F.greatest(low - p, p - high, F.lit(0.0))
+    far = lambda p, low, high: F.greatest(F.abs(p - low), F.abs(p - high))
+    side = lambda p, low, high: F.least(F.abs(p - low), F.abs(p - high))
+    lon, lat = (x, box("w"), box("e")), (y, box("s"), box("n"))
+    square = lambda c: c * c
+    return square(near(*lon)) + square(near(*lat)), F.least(square(side(*lon)) + square(far(*lat)), square(far(*lon)) + square(side(*lat)))
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """request_id, node: the closest by squared degrees, the first node on ties; none for an empty graph.
+    """request_id, node: the closest by squared degrees, the first node on ties; none for an empty graph or a point without finite coordinates.
 
-    Points search the nine grid cells around them; those whose nearest lies beyond a cell's side search
-    again in cells four times as large.
+    Points go down a pyramid of occupied cells. A cell is left out if its nodes' box lies farther off than
+    some other cell has a node, so a point far from all nodes meets about as many cells as a near one, and
+    only the nodes of the smallest cells that are left. The search starts from the finest level of at
+    most TOP_CELLS cells; levels of up to MOST_CELLS are broadcast.
     """
-    squared = F.pow(F.col("lon") - F.col("plon"), 2) + F.pow(F.col("lat") - F.col("plat"), 2)
-    rest = cut(points.select("request_id", F.col("lon").alias("plon"), F.col("lat").alias("plat")))
-    best = F.min_by("node", F.struct("sq", "node_ord"))
-    done = rest.limit(0).select("request_id", F.lit(None).cast("long").alias("node"))
-    size, known = POINT_CELL, nodes.select("node", "lon", "lat", "node_ord")
-    if nodes.isEmpty():
-        return done
-    while size < 1024 and not rest.isEmpty():
-        at = lambda c, size=size: F.floor(F.col(c) / F.lit(size)).cast("long")
-        step = lambda c, at=at: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-        spread = rest.select("*", step("plon").alias("gx")).select("*", step("plat").alias("gy"))
-        pairs = known.select("*", at("lon").alias("gx"), at("lat").alias("gy")).join(spread, ["gx", "gy"]).withColumn("sq", squared)
-        found = cut(pairs.groupBy("request_id").agg(best.alias("node"), F.min("sq").alias("sq")).filter(F.col("sq") <= F.lit(size * size)).select("request_id", "node"))
-        done = done.unionByName(found)
-        rest = cut(rest.join(found, "request_id", "left_anti"))
-        size *= 4
-    return done
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    known = nodes.filter(finite("lon") & finite("lat")).select("node", "lon", "lat", "node_ord")
+    asked = points.filter(finite("lon") & finite("lat")).select("request_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+    pyramid = cut(cells_of(known))
+    sizes = dict(tuple(r) for r in pyramid.groupBy("level").count().collect())
+    if not sizes:
+        return asked.limit(0).select("request_id", F.lit(None).cast("long").alias("node"))
+    level = min((k for k, n in sizes.items() if n <= TOP_CELLS), default=None)
+    if level is None:
+        raise ValueError("the coordinates aren't degrees")
+    names = ["gx", "gy", "w", "e", "s", "n"]
+    x, y = F.col("plon"), F.col("plat")
+    top = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in names)) for r in pyramid.filter(F.col("level") == level).select(*names).collect()))
+    within = F.array_min(F.transform(top, lambda c: box_bounds(x, y, lambda side: c[side])[1])).alias("within")
+    near = lambda c: box_bounds(x, y, lambda side: c[side])[0] <= F.col("within") * (1 + 1e-12)
+    left = asked.select("*", within).select("request_id", "plon", "plat", F.explode(F.filter(top, near)).alias("c")).select("request_id", "plon", "plat", "c.gx", "c.gy")
+    for k in range(level - 1, -1, -1):
+        inner = pyramid.filter(F.col("level") == k).select(*names).withColumns({"px": F.floor(F.col("gx") / FOLD).cast("long"), "py": F.floor(F.col("gy") / FOLD).cast("long")})
+        inner = F.broadcast(inner) if sizes[k] <= MOST_CELLS else inner
+        met = left.withColumnsRenamed({"gx": "px", "gy": "py"}).join(inner, ["px", "py"])
+        least, most = box_bounds(x, y, F.col)
+        bounds = met.withColumns({"least": least, "within": most}).withColumn("within", F.min("within").over(Window.partitionBy("request_id")))
+        left = bounds.filter(F.col("least") <= F.col("within") * (1 + 1e-12)).select("request_id", "plon", "plat", "gx", "gy")
+        left = cut(left) if k % 3 == 0 else left
+    at = lambda c: F.floor(F.col(c) / F.lit(LEAST_CELL)).cast("long")
+    squared = F.pow(F.col("lon") - x, 2) + F.pow(F.col("lat") - y, 2)
+    pairs = known.select("*", at("lon").alias("gx"), at("lat").alias("gy")).join(left, ["gx", "gy"])
+    return pairs.groupBy("request_id").agg(F.min_by("node", F.struct(squared, "node_ord")).alias("node"))
 
 
 def start_candidates(requests: DataFrame, nodes: DataFrame) -> DataFrame:
