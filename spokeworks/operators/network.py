@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,10 @@ from ..sources.areas import cell_degrees
 
 #: Cells in degrees of the part of a graph that requests can reach.
 REACH_CELL = 0.03
+#: Nodes of a cell in one task when gaps are looked for, on average.
+CELL_NODES = 2000
+#: The cells, as steps from a cell, whose nodes meet the cell's.
+MEETS = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
 
 class Graph(NamedTuple):
@@ -65,16 +70,27 @@ def gap_candidates(nodes: DataFrame, max_gap_m: float, inside: Column | None = N
 
     inside: a condition on nodes; pairs of which it holds for neither are left out.
 
-    A grid join: one side lies in its own cell, the other is copied to the nine around it, which hold
-    every pair that passes the degree box. Dense cells are left to adaptive skew joins.
+    A grid join: each cell's nodes meet those of the cell itself and of four of its neighbours, which
+    brings every pair together once. Cells that hold or meet over CELL_NODES nodes are dealt to tasks of
+    about CELL_NODES by five times as many: their nodes into parts by one hash, those that they meet
+    into parts by the same hash, each copied to the other's parts. Nodes of one place in the order, as where
+    lane_seq repeats, go by their ids.
     """
     x, y = cell_degrees(max_gap_m) if max_gap_m > 0 else (1.0, 1.0)
     at = lambda c, size: F.floor(F.col(c) / F.lit(size)).cast("long")
-    placed = nodes.select("node", "lon", "lat", "node_ord", at("lon", x).alias("gx"), at("lat", y).alias("gy"), (F.lit(True) if inside is None else inside).alias("inside"))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-    b = placed.select(F.col("node").alias("v"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("node_ord").alias("ord2"), F.col("inside").alias("inside2"), "gx", "gy", around)
-    b = b.select("v", "lon2", "lat2", "ord2", "inside2", (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
-    pairs = placed.join(b, ["gx", "gy"]).filter("node_ord < ord2 and (inside or inside2)")
+    placed = nodes.select(F.struct("node_ord", "node", "lon", "lat", (F.lit(True) if inside is None else inside).alias("inside")).alias("a"), at("lon", x).alias("gx"), at("lat", y).alias("gy"))
+    meets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in MEETS))).alias("d")
+    spread = lambda rows: rows.select("*", meets).withColumns({"gx": F.col("gx") - F.col("d.i"), "gy": F.col("gy") - F.col("d.j")})
+    parts = crowds(placed.select("gx", "gy"), spread)
+    part = lambda row, n: F.pmod(F.xxhash64(F.col(f"{row}.node")), F.col(n))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda rows: rows.join(parts, ["gx", "gy"], "left").withColumns({n: F.coalesce(n, F.lit(1).cast("long")) for n in ("own", "met")})
+    left = dealt(placed).select("gx", "gy", "a", part("a", "own").alias("__own"), copies("met").alias("__met"))
+    right = dealt(spread(placed.withColumnRenamed("a", "b"))).select("gx", "gy", "b", ((F.col("d.i") == 0) & (F.col("d.j") == 0)).alias("same"), copies("own").alias("__own"), part("b", "met").alias("__met"))
+    pairs = left.join(right, ["gx", "gy", "__own", "__met"]).filter((~F.col("same") | (F.struct("a.node_ord", "a.node") < F.struct("b.node_ord", "b.node"))) & (F.col("a.inside") | F.col("b.inside")))
+    first = F.struct("a.node_ord", "a.node") < F.struct("b.node_ord", "b.node")
+    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    pairs = pairs.select("a.node", "a.lon", "a.lat", F.col("b.node").alias("v"), F.col("b.lon").alias("lon2"), F.col("b.lat").alias("lat2"))
     pairs = pairs.withColumns({"dlon": F.col("lon2") - F.col("lon"), "dlat": F.col("lat2") - F.col("lat")})
     near = pairs.filter(geo.in_degree_box(F.col("dlon"), F.col("dlat"), F.lit(float(max_gap_m))))
     near = near.withColumn("distance_m", geo.equirect_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).filter(F.col("distance_m") <= float(max_gap_m))
@@ -83,6 +99,16 @@ def gap_candidates(nodes: DataFrame, max_gap_m: float, inside: Column | None = N
     return rows if max_gap_m > 0 else rows.limit(0)
 
 
+def crowds(cells: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """gx, gy, own, met: parts into which a cell's nodes and those that it meets are dealt, for cells with more than one part.
+
+    cells: gx and gy of each node; spread: copies of a cell for all cells that meet it.
+    """
+    full = cells.groupBy("gx", "gy").agg(F.ceil(F.count(F.lit(1)) / CELL_NODES).cast("long").alias("n")).filter("n > 1")
+    rows = spread(full).groupBy("gx", "gy").agg(F.max(F.when((F.col("d.i") == 0) & (F.col("d.j") == 0), F.col("n"))).alias("own"), F.max("n").alias("met"))
+    return rows.select("gx", "gy", F.coalesce("own", F.lit(1).cast("long")).alias("own"), "met")
+
+
 def exclude_connected(gaps: DataFrame, lane_edges: DataFrame) -> DataFrame:
     """Gaps between nodes that no lane edge joins."""
     return gaps.join(lane_edges.select("edge_id"), "edge_id", "left_anti")
