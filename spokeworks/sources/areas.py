@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from . import osm
 
 STALE_AFTER_MS = 7 * 24 * 60 * 60 * 1000
 MOST_KM = 50.0
+#: Levels of the grids on which ways and boxes meet; the coarsest has cells wider than any map.
+LEVELS = 12
 
 
 def latest_areas(areas: DataFrame) -> DataFrame:
@@ -65,22 +68,46 @@ def split_cached(requested: DataFrame, areas: DataFrame, force_refresh: bool = F
     return requested.join(known, "id", "left").withColumn("cached", F.coalesce("__known", F.lit(False))).drop("__known")
 
 
+def cover(box: dict[str, Column], cell: float) -> tuple[Column, Callable[[Column], Column]]:
+    """The finest level at which a box lies in at most four by four cells, and the cells (x, y) that it touches on a level.
+
+    Cells are ``cell`` degrees wide on level 0 and four times as wide on each further one.
+    """
+    at = lambda x, level: F.floor(x / (F.lit(cell) * F.pow(F.lit(4.0), level))).cast("long")
+    wide = lambda k: F.greatest(*(at(box[high], F.lit(k)) - at(box[low], F.lit(k)) for low, high in (("west", "east"), ("south", "north")))) > 3
+    finest = F.coalesce(*(F.when(~wide(k), F.lit(k)) for k in range(LEVELS)))
+    along = lambda low, high, level: F.sequence(at(box[low], level), at(box[high], level))
+    cells = lambda level: F.flatten(F.transform(along("west", "east", level), lambda x: F.transform(along("south", "north", level), lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))
+    return finest, cells
+
+
 def extract_areas(ways: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
     """area_id and the way's columns for each way that meets a box (id, west, south, east, north).
 
-    Joined by the grid cells that a way's own box and the box both touch, each pair at the first cell they share.
+    Ways and boxes lie on grids of several levels, each in at most sixteen cells of the finest level that
+    allows it, and are copied to the coarser levels on which the other table has rows. So a way across a
+    continent makes tens of rows, and a way and a box meet on the coarser one's level, at the first cell
+    that they share.
     """
     sides = ["west", "south", "east", "north"]
     named = boxes.select(F.col("id").alias("area_id"), *(F.col(c).alias(f"b_{c}") for c in sides))
     b = {c: F.col(f"b_{c}") for c in sides}
-    at = lambda x: F.floor(x / F.lit(cell)).cast("long")
-    cells = lambda low, high, name: F.explode(F.sequence(at(low), at(high))).alias(name)
     own = {c: F.col(f"__box.{c}") for c in sides}
-    left = ways.withColumn("__box", osm.box_of(F.col("geometry"))).select("*", cells(own["west"], own["east"], "__x")).select("*", cells(own["south"], own["north"], "__y"))
-    right = named.select("*", cells(b["west"], b["east"], "__x")).select("*", cells(b["south"], b["north"], "__y"))
+    way_level, way_cells = cover(own, cell)
+    box_level, box_cells = cover(b, cell)
+    left = ways.withColumn("__box", osm.box_of(F.col("geometry"))).withColumn("__way_level", way_level)
+    right = named.withColumn("__box_level", box_level)
+    # at most LEVELS numbers; a level that the other table doesn't use needs no copies
+    used = lambda rows, c: F.array(*(F.lit(k) for k in sorted(r[0] for r in rows.select(c).distinct().collect() if r[0] is not None))).cast("array<int>")
+    of_ways, of_boxes = used(left, "__way_level"), used(right, "__box_level")
+    spread = lambda rows, c, others, cells: rows.select("*", F.explode(F.flatten(F.transform(F.array_distinct(F.concat(F.array(F.col(c)), F.filter(others, lambda k: k > F.col(c)))), cells))).alias("__c")).select("*", "__c.*").drop("__c")
+    left, right = spread(left, "__way_level", of_boxes, way_cells), spread(right, "__box_level", of_ways, box_cells)
+    left, right = (t.withColumnsRenamed({"level": "__level", "x": "__x", "y": "__y"}) for t in (left, right))
+    at = lambda x: F.floor(x / (F.lit(cell) * F.pow(F.lit(4.0), F.col("__level")))).cast("long")
     first = (F.col("__x") == at(F.greatest(own["west"], b["west"]))) & (F.col("__y") == at(F.greatest(own["south"], b["south"])))
     overlap = (own["west"] <= b["east"]) & (own["east"] >= b["west"]) & (own["south"] <= b["north"]) & (own["north"] >= b["south"])
-    pairs = left.join(right, ["__x", "__y"]).filter(overlap & first)
+    once = F.col("__level") == F.greatest("__way_level", "__box_level")
+    pairs = left.join(right, ["__level", "__x", "__y"]).filter(once & overlap & first)
     return pairs.filter(osm.meets_box(F.col("geometry"), *b.values())).select("area_id", *ways.columns)
 
 
