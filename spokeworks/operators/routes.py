@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -142,23 +144,72 @@ def scenario_report(metrics: DataFrame, sequences: DataFrame, scenarios: DataFra
     return rows.select("request_id", (F.size(failed) == 0).alias("ok"), failed.alias("failed"))
 
 
-def serve_routes(log: DataFrame, routes: DataFrame) -> DataFrame:
+class Rotation(NamedTuple):
+    """What later logs need of earlier ones.
+
+    keys: cache_key, epoch, leader and taken, the requests that got a route of the leader's; one row with a null
+    key and leader holds the number of refreshes so far. turns: leader, route_id and turn of the leaders in keys.
+    """
+
+    keys: DataFrame
+    turns: DataFrame
+
+
+def save_rotation(state: Rotation, path: str) -> None:
+    """Into a new folder."""
+    state.keys.write.mode("errorifexists").parquet(f"{path}/keys")
+    state.turns.write.mode("errorifexists").parquet(f"{path}/turns")
+
+
+def load_rotation(spark: SparkSession, path: str) -> Rotation:
+    return Rotation(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/turns"))
+
+
+def serve_routes(log: DataFrame, routes: DataFrame, state: Rotation | None = None) -> DataFrame:
     """The route that each request of a log gets, in rotation.
 
     log: request_id, ts, cache_key and refresh (whether the lanes changed just before it). routes:
-    request_id, route_id of what a search for that request finds. Within a key, and until the next
-    refresh of any, the first request that finds routes leads: its routes are shuffled once, and it and
-    later requests of the key get them in turn. Requests before it find none: status no_route. Refreshes
-    and ranks are counted over ranges of the log, so neither a day nor a popular key lies in one task.
+    request_id, route_id of what a search for that request finds. state: what ``rotation_after`` gave for the
+    log before this one. Within a key, and until the next refresh of any, the first request that finds routes
+    leads: its routes are shuffled once, and it and later requests of the key get them in turn. Requests
+    before it find none: status no_route. Refreshes and ranks are counted over ranges of the log, so
+    neither a day nor a popular key lies in one task.
+    """
+    rows, placed, _ = _turns(log, routes, state)
+    served = rows.join(placed, ["leader", "turn"], "left")
+    return served.select("request_id", "cache_key", "epoch", F.when(F.col("route_id").isNull(), "no_route").otherwise("served").alias("status"), "route_id", "turn")
+
+
+def rotation_after(log: DataFrame, routes: DataFrame, state: Rotation | None = None) -> Rotation:
+    """The state after a log, for the next one: the leaders since the last refresh and how often they were served.
+
+    It holds the keys since the last refresh only. A null key of a log's own is none that leads.
     """
+    rows, placed, before = _turns(log, routes, state)
+    epoch = before + (log.agg(F.count_if("refresh")).first()[0] or 0)
+    own = rows.filter((F.col("epoch") == epoch) & F.col("turn").isNotNull()).groupBy("cache_key", "epoch", "leader").agg(F.max("taken").alias("taken"))
+    mark = log.sparkSession.range(1).select(F.lit(None).cast(log.schema["cache_key"].dataType).alias("cache_key"), F.lit(epoch).cast("long").alias("epoch"), F.lit(None).cast(log.schema["request_id"].dataType).alias("leader"), F.lit(0).cast("long").alias("taken"))
+    keys = own.filter("cache_key is not null")
+    if state is not None:
+        keys = keys.unionByName(state.keys.filter(F.col("leader").isNotNull() & (F.col("epoch") == epoch)).join(own.select("cache_key"), "cache_key", "left_anti"))
+    return Rotation(keys.unionByName(mark), placed.join(keys.select("leader"), "leader", "left_semi"))
+
+
+def _turns(log: DataFrame, routes: DataFrame, state: Rotation | None) -> tuple[DataFrame, DataFrame, int]:
+    """The log with epoch, leader, taken (requests of the key that were served so far) and turn; turns of all leaders; refreshes before the log."""
     key = ["cache_key", "epoch"]
-    epochs = running_sum(log, ["ts", "request_id"], F.col("refresh").cast("int"), "epoch")
+    before = 0 if state is None else state.keys.agg(F.max("epoch")).first()[0] or 0
+    epochs = running_sum(log, ["ts", "request_id"], F.col("refresh").cast("int"), "epoch").withColumn("epoch", F.col("epoch") + before)
     some = routes.select("request_id").distinct().withColumn("some", F.lit(True))
-    placed_log = running_sum(epochs.join(some, "request_id", "left"), [*key, "ts", "request_id"], F.lit(1), "rank")  # over all keys; only differences count
-    rows = placed_log.withColumn("leads", F.coalesce("some", F.lit(False)))
-    leader = rows.filter("leads").groupBy(*key).agg(F.min_by(F.struct(F.col("request_id").alias("leader"), F.col("rank").alias("first")), "rank").alias("l")).select(*key, "l.*")
+    rows = running_sum(epochs.join(some, "request_id", "left"), [*key, "ts", "request_id"], F.lit(1), "rank")  # over all keys; only differences count
+    leads = F.when(F.col("some"), F.struct(F.col("rank").alias("first"), F.col("request_id").alias("leader")))
+    leader = rows.groupBy(*key).agg(F.min(leads).alias("l"), F.min("rank").alias("least")).select(*key, "l.first", "l.leader", "least", F.lit(0).cast("long").alias("earlier"))
     placed = shuffle_routes(routes).select(F.col("request_id").alias("leader"), "route_id", F.col("shuffled").cast("long").alias("turn"))
+    if state is not None:
+        old = state.keys.filter("leader is not null").select(*key, F.col("leader").alias("old"), "taken")
+        carried = F.col("old").isNotNull()
+        leader = leader.join(old, key, "left").select(*key, F.when(carried, F.col("least")).otherwise(F.col("first")).alias("first"), F.when(carried, F.col("old")).otherwise(F.col("leader")).alias("leader"), F.coalesce("taken", F.lit(0).cast("long")).alias("earlier"))
+        placed = placed.unionByName(state.turns.select("leader", "route_id", "turn"))
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    turns = rows.join(leader.join(sizes, "leader"), key, "left").withColumn("turn", F.when(F.col("rank") >= F.col("first"), F.pmod(F.col("rank") - F.col("first"), F.col("n"))))
-    served = turns.join(placed, ["leader", "turn"], "left")
-    return served.select("request_id", "cache_key", "epoch", F.when(F.col("route_id").isNull(), "no_route").otherwise("served").alias("status"), "route_id", "turn")
+    led = rows.join(leader.select(*key, "first", "leader", "earlier").join(sizes, "leader"), key, "left").withColumn("taken", F.when(F.col("rank") >= F.col("first"), F.col("rank") - F.col("first") + 1 + F.col("earlier")))
+    return led.withColumn("turn", F.pmod(F.col("taken") - 1, F.col("n"))), placed, before

@@ -376,14 +376,18 @@ select r.request_id, r.cache_key, r.epoch::bigint as epoch, case when p.route_id
 from ranked r left join placed p on p.cache_key = r.cache_key and p.epoch = r.epoch and r.rank >= p.first and (r.rank - p.first) % p.n = p.turn"""
 
 
-def _served(spark, sf):
+def _asked(spark, sf):
     """Events ask for the routes of a supplier's request; those of every fifth request find none themselves."""
     log = d.read(spark, sf, "events").select(c("event_id").alias("request_id"), F.expr("user_id * 2 div 3").alias("asked"), "ts", (c("event_id") % 997 == 996).alias("refresh"))
     asked = d.requests(spark, sf).select(c("request_id").alias("asked"), geo.route_cache_key(c("start_lon"), c("start_lat"), c("max_gap_m")).alias("cache_key"))
     log = log.join(asked, "asked")
     found = d.segments(spark, sf).select(c("request_id").alias("asked"), "route_id").distinct()
     own = log.filter("asked % 5 > 0").join(found, "asked").select("request_id", "route_id")
-    return routes.serve_routes(log.drop("asked"), own)
+    return log.drop("asked"), own
+
+
+def _served(spark, sf):
+    return routes.serve_routes(*_asked(spark, sf))
 
 
 @add("w5_serve_round_robin", "with requests as (select * from (" + sql("select * from requests", "requests") + ")), segments as (select * from (" + sql("select * from segments", "segments") + "))" + _SERVE.replace("select r.request_id, r.cache_key", "select r.cache_key").replace("r.epoch::bigint as epoch, case when p.route_id is null then 'no_route' else 'served' end as status, p.route_id, p.turn", "p.turn, count(*) as n") + " group by all")
@@ -396,6 +400,18 @@ def g8(spark, sf):
     return _served(spark, sf)
 
 
+@add("g8_serve_in_parts", "with requests as (select * from (" + sql("select * from requests", "requests") + ")), segments as (select * from (" + sql("select * from segments", "segments") + "))" + _SERVE)
+def g8_parts(spark, sf):
+    """The log as two logs, the second from the middle of the time on, with the state that the first leaves."""
+    log, own = _asked(spark, sf)
+    middle = log.agg(F.timestamp_micros(F.expr("(unix_micros(min(cast(ts as timestamp))) + unix_micros(max(cast(ts as timestamp)))) div 2")).alias("middle"))
+    halves = cut(log.join(F.broadcast(middle), F.lit(True)).withColumn("later", c("ts").cast("timestamp") >= c("middle")))
+    parts = [halves.filter(c("later") == later).drop("later", "middle") for later in (False, True)]
+    found = [cut(own.join(part.select("request_id"), "request_id", "left_semi")) for part in parts]
+    state = routes.Rotation(*map(cut, routes.rotation_after(parts[0], found[0])))
+    return routes.serve_routes(parts[0], found[0]).unionByName(routes.serve_routes(parts[1], found[1], state))
+
+
 @add("w6_choose_next_hop", "select src, arg_min(dst, struct_pack(g := is_gap, h := md5('1|0|' || src || '|0|1|' || dst))) as dst from adj group by 1", "adj")
 def w6(spark, sf):
     """Walks from every node that are long enough after one hop."""

@@ -72,6 +72,36 @@ def test_nearest_node_equals_a_check_of_all(spark):
     assert requests.nearest_node(points, nodes.limit(0)).count() == 0 and requests.nearest_node(points.limit(0), nodes).count() == 0
 
 
+def test_far_points_and_all_levels_give_the_nearest_node(spark, monkeypatch):
+    monkeypatch.setattr(requests, "TOP_CELLS", 4)
+    rng = random.Random(8)
+    at = [(k, rng.choice((-170.0, 10.0, 13.4)) + rng.uniform(0, 0.3), rng.uniform(-40, 60), k % 7) for k in range(400)]
+    at += [(1000 + k, 5.0 + math.cos(k) * 2, 5.0 + math.sin(k) * 2, 1000 + k) for k in range(100)]  # about equally far from one point
+    nodes = spark.createDataFrame([*at, (3000, None, 1.0, 0)], "node long, lon double, lat double, node_ord long")
+    asked = [(k, rng.uniform(-179, 179), rng.uniform(-89, 89)) for k in range(60)] + [(60, 5.0, 5.0), (61, *at[0][1:3])]
+    points = spark.createDataFrame([*asked, (70, None, 0.0), (71, math.nan, 0.0)], "request_id long, lon double, lat double")
+    least = {r: min((n[1] - x) ** 2 + (n[2] - y) ** 2 for n in at) for r, x, y in asked}
+    places = {n: (x, y, o) for n, x, y, o in at}
+    for few in (200_000, 0):
+        monkeypatch.setattr(requests, "MOST_CELLS", few)
+        found = dict(map(tuple, requests.nearest_node(points, nodes).collect()))
+        assert set(found) == set(least)
+        assert all((places[found[r]][0] - x) ** 2 + (places[found[r]][1] - y) ** 2 == least[r] for r, x, y in asked)
+
+
+def test_gaps_of_a_crowded_cell_are_dealt_to_tasks_and_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    at = [(k, rng.uniform(0, 0.003), rng.uniform(0, 0.001), k) for k in range(300)] + [(300 + k, rng.uniform(-0.01, 0.01), rng.uniform(-0.01, 0.01), 300 + k // 2) for k in range(200)]
+    nodes = spark.createDataFrame(at, "node long, lon double, lat double, node_ord long")
+    pairs = lambda: {(r.u, r.v): r.distance_m for r in network.gap_candidates(nodes, 60.0).collect()}
+    plain = pairs()
+    monkeypatch.setattr(network, "CELL_NODES", 20)
+    assert pairs() == plain
+    rows = nodes.select(F.lit(60.0).alias("gap"), F.struct("*").alias("a")).crossJoin(nodes.select(F.struct("*").alias("b"))).filter("struct(a.node_ord, a.node) < struct(b.node_ord, b.node)")
+    near = geo.in_degree_box(F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat"), F.col("gap")) & (geo.equirect_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) <= 60.0)
+    assert set(plain) == {tuple(r) for r in rows.filter(near).select("a.node", "b.node").collect()} and len(plain) > 5000
+
+
 def test_places_and_sums_over_ranges(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 50), k, rng.randint(-3, 9)) for k in range(500)]
@@ -321,6 +351,22 @@ def test_extracted_ways_equal_a_check_of_all_pairs(spark):
     assert {("0", r.lane_seq) for r in kept} == {x for x in found if x[0] == "0"}
 
 
+def test_ways_across_continents_make_tens_of_rows_and_meet_boxes_of_all_sizes(spark):
+    rng = random.Random(5)
+    size = lambda: 10 ** rng.uniform(-4, 1.5)
+    lines = [[(x := rng.uniform(-9, 9), y := rng.uniform(-9, 9)), (x + size(), y + size() / 9)] for _ in range(150)]
+    lines.append([(-170.0, -70.0), (170.0, 70.0)])
+    boxes = [(str(k), w := rng.uniform(-9, 9), s := rng.uniform(-9, 9), w + size(), s + size()) for k in range(60)]
+    kind = "id string, west double, south double, east double, north double"
+    made = areas.extract_areas(lanes(spark, *lines), spark.createDataFrame(boxes, kind)).select("area_id", "lane_seq").collect()
+    table = lanes(spark, *lines)
+    want = {(b, r.lane_seq) for b, *box in boxes for r in table.filter(osm.meets_box(F.col("geometry"), *map(F.lit, box))).select("lane_seq").collect()}
+    assert {tuple(r) for r in made} == want and len(made) == len(want) > 60
+    for box in ((-170.0, 170.0, -70.0, 70.0), (0.0, 0.0, 0.0, 0.0), (-0.01, 3.0, 5.0, 5.0)):
+        level, cells = areas.cover({c: F.lit(v) for c, v in zip(("west", "east", "south", "north"), box, strict=True)}, 0.05)
+        assert sum(len(spark.range(1).select(cells(F.lit(k))).first()[0]) for k in range(spark.range(1).select(level).first()[0], areas.LEVELS)) < 100
+
+
 def test_areas_are_upserted_pruned_with_their_lanes_and_read_again(spark, tmp_path):
     kind = "id string, west double, south double, east double, north double, fetched_at timestamp_ntz"
     old = spark.sql("select * from values ('a', 0D, 0D, 1D, 1D, timestamp '2024-01-01'), ('b', 0D, 0D, 1D, 1D, timestamp '2024-01-09') as t(id, west, south, east, north, fetched_at)")
@@ -368,6 +414,26 @@ def test_serving_over_several_days_counts_refreshes_of_all_before(spark):
     assert [rows[k].turn for k in (0, 2, 4, 6, 8, 10)] == [0, 1, 2, 0, 1, 0]
 
 
+def test_a_log_served_in_parts_gives_the_rows_of_the_whole(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, f"k{rng.randrange(4)}", rng.random() < 0.04) for k in range(150)]
+    log = spark.createDataFrame(rows, "request_id long, cache_key string, refresh boolean").withColumn("ts", F.timestamp_seconds(F.col("request_id") * 7 + 1_700_000_000))
+    found = spark.createDataFrame([(k, f"r{k}{i}") for k in range(150) if k % 3 for i in range(k % 5 + 1)], "request_id long, route_id string")
+    rows_of = lambda served: sorted(map(str, served.collect()))
+    whole = rows_of(routes.serve_routes(log, found))
+    state, parts = None, []
+    for k, (low, high) in enumerate(((0, 61), (61, 62), (62, 62), (62, 110), (110, 150))):
+        part = log.filter((F.col("request_id") >= low) & (F.col("request_id") < high))
+        own = found.join(part.select("request_id"), "request_id", "left_semi")
+        parts += routes.serve_routes(part, own, state).collect()
+        routes.save_rotation(routes.rotation_after(part, own, state), str(tmp_path / str(k)))
+        state = routes.load_rotation(spark, str(tmp_path / str(k)))
+        assert state.keys.groupBy("cache_key").count().filter("count > 1").isEmpty()
+        leaders = {r.leader for r in state.keys.collect() if r.leader is not None}
+        assert {r.leader for r in state.turns.collect()} == leaders
+    assert sorted(map(str, parts)) == whole and any("epoch=3" in r for r in whole)
+
+
 def test_gpx_escapes_names_and_numbers_are_short(spark):
     seg = spark.createDataFrame([(1, "a", 0, [(1.5, 2.0), (1.25, -0.00012)], "bike_lane", 3.0, 1, 2)], "request_id long, route_id string, seg_idx int, geometry array<struct<lon: double, lat: double>>, type string, distance_m double, src long, dst long")
     text = routes.routes_to_gpx(seg, F.lit("a<b&c")).first().gpx
