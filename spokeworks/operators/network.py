@@ -167,7 +167,8 @@ def usable(max_gap_m: Column) -> Column:
 
 
 def build_graph(lanes: DataFrame, max_gap_m: float) -> Graph:
-    nodes, lane_edges = build_nodes(lanes), build_lane_edges(lanes)
+    """Nodes and lane edges are made once, however often they are met."""
+    nodes, lane_edges = cut(build_nodes(lanes)), cut(build_lane_edges(lanes))
     return Graph(nodes, lane_edges.unionByName(exclude_connected(gap_candidates(nodes, max_gap_m), lane_edges)))
 
 

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import md5
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ LEVELS = range(0, 15, 2)
 MOST_BLOCKS = 200_000
 #: Nodes whose hops a worker holds as tuples at once.
 MOST_NEAR = 50_000
-#: States of a block that one task moves, on average.
-STATES = 4000
+#: States of a block that one task moves, on average; each task gets a copy of the block's hops.
+STATES = 50_000
+#: Shortest paths are looked for within these parts of the longest way, one after another, until all starts are reached.
+PARTS = (8, 2, 1)
 HOP = ["src", "dst", "edge_id", "distance_m", "is_gap", "dlon", "dlat"]
 PATH = "array<struct<src: bigint, dst: bigint, edge_id: string, distance_m: double, is_gap: boolean>>"
 WALKER = ["request_id", "cand_ord", "attempt"]
@@ -71,6 +75,17 @@ class Hops:
         self.ends = np.append(first, len(src))
         self.columns = [table[c].combine_chunks().take(pa.array(order)) for c in HOP[1:]]
         self.near: dict[int, tuple[list[tuple], list[tuple]]] = {}
+        self.fits: dict[tuple[int, float], tuple[list[tuple], list[tuple]]] = {}
+
+    def fit(self, node: int, gap: float) -> tuple[list[tuple], list[tuple]] | tuple[()]:
+        """As ``get``, of the hops that are usable with a tolerance."""
+        if (known := self.fits.get((node, gap))) is not None:
+            return known
+        out = tuple([h for h in near if usable(h, gap)] for near in self.get(node))
+        if len(self.fits) >= MOST_NEAR:
+            self.fits.clear()
+        self.fits[node, gap] = out
+        return out
 
     def get(self, node: int) -> tuple[list[tuple], list[tuple]] | tuple[()]:
         """Neighbours of a node: lanes and gaps, each as (dst, edge_id, distance_m, is_gap, dlon, dlat)."""
@@ -95,6 +110,20 @@ def usable(hop: tuple, gap: float) -> bool:
     return not hop[3] or hop[2] <= gap and abs(hop[5]) <= reach and abs(hop[4]) <= reach * 2
 
 
+@lru_cache(maxsize=1)
+def _kept() -> dict[str, Hops]:
+    return {}
+
+
+def whole_hops(name: str, table: pa.Table) -> Hops:
+    """The hops of a broadcast graph, which the tasks of one worker share."""
+    kept = _kept()
+    if name not in kept:
+        kept.clear()
+        kept[name] = Hops(table)
+    return kept[name]
+
+
 class Blocks:
     """A graph's hops, broadcast as one block where they are few, or by block.
 
@@ -104,6 +133,7 @@ class Blocks:
     """
 
     def __init__(self, adj: DataFrame):
+        self.name = uuid4().hex
         few = adj.count() <= MOST_HOPS
         self.whole = adj.sparkSession.sparkContext.broadcast(adj.select(*HOP).toArrow()) if few else None
         if few:
@@ -130,32 +160,33 @@ class Blocks:
             rows = rows.join(F.broadcast(squares), block_of(F.col(at), k) == F.col(own[-1]), "left")
         return rows.withColumn("__block", F.coalesce(*own, alone)).drop(*own)
 
-    def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[dict]], schema: str, key: list[str], at: str = "cur") -> DataFrame:
-        """The rows that ``work`` gives for the states at the nodes of one block, its hops, and the test for its nodes.
+    def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[pa.RecordBatch]], schema: str, key: list[str], at: str = "cur", weight: Column | None = None) -> DataFrame:
+        """The batches that ``work`` gives for the states at the nodes of one block, its hops, and the test for its nodes.
 
         key: columns that tell states apart; those of a crowded block are dealt to several tasks by them.
+        weight: how many states a row stands for.
         """
         kind = _arrow(states.sparkSession, schema)
         if self.whole is not None:
-            shared = self.whole
+            shared, name = self.whole, self.name
 
             def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hops = None
                 for batch in batches:
-                    hops = Hops(shared.value) if hops is None else hops
-                    for part in _batches(work(batch.to_pylist(), hops, lambda node: True), kind):
-                        yield part
+                    hops = whole_hops(name, shared.value) if hops is None else hops
+                    yield from work(batch.to_pylist(), hops, lambda node: True)
 
-            return states.repartition(*key).mapInArrow(move, schema)
+            # a number that is named isn't lowered for rows that are few and small, as these are before the search
+            return states.repartition(4 * states.sparkSession.sparkContext.defaultParallelism, *key).mapInArrow(move, schema)
 
         def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.drop_columns(["__block", "__share"]).to_pylist()
             home = left["__block"][0].as_py() if rows else None
-            return pa.Table.from_batches(_batches(work(rows, Hops(right), lambda node: in_block(node, home)), kind), kind)
+            return pa.Table.from_batches(work(rows, Hops(right), lambda node: in_block(node, home)), kind)
 
         # a block that few states lie in is met in one task, a crowded one in as many as its states need
         placed = self.placed(states, at)
-        crowds = placed.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / STATES).cast("long").alias("__tasks"))
+        crowds = placed.groupBy("__block").agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / STATES).cast("long").alias("__tasks"))
         left = placed.join(crowds, "__block").withColumn("__share", F.pmod(F.xxhash64(*key), F.col("__tasks"))).drop("__tasks")
         tasks = left.select(F.col("__block").alias("__b"), F.col("__share").alias("__s")).distinct()
         right = self.hops.join(tasks, F.col("__block") == F.col("__b")).drop("__b").withColumnRenamed("__s", "__share")
@@ -200,10 +231,10 @@ def walkers(starts: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     return starts.select("request_id", "cand_ord", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"), F.col("node").alias("start"), F.col("node").alias("cur"), "max_gap_m", "min_distance_m", "max_distance_m", F.lit(0.0).alias("total"), empty.alias("path"), F.lit(False).alias("done"))
 
 
-def free_hops(near: list[tuple], walker: dict, met: set, loop: bool) -> list[tuple]:
-    """The hops that a walker may take: to nodes that it hasn't met, or for loops by edges that it hasn't used."""
-    fresh = (lambda h: h[1] not in met) if loop else (lambda h: h[0] not in met)
-    return [h for h in near if usable(h, walker["max_gap_m"]) and fresh(h)]
+def free_hops(near: list[tuple], met: set, loop: bool) -> list[tuple]:
+    """Of hops that a walker can use those that it may take: to nodes that it hasn't met, or for loops by edges that it hasn't used."""
+    used = 1 if loop else 0
+    return [h for h in near if h[used] not in met]
 
 
 def met_by(walker: dict, loop: bool) -> set:
@@ -221,8 +252,8 @@ def walk(walker: dict, hops: Hops, inside: Callable[[int], bool], loop: bool, se
             return None
         if not inside(walker["cur"]):
             return walker
-        for near in hops.get(walker["cur"]):
-            if free := free_hops(near, walker, met, loop):
+        for near in hops.fit(walker["cur"], walker["max_gap_m"]):
+            if free := free_hops(near, met, loop):
                 break
         else:
             return None
@@ -242,24 +273,51 @@ def walk(walker: dict, hops: Hops, inside: Callable[[int], bool], loop: bool, se
             return walker
 
 
-def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
+def walks(adj: DataFrame | Blocks, starts: DataFrame, loop: bool, attempts: int = ATTEMPTS, seed: int = 1, repeats: bool = True) -> DataFrame:
     """Steps of random walks from each start, ``attempts`` each.
 
     Without ``loop`` a walk never meets a node twice and ends when it is min_distance_m long. With it,
     no edge is used twice; it ends on return to the start, which must not come before min_distance_m,
     and dies on a step beyond max_distance_m. Choices are uniform by hash and the same in each run.
     The search goes on until no walker is left: as nodes or edges are used up, every walk ends. A round
-    moves the walkers until they leave their block.
+    moves the walkers until they leave their block. The walks of a start begin in one task as one row.
+
+    repeats: without them, walks that a task finds to repeat the route of an earlier attempt are left out,
+    as ``distinct_routes`` would do; others that repeat one may remain.
     """
-    blocks, state = Blocks(adj), walkers(starts, attempts)
+    blocks = blocks_of(adj)
+    state = cut(walkers(starts, 1).withColumn("attempt", F.lit(0)))  # 0: all of them
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
+    kind = _arrow(state.sparkSession, schema)
     out = None
 
-    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
-        return (w for row in rows if (w := walk(row, hops, inside, loop, seed)))
+    def each(rows: list[dict]) -> Iterator[dict]:
+        for row in rows:
+            if row["attempt"]:
+                yield row
+            else:
+                yield from (row | {"attempt": k, "path": []} for k in range(1, attempts + 1))
+
+    def moved_on(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+        seen: set[tuple] = set()
+        for row in each(rows):
+            if (w := walk(row, hops, inside, loop, seed)) is None:
+                continue
+            if w["done"] and not repeats:
+                route = (w["request_id"], w["cand_ord"], *(s["src"] for s in w["path"]))
+                if route in seen:
+                    continue
+                if len(seen) >= MOST_NEAR:
+                    seen.clear()
+                seen.add(route)
+            yield w
+
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[pa.RecordBatch]:
+        return _batches(moved_on(sorted(rows, key=lambda row: row["attempt"]), hops, inside), kind)
 
     while True:
-        moved = cut(blocks.apply(state, work, schema, WALKER))
+        weight = F.when(F.col("attempt") == 0, attempts).otherwise(1)
+        moved = cut(blocks.apply(state, work, schema, WALKER, weight=weight))
         done = steps_of(moved.filter("done"))
         out = done if out is None else out.unionByName(done)
         state = moved.filter("not done")
@@ -267,16 +325,25 @@ def walks(adj: DataFrame, starts: DataFrame, loop: bool, attempts: int = ATTEMPT
             return out
 
 
+def blocks_of(adj: DataFrame | Blocks) -> Blocks:
+    return adj if isinstance(adj, Blocks) else Blocks(adj)
+
+
 def unvisited(adj: DataFrame, state: DataFrame, loop: bool = False) -> DataFrame:
     """The hops (WALKER, dst, edge_id) that each walker (as ``walkers`` gives them, with a path) may take from its node."""
 
-    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+    schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in WALKER) + ", dst bigint, edge_id string"
+    kind = _arrow(adj.sparkSession, schema)
+
+    def taken(rows: list[dict], hops: Hops) -> Iterator[dict]:
         for w in rows:
             met = met_by(w, loop)
-            for near in hops.get(w["cur"]):
-                yield from ({c: w[c] for c in WALKER} | {"dst": h[0], "edge_id": h[1]} for h in free_hops(near, w, met, loop))
+            for near in hops.fit(w["cur"], w["max_gap_m"]):
+                yield from ({c: w[c] for c in WALKER} | {"dst": h[0], "edge_id": h[1]} for h in free_hops(near, met, loop))
+
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[pa.RecordBatch]:
+        return _batches(taken(rows, hops), kind)
 
-    schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in WALKER) + ", dst bigint, edge_id string"
     return Blocks(adj).apply(state, work, schema, WALKER)
 
 
@@ -297,30 +364,40 @@ def settle(best: dict[int, tuple], news: list[tuple[int, tuple]], hops: Hops, in
     """Shortest ways of one search within a block, from known ones and new ones: (ways that got better, ways to nodes outside)."""
     better: dict[int, tuple] = {}
     beyond: dict[int, tuple] = {}
-    heap = [(rank(way), node, way) for node, way in news]
+    heap = [(*rank(way), node, way) for node, way in news]
     heapq.heapify(heap)
-    worse = lambda node, way: (known := better.get(node) or best.get(node)) is not None and rank(known) <= rank(way)
+    found = {node: rank(way) for node, way in best.items()}  # the best rank so far, settled or in the heap
+    for node, way in news:
+        if node not in found or rank(way) < found[node]:
+            found[node] = rank(way)
+    none = (float("inf"),)
     while heap:
-        _, node, way = heapq.heappop(heap)
-        if worse(node, way):
+        dist, n, following, node, way = heapq.heappop(heap)
+        if node in better or (dist, n, following) > found[node]:
+            continue
+        known = best.get(node)
+        if known is not None and rank(known) <= (dist, n, following):
             continue
-        known = better.get(node) or best.get(node)
         better[node] = way
         if known and known[:2] == way[:2]:
             continue  # a tie changes the next node only
-        for h in (h for near in hops.get(node) for h in near):
-            if way[0] + h[2] > most or not usable(h, gap):
-                continue
-            new = (way[0] + h[2], way[1] + 1, node, h[1:4])
-            if not inside(h[0]):
-                if h[0] not in beyond or rank(new) < rank(beyond[h[0]]):
-                    beyond[h[0]] = new
-            elif not worse(h[0], new):
-                heapq.heappush(heap, (rank(new), h[0], new))
+        for near in hops.fit(node, gap):
+            for h in near:
+                far, to = dist + h[2], h[0]
+                if far > most:
+                    continue
+                new = (far, n + 1, node)
+                if new >= found.get(to, none):
+                    continue
+                found[to] = new
+                if inside(to):
+                    heapq.heappush(heap, (*new, to, (*new, h[1:4])))
+                else:
+                    beyond[to] = (*new, h[1:4])
     return better, beyond
 
 
-def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
+def shortest_trees(adj: DataFrame | Blocks, ends: DataFrame) -> DataFrame:
     """Shortest ways from every node to each end (end_node, max_gap_m, max_distance_m): TREE without most, with the hop to next.
 
     The graph is undirected, so one search per distinct end serves all starts. A round settles each
@@ -328,12 +405,13 @@ def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
     known ways are read again only for blocks that are reached anew. Ties take fewer hops, then the
     smaller next node.
     """
-    blocks = Blocks(adj)
+    blocks = blocks_of(adj)
     bounds = ends.groupBy("end_node", "max_gap_m").agg(F.max("max_distance_m").alias("most"))
     news = bounds.select(*SEARCH, F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("boolean").alias("is_gap"), F.lit("new").alias("state"))
     schema = TREE + ", state string"
+    kind = _arrow(ends.sparkSession, schema)
 
-    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[dict]:
+    def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[pa.RecordBatch]:
         searches: dict[tuple, tuple[dict, list]] = {}
         for r in rows:
             best, fresh = searches.setdefault(tuple(r[c] for c in SEARCH), ({}, []))
@@ -345,8 +423,10 @@ def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
         for key, (best, fresh) in searches.items():
             better, beyond = settle(best, fresh, hops, inside, key[1], key[2])
             for state, ways in (("known", better), ("new", beyond)):
-                for node, (dist, n, following, edge) in ways.items():
-                    yield dict(zip(SEARCH, key, strict=True)) | {"node": node, "dist": dist, "hops": n, "next": following, "edge_id": edge[0], "distance_m": edge[1], "is_gap": edge[2], "state": state}
+                if ways:
+                    dist, n, following, edge = zip(*ways.values(), strict=True)
+                    columns = [*([k] * len(ways) for k in key), list(ways), dist, n, following, *zip(*edge, strict=True), [state] * len(ways)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types, strict=True)], schema=kind)
 
     known: list[DataFrame] = []
     while True:
@@ -372,28 +452,43 @@ def shortest_trees(adj: DataFrame, ends: DataFrame) -> DataFrame:
     return ways.groupBy("end_node", "max_gap_m", "node").agg(least).select("end_node", "max_gap_m", "node", "b.*")
 
 
-def shortest_paths(adj: DataFrame, starts: DataFrame) -> DataFrame:
+def shortest_paths(adj: DataFrame | Blocks, starts: DataFrame) -> DataFrame:
     """Steps of the shortest path from each start to its end_node if its length is within the start's bounds; none from the end itself.
 
-    Paths are read off the trees by doubling: after round k a row of the table spans up to 2**k hops, so
-    the longest path takes as many rounds as its length has binary digits.
+    Ends are searched within an eighth of the longest way first, then, for starts that aren't reached, within
+    half and all of it: what lies within a bound is settled by a search of that bound, so the trees are
+    no larger than the paths ask for. Paths are read off the trees by doubling: after round k a row of
+    the table spans up to 2**k hops, so the longest path takes as many rounds as its length has binary digits.
     """
-    wanted = starts.filter("end_node is not null and node <> end_node")
-    trees = cut(shortest_trees(adj, wanted.select("end_node", "max_gap_m", "max_distance_m")))
-    by = ["end_node", "max_gap_m"]
-    reached = cut(wanted.join(trees.select(*by, "node", "dist", "hops"), [*by, "node"]).filter("dist between min_distance_m and max_distance_m"))
+    blocks, by = blocks_of(adj), ["end_node", "max_gap_m"]
+    left = cut(starts.filter("end_node is not null and node <> end_node"))
+    columns = [*by, "node", "request_id", "cand_ord", "dist", "hops"]
+    reached = trees = None
+    for part in PARTS:
+        bound = F.col("max_distance_m") / part
+        found = cut(shortest_trees(blocks, left.select(*by, bound.alias("max_distance_m"))))
+        met = cut(left.join(found.select(*by, "node", "dist", "hops"), [*by, "node"]))
+        own = met.filter("dist between min_distance_m and max_distance_m").select(*columns, F.lit(part).alias("part"))
+        tree = found.filter("next is not null").join(own.select(*by).distinct(), by, "left_semi").withColumn("part", F.lit(part))
+        reached = own if reached is None else reached.unionByName(own)
+        trees = tree if trees is None else trees.unionByName(tree)
+        left = cut(left.join(met.select("request_id", "cand_ord"), ["request_id", "cand_ord"], "left_anti"))
+        if left.isEmpty():
+            break
+    by = [*by, "part"]
+    trees = cut(trees)
     # the nodes of all wanted paths: each round adds those that lie as many hops on as are known already
-    jumps = trees.filter("next is not null").select(*by, "node", F.col("next").alias("to"))
-    own = reached.select(*by, "node", "request_id", "cand_ord", F.lit(0).alias("seg_idx"), "hops")
+    jumps = trees.select(*by, "node", F.col("next").alias("to"))
+    own = cut(reached.select(*by, "node", "request_id", "cand_ord", F.lit(0).alias("seg_idx"), "hops"))
     span = 1
-    longest = reached.agg(F.max("hops")).first()[0] or 0
+    longest = own.agg(F.max("hops")).first()[0] or 0
     while span < longest:
         ahead = own.join(jumps, [*by, "node"]).select(*by, F.col("to").alias("node"), "request_id", "cand_ord", (F.col("seg_idx") + span).alias("seg_idx"), "hops").filter("seg_idx < hops")
         own = cut(own.unionByName(ahead))
         twice = jumps.withColumnRenamed("to", "mid").join(jumps.select(*by, F.col("node").alias("mid"), "to"), [*by, "mid"]).select(*by, "node", "to")
         jumps = cut(twice)
         span *= 2
-    hops = trees.filter("next is not null").select(*by, "node", F.col("next").alias("dst"), "edge_id", "distance_m", "is_gap")
+    hops = trees.select(*by, "node", F.col("next").alias("dst"), "edge_id", "distance_m", "is_gap")
     return own.join(hops, [*by, "node"]).select("request_id", "cand_ord", F.lit(1).alias("attempt"), "seg_idx", F.col("node").alias("src"), "dst", "edge_id", "distance_m", "is_gap")
 
 
@@ -411,12 +506,12 @@ def distinct_routes(steps: DataFrame) -> DataFrame:
     return steps.join(first, ROUTE, "left_semi")
 
 
-def explore(adj: DataFrame, starts: DataFrame) -> DataFrame:
-    return walks(adj, starts, loop=False)
+def explore(adj: DataFrame | Blocks, starts: DataFrame) -> DataFrame:
+    return walks(adj, starts, loop=False, repeats=False)
 
 
-def round_trip(adj: DataFrame, starts: DataFrame) -> DataFrame:
-    return walks(adj, starts, loop=True)
+def round_trip(adj: DataFrame | Blocks, starts: DataFrame) -> DataFrame:
+    return walks(adj, starts, loop=True, repeats=False)
 
 
 #: Strategies by request mode; ``register_strategy`` gives a table with more.
@@ -430,7 +525,7 @@ def register_strategy(mode: str, strategy: Strategy, strategies: dict[str, Strat
 
 def run_walks(adj: DataFrame, starts: DataFrame, loop: bool = False, attempts: int = ATTEMPTS, seed: int = 1) -> DataFrame:
     """Steps of the distinct routes of all attempts from each start."""
-    return distinct_routes(walks(adj, starts, loop, attempts, seed))
+    return distinct_routes(cut(walks(adj, starts, loop, attempts, seed, repeats=False)))
 
 
 def no_steps(starts: DataFrame) -> DataFrame:
@@ -444,10 +539,15 @@ def routes_from_candidates(adj: DataFrame, starts: DataFrame, strategies: dict[s
 
     Requests of a mode without a strategy have no routes; without requests there are no steps.
     """
-    out = no_steps(starts)
+    out, blocks = no_steps(starts), None
     for mode, strategy in (strategies or STRATEGIES).items():
         own = cut(starts.filter(F.col("mode") == mode))
-        if not own.isEmpty():
+        if own.isEmpty():
+            continue
+        if strategy in STRATEGIES.values():  # these share the blocks
+            blocks = blocks or Blocks(adj)
+            out = out.unionByName(strategy(blocks, own))
+        else:
             out = out.unionByName(strategy(adj, own))
     return cut(distinct_routes(cut(out)))
 

@@ -250,6 +250,39 @@ def test_walks_by_both_ways_are_the_same(spark, monkeypatch):
         assert first == {tuple(r) for r in search.walks(adj, starts, loop, attempts=12).collect()}
 
 
+def test_searches_on_a_broadcast_graph_are_dealt_to_several_tasks(spark):
+    adj = adjacency(spark, [(k, k + 1, 20.0, False) for k in range(40)])
+    ends = spark.createDataFrame([(k, 10.0, 100.0) for k in range(40)], "end_node long, max_gap_m double, max_distance_m double")
+    assert search.shortest_trees(adj, ends).rdd.getNumPartitions() >= 4
+    starts = spark.createDataFrame([(k, k, 0, 60.0, 50.0, 400.0) for k in range(40)], STARTS)
+    assert search.walks(adj, starts, loop=False, attempts=3).rdd.getNumPartitions() >= 4
+
+
+def test_repeated_routes_go_with_the_walks_of_a_start_and_none_besides(spark, monkeypatch):
+    rng = random.Random(9)
+    pairs = {tuple(sorted(rng.sample(range(12), 2))) for _ in range(20)}
+    adj = adjacency(spark, [(a, b, rng.randint(20, 90), False) for a, b in sorted(pairs)])
+    starts = spark.createDataFrame([(r, r, c, 60.0, 100.0, 400.0) for r in range(3) for c in range(2)], STARTS)
+    for most, loop in ((500_000, False), (0, True)):
+        monkeypatch.setattr(search, "MOST_HOPS", most)
+        every, few = (search.walks(adj, starts, loop, attempts=30, repeats=x) for x in (True, False))
+        assert {tuple(r) for r in search.distinct_routes(every).collect()} == {tuple(r) for r in search.distinct_routes(few).collect()}
+        n_few, n_every = (steps.select(*search.ROUTE).distinct().count() for steps in (few, every))
+        assert n_few < n_every or loop and n_few == n_every
+
+
+def test_shortest_paths_search_no_farther_than_starts_ask(spark, monkeypatch):
+    adj = adjacency(spark, [(k, k + 1, 20.0, False) for k in range(60)])
+    bounds, trees = [], search.shortest_trees
+    monkeypatch.setattr(search, "shortest_trees", lambda a, ends: bounds.append(ends.agg(F.max("max_distance_m")).first()[0]) or trees(a, ends))
+    for start, asked in ((3, [100.0]), (15, [100.0, 400.0]), (40, [100.0, 400.0, 800.0]), (41, [100.0, 400.0, 800.0])):
+        starts = spark.createDataFrame([(1, start, 0, 60.0, 0.0, 800.0, 0)], STARTS + ", end_node long")
+        steps = sorted(search.shortest_paths(adj, starts).collect(), key=lambda s: s.seg_idx)
+        assert [s.src for s in steps] == (list(range(start, 0, -1)) if start <= 40 else [])
+        assert bounds == asked
+        bounds.clear()
+
+
 @pytest.mark.parametrize("blocks", [False, True])
 def test_walks_and_shortest_ways_of_over_a_thousand_steps_are_whole(spark, blocks, monkeypatch):
     if blocks:
