@@ -27,8 +27,8 @@ OTHER = "other"
 FOLDS = 2
 #: Entries of all models that are broadcast at most, 12 bytes each.
 MOST_ENTRIES = 6_000_000
-#: Characters whose n-grams are counted, or looked up, together.
-BLOCK = 6_000_000
+#: Characters whose n-grams are counted, or looked up, together (about 60 bytes each in a Python worker); no result depends on them.
+BLOCK = 2_000_000
 LOOKED_UP = 1_500_000
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -76,8 +76,8 @@ def grams_of(texts: list[str], order: int = ORDER) -> Grams:
     real = np.repeat(np.tile([False, True], len(own)), np.stack([np.full(len(own), order - 1), lengths], axis=1).ravel())
     letters = np.zeros(int(codes.max()) + 1, bool)
     letters[codes] = True
-    digits, size = (np.cumsum(letters) - 1)[codes], int(letters.sum())
-    key, range_ = digits, size
+    digits, size = (np.cumsum(letters) - 1).astype(np.int32)[codes], int(letters.sum())
+    key, range_ = digits.astype(np.int64), size
     for k in range(1, order):
         if range_ * size >= 1 << 62:
             values, key = np.unique(key, return_inverse=True)

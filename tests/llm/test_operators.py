@@ -2,6 +2,7 @@ import bisect
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -275,6 +276,17 @@ def dense_kneser_ney(texts, order):
     return lambda gram: np.log(p(gram))
 
 
+def test_counting_ngrams_takes_bounded_memory():
+    words = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for k in range(3000)]
+    texts = [" ".join(random.Random(k).choices(words, k=1430)) for k in range(600)]
+    tracemalloc.start()
+    for a, b in perplexity.blocks(texts):
+        perplexity.grams_of(texts[a:b])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160e6  # 6 million characters in all
+
+
 @pytest.mark.parametrize("most", [perplexity.MOST_ENTRIES, 80])
 def test_models_and_scores_equal_the_dense_form_broadcast_and_by_joins(spark, most):
     rng = random.Random(5)
