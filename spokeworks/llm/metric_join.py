@@ -1,17 +1,16 @@
 """Exact near-duplicate join of shingle sets in the metric space of the Jaccard distance.
 
-Pivots make Voronoi regions: a document belongs to the pivot that it votes for if it lies within the
-radius r of it. Members of a region are linked through their pivot. By the triangle inequality any
-other document that links to a member lies within the region's radius plus r of its pivot, so these
-boundary documents are replicated to the region and meet the members whose distance to the pivot
-differs from theirs by r at most. What lies in no region goes on to the next round with new pivots;
-when a round makes no region, the rest meet each other.
-
-Nearly all pairs of texts share nothing and lie at distance 1, where no window leaves a pair out. So
-distances are looked for only where they can be below 1, under shared shingles: a pair of a given
-similarity shares one among the first few of each document in any order of all shingles. The order puts
-shingles that several documents hold last, so that common passages are hardly ever among the first.
-The order is a heuristic that changes no result.
+Nearly all pairs of texts share nothing and lie at distance 1, where no pivot leaves a pair out. So sets
+meet only where they can be near: a pair of a given similarity shares one among the first few shingles of
+each document in any order of all shingles. The order puts shingles that several documents hold last, so
+that common passages are hardly ever among the first. It is a heuristic that changes no result. Sets under
+a shingle are joined by a forest of pairs that their histograms leave possible, never by all such pairs;
+what chains of these join is a group, and no link leaves a group.
+
+Groups meet by whole sets, one task each, or are dealt to several tasks, and pivots make regions there: sets
+within r of a pivot are its region's and are linked through it. By the triangle inequality a set outside
+links only to members whose distance to the pivot differs from its own by r at most, so it meets these
+only, and what is in no region goes on to the next pivot. A task gives a forest of links, not all of them.
 """
 
 from __future__ import annotations
@@ -23,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, over_batches, table, text_of
-from .simhash import named_components
+from .simhash import components, named_components
 
 SEED = 42
 #: Bits of the bitmaps, and shingles marked in one at most: the most frequent.
@@ -35,10 +34,12 @@ BITMAP_BITS = 26
 MOST_MARKED = 1 << 23
 #: A key of more than one row in so many is hot; fewer keys than this are. Fewer rows than DEALT are no load for one task.
 HOT, DEALT = 1000, 100_000
-#: Tasks that share a hot key, members and boundary documents of a tile, and keys in an Arrow batch.
-SHARES, TILE, SLICE = 64, 256, 1 << 19
-#: Of the histograms that bound a pair's overlap, and sets of a bucket that meet in one task, and members of a region that is large.
-BINS, LARGEST, LARGE = 64, 2048, 8
+#: Tasks that share a hot key, sets of a group in one task, and keys in an Arrow batch.
+SHARES, TILE, SLICE = 64, 1024, 1 << 19
+#: Classes of the histograms that bound a pair's overlap, sets of a bucket that meet in one task, and one set in so many of a dealt group meets all of its parts.
+BINS, LARGEST, LARGE = 64, 8192, 8
+#: Shingles of a group's sets in one task, on average.
+HELD = 1 << 19
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -262,11 +263,6 @@ def keys_of(sets: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
     return rows.select(F.explode("keys").alias("key"), "fp", "n")
 
 
-def near(same: str, a: str, b: str, percent: float | Column) -> Column:
-    """Whether sets of sizes a and b with ``same`` common elements have the similarity."""
-    return 100 * F.col(same) >= percent * (F.col(a) + F.col(b) - F.col(same))
-
-
 def histograms(sets: DataFrame) -> DataFrame:
     """fp, n, h array<tinyint>: how many of a set's shingles lie in each of BINS classes, 127 at most."""
 
@@ -280,180 +276,194 @@ def histograms(sets: DataFrame) -> DataFrame:
     return over_batches(sets, [F.col("fp"), F.col("n"), F.col("s")], work, "fp binary, n long, h array<tinyint>")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, bins: DataFrame, percent: float | Column) -> DataFrame:
-    """Of ``pairs`` (a, b and others; many a for a b) those with the similarity, which may be a column of theirs, and n_a, n_b and same: the sizes of the two sets and of what they share.
-
-    Histograms go first, 64 bytes each: their difference is never more than that of the sets, so most
-    pairs that are too far apart never meet their whole sets.
-    """
-    named = lambda x, what: sets.select(F.col("fp").alias(x), F.col("s").alias(f"s_{x}")) if what == "s" else bins.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("h").alias(f"h_{x}"))
-    with_both = lambda rows, what: dealt_join(dealt_join(rows, named("b", what), "b"), named("a", what), "a")
-    apart = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
-    most = (F.col("n_a") + F.col("n_b") - apart) / 2
-    some = cut(with_both(pairs, "h").filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).drop("h_a", "h_b"))
-    return with_both(some, "s").withColumn("same", F.size(F.array_intersect("s_a", "s_b")).cast("long")).drop("s_a", "s_b").filter(near("same", "n_a", "n_b", percent))
-
-
-def distance(same: str, a: str, b: str) -> Column:
-    return 1 - F.col(same) / (F.col(a) + F.col(b) - F.col(same))
-
-
-def regions(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Members of the regions, pivots among them (fp, pivot, d), and the keys of the sets in no region.
-
-    In each round each key names one of its sets, the first in an order drawn anew, and a set votes for
-    the one that most of its keys name, so that a group of near sets votes for one of its own. It is a
-    member of that one's region if it is near enough; members and pivots leave. Rounds go on while there
-    are regions of LARGE members or more.
-    """
-    out = None
-    for k in range(rounds):
-        first = F.min(F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp"))
-        # keys that are held by one set only from now on vote for nothing
-        lows = cut(keys.groupBy("key").agg(first.alias("low"), F.count(F.lit(1)).alias("held")).filter("held > 1"))
-        seen = dealt_join(keys.select("key", F.col("fp").alias("a")), lows, "key", "held").groupBy("a", "low").agg(F.count(F.lit(1)).alias("c"))
-        votes = seen.groupBy("a").agg(F.max_by("low", F.struct("c", F.negative("low.h"))).alias("low"))
-        members = overlaps(cut(votes.select("a", F.col("low.fp").alias("b")).filter("a <> b")), sets, bins, percent)
-        members = cut(members.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), distance("same", "n_a", "n_b").alias("d")))
-        sizes = members.groupBy("pivot").count().agg(F.max("count")).first()[0] or 0
-        if not sizes:
-            break
-        pivots = members.select(F.col("pivot").alias("fp"), "pivot", F.lit(0.0).alias("d")).distinct()
-        found = members.unionByName(pivots)
-        out = found if out is None else out.unionByName(found)
-        keys = cut(keys.join(found.select("fp").distinct(), "fp", "left_anti"))
-        if sizes < LARGE and k:
-            break
-    return out if out is not None else sets.select("fp", F.col("fp").alias("pivot"), F.lit(0.0).alias("d")).limit(0), keys
-
-
-def windows(sets: DataFrame, bins: DataFrame, members: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
-    """fp, pivot, d: sets outside a region that may link to one of its members, within the region's radius plus r of its pivot."""
-    r, wide = 1 - percent / 100, max(1, 2 * percent - 100)  # members lie within r, so the windows within 2r
-    keys = cut(keys_of(sets, wide, marked))
-    radius = members.groupBy("pivot").agg(F.max("d").alias("radius"))
-    own = members.select("fp", F.col("pivot").alias("own")).groupBy("fp").agg(F.collect_set("own").alias("own"))  # two at most: a region's pivot may be a member of another
-    of_pivots = keys.join(radius.select(F.col("pivot").alias("fp")), "fp", "left_semi")
-    others = dealt_join(keys, cut(shared_keys(keys).select("key", "held")), "key", "held").join(own, "fp", "left").select("key", F.col("fp").alias("a"), F.col("n").alias("n_a"), "own")
-    met = others.join(of_pivots.select("key", F.col("fp").alias("b"), F.col("n").alias("n_b")), "key").filter("a <> b and not coalesce(array_contains(own, b), false)")
-    # a region of a small radius has a narrow window
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c")).join(radius.select(F.col("pivot").alias("b"), (100 * (1 - r - F.col("radius")) - 1e-6).alias("least")), "b")
-    # beyond its first shingles the set whose first ones end earlier in the order has wide % of its size at most
-    needed = F.col("least") * (F.col("n_a") + F.col("n_b")) / (100 + F.col("least"))
-    pairs = counted.filter(F.col("c") + F.floor(wide * F.greatest("n_a", "n_b") / 100) + 1e-6 >= needed).select("a", "b", "least")
-    found = overlaps(cut(pairs), sets, bins, F.col("least"))
-    return found.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), distance("same", "n_a", "n_b").alias("d"))
-
-
-def boundary_links(sets: DataFrame, members: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each boundary document and tile of a region's members one link, if there is any.
-
-    Members of a region are joined through its pivot already, so one link to any of them is enough.
-    Regions are cut into tiles of some TILE members and TILE boundary documents.
-    """
-    r = 1 - percent / 100
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).join(outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("w")), "pivot")
-    sizes = cut(sizes.select("pivot", F.ceil(F.col("m") / TILE).cast("int").alias("m"), F.ceil(F.col("w") / TILE).cast("int").alias("w")))
-    chunk = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = dealt_join(members, sizes, "pivot").withColumn("i", chunk("m")).withColumn("j", upto("w")).withColumn("inside", F.lit(True))
-    right = dealt_join(outside, sizes, "pivot").withColumn("j", chunk("w")).withColumn("i", upto("m")).withColumn("inside", F.lit(False))
-    rows = dealt_join(left.unionByName(right).select("pivot", "i", "j", "inside", "fp", "d"), sets, "fp")
-
-    def tile(t: pa.Table) -> pa.Table:
-        inside, fp, d, n = (t.column(c).to_numpy() for c in ("inside", "fp", "d", "n"))
-        own = [np.asarray(s, np.int64) for s in t.column("s").to_pylist()]
-        at = np.flatnonzero(inside)
-        every = np.concatenate([own[k] for k in at]) if len(at) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(at)), [len(own[k]) for k in at])
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        found = []
-        for k in np.flatnonzero(~inside):
-            a, b = np.searchsorted(every, own[k], "left"), np.searchsorted(every, own[k], "right")
-            hits = np.concatenate([owner[x:y] for x, y in zip(a[a < b], b[a < b], strict=True)]) if (a < b).any() else np.zeros(0, np.int64)
-            same = np.bincount(hits, minlength=len(at))
-            on = (np.abs(d[at] - d[k]) <= r + 1e-9) & (100 * same >= percent * (n[at] + n[k] - same)) & (fp[at] != fp[k])
-            if on.any():
-                found.append((fp[k], fp[at[on.argmax()]]))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return rows.groupBy("pivot", "i", "j").applyInArrow(tile, "a binary, b binary")
-
+def possible_links(bins: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all sets of ``keys`` (key, fp, n) that chains of pairs join which share a key and may have the similarity by their histograms.
 
-def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """a, b: all links between the sets of ``keys`` (key, fp, n), which lie in no region.
-
-    Under each key only pairs go out whose histograms leave the similarity possible; they are verified. Keys with more than LARGEST sets are
-    cut into tiles of that size.
+    Each key gives a forest, found in its one task, and of keys with the same sets one is met. Keys with more
+    than LARGEST sets are cut into tiles of that size.
     """
-    several = cut(shared_keys(keys).select("key", "held", F.ceil(F.col("held") / LARGEST).cast("int").alias("tiles")))
+    held = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("fp")).alias("all")).filter("low <> high")
+    once = held.groupBy("low", "high", "held", "all").agg(F.min("key").alias("key"))
+    several = cut(once.select("key", "held", F.ceil(F.col("held") / LARGEST).cast("int").alias("tiles")))
     rows = dealt_join(keys, several, "key", "held").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # each pair of chunks i <= j of a key is a tile
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
-    rows = rows.select("key", "fp", "n", "i", tiles.alias("tile")).select("key", "tile.lo", "tile.hi", "fp", "n", "i")
+    rows = rows.select("key", "fp", "n", "i", tiles.alias("tile")).select("key", "tile.lo", "tile.hi", "fp", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
-            whole = int(last[-1]) + 1 if len(last) else 0
-            rest = t.slice(whole)
-            if whole and (out := _possible_pairs(t.slice(0, whole), percent)) is not None:
+            at = np.flatnonzero(_new_tiles(t))
+            if len(at) and (out := _possible_forest(t.slice(0, int(at[-1]) + 1), percent)) is not None:
                 yield out
-        if rest is not None and (out := _possible_pairs(rest, percent)) is not None:
+            rest = t.slice(int(at[-1]) + 1) if len(at) else t
+        if rest is not None and (out := _possible_forest(rest, percent)) is not None:
             yield out
 
     by = ["key", "lo", "hi"]
-    pairs = dealt_join(rows, bins.select("fp", "h"), "fp").select(*by, "fp", "n", "i", "h").repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(run, "a binary, b binary")
-    one_way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return overlaps(cut(one_way), sets, bins, percent).select("a", "b")
-
-
-def _possible_pairs(t: pa.Table, percent: int) -> pa.RecordBatch | None:
-    """Pairs a, b of the tiles (key, lo, hi, fp, n, i, h), sorted by n each, that their histograms leave possible."""
-    key, lo, hi, n, i = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "n", "i"))
-    h = t.column("h").combine_chunks().flatten().to_numpy().reshape(len(n), BINS).astype(np.int16)
-    same = (key[1:] == key[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
-    tile = np.concatenate([[0], np.cumsum(~same)])
-    found, step = [], 1
-    alive = np.arange(len(n) - 1)
-    while len(alive):  # each row and the one ``step`` rows on, while they are of one tile and of sizes near enough
-        other = alive + step
-        alive = alive[(other < len(n))]
-        other = alive + step
-        on = (tile[alive] == tile[other]) & (100 * n[alive] >= percent * n[other])
-        alive, other = alive[on], other[on]
-        if not len(alive):
-            break
-        apart = np.abs(h[alive] - h[other]).sum(axis=1, dtype=np.int64)
-        both = n[alive] + n[other]
-        # the sets share (both - apart) / 2 at most; pairs of one chunk are met in its own tile
-        near_enough = ((both - apart) * 50 >= percent * (both + apart) / 2) & ((lo[alive] == hi[alive]) | (i[alive] != i[other]))
-        found.append(np.stack([alive[near_enough], other[near_enough]]))
-        step += 1
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    met = rows.join(bins.select("fp", "h"), "fp").select(*by, "fp", "n", "h").repartition(*by).sortWithinPartitions(*by)
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _new_tiles(t: pa.Table) -> np.ndarray:
+    """Whether each row's tile (key, lo, hi) is another than the next row's."""
+    key = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
+    return (key[:, 1:] != key[:, :-1]).any(axis=0)
+
+
+def _possible_forest(t: pa.Table, percent: int) -> pa.RecordBatch | None:
+    """Links a, b of the tiles (key, lo, hi, fp, n, h), which come sorted."""
+    n, h = t.column("n").to_numpy(), t.column("h").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BINS).astype(np.int16)
+    edges = np.flatnonzero(_new_tiles(t)) + 1
+    a, b = [], []
+    for low, high in zip([0, *edges.tolist()], [*edges.tolist(), t.num_rows], strict=True):
+        left = np.arange(low + 1, high)
+        queue, root = [low], low
+        while len(left):
+            if not queue:
+                queue, root, left = [int(left[0])], int(left[0]), left[1:]
+                continue
+            x = queue.pop()
+            both, apart = n[left] + n[x], np.abs(h[left] - h[x]).sum(axis=1, dtype=np.int64)
+            # the sets share (both - apart) / 2 at most
+            on = 100 * (both - apart) >= percent * (both + apart)
+            if on.any():
+                found = left[on].tolist()
+                queue += found
+                a += [root] * len(found)
+                b += found
+                left = left[~on]
     fp = t.column("fp").combine_chunks()
-    return _columns(["a", "b"], fp.take(pa.array(pairs[0])), fp.take(pa.array(pairs[1]))) if pairs.shape[1] else None
+    return _columns(["a", "b"], fp.take(pa.array(a, pa.int64())), fp.take(pa.array(b, pa.int64()))) if a else None
+
+
+class Postings:
+    """Sets by their shingles: how much of each another set shares."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        every = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.size, self.every, self.owner = len(sets), every[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    def same(self, s: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.every, s, "left"), np.searchsorted(self.every, s, "right")
+        count = b - a
+        at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(self.owner[at], minlength=self.size)
+
+
+def near_forest(sets: list[np.ndarray], percent: int, rounds: int) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that join just those that a chain of links joins; the first ``rounds`` pivots' windows leave sets out."""
+    n, r = np.array([len(s) for s in sets], np.int64), 1 - percent / 100
+    met, left, links = Postings(sets), np.argsort(-n, kind="stable"), []
+    while len(left) > 1:
+        pivot, left = int(left[0]), left[1:]
+        queue, apart = [pivot], None
+        while queue and len(left):
+            x = queue.pop()
+            # the distances to the pivot of what links to x differ by r at most
+            window = left if apart is None else left[np.abs(apart[left] - apart[x]) <= r + 1e-9]
+            window = window[(100 * n[window] >= percent * n[x]) & (100 * n[x] >= percent * n[window])] if apart is not None else window
+            if not len(window):
+                continue
+            same = met.same(sets[x])
+            if apart is None and rounds > 0:
+                apart, rounds = 1 - same / (n[x] + n - same), rounds - 1
+            same = same[window]
+            found = window[100 * same >= percent * (n[x] + n[window] - same)]
+            if len(found):
+                queue += found.tolist()
+                links += [(x, int(y)) for y in found]
+                left = left[~np.isin(left, found)]
+    return links
+
+
+def _arrays(t: pa.Table) -> list[np.ndarray]:
+    s = t.column("s").combine_chunks()
+    every, at = s.flatten().to_numpy(), np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
+    return [every[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _named_links(fp: pa.Array, pairs: list[tuple[int, int]]) -> pa.Table:
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return pa.table({"a": fp.take(pa.array(a)), "b": fp.take(pa.array(b))})
+
+
+def group_links(sets: DataFrame, possible: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
+    """a, b: enough links between the sets (fp, n, s) of each group that chains of ``possible`` (a, b) join to join all that chains of links join, and no other.
+
+    A group of over TILE sets or HELD shingles is dealt to several tasks. One set in LARGE * parts meets all of
+    them, so that a part's sets are joined to others through it. Whatever isn't joined to most of
+    its group by then meets the whole group in tiles.
+    """
+    roots = components(possible)
+    members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    members = cut(members.join(sets.select("fp", "n"), "fp"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / HELD)).cast("int")
+    sizes = cut(members.groupBy("root").agg(parts.alias("parts")).filter("parts > 1"))
+    some = not sizes.isEmpty()
+    dealt = members.join(F.broadcast(sizes), "root", "left") if some else members.withColumn("parts", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    everywhere = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("parts") * LARGE) == 0
+    each = F.explode(F.when((F.col("parts") > 1) & everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+
+    def solve(t: pa.Table) -> pa.Table:
+        return _named_links(t.column("fp").combine_chunks(), near_forest(_arrays(t), percent, rounds))
+
+    met = dealt.select("root", "fp", each.alias("part")).join(sets.select("fp", "s"), "fp")
+    found = met.groupBy("root", "part").applyInArrow(solve, "a binary, b binary")
+    if not some:
+        return found
+    found = cut(found)
+    return found.unionByName(_links_across(sets, dealt.filter("parts > 1").select("fp", "root", "parts"), found, percent))
+
+
+def _links_across(sets: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of the dealt groups' ``members`` (fp, root, parts) that ``found`` doesn't join, enough to join all that chains of links join."""
+    joined = components(found.join(members.select(F.col("fp").alias("a")), "a", "left_semi"))
+    named = joined.select(F.col("node").alias("fp"), F.col("root").alias("part")).unionByName(joined.select(F.col("root").alias("fp"), F.col("root").alias("part")).distinct())
+    marked = cut(members.join(named, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
+    most = marked.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+    rest = marked.join(F.broadcast(most), "root").filter("part <> most").drop("most")
+    sizes = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    chunk = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    both = lambda rows: rows.join(F.broadcast(sizes), "root")
+    left = both(marked).withColumn("i", chunk("parts")).withColumn("j", upto("tiles")).withColumn("inside", F.lit(True))
+    right = both(rest).withColumn("j", chunk("tiles")).withColumn("i", upto("parts")).withColumn("inside", F.lit(False))
+    rows = left.unionByName(right).select("root", "i", "j", "inside", "fp", "part").join(sets.select("fp", "s"), "fp")
+
+    def tile(t: pa.Table) -> pa.Table:
+        own, inside = _arrays(t), t.column("inside").to_numpy()
+        part = np.unique(np.array(t.column("part").to_pylist(), object), return_inverse=True)[1]
+        at = np.flatnonzero(inside)
+        n, met, pairs = np.array([len(s) for s in own], np.int64), Postings([own[k] for k in at]), []
+        for x in np.flatnonzero(~inside):
+            same = met.same(own[x])
+            near_ones = at[(100 * same >= percent * (n[at] + n[x] - same))]
+            for y in near_ones[part[near_ones] != part[x]]:
+                if part[x] != part[y]:  # one link joins two parts
+                    pairs.append((int(x), int(y)))
+                    part[part == part[y]] = part[x]
+        return _named_links(t.column("fp").combine_chunks(), pairs)
+
+    return rows.groupBy("root", "i", "j").applyInArrow(tile, "a binary, b binary")
+
+
+def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
+    """a, b: enough links between the sets of ``keys`` (key, fp, n) to join all that chains of links join, and no other."""
+    return group_links(sets, possible_links(bins, keys, percent), percent, rounds)
 
 
 def links(sets: DataFrame, marked: Broadcast, percent: int, rounds: int = 20) -> DataFrame:
     """a, b: enough links between the sets (fp, n, s) to join all that chains of links join, and no other.
 
-    rounds: of regions; whatever is left after the last one is compared without regions.
+    rounds: pivots of a task that make regions; whatever is left after the last one is compared without regions.
     """
-    bins = cut(histograms(sets))
-    members, rest = regions(sets, bins, cut(keys_of(sets, percent, marked)), percent, rounds)
-    members = cut(members)
-    if members.isEmpty():
-        return rest_links(sets, bins, rest, percent)
-    inner = members.filter("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    outside = cut(windows(sets, bins, members, percent, marked))
-    return inner.unionByName(boundary_links(sets, members, outside, percent)).unionByName(rest_links(sets, bins, rest, percent))
+    return rest_links(sets, histograms(sets), table(keys_of(sets, percent, marked)), percent, rounds)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:

@@ -3,12 +3,9 @@
 Sets of a similarity such as 0.8 differ in far more bits of 64 than any split into blocks can stand. So
 fingerprints are wide: signs of 768 random projections of the hashed set, in 48 blocks of 16 bits.
 Pairs of the similarity share a block in 97 cases of 100. Under a block fingerprints are compared by
-the Hamming distance of 512 bits, which tells which sets may have a near one at all; these few meet by
-their whole sets, and no link rests on fingerprints. Few shingles make no good fingerprint: small sets
-meet under their first shingles instead, as in ``metric_join``, which misses no pair.
-
-Large groups of near copies are regions of a pivot that they vote for, as in ``metric_join``: a member
-meets its pivot only, and sets outside a region that share a block with a member meet the region in tiles.
+the Hamming distance of 512 bits, which gives a forest of pairs that may be near; what chains of these
+join is a group, whose whole sets meet as in ``metric_join``, and no link rests on fingerprints. Few
+shingles make no good fingerprint: small sets meet under their first shingles instead, which misses no pair.
 """
 
 from __future__ import annotations
@@ -30,7 +27,7 @@ SEED = 42
 BUCKETS, BLOCK_BITS, BLOCKS, WORDS = 2048, 16, 48, 8
 #: Sets of at most so many shingles have no fingerprint; they meet under their first shingles.
 SMALL = 64
-#: Sets of a block's value that are compared in one task; if there are more, all of them may have a near one.
+#: Sets of a block's value that are compared in one task; if there are more, they are one group without a comparison.
 LARGEST = 32_768
 
 
@@ -78,34 +75,26 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int, percent: i
     return over_batches(docs, [F.col(doc_id), F.xxhash64(text_of(text)), text_of(text)], work, schema)
 
 
-def block_keys(sets: DataFrame) -> DataFrame:
-    """key long, fp and n for each of a set's blocks and first shingles."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, BLOCKS).astype(np.int64) + (np.arange(BLOCKS, dtype=np.int64) << 16)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(parts), pa.list_(pa.int64()))], ["fp", "n", "keys"])
-
-    blocks = over_batches(sets.filter("bits is not null"), [F.col("fp"), F.col("n"), F.col("bits")], work, "fp binary, n long, keys array<long>")
-    return blocks.unionByName(sets.filter("keys is not null").select("fp", "n", "keys")).select(F.explode("keys").alias("key"), "fp", "n")
-
-
-def with_near_ones(sets: DataFrame, most: int) -> DataFrame:
-    """fp of the sets that may have a near one: with bits, another that shares a block and differs in ``most`` bits or fewer; without, any that shares a first shingle."""
+def near_pairs(sets: DataFrame, most: int) -> DataFrame:
+    """a, b: of the sets that have bits, enough pairs that share a block and differ in ``most`` bits or fewer to join all that chains of such pairs join."""
     keyed = _keyed(sets)
     n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    crowded = None
     if sets.count() > LARGEST:
-        crowds = cut(keyed.groupBy("key").count().filter(F.col("count") > LARGEST).select("key"))
-        crowded = join.dealt_join(keyed.select("key", "fp"), crowds, "key").select("fp")
-        keyed = keyed.join(crowds, "key", "left_anti")
-    else:
-        crowded = None
-    found = keyed.withColumn("__n", n).filter("__n > 1").select("key", "fp", "bits").sortWithinPartitions("key").mapInArrow(lambda batches: _near(batches, most), "fp binary")
-    small = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "fp")
-    shared = join.dealt_join(small, cut(join.shared_keys(small).select("key", "held")), "key", "held").select("fp")
-    found = found.unionByName(shared)
+        crowds = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("fp").alias("low")).filter(F.col("held") > LARGEST))
+        if not crowds.isEmpty():
+            crowded = join.dealt_join(keyed.select("key", "fp"), crowds, "key", "held").filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+            keyed = keyed.join(crowds, "key", "left_anti")
+    found = keyed.withColumn("__n", n).filter("__n > 1").select("key", "fp", "bits").sortWithinPartitions("key").mapInArrow(lambda batches: _near(batches, most), "a binary, b binary")
     return (found if crowded is None else found.unionByName(crowded)).distinct()
 
 
+def small_keys(sets: DataFrame) -> DataFrame:
+    """key, fp, n: the first shingles that several of the sets that have keys hold."""
+    small = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "fp", "n")
+    return join.dealt_join(small, cut(join.shared_keys(small).select("key", "held")), "key", "held").select("key", "fp", "n")
+
+
 def _keyed(sets: DataFrame) -> DataFrame:
     """key, fp and the compared bits for each block of the sets that have bits."""
 
@@ -120,26 +109,24 @@ def _keyed(sets: DataFrame) -> DataFrame:
 
 
 def _near(batches, most: int):
-    """fp of each row that is near another one of its key; keys come sorted, each in one task and of bounded size."""
+    """Links a, b that join the rows of a key that chains of near ones join; keys come sorted, each in one task and of bounded size."""
     fps, bits, key = [], [], None
 
     def flush():
         if not fps:
             return None
         fp, words = np.concatenate(fps), np.concatenate(bits)
-        left, out = np.arange(len(fp)), []
+        left, a, b = np.arange(len(fp)), [], []
         while len(left) > 1:  # one after another leaves with all that are near it; what is near one of those is found through it
-            queue, left = [left[0]], left[1:]
-            group = [queue[0]]
+            root, queue, left = left[0], [left[0]], left[1:]
             while queue and len(left):
                 near = np.bitwise_count(words[left] ^ words[queue.pop()]).sum(axis=1) <= most
                 if near.any():
                     queue += left[near].tolist()
-                    group += left[near].tolist()
+                    a += [root] * int(near.sum())
+                    b += left[near].tolist()
                     left = left[~near]
-            if len(group) > 1:
-                out += group
-        return pa.RecordBatch.from_arrays([pa.array(fp[out].tolist(), pa.binary())], ["fp"]) if out else None
+        return pa.RecordBatch.from_arrays([pa.array(fp[x].tolist(), pa.binary()) for x in (a, b)], ["a", "b"]) if a else None
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -157,30 +144,6 @@ def _near(batches, most: int):
         yield out
 
 
-def boundary(sets: DataFrame, bins: DataFrame, keys: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """fp, pivot, d: sets outside a region that share a key with one of its members, within the region's radius plus r of its pivot."""
-    r, wide = 1 - percent / 100, max(1, 2 * percent - 100)
-    radius = members.groupBy("pivot").agg(F.max("d").alias("radius"))
-    own = members.select("fp", "pivot").groupBy("fp").agg(F.collect_set("pivot").alias("own"))  # two at most
-    named = keys.select("key", "fp").join(own, "fp", "left")
-    pivots = named.filter("own is not null").select("key", F.explode("own").alias("b")).distinct()
-    pairs = named.join(pivots, "key").filter("fp <> b and not coalesce(array_contains(own, b), false)").select(F.col("fp").alias("a"), "b").distinct()
-    found = join.overlaps(cut(pairs), sets, bins, wide).withColumn("d", join.distance("same", "n_a", "n_b"))
-    return found.join(radius.withColumnRenamed("pivot", "b"), "b").filter(F.col("d") <= F.col("radius") + r + 1e-9).select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "d")
-
-
-def links(sets: DataFrame, keys: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
-    """a, b: of the pairs of ``sets`` (fp, n, s) that share a key (key, fp, n) and have the similarity, enough to join all that chains of them join."""
-    bins = cut(join.histograms(sets))
-    members, rest = join.regions(sets, bins, keys, percent, rounds)
-    members = cut(members)
-    if members.isEmpty():
-        return join.rest_links(sets, bins, rest, percent)
-    inner = members.filter("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    outside = cut(boundary(sets, bins, keys, members, percent))
-    return inner.unionByName(join.boundary_links(sets, members, outside, percent)).unionByName(join.rest_links(sets, bins, rest, percent))
-
-
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of documents whose sets of ``width``-word shingles have a similarity of ``percent`` / 100 or more, chains of them joined.
 
@@ -194,10 +157,13 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     best = F.min(F.struct("doc_id", "text_hash")).alias("first")
     first = marked.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     first = table(first)
-    near = with_near_ones(first.select("fp", "n", "bits", "keys"), most_bits(percent / 100))
-    some = table(first.join(near, "fp", "left_semi"))
+    pairs = table(near_pairs(first.select("fp", "n", "bits"), most_bits(percent / 100)))
+    keys = table(small_keys(first.select("fp", "n", "keys")))
+    near = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(keys.select("fp")).distinct()
+    some = table(first.select("fp", "first", "keys").join(near, "fp", "left_semi"))
     sets = table(join.whole_sets(known, some.select(F.col("fp").alias("whole"), F.col("first.doc_id").alias("doc_id")), text, doc_id, width))
-    edges = cut(links(sets, cut(block_keys(some)), percent))
+    bins = join.histograms(sets.join(some.filter("keys is not null").select("fp"), "fp", "left_semi"))
+    edges = cut(join.group_links(sets, pairs.unionByName(join.possible_links(bins, keys, percent)), percent))
     low = named_components(first.select("fp", F.struct("first.*", "fp").alias("first")), edges)
     chosen = low.filter("first = low").select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     times = marked.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"))
