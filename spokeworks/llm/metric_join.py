@@ -15,14 +15,15 @@ only, and what is in no region goes on to the next pivot. A task gives a forest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, over_batches, table, text_of
@@ -183,16 +184,33 @@ def _columns(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def digests(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, marked: Broadcast) -> DataFrame:
-    """doc_id, fp binary (128 bits that stand for the set), n long (its size), keys array<long> (its first shingles) for each row."""
+    """doc_id, at (hashes of id and text), fp binary (128 bits that stand for the set), n long (its size), h binary (its histogram), keys array<long> (its first shingles) for each row."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sizes, keys = [], [], []
-        for s in shingle_sets(batch.column(1).to_pylist(), width):
-            fps.append(xxhash.xxh128_digest(s.tobytes(), SEED))
-            sizes.append(len(s))
-            keys.append(first_shingles(s, prefix_length(len(s), percent), marked.value).view(np.int64))
-        return _columns(["doc_id", "fp", "n", "keys"], batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())))
+        sets = shingle_sets(batch.column(2).to_pylist(), width)
+        keys = [first_shingles(s, prefix_length(len(s), percent), marked.value).view(np.int64) for s in sets]
+        return _columns(["doc_id", "at", *DIGEST, "keys"], batch.column(0), batch.column(1), *digest_of(sets), pa.array(keys, pa.list_(pa.int64())))
 
-    return over_batches(docs, [F.col(doc_id), text_of(text)], work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp binary, n long, keys array<long>")
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, at {AT}, fp binary, n long, h binary, keys array<long>"
+    return over_batches(docs, [F.col(doc_id), place_of(text, doc_id), text_of(text)], work, schema)
+
+
+DIGEST, AT = ("fp", "n", "h"), "struct<id: bigint, text: bigint>"
+
+
+def place_of(text: str, doc_id: str) -> Column:
+    """Tells a row of a table by its id and text."""
+    return F.struct(F.xxhash64(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("text"))
+
+
+def digest_of(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """fp, n and h of sets. h: how many of a set's shingles lie in each of BINS classes, 127 at most."""
+    n = np.array([len(s) for s in sets], np.int64)
+    h = np.zeros((len(sets), BINS), np.int8)
+    for low in range(0, len(sets), 512):
+        own = sets[low : low + 512]
+        at = np.repeat(np.arange(len(own)) * BINS, n[low : low + 512]) + (np.concatenate(own) % np.uint64(BINS)).astype(np.int64)
+        h[low : low + 512] = np.minimum(np.bincount(at, minlength=len(own) * BINS), 127).reshape(-1, BINS)
+    return pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary()), pa.array(n), pa.array([x.tobytes() for x in h], pa.binary())
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: str, held: str | None = None) -> DataFrame:
@@ -216,64 +234,48 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high").drop("high")
 
 
-def candidates(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """fp, n, s (array<long>, the whole set) of each set that shares one of its first shingles with another set."""
+def candidates(marks: DataFrame) -> DataFrame:
+    """key, fp, n of the first shingles that several sets hold."""
     part = F.xxhash64("fp")  # tells sets under one shingle apart
-    keys = marks.select(F.explode("keys").alias("key"), part.alias("fp"))
-    several = cut(shared_keys(keys).select("key", "held"))
-    maybe = docs.sparkSession.sparkContext.broadcast(bitmap(several, "key"))  # 8 MB
+    several = shared_keys(marks.select(F.explode("keys").alias("key"), part.alias("fp"))).select("key")
+    maybe = marks.sparkSession.sparkContext.broadcast(bitmap(several, "key"))  # 8 MB
 
     def holding(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column(1).flatten()
-        owner = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))))
-        on = pa.array(np.flatnonzero(_holds(maybe.value, keys.to_numpy().view(np.uint64))))
-        return _columns(["key", "fp"], keys.take(on), owner.take(on)) if len(on) else None
+        keys = batch.column(2).flatten()
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+        on = np.flatnonzero(_holds(maybe.value, keys.to_numpy().view(np.uint64)))
+        whose = pa.array(owner[on])
+        return _columns(["key", "fp", "n"], keys.take(pa.array(on)), batch.column(0).take(whose), batch.column(1).take(whose)) if len(on) else None
 
-    few = over_batches(marks, [part, F.col("keys")], holding, "key long, fp long")
-    parts = dealt_join(few, several, "key", "held").select(F.col("fp").alias("part")).distinct()
-    first = marks.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(first.withColumn("part", part).join(parts, "part").select(F.col("fp").alias("whole"), "doc_id"))
-    return whole_sets(docs, wanted, text, doc_id, width)
+    return over_batches(marks, [F.col("fp"), F.col("n"), F.col("keys")], holding, "key long, fp binary, n long").distinct()
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """fp, n, s (array<long>) of the sets ``wanted`` (whole: their fp, doc_id: of a document that has it), made anew of the texts.
+class Sets(NamedTuple):
+    """Sets whose shingles are made anew of the texts where they meet. first: fp, n, h and at, the place of a row that has the set; docs: at and text."""
 
-    Texts of other ids, told by a bitmap, are neither hashed nor shuffled.
-    """
-    ids = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc_id").alias("h")), "h"))  # 8 MB
+    first: DataFrame
+    docs: DataFrame
+    width: int
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        on = np.flatnonzero(_holds(ids.value, batch.column(0).to_numpy().view(np.uint64)))
-        sets = shingle_sets(batch.column(1).take(pa.array(on)).to_pylist(), width)
-        fps = [xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets]
-        return _columns(["fp", "n", "s"], pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))) if fps else None
+    def texts(self, members: DataFrame) -> DataFrame:
+        """``members`` (fp and others), one row an fp, with the size n and a text of each.
 
-    sets = over_batches(docs, [F.xxhash64(doc_id), text_of(text)], work, "fp binary, n long, s array<long>")
-    return sets.join(wanted.select(F.col("whole").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"])
+        Other rows' texts, told by a bitmap, are not shuffled.
+        """
+        wanted = cut(members.join(self.first.select("fp", "n", "at"), "fp"))
+        rows = wanted.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("at").alias("h")), "h"))  # 8 MB
 
+        def holding(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            on = np.flatnonzero(_holds(rows.value, batch.column(0).to_numpy().view(np.uint64)))
+            return _columns(["id", "hash", "text"], *(batch.column(k).take(pa.array(on)) for k in (1, 2, 3))) if len(on) else None
 
-def keys_of(sets: DataFrame, percent: int, marked: Broadcast) -> DataFrame:
-    """key, fp, n, count (of first shingles) for each of the first shingles of ``sets`` (fp, n, s)."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [first_shingles(np.array(s, np.int64).view(np.uint64), prefix_length(len(s), percent), marked.value).view(np.int64) for s in batch.column(1).to_pylist()]
-        return _columns(["fp", "n", "keys"], batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())))
+        few = over_batches(self.docs, [F.xxhash64("at"), F.col("at.id"), F.col("at.text"), F.col("text")], holding, "id long, hash long, text string")
+        both = few.join(wanted.withColumns({"id": F.col("at.id"), "hash": F.col("at.text")}).drop("at"), ["id", "hash"])
+        return both.groupBy("id", "hash").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in (*members.columns, "n"))).drop("id", "hash")
 
-    rows = over_batches(sets, [F.col("fp"), F.col("s"), F.col("n")], work, "fp binary, n long, keys array<long>")
-    return rows.select(F.explode("keys").alias("key"), "fp", "n")
 
-
-def histograms(sets: DataFrame) -> DataFrame:
-    """fp, n, h array<tinyint>: how many of a set's shingles lie in each of BINS classes, 127 at most."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = batch.column(2)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(s.offsets.to_numpy()))
-        at = (s.flatten().to_numpy().view(np.uint64) % np.uint64(BINS)).astype(np.int64)
-        h = np.minimum(np.bincount(owner * BINS + at, minlength=batch.num_rows * BINS), 127).astype(np.int8)
-        return _columns(["fp", "n", "h"], batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BINS), pa.array(h)))
-
-    return over_batches(sets, [F.col("fp"), F.col("n"), F.col("s")], work, "fp binary, n long, h array<tinyint>")
+def shingles_of(t: pa.Table, width: int) -> list[np.ndarray]:
+    return shingle_sets(t.column("text").to_pylist(), width)
 
 
 def possible_links(bins: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +317,7 @@ def _new_tiles(t: pa.Table) -> np.ndarray:
 
 def _possible_forest(t: pa.Table, percent: int) -> pa.RecordBatch | None:
     """Links a, b of the tiles (key, lo, hi, fp, n, h), which come sorted."""
-    n, h = t.column("n").to_numpy(), t.column("h").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BINS).astype(np.int16)
+    n, h = t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("h").to_pylist()), np.int8).reshape(t.num_rows, BINS).astype(np.int16)
     edges = np.flatnonzero(_new_tiles(t)) + 1
     a, b = [], []
     for low, high in zip([0, *edges.tolist()], [*edges.tolist(), t.num_rows], strict=True):
@@ -380,19 +382,13 @@ def near_forest(sets: list[np.ndarray], percent: int, rounds: int) -> list[tuple
     return links
 
 
-def _arrays(t: pa.Table) -> list[np.ndarray]:
-    s = t.column("s").combine_chunks()
-    every, at = s.flatten().to_numpy(), np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
-    return [every[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def _named_links(fp: pa.Array, pairs: list[tuple[int, int]]) -> pa.Table:
     a, b = np.array(pairs, np.int64).reshape(-1, 2).T
     return pa.table({"a": fp.take(pa.array(a)), "b": fp.take(pa.array(b))})
 
 
-def group_links(sets: DataFrame, possible: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
-    """a, b: enough links between the sets (fp, n, s) of each group that chains of ``possible`` (a, b) join to join all that chains of links join, and no other.
+def group_links(sets: Sets, possible: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
+    """a, b: enough links between the ``sets`` of each group that chains of ``possible`` (a, b) join to join all that chains of links join, and no other.
 
     A group of over TILE sets or HELD shingles is dealt to several tasks. One set in LARGE * parts meets all of
     them, so that a part's sets are joined to others through it. Whatever isn't joined to most of
@@ -400,7 +396,7 @@ def group_links(sets: DataFrame, possible: DataFrame, percent: int, rounds: int
     """
     roots = components(possible)
     members = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    members = cut(members.join(sets.select("fp", "n"), "fp"))
+    members = table(sets.texts(members))
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / HELD)).cast("int")
     sizes = cut(members.groupBy("root").agg(parts.alias("parts")).filter("parts > 1"))
     some = not sizes.isEmpty()
@@ -410,22 +406,23 @@ def group_links(sets: DataFrame, possible: DataFrame, percent: int, rounds: int
     everywhere = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("parts") * LARGE) == 0
     each = F.explode(F.when((F.col("parts") > 1) & everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
 
+    arrays = partial(shingles_of, width=sets.width)
+
     def solve(t: pa.Table) -> pa.Table:
-        return _named_links(t.column("fp").combine_chunks(), near_forest(_arrays(t), percent, rounds))
+        return _named_links(t.column("fp").combine_chunks(), near_forest(arrays(t), percent, rounds))
 
-    met = dealt.select("root", "fp", each.alias("part")).join(sets.select("fp", "s"), "fp")
-    found = met.groupBy("root", "part").applyInArrow(solve, "a binary, b binary")
+    found = dealt.select("root", "fp", "text", each.alias("part")).groupBy("root", "part").applyInArrow(solve, "a binary, b binary")
     if not some:
         return found
     found = cut(found)
-    return found.unionByName(_links_across(sets, dealt.filter("parts > 1").select("fp", "root", "parts"), found, percent))
+    return found.unionByName(_links_across(dealt.filter("parts > 1").select("fp", "root", "parts", "text"), found, percent, arrays))
 
 
-def _links_across(sets: DataFrame, members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of the dealt groups' ``members`` (fp, root, parts) that ``found`` doesn't join, enough to join all that chains of links join."""
+def _links_across(members: DataFrame, found: DataFrame, percent: int, arrays: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
+    """a, b: links of the dealt groups' ``members`` (fp, root, parts, text) that ``found`` doesn't join, enough to join all that chains of links join."""
     joined = components(found.join(members.select(F.col("fp").alias("a")), "a", "left_semi"))
     named = joined.select(F.col("node").alias("fp"), F.col("root").alias("part")).unionByName(joined.select(F.col("root").alias("fp"), F.col("root").alias("part")).distinct())
-    marked = cut(members.join(named, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
+    marked = table(members.join(named, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
     most = marked.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
     rest = marked.join(F.broadcast(most), "root").filter("part <> most").drop("most")
     sizes = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")))
@@ -434,10 +431,10 @@ def _links_across(sets: DataFrame, members: DataFrame, found: DataFrame, percent
     both = lambda rows: rows.join(F.broadcast(sizes), "root")
     left = both(marked).withColumn("i", chunk("parts")).withColumn("j", upto("tiles")).withColumn("inside", F.lit(True))
     right = both(rest).withColumn("j", chunk("tiles")).withColumn("i", upto("parts")).withColumn("inside", F.lit(False))
-    rows = left.unionByName(right).select("root", "i", "j", "inside", "fp", "part").join(sets.select("fp", "s"), "fp")
+    rows = left.unionByName(right).select("root", "i", "j", "inside", "fp", "part", "text")
 
     def tile(t: pa.Table) -> pa.Table:
-        own, inside = _arrays(t), t.column("inside").to_numpy()
+        own, inside = arrays(t), t.column("inside").to_numpy()
         part = np.unique(np.array(t.column("part").to_pylist(), object), return_inverse=True)[1]
         at = np.flatnonzero(inside)
         n, met, pairs = np.array([len(s) for s in own], np.int64), Postings([own[k] for k in at]), []
@@ -453,17 +450,14 @@ def _links_across(sets: DataFrame, members: DataFrame, found: DataFrame, percent
     return rows.groupBy("root", "i", "j").applyInArrow(tile, "a binary, b binary")
 
 
-def rest_links(sets: DataFrame, bins: DataFrame, keys: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
+def rest_links(sets: Sets, bins: DataFrame, keys: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
     """a, b: enough links between the sets of ``keys`` (key, fp, n) to join all that chains of links join, and no other."""
     return group_links(sets, possible_links(bins, keys, percent), percent, rounds)
 
 
-def links(sets: DataFrame, marked: Broadcast, percent: int, rounds: int = 20) -> DataFrame:
-    """a, b: enough links between the sets (fp, n, s) to join all that chains of links join, and no other.
-
-    rounds: pivots of a task that make regions; whatever is left after the last one is compared without regions.
-    """
-    return rest_links(sets, histograms(sets), table(keys_of(sets, percent, marked)), percent, rounds)
+def links(sets: Sets, keys: DataFrame, percent: int, rounds: int = 20) -> DataFrame:
+    """As ``rest_links``. rounds: pivots of a task that make regions; whatever is left after the last one is compared without regions."""
+    return rest_links(sets, sets.first, keys, percent, rounds)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
@@ -479,8 +473,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         raise ValueError("percent must be over 50 and at most 100")
     marked = frequent(docs, text, width, percent)
     marks = table(digests(docs, text, doc_id, width, percent, marked))
-    sets = table(candidates(docs, marks, text, doc_id, width))
-    first = cut(marks.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first")))
-    low = named_components(first, cut(links(sets, marked, percent)))
+    first = table(marks.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("h").alias("h")))
+    sets = Sets(first, docs.select(place_of(text, doc_id).alias("at"), text_of(text).alias("text")), width)
+    low = named_components(first, cut(links(sets, table(candidates(marks.filter("n > 0"))), percent)))
     found = dealt_join(marks.filter("n > 0").select("fp", "doc_id", "n"), low.select("fp", "low"), "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
     return found.unionByName(marks.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

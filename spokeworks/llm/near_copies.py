@@ -14,7 +14,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +56,21 @@ def most_bits(similarity: float) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
-    """doc_id, text_hash long, fp binary (128 bits that stand for the set), n long (its size), bits binary or null, keys array<long> or null for each row.
+    """doc_id, text_hash long, at (hashes of id and text), fp binary (128 bits that stand for the set), n long (its size), h binary (its histogram), bits binary or null, keys array<long> or null for each row.
 
     Sets of more than SMALL shingles have bits; those of no more than their nearest larger ones have keys.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = join.shingle_sets(batch.column(2).to_pylist(), width)
-        fps = pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
         large = np.array([len(s) > SMALL for s in sets], bool)
         rows = iter(wide_bits([s for s in sets if len(s) > SMALL]))
         bits = pa.array([next(rows).tobytes() if x else None for x in large], pa.binary())
         keys = pa.array([s[: join.prefix_length(len(s), percent)].view(np.int64) if len(s) * percent <= SMALL * 100 else None for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array([len(s) for s in sets], pa.int64()), bits, keys], ["doc_id", "text_hash", "fp", "n", "bits", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *join.digest_of(sets), bits, keys], ["doc_id", "at", *join.DIGEST, "bits", "keys"])
 
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_hash long, fp binary, n long, bits binary, keys array<long>"
-    return over_batches(docs, [F.col(doc_id), F.xxhash64(text_of(text)), text_of(text)], work, schema)
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, at {join.AT}, fp binary, n long, h binary, bits binary, keys array<long>"
+    return over_batches(docs, [F.col(doc_id), join.place_of(text, doc_id), text_of(text)], work, schema).withColumn("text_hash", F.col("at.text"))
 
 
 def near_pairs(sets: DataFrame, most: int) -> DataFrame:
@@ -155,15 +153,12 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     known = docs.filter(F.col(doc_id).isNotNull())
     marked = table(fingerprints(known, text, doc_id, width, percent))
     best = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    first = marked.groupBy("fp").agg(best, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    first = marked.groupBy("fp").agg(best, F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "h", "bits", "keys")))
     first = table(first)
     pairs = table(near_pairs(first.select("fp", "n", "bits"), most_bits(percent / 100)))
     keys = table(small_keys(first.select("fp", "n", "keys")))
-    near = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(keys.select("fp")).distinct()
-    some = table(first.select("fp", "first", "keys").join(near, "fp", "left_semi"))
-    sets = table(join.whole_sets(known, some.select(F.col("fp").alias("whole"), F.col("first.doc_id").alias("doc_id")), text, doc_id, width))
-    bins = join.histograms(sets.join(some.filter("keys is not null").select("fp"), "fp", "left_semi"))
-    edges = cut(join.group_links(sets, pairs.unionByName(join.possible_links(bins, keys, percent)), percent))
+    sets = join.Sets(first, known.select(join.place_of(text, doc_id).alias("at"), text_of(text).alias("text")), width)
+    edges = cut(join.group_links(sets, pairs.unionByName(join.possible_links(first, keys, percent)), percent))
     low = named_components(first.select("fp", F.struct("first.*", "fp").alias("first")), edges)
     chosen = low.filter("first = low").select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     times = marked.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"))

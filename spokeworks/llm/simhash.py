@@ -127,19 +127,20 @@ def links(fps: DataFrame, most: int = 3, largest: int = 32_768) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): root is its component's smallest node.
 
-    Alternates large-star and small-star steps until the edges no longer change; each step joins a
-    node's edges with the smallest of its neighbours, which is aggregated before the shuffle.
+    Alternates large-star and small-star steps until the edges no longer change. Each step shuffles its edges once, by
+    node, where they are made distinct and meet the smallest neighbour.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    least = F.min("b").over(Window.partitionBy("a"))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    of_node = lambda rows: rows.repartition("a").distinct()
     before = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        low = of_node(edges.select(both).select("e.*")).withColumn("m", F.least("a", least))
+        # the larger of each pair goes to the node's smallest neighbour
+        large = low.select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        small = of_node(large).withColumn("m", least)
+        edges = cut(of_node(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

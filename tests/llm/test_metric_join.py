@@ -98,6 +98,29 @@ def test_large_groups_repeated_rows_null_ids_long_texts_and_empty_tables(spark):
     check(spark, [(1, None), (2, "")])
 
 
+def test_a_group_gives_a_forest_not_its_pairs(spark, monkeypatch):
+    made = {}
+    for name in ("possible_links", "group_links"):
+        def counted(*args, name=name, real=getattr(metric_join, name)):
+            out = real(*args)
+            made[name] = out.count()
+            return out
+
+        monkeypatch.setattr(metric_join, name, counted)
+    monkeypatch.setattr(metric_join, "TILE", 40)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    base, texts = rng.choices(words, k=200), []
+    for k in range(150):  # near and nearly near
+        own = list(base)
+        for at in rng.sample(range(200), 1 + k % 3):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts)) + [(k, texts[k % 150] + " a few other words") for k in range(150, 170)]
+    check(spark, rows)
+    assert 0 < made["group_links"] < 1000 and made["possible_links"] < 170 * 30, "all pairs are 14,365"
+
+
 @pytest.mark.parametrize("percent", [51, 70, 85, 99, 100])
 def test_near_sets_share_a_first_shingle(percent):
     rng = np.random.default_rng(percent)
