@@ -28,6 +28,8 @@ BUCKETS, BLOCK_BITS, BLOCKS, WORDS = 2048, 16, 48, 8
 SMALL = 64
 #: Sets of a block's value that are compared in one task; if there are more, they are one group without a comparison.
 LARGEST = 32_768
+#: Texts whose sets are held at once when fingerprints are made.
+SLICE = 1024
 
 
 @lru_cache(maxsize=1)
@@ -62,6 +64,10 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int, percent: i
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = pa.Table.from_batches([few(batch.slice(at, SLICE)) for at in range(0, batch.num_rows, SLICE)])
+        return rows.combine_chunks().to_batches()[0]
+
+    def few(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = join.shingle_sets(batch.column(2).to_pylist(), width)
         large = np.array([len(s) > SMALL for s in sets], bool)
         rows = iter(wide_bits([s for s in sets if len(s) > SMALL]))
