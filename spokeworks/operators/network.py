@@ -17,6 +17,8 @@ from ..sources.areas import cell_degrees
 REACH_CELL = 0.03
 #: Nodes of a cell in one task when gaps are looked for, on average.
 CELL_NODES = 2000
+#: What searches need of an edge.
+EDGE = ["edge_id", "u", "v", "distance_m", "is_gap", "dlon", "dlat"]
 #: The cells, as steps from a cell, whose nodes meet the cell's.
 MEETS = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
 
@@ -135,25 +137,30 @@ def boxes_within(points: DataFrame, reach_m: Column) -> DataFrame:
     return points.select(at(F.col("lon") - wide).alias("w"), at(F.col("lon") + wide).alias("e"), at(F.col("lat") - high).alias("s"), at(F.col("lat") + high).alias("n")).distinct()
 
 
-def hops_around(graph: Graph, boxes: DataFrame | None, max_gap_m: float) -> DataFrame:
-    """Both directions of the lane edges and gaps up to ``max_gap_m``, as ``neighbors``, from the nodes in the boxes of cells; from all nodes without boxes.
-
-    Only nodes in the boxes and around them meet each other; elsewhere no gap is looked for.
-    """
-    lane_edges = graph.edges.filter(~F.col("is_gap"))
+def nodes_around(nodes: DataFrame, boxes: DataFrame | None, max_gap_m: float) -> DataFrame:
+    """``nodes`` with inside, of those in the boxes of cells and, with inside false, in the cells around them; all are inside without boxes."""
     if boxes is None:
-        return neighbors(lane_edges.unionByName(exclude_connected(gap_candidates(graph.nodes, max_gap_m), lane_edges)))
+        return nodes.withColumn("inside", F.lit(True))
     if 3 * max_gap_m / 111_000.0 > REACH_CELL:
         raise ValueError("the cells are too small for the tolerance")
     at = lambda c: F.floor(F.col(c) / F.lit(REACH_CELL)).cast("long")
     step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
     cells = boxes.select(F.explode(F.sequence("w", "e")).alias("gx"), "s", "n").select("gx", F.explode(F.sequence("s", "n")).alias("gy")).distinct()
     around = cells.select(step("gx"), "gy").select("gx", step("gy")).distinct().join(cells.withColumn("inside", F.lit(True)), ["gx", "gy"], "left")
-    near = cut(graph.nodes.withColumn("gx", at("lon")).withColumn("gy", at("lat")).join(around, ["gx", "gy"]).withColumn("inside", F.coalesce("inside", F.lit(False))).drop("gx", "gy"))
-    own = near.filter("inside").select(F.col("node").alias("src"))
+    return nodes.withColumn("gx", at("lon")).withColumn("gy", at("lat")).join(around, ["gx", "gy"]).withColumn("inside", F.coalesce("inside", F.lit(False))).drop("gx", "gy")
+
+
+def hops_around(graph: Graph, boxes: DataFrame | None, max_gap_m: float) -> DataFrame:
+    """Both directions of the lane edges and gaps up to ``max_gap_m``, as ``neighbors``, from the nodes in the boxes of cells; from all nodes without boxes.
+
+    Only nodes in the boxes and around them meet each other; elsewhere no gap is looked for. Nothing is made
+    before it is read, and no gaps are for a reader of lane edges only.
+    """
+    lane_edges = graph.edges.filter(~F.col("is_gap")).select(*EDGE)
+    near = nodes_around(graph.nodes, boxes, max_gap_m)
     # gaps first: lane edges that join none of these nodes are met by id only
-    gaps = exclude_connected(gap_candidates(near, max_gap_m, F.col("inside")), lane_edges)
-    return neighbors(lane_edges.unionByName(gaps)).join(own, "src", "left_semi")
+    gaps = exclude_connected(gap_candidates(near, max_gap_m, F.col("inside")), lane_edges).select(*EDGE)
+    return neighbors(lane_edges.unionByName(gaps)).join(near.filter("inside").select(F.col("node").alias("src")), "src", "left_semi")
 
 
 def edges_for_gap(edges: DataFrame, max_gap_m: Column) -> DataFrame:
@@ -173,9 +180,9 @@ def build_graph(lanes: DataFrame, max_gap_m: float) -> Graph:
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge: src, dst, edge_id, distance_m, is_gap, dlon, dlat."""
-    rest = ["edge_id", "distance_m", "is_gap", "dlon", "dlat"]
-    return edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), *rest).unionByName(edges.select(F.col("v").alias("src"), F.col("u").alias("dst"), *rest))
+    """Both directions of each edge: src, dst, edge_id, distance_m, is_gap, dlon, dlat. The edges are read once."""
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return edges.select(F.explode(F.array(ends("u", "v"), ends("v", "u"))).alias("e"), *EDGE).select("e.src", "e.dst", *(c for c in EDGE if c not in ("u", "v")))
 
 
 def graph_stats(graph: Graph) -> DataFrame:

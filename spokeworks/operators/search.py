@@ -8,11 +8,15 @@ Each search is a table of states that lie at a node. The graph is cut into the l
 at most HOPS_OF_BLOCK hops each; a state meets the hops of its block in one task and goes on there until
 it leaves the block; then it is shuffled to the next one. Graphs of at most MOST_HOPS hops are one
 block, which is broadcast.
+
+Gaps of a wide tolerance are hundreds a node. They aren't rows: a block holds the nodes in and around it,
+and a node's gaps are found among these when a search meets it.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import md5
@@ -20,9 +24,11 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..session import cut
 from . import network
 from .requests import nearest_node, request_mode, start_candidates
@@ -42,6 +48,8 @@ LEVELS = range(0, 15, 2)
 MOST_BLOCKS = 200_000
 #: Nodes whose hops a worker holds as tuples at once.
 MOST_NEAR = 50_000
+#: Hops that a worker holds as tuples at once, but for those of the node that was met last (about 300 bytes each).
+MOST_HELD = 500_000
 #: States of a block that one task moves, on average; each task gets a copy of the block's hops.
 STATES = 50_000
 #: Shortest paths are looked for within these parts of the longest way, one after another, until all starts are reached.
@@ -66,9 +74,24 @@ def in_block(node: int, block: int) -> bool:
 
 
 class Hops:
-    """The hops of a block as columns in the order of their first nodes; a node's hops become tuples when it is met."""
+    """The hops of a block as columns in the order of their first nodes; a node's hops become tuples when it is met.
+
+    Rows without dst are points (see ``as_hops``), between which there are gaps of up to ``gap_m`` as
+    ``network.gap_candidates`` and ``exclude_connected`` give them. They lie in cells of the size of the degree
+    box, by row, so that a node's gaps lie in three runs of points.
+    """
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, gap_m: float = 0.0):
+        self.gap_m, self.held = gap_m, 0
+        if gap_m > 0:
+            points = table.filter(pc.is_null(table["dst"]))
+            table = table.filter(pc.is_valid(table["dst"]))
+            node, lon, lat = (points[c].to_numpy() for c in ("src", "dlon", "dlat"))
+            cells = self.cell(lon, lat, 0)
+            order = np.argsort(cells, kind="stable")
+            self.points, self.cells, self.lon, self.lat = node[order], cells[order], lon[order], lat[order]
+            own = points["is_gap"].to_numpy(zero_copy_only=False).astype(bool)[order]
+            self.sources = {n: k for n, k in zip(self.points[own].tolist(), np.flatnonzero(own).tolist(), strict=True)}
         src = table["src"].to_numpy()
         order = np.argsort(src, kind="stable")
         self.nodes, first = np.unique(src[order], return_index=True)
@@ -81,26 +104,59 @@ class Hops:
         """As ``get``, of the hops that are usable with a tolerance."""
         if (known := self.fits.get((node, gap))) is not None:
             return known
-        out = tuple([h for h in near if usable(h, gap)] for near in self.get(node))
+        near = self.get(node)
+        out = tuple([h for h in hops if usable(h, gap)] for hops in near)
         if len(self.fits) >= MOST_NEAR:
             self.fits.clear()
         self.fits[node, gap] = out
         return out
 
+    def cell(self, lon: np.ndarray | float, lat: np.ndarray | float, row: int) -> np.ndarray:
+        """The number of the cell that lies ``row`` rows above that of a place; cells of one row follow each other."""
+        reach = self.gap_m / 111_000.0 * 1.5
+        return (np.floor(lat / reach).astype(np.int64) + row) * (1 << 32) + np.floor(lon / (2 * reach)).astype(np.int64)
+
+    def gaps(self, node: int, joined: set[int]) -> list[tuple]:
+        """The gaps from a node to others than those that lane edges join it with."""
+        k = self.sources.get(node)
+        if k is None:
+            return []
+        lon, lat = self.lon[k], self.lat[k]
+        middle = [int(self.cell(lon, lat, row)) for row in (-1, 0, 1)]
+        runs = [slice(*np.searchsorted(self.cells, [cell - 1, cell + 2])) for cell in middle]
+        dst, dlon, dlat = (np.concatenate([x[run] for run in runs]) for x in (self.points, self.lon, self.lat))
+        mean = np.radians((lat + dlat) / 2)
+        dlon, dlat = dlon - lon, dlat - lat
+        reach = self.gap_m / 111_000.0 * 1.5
+        near = np.flatnonzero((np.abs(dlat) <= reach) & (np.abs(dlon) <= reach * 2) & (dst != node))
+        dst, dlon, dlat = dst[near], dlon[near], dlat[near]
+        wide = np.radians(dlon) * np.array([math.cos(x) for x in mean[near].tolist()])
+        high = np.radians(dlat)
+        metres = geo.FLAT_RADIUS_M * np.sqrt(high * high + wide * wide)
+        close = np.flatnonzero(metres <= self.gap_m)
+        rows = zip(*(x[close].tolist() for x in (dst, metres, dlon, dlat)), strict=True)
+        return [(to, f"{min(node, to)}-{max(node, to)}", m, True, x, y) for to, m, x, y in rows if to not in joined]
+
     def get(self, node: int) -> tuple[list[tuple], list[tuple]] | tuple[()]:
         """Neighbours of a node: lanes and gaps, each as (dst, edge_id, distance_m, is_gap, dlon, dlat)."""
         if (known := self.near.get(node)) is not None:
             return known
         k = int(np.searchsorted(self.nodes, node))
-        if k == len(self.nodes) or self.nodes[k] != node:
-            return ()
-        at, n = int(self.ends[k]), int(self.ends[k + 1] - self.ends[k])
         out: tuple[list[tuple], list[tuple]] = ([], [])
-        for hop in zip(*(c.slice(at, n).to_pylist() for c in self.columns), strict=True):
-            out[bool(hop[3])].append(hop)
-        if len(self.near) >= MOST_NEAR:
+        if k < len(self.nodes) and self.nodes[k] == node:
+            at, n = int(self.ends[k]), int(self.ends[k + 1] - self.ends[k])
+            for hop in zip(*(c.slice(at, n).to_pylist() for c in self.columns), strict=True):
+                out[bool(hop[3])].append(hop)
+        elif not self.gap_m:
+            return ()
+        if self.gap_m:
+            out[1].extend(self.gaps(node, {h[0] for h in out[0]}))
+        if len(self.near) >= MOST_NEAR or self.held >= MOST_HELD:
             self.near.clear()
+            self.fits.clear()
+            self.held = 0
         self.near[node] = out
+        self.held += len(out[0]) + len(out[1])
         return out
 
 
@@ -115,37 +171,59 @@ def _kept() -> dict[str, Hops]:
     return {}
 
 
-def whole_hops(name: str, table: pa.Table) -> Hops:
+def whole_hops(name: str, table: pa.Table, gap_m: float) -> Hops:
     """The hops of a broadcast graph, which the tasks of one worker share."""
     kept = _kept()
     if name not in kept:
         kept.clear()
-        kept[name] = Hops(table)
+        kept[name] = Hops(table, gap_m)
     return kept[name]
 
 
+def as_hops(points: DataFrame) -> DataFrame:
+    """Points (node, lon, lat, inside) as rows of HOP without dst; is_gap tells whether gaps are looked for from a point, dlon and dlat are its place."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return points.select(F.col("node").alias("src"), none("long").alias("dst"), none("string").alias("edge_id"), none("double").alias("distance_m"), F.col("inside").alias("is_gap"), F.col("lon").alias("dlon"), F.col("lat").alias("dlat"))
+
+
 class Blocks:
     """A graph's hops, broadcast as one block where they are few, or by block.
 
     Blocks are the coarsest squares of at most HOPS_OF_BLOCK hops, so dense and thin parts of a graph make
     tasks of like size. Hops are counted by square and placed once; nodes are placed by joins with the
     squares, broadcast up to MOST_BLOCKS, beyond which each node's block is looked up by its id.
+
+    points: nodes (node, lon, lat, inside) between which there are gaps of up to gap_m besides, from those
+    inside. They count as hops; each is copied to the blocks that its degree box touches.
     """
 
-    def __init__(self, adj: DataFrame):
-        self.name = uuid4().hex
-        few = adj.count() <= MOST_HOPS
-        self.whole = adj.sparkSession.sparkContext.broadcast(adj.select(*HOP).toArrow()) if few else None
+    def __init__(self, adj: DataFrame, points: DataFrame | None = None, gap_m: float = 0.0):
+        self.name, self.gap_m = uuid4().hex, gap_m if points is not None else 0.0
+        hops = adj.select(*HOP)
+        spots = as_hops(points) if self.gap_m > 0 else None
+        rows = hops if spots is None else hops.unionByName(spots)
+        few = rows.count() <= MOST_HOPS
+        self.whole = adj.sparkSession.sparkContext.broadcast(rows.toArrow()) if few else None
         if few:
             return
-        counted = adj.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-        leaves = cut(quadtree(counted))
+        counted = rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        leaves = cut(quadtree(counted, levels_for(self.gap_m)))
         self.few_blocks = leaves.count() <= MOST_BLOCKS
         self.blocks = leaves
         self.levels = sorted(r[0] for r in leaves.select(F.col("block").bitwiseAND(31)).distinct().collect())
         if not self.few_blocks:
             self.blocks = cut(counted.select("node", F.explode(F.array(*(block_of(F.col("node"), k) for k in self.levels))).alias("block")).join(leaves, "block"))
-        self.hops = cut(self.placed(adj.select(*HOP), "src"))
+        placed = self.placed(hops, "src")
+        self.hops = cut(placed if spots is None else placed.unionByName(self.copied(spots, leaves)))
+
+    def copied(self, spots: DataFrame, leaves: DataFrame) -> DataFrame:
+        """``spots`` with __block, a row for each block that may hold a node with a gap to it."""
+        high = geo.near_degrees(F.lit(self.gap_m))
+        span = lambda c, reach, zero, k: F.sequence(*(F.shiftright(geo.cell(F.col(c) + x) + zero, k) for x in (-reach, reach)))
+        squares = lambda k: F.flatten(F.transform(span("dlon", high * 2, 18_000_000, k), lambda x: F.transform(span("dlat", high, 9_000_000, k), lambda y: (x * (1 << 25) + y) * 32 + k)))
+        spread = spots.select("*", F.explode(F.concat(*map(squares, self.levels))).alias("__block"))
+        blocks = leaves.select(F.col("block").alias("__block"))
+        return spread.join(F.broadcast(blocks) if self.few_blocks else blocks, "__block").select(*HOP, "__block")
 
     def placed(self, rows: DataFrame, at: str) -> DataFrame:
         """``rows`` with __block, the block of the node in column ``at``; a node without hops is a block of its own."""
@@ -168,21 +246,23 @@ class Blocks:
         """
         kind = _arrow(states.sparkSession, schema)
         if self.whole is not None:
-            shared, name = self.whole, self.name
+            shared, name, gap_m = self.whole, self.name, self.gap_m
 
             def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hops = None
                 for batch in batches:
-                    hops = whole_hops(name, shared.value) if hops is None else hops
+                    hops = whole_hops(name, shared.value, gap_m) if hops is None else hops
                     yield from work(batch.to_pylist(), hops, lambda node: True)
 
             # a number that is named isn't lowered for rows that are few and small, as these are before the search
             return states.repartition(4 * states.sparkSession.sparkContext.defaultParallelism, *key).mapInArrow(move, schema)
 
+        gap_m = self.gap_m
+
         def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.drop_columns(["__block", "__share"]).to_pylist()
             home = left["__block"][0].as_py() if rows else None
-            return pa.Table.from_batches(work(rows, Hops(right), lambda node: in_block(node, home)), kind)
+            return pa.Table.from_batches(work(rows, Hops(right, gap_m), lambda node: in_block(node, home)), kind)
 
         # a block that few states lie in is met in one task, a crowded one in as many as its states need
         placed = self.placed(states, at)
@@ -194,17 +274,23 @@ class Blocks:
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
 
 
-def quadtree(counted: DataFrame) -> DataFrame:
-    """block: the coarsest squares of at most HOPS_OF_BLOCK hops that hold all nodes (node, n hops); a node with more is one of its own.
+def levels_for(gap_m: float) -> range:
+    """LEVELS, without those of squares so small that the box of a gap touches tens of them."""
+    reach = gap_m / 111_000.0 * 1.5 * geo.CELL
+    return range(next((k for k in LEVELS if 2 << k >= reach), LEVELS[-1]), LEVELS.stop, LEVELS.step)
+
+
+def quadtree(counted: DataFrame, levels: range = LEVELS) -> DataFrame:
+    """block: the coarsest squares of at most HOPS_OF_BLOCK hops that hold all nodes (node, n hops); a square of the lowest level, by default a node, may have more.
 
     The squares of all levels are counted at once; a square is a leaf if it is small enough and the one around it isn't.
     """
-    node, top = F.col("node"), LEVELS[-1]
-    around = lambda k: block_of(node, k + LEVELS.step) if k < top else F.lit(None).cast("long")
-    squares = F.explode(F.array(*(F.struct(block_of(node, k).alias("block"), around(k).alias("outer")) for k in LEVELS))).alias("s")
+    node, top = F.col("node"), levels[-1]
+    around = lambda k: block_of(node, k + levels.step) if k < top else F.lit(None).cast("long")
+    squares = F.explode(F.array(*(F.struct(block_of(node, k).alias("block"), around(k).alias("outer")) for k in levels))).alias("s")
     sized = cut(counted.select(squares, "n").groupBy("s.block", "s.outer").agg(F.sum("n").alias("n")))
     large = sized.filter(F.col("n") > HOPS_OF_BLOCK).select(F.col("block").alias("outer"), F.lit(True).alias("split"))
-    small = (F.col("n") <= HOPS_OF_BLOCK) | (F.col("block").bitwiseAND(31) == 0)
+    small = (F.col("n") <= HOPS_OF_BLOCK) | (F.col("block").bitwiseAND(31) == levels[0])
     return sized.join(large, "outer", "left").filter(small & (F.col("outer").isNull() | F.col("split"))).select("block")
 
 
@@ -534,10 +620,11 @@ def no_steps(starts: DataFrame) -> DataFrame:
     return empty
 
 
-def routes_from_candidates(adj: DataFrame, starts: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
+def routes_from_candidates(adj: DataFrame, starts: DataFrame, strategies: dict[str, Strategy] | None = None, make: Callable[[], Blocks] | None = None) -> DataFrame:
     """Steps of the distinct routes of each request by the strategy of its mode, over all its start candidates.
 
-    Requests of a mode without a strategy have no routes; without requests there are no steps.
+    Requests of a mode without a strategy have no routes; without requests there are no steps. make: gives
+    the blocks of the strategies in STRATEGIES, those of ``adj`` by default.
     """
     out, blocks = no_steps(starts), None
     for mode, strategy in (strategies or STRATEGIES).items():
@@ -545,7 +632,7 @@ def routes_from_candidates(adj: DataFrame, starts: DataFrame, strategies: dict[s
         if own.isEmpty():
             continue
         if strategy in STRATEGIES.values():  # these share the blocks
-            blocks = blocks or Blocks(adj)
+            blocks = blocks or (make() if make else Blocks(adj))
             out = out.unionByName(strategy(blocks, own))
         else:
             out = out.unionByName(strategy(adj, own))
@@ -571,12 +658,12 @@ def find_routes(graph: network.Graph, requests: DataFrame, strategies: dict[str,
 
     graph: with gap candidates up to the widest request. Requests with too few routes and a tolerance
     below 1000 m are searched again at 1000 m, whose routes replace the first ones; gaps of that size are
-    looked for only around the nodes that these requests can reach. mode: a column of the requests, if they
+    looked for only from the nodes that the searches of these requests meet; a strategy that isn't built in gets
+    a table of hops around the nodes that the requests can reach, which is made when it is read. mode: a column of the requests, if they
     have it; where it is null or missing it follows from the end and round_trip. Requests of a mode
-    without a strategy have no routes.
+    without a strategy have no routes, so they aren't searched again.
     """
     nodes = cut(graph.nodes)
-    graph = network.Graph(nodes, cut(graph.edges))
     ends = requests.filter("end_lon is not null and end_lat is not null").select("request_id", F.col("end_lon").alias("lon"), F.col("end_lat").alias("lat"))
     snapped = nearest_node(ends, nodes).select("request_id", F.col("node").alias("end_node"))
     usual = request_mode(F.col("end_node"), F.col("round_trip"))
@@ -587,31 +674,37 @@ def find_routes(graph: network.Graph, requests: DataFrame, strategies: dict[str,
     widest = known.agg(F.max("max_gap_m")).first()[0] or 0.0
     adj = cut(network.neighbors(network.edges_for_gap(graph.edges, F.lit(float(widest)))))
     first = routes_from_candidates(adj, starts, strategies)
-    flagged = routes_per_request(known, first).filter("too_few").join(known.filter(F.col("max_gap_m") < WIDE_GAP_M).select("request_id"), "request_id", "left_semi").select("request_id")
+    flagged = routes_per_request(known, first).filter("too_few").join(known.filter((F.col("max_gap_m") < WIDE_GAP_M) & F.col("mode").isin(*(strategies or STRATEGIES))).select("request_id"), "request_id", "left_semi").select("request_id")
     flagged = cut(flagged)
     steps = first.join(flagged, "request_id", "left_anti").join(known.select("request_id", F.col("max_gap_m").alias("gap_m")), "request_id")
     if not flagged.isEmpty():
         again = cut(starts.join(flagged, "request_id", "left_semi").withColumn("max_gap_m", F.lit(WIDE_GAP_M)))
-        wide = cut(widened(graph, again))
-        steps = steps.unionByName(routes_from_candidates(wide, again, strategies).withColumn("gap_m", F.lit(WIDE_GAP_M)))
+        wide, make = widened(network.Graph(nodes, cut(graph.edges.filter(~F.col("is_gap")).select(*network.EDGE))), again)
+        steps = steps.unionByName(routes_from_candidates(wide, again, strategies, make).withColumn("gap_m", F.lit(WIDE_GAP_M)))
     moded = steps.join(known.select("request_id", "mode"), "request_id")
     return shortest_route(moded, F.col("mode") == "one_way")
 
 
-def widened(graph: network.Graph, starts: DataFrame) -> DataFrame:
-    """The hops, with gaps up to 1000 m, from all nodes that searches from ``starts`` can reach within their bounds.
+def widened(graph: network.Graph, starts: DataFrame) -> tuple[DataFrame, Callable[[], Blocks]]:
+    """The hops, with gaps up to 1000 m, from all nodes that searches from ``starts`` can reach within their bounds, and what makes their blocks.
 
     A search leaves no node that lies farther off than the longest way allows: one-way searches start at
     their end, strategies that aren't built in may begin at either. If one request's bounds span too
     many cells, or a lane edge has no length, which leaves a way's reach open, the whole graph is widened.
     """
-    longest = network.stretch(graph.nodes, graph.edges.filter(~F.col("is_gap"))) * 1.01
-    if longest == float("inf"):
-        return network.hops_around(graph, None, WIDE_GAP_M)
-    places = graph.nodes.select("node", "lon", "lat")
-    begun = starts.filter("mode <> 'one_way'").select("node", "max_distance_m").unionByName(starts.filter("end_node is not null").select(F.col("end_node").alias("node"), "max_distance_m"))
-    points = begun.groupBy("node").agg(F.max("max_distance_m").alias("most")).join(places, "node")
-    boxes = cut(network.boxes_within(points, F.col("most") * longest))
-    if (boxes.agg(F.max((F.col("e") - F.col("w") + 1) * (F.col("n") - F.col("s") + 1))).first()[0] or 0) > MOST_CELLS:
-        boxes = None
-    return network.hops_around(graph, boxes, WIDE_GAP_M)
+    longest = network.stretch(graph.nodes, graph.edges) * 1.01
+    boxes = None
+    if longest < float("inf"):
+        places = graph.nodes.select("node", "lon", "lat")
+        begun = starts.filter("mode <> 'one_way'").select("node", "max_distance_m").unionByName(starts.filter("end_node is not null").select(F.col("end_node").alias("node"), "max_distance_m"))
+        points = begun.groupBy("node").agg(F.max("max_distance_m").alias("most")).join(places, "node")
+        boxes = cut(network.boxes_within(points, F.col("most") * longest))
+        if (boxes.agg(F.max((F.col("e") - F.col("w") + 1) * (F.col("n") - F.col("s") + 1))).first()[0] or 0) > MOST_CELLS:
+            boxes = None
+
+    def make() -> Blocks:
+        points = cut(network.nodes_around(graph.nodes, boxes, WIDE_GAP_M))
+        lanes = network.neighbors(graph.edges).join(points.filter("inside").select(F.col("node").alias("src")), "src", "left_semi")
+        return Blocks(lanes, points, WIDE_GAP_M)
+
+    return network.hops_around(graph, boxes, WIDE_GAP_M), make

@@ -358,6 +358,55 @@ def test_a_graph_widened_around_requests_gives_the_routes_of_one_widened_everywh
     assert around(graph, made[0], 1000.0).count() < 0.7 * around(graph, None, 1000.0).count()
 
 
+def crowded(spark, n=120, seed=4):
+    rng = random.Random(seed)
+    at = lambda: (13.4 + rng.uniform(0, 0.03), 52.5 + rng.uniform(0, 0.02))
+    lines = [[p, (p[0] + rng.uniform(-0.002, 0.002), p[1] + rng.uniform(-0.001, 0.001))] for p in (at() for _ in range(n))]
+    asked = spark.createDataFrame([(k, *at(), *(at() if k % 3 == 0 else (None, None)), 20.0, 150.0, 300.0, 2500.0, k % 3 == 1) for k in range(6)], "request_id long, start_lon double, start_lat double, end_lon double, end_lat double, max_gap_m double, start_proximity_m double, min_distance_m double, max_distance_m double, round_trip boolean")
+    return network.build_graph(lanes(spark, *lines), 20.0), asked
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_gaps_found_when_a_node_is_met_are_those_of_the_grid_join(spark, most, monkeypatch):
+    graph, _ = crowded(spark)
+    lane_edges, nodes = graph.edges.filter("not is_gap"), graph.nodes.withColumn("inside", F.expr("node % 5 > 0"))
+    own = nodes.filter("inside").select(F.col("node").alias("src"))
+    rows = network.neighbors(lane_edges.unionByName(network.exclude_connected(network.gap_candidates(graph.nodes, 400.0), lane_edges))).join(own, "src", "left_semi")
+    states = graph.nodes.select(F.col("node").alias("cur"), F.lit(0).alias("k"))
+    kind = search._arrow(spark, "src long, dst long, edge_id string, m double, is_gap boolean")
+    work = lambda some, hops, inside: search._batches(({"src": r["cur"], "dst": h[0], "edge_id": h[1], "m": h[2], "is_gap": h[3]} for r in some for near in hops.fit(r["cur"], 400.0) for h in near), kind)
+    monkeypatch.setattr(search, "MOST_HOPS", most)
+    monkeypatch.setattr(search, "HOPS_OF_BLOCK", 60)
+    monkeypatch.setattr(search, "MOST_HELD", 500)
+    seen = set()
+    for few in (100, 0):
+        monkeypatch.setattr(search, "MOST_BLOCKS", few)
+        blocks = search.Blocks(network.neighbors(lane_edges).join(own, "src", "left_semi"), nodes, 400.0)
+        assert most or blocks.blocks.count() > 3
+        found = blocks.apply(states, work, "src long, dst long, edge_id string, m double, is_gap boolean", ["cur"]).collect()
+        seen.add(frozenset((r.src, r.dst, r.edge_id, round(r.m, 6), r.is_gap) for r in found))
+        assert len(found) == len(set(found))
+    assert seen == {frozenset((r.src, r.dst, r.edge_id, round(r.distance_m, 6), r.is_gap) for r in rows.collect())}
+
+
+def test_no_table_of_wide_gaps_is_written(spark, monkeypatch):
+    graph, asked = crowded(spark)
+    assert search.network.gap_candidates(graph.nodes, search.WIDE_GAP_M).count() > 5000
+    sizes, kept = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: sizes.append((out := kept(df)).count()) or out)
+    monkeypatch.setattr(search, "MOST_HOPS", 0)
+    first_lane = lambda adj, starts: starts.join(adj.filter("not is_gap"), F.col("node") == F.col("src")).select("request_id", "cand_ord", F.lit(1).alias("attempt"), F.lit(0).alias("seg_idx"), "src", "dst", "edge_id", "distance_m", "is_gap").dropDuplicates(["request_id", "cand_ord"])
+    found = search.find_routes(graph, asked.withColumn("mode", F.expr("case when request_id < 2 then 'own' end")), search.register_strategy("own", first_lane))
+    assert {1000.0} <= {r.gap_m for r in found.select("gap_m").distinct().collect()}
+    assert max(sizes) < 5000
+
+
+def test_requests_of_a_mode_without_strategy_are_not_searched_again(spark, monkeypatch):
+    graph, asked = crowded(spark, 30)
+    monkeypatch.setattr(search, "widened", lambda *a: pytest.fail("searched again"))
+    assert search.find_routes(graph, asked.withColumn("mode", F.lit("none"))).count() == 0
+
+
 def test_requests_may_name_their_mode(spark):
     lines = [[(k * 0.001, 0.0), ((k + 1) * 0.001, 0.0)] for k in range(6)]
     asked = spark.createDataFrame([(k, 0.0, 0.0, None, None, 50.0, 10.0, 100.0, 900.0, False, ("round_trip", None, "own", "none")[k]) for k in range(4)], "request_id long, start_lon double, start_lat double, end_lon double, end_lat double, max_gap_m double, start_proximity_m double, min_distance_m double, max_distance_m double, round_trip boolean, mode string")
