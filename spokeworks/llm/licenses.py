@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,10 @@ CUES = ("licen", "copyright", "reserved", "permission", "redistribut", "unauthor
 SPDX = "spdx-license-identifier"
 _EDGE = ".,;:!?()[]\"'*#$%&|<>/-=_"
 _END = "\n"
+#: Marks that end a sentence, and the last characters of words that may have one.
+_MARKS, _CLOSING = frozenset(".;!?"), frozenset(".;!?\"')]")
+#: By so much the scores of many sentences at once may differ from a single one's.
+_SLACK = 1e-3
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -106,22 +111,54 @@ def sentences(text: str) -> Iterator[tuple[int, int, int, list[str]]]:
     A sentence ends at a mark before white space, at the paragraph's end, and at a line's end where
     the next line begins with a capital.
     """
-    for k, block in enumerate(re.finditer(r"(?:[^\n]|\n(?![^\S\n]*(?:\n|$)))+", text)):
-        words, start, last = [], None, None
-        for m in re.finditer(r"\S+", block.group()):
-            raw, at = m.group(), block.start() + m.start()
-            word = raw.lower().strip(_EDGE)
-            if last is not None and words and word and raw.lstrip(_EDGE)[:1].isupper() and "\n" in text[last:at]:
-                yield k, start, last, [*words, _END]
-                words, start = [], None
-            if word:
-                words.append(word)
-                start, last = at if start is None else start, block.start() + m.end()
-            if words and raw.rstrip("\"')]")[-1:] in (".", ";", "!", "?"):
-                yield k, start, last, [*words, _END]
-                words, start = [], None
-        if words:
-            yield k, start, last, [*words, _END]
+    for paragraph, first, last, words in _placed_sentences(text):
+        yield paragraph, *_span(text, first, last), words
+
+
+def _span(text: str, first: tuple[int, int], last: tuple[int, int]) -> tuple[int, int]:
+    """Start of one token and end of another, each given by the place of its line and its number there."""
+    token = lambda at, n: next(islice(re.compile(r"\S+").finditer(text, at), n, None))
+    return token(*first).start(), token(*last).end()
+
+
+def _placed_sentences(text: str) -> Iterator[tuple[int, tuple[int, int], tuple[int, int], list[str]]]:
+    """As ``sentences``, with the first and the last token that has a word instead of positions, which few callers need.
+
+    Paragraphs are runs of lines; a line of white space is one of its own with the lines that follow it, an empty line is none.
+    """
+    k, within, at = -1, False, 0
+    words: list[str] = []
+    first = last = (0, 0)
+    for i, line in enumerate(text.split("\n")):
+        raws = line.split()
+        if i and not raws:  # a blank line ends the paragraph
+            if words:
+                yield k, first, last, [*words, _END]
+                words = []
+            within = False
+        if not within and (line or i and raws):
+            k, within = k + 1, True
+        if raws:
+            own = [w.strip(_EDGE) for w in line.lower().split()]
+            ends = [n for n, raw in enumerate(raws) if raw[-1] in _CLOSING and raw.rstrip("\"')]")[-1:] in _MARKS]
+            fresh, begin = True, 0
+            for n in (*ends, len(raws)):
+                some = [j for j in range(begin, min(n + 1, len(raws))) if own[j]]
+                if some:
+                    if fresh and words and raws[some[0]].lstrip(_EDGE)[:1].isupper():
+                        yield k, first, last, [*words, _END]
+                        words = []
+                    fresh = False
+                    first = first if words else (at, some[0])
+                    last = at, some[-1]
+                    words.extend([own[j] for j in some])
+                if words and n < len(raws):
+                    yield k, first, last, [*words, _END]
+                    words = []
+                begin = n + 1
+        at += len(line) + 1
+    if words:
+        yield k, first, last, [*words, _END]
 
 
 def ngrams(words: list[str], sizes: Iterable[int] = (1, 2, 3)) -> set[tuple[str, ...]]:
@@ -194,6 +231,39 @@ class LicenseModel:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    @cached_property
+    def by_size(self) -> tuple[dict[str, int], dict[tuple[str, ...], int], dict[tuple[str, ...], int]]:
+        one, two, three = ({g: k for g, k in self.index.items() if len(g) == n} for n in (1, 2, 3))
+        return {g[0]: k for g, k in one.items()}, two, three
+
+    def hits(self, words: list[str]) -> set[int]:
+        """The n-grams of the index in a sentence."""
+        one, two, three = self.by_size
+        out: set[int] = set()
+        a = b = None  # the two words before, as far as they are known
+        for w in words:
+            if w not in self.vocabulary:
+                a = b = None
+                continue
+            out.add(one.get(w, -1))
+            if b is not None:
+                out.add(two.get((b, w), -1))
+                if a is not None:
+                    out.add(three.get((a, b, w), -1))
+            a, b = b, w
+        out.discard(-1)
+        return out
+
+    def perhaps(self, many: list[list[str]]) -> list[int]:
+        """The numbers of the sentences that may be of a family or of an SPDX expression: all are scored at once; a single one's score decides."""
+        if not many:
+            return []
+        hits = [list(self.hits(words)) for words in many]
+        p = _softmax((_scores(hits, self.weights, self.bias)) / self.temperature)
+        p[:, self.classes.index(UNKNOWN)] = 0
+        high = p.max(axis=1) >= self.margin - _SLACK
+        return [n for n, words in enumerate(many) if high[n] or SPDX in words]
+
     def find(self, words: list[str]) -> tuple[str, float, float] | None:
         """(family, probability, similarity) of a sentence that isn't of the unknown class."""
         p = self.probabilities(words)
@@ -227,8 +297,12 @@ class LicenseModel:
         """The notices of a text: neighbouring sentences of one family and paragraph are one notice."""
         found: list[dict] = []
         last: dict[str, tuple[int, int]] = {}
-        for n, (paragraph, start, end, words) in enumerate(sentences(text)):
-            for family, p, similarity in self.families(words):
+        every = list(_placed_sentences(text))
+        for n in self.perhaps([words for *_, words in every]):
+            paragraph, first, to, words = every[n]
+            families = self.families(words)
+            start, end = _span(text, first, to) if families else (0, 0)
+            for family, p, similarity in families:
                 row = {"paragraph": paragraph, "start": start, "end": end, "family": family, "probability": p, "similarity": similarity, "confirmed": similarity >= self.confirm}
                 before, at = last.get(family, (-2, -1))
                 if before == n - 1 and found[at]["paragraph"] == paragraph:

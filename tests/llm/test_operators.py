@@ -172,6 +172,23 @@ def test_licences_of_families_are_told_apart_on_notices_held_out(license_model):
     assert sum(framed) / len(framed) > 0.65 and sum(named) / len(named) > 0.9 and sum(alarms) / len(alarms) < 0.05
 
 
+def test_only_sentences_that_may_be_notices_are_scored_alone(license_model, monkeypatch):
+    rng = random.Random(8)
+    pieces = [prose(12, k) + "." for k in range(40)] + ["Licensed under the MIT License.", GPL, "SPDX-License-Identifier: MIT OR ISC", "", " ", "All rights\nReserved", "-- (c)", "The end", "x.\ny"]
+    texts = ["".join(x + rng.choice(["\n", "\n\n", " ", "\n \n"]) for x in rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(200)]
+    every = [[(k, a, b, f) for k, a, b, words in licenses.sentences(t) for f in license_model.families(words)] for t in texts]
+    for t in texts:
+        for _, a, b, words in licenses.sentences(t):
+            assert licenses.whole(t[a:b])[:-1] == [w for w in words if w != "\n"]
+    alone = []
+    single = licenses.LicenseModel.probabilities
+    monkeypatch.setattr(licenses.LicenseModel, "probabilities", lambda self, words: alone.append(words) or single(self, words))
+    found = [license_model.scan(t) for t in texts]
+    assert [{n["family"] for n in f} for f in found] == [{f[0] for *_, f in e} for e in every]
+    assert all(max((n["probability"] for n in f), default=0) == max((x[3][1] for x in e), default=0) for f, e in zip(found, every, strict=True))
+    assert len(alone) < 0.6 * sum(len(list(licenses.sentences(t))) for t in texts)
+
+
 def test_licence_scans_of_odd_tables(spark, license_model):
     texts = [*ODD, "x " * 200_000 + "\n\nMIT License", f"{prose(20, 99)}\nReleased under the MIT License."]
     docs = docs_of(spark, texts)
