@@ -5,9 +5,10 @@ on starts (request_id, node, cand_ord, max_gap_m, min_distance_m, max_distance_m
 end_node) and give steps (request_id, cand_ord, attempt, seg_idx, src, dst, edge_id, distance_m, is_gap).
 
 Each search is a table of states that lie at a node. The graph is cut into the leaves of a quadtree of
-at most HOPS_OF_BLOCK hops each; a state meets the hops of its block in one task and goes on there until
-it leaves the block; then it is shuffled to the next one. Graphs of at most MOST_HOPS hops are one
-block, which is broadcast.
+at most HOPS_OF_BLOCK hops each; a state meets the hops in and around its block in one task and goes on there until
+it leaves them; then it is shuffled to the block that it has come to. It has crossed a margin by then, so ways
+to and fro over a border stay in one task, and rounds follow lengths, not crossings. Graphs of at most
+MOST_HOPS hops are one block, which is broadcast.
 
 Gaps of a wide tolerance are hundreds a node. They aren't rows: a block holds the nodes in and around it,
 and a node's gaps are found among these when a search meets it.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import cut
+from ..session import cut, new_path
 from . import network
 from .requests import nearest_node, request_mode, start_candidates
 
@@ -42,6 +43,8 @@ MOST_HOPS = 500_000
 MOST_CELLS = 10_000
 #: Hops of a block at most, but for a single node with more of them (about 60 bytes a hop in a Python worker).
 HOPS_OF_BLOCK = 100_000
+#: A block holds the hops of a margin around it, its side divided by this wide, unless they are over so many times HOPS_OF_BLOCK then.
+MARGIN, MOST_WITH_MARGIN = 4, 3
 #: Sides of blocks are two to these powers of the node ids' cells: from about a metre to 18 km.
 LEVELS = range(0, 15, 2)
 #: Blocks of a graph that are broadcast at most, 8 bytes each.
@@ -52,6 +55,8 @@ MOST_NEAR = 50_000
 MOST_HELD = 500_000
 #: States of a block that one task moves, on average; each task gets a copy of the block's hops.
 STATES = 50_000
+#: States that a search for shortest ways stands for when it begins, so that some 100 begin in a task, whose ways it holds at once.
+STATES_OF_SEARCH = 500
 #: Shortest paths are looked for within these parts of the longest way, one after another, until all starts are reached.
 PARTS = (8, 2, 1)
 HOP = ["src", "dst", "edge_id", "distance_m", "is_gap", "dlon", "dlat"]
@@ -67,10 +72,34 @@ def block_of(node: Column, level: int) -> Column:
     return (F.shiftright(node, 25 + level) * (1 << 25) + F.shiftright(node.bitwiseAND((1 << 25) - 1), level)) * 32 + level
 
 
-def in_block(node: int, block: int) -> bool:
-    """Whether ``block_of`` of the block's level gives the block."""
-    level = block & 31
-    return (node >> 25 + level << 25 | (node & (1 << 25) - 1) >> level) << 5 | level == block
+def in_block(node: int, block: int, wide: bool = False) -> bool:
+    """Whether ``block_of`` of the block's level gives the block; wide: or the node lies in its margin."""
+    return inside_of(block, wide)(node)
+
+
+def inside_of(block: int, wide: bool) -> Callable[[int], bool]:
+    level, low = block & 31, (1 << 25) - 1
+    margin = margin_of(level, wide)
+    side, west, south = (1 << level) + 2 * margin, (block >> 30 << level) - margin, ((block >> 5 & low) << level) - margin
+    return lambda node: 0 <= (node >> 25) - west < side and 0 <= (node & low) - south < side
+
+
+def margin_of(level: int, wide: bool) -> int:
+    """The margin of a block in cells."""
+    return (1 << level) // MARGIN if wide else 0
+
+
+def squares_near(x: tuple[Column, Column], y: tuple[Column, Column], level: int, wide: bool) -> Column:
+    """The squares of a level (block, wide) that the cells from x[0] to x[1] and from y[0] to y[1] touch, the squares' margins included if wide."""
+    margin = margin_of(level, wide)
+    span = lambda at: F.sequence(*(F.shiftright(c, level) for c in (at[0] - margin, at[1] + margin)))
+    square = lambda i, j: F.struct(((i * (1 << 25) + j) * 32 + level).alias("block"), F.lit(wide).alias("wide"))
+    return F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: square(i, j))))
+
+
+def cells_at(node: Column) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    x, y = F.shiftright(node, 25), node.bitwiseAND((1 << 25) - 1)
+    return (x, x), (y, y)
 
 
 class Hops:
@@ -193,8 +222,10 @@ class Blocks:
     tasks of like size. Hops are counted by square and placed once; nodes are placed by joins with the
     squares, broadcast up to MOST_BLOCKS, beyond which each node's block is looked up by its id.
 
+    Hops are copied to the blocks in whose margin they begin, see MARGIN.
+
     points: nodes (node, lon, lat, inside) between which there are gaps of up to gap_m besides, from those
-    inside. They count as hops; each is copied to the blocks that its degree box touches.
+    inside. They count as hops; each is copied to the blocks that its degree box touches, or whose margin it touches.
     """
 
     def __init__(self, adj: DataFrame, points: DataFrame | None = None, gap_m: float = 0.0):
@@ -206,24 +237,32 @@ class Blocks:
         self.whole = adj.sparkSession.sparkContext.broadcast(rows.toArrow()) if few else None
         if few:
             return
-        counted = rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        counted = cut(rows.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")))
         leaves = cut(quadtree(counted, levels_for(self.gap_m)))
         self.few_blocks = leaves.count() <= MOST_BLOCKS
         self.blocks = leaves
         self.levels = sorted(r[0] for r in leaves.select(F.col("block").bitwiseAND(31)).distinct().collect())
         if not self.few_blocks:
             self.blocks = cut(counted.select("node", F.explode(F.array(*(block_of(F.col("node"), k) for k in self.levels))).alias("block")).join(leaves, "block"))
-        placed = self.placed(hops, "src")
-        self.hops = cut(placed if spots is None else placed.unionByName(self.copied(spots, leaves)))
-
-    def copied(self, spots: DataFrame, leaves: DataFrame) -> DataFrame:
-        """``spots`` with __block, a row for each block that may hold a node with a gap to it."""
-        high = geo.near_degrees(F.lit(self.gap_m))
-        span = lambda c, reach, zero, k: F.sequence(*(F.shiftright(geo.cell(F.col(c) + x) + zero, k) for x in (-reach, reach)))
-        squares = lambda k: F.flatten(F.transform(span("dlon", high * 2, 18_000_000, k), lambda x: F.transform(span("dlat", high, 9_000_000, k), lambda y: (x * (1 << 25) + y) * 32 + k)))
-        spread = spots.select("*", F.explode(F.concat(*map(squares, self.levels))).alias("__block"))
-        blocks = leaves.select(F.col("block").alias("__block"))
-        return spread.join(F.broadcast(blocks) if self.few_blocks else blocks, "__block").select(*HOP, "__block")
+        # all blocks with their margins, to count the hops; then those whose margin isn't too full
+        self.kinds = [(k, True) for k in self.levels]
+        self.leaves = leaves.withColumn("wide", F.lit(True))
+        held = self.around(counted, *cells_at(F.col("node"))).groupBy("__block").agg(F.sum("n").alias("n"))
+        self.leaves = cut(held.select(F.col("__block").alias("block"), (F.col("n") <= MOST_WITH_MARGIN * HOPS_OF_BLOCK).alias("wide")))
+        self.kinds = sorted(map(tuple, self.leaves.select(F.col("block").bitwiseAND(31), "wide").distinct().collect()))
+        near = self.around(hops, *cells_at(F.col("src")))
+        if spots is not None:
+            high = geo.near_degrees(F.lit(self.gap_m))
+            span = lambda c, reach, zero: tuple(geo.cell(F.col(c) + x) + zero for x in (-reach, reach))
+            near = near.unionByName(self.around(spots, span("dlon", high * 2, 18_000_000), span("dlat", high, 9_000_000)))
+        self.hops = cut(near)
+
+    def around(self, rows: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+        """``rows`` with __block and __wide, a row for each block that the cells from x[0] to x[1] and y[0] to y[1] touch, with its margin if it has one."""
+        near = F.explode(F.concat(*(squares_near(x, y, k, wide) for k, wide in self.kinds))).alias("__near")
+        spread = rows.select("*", near).select(*rows.columns, F.col("__near.block").alias("__block"), F.col("__near.wide").alias("__wide"))
+        leaves = self.leaves.select(F.col("block").alias("__block"), F.col("wide").alias("__wide"))
+        return spread.join(F.broadcast(leaves) if self.few_blocks else leaves, ["__block", "__wide"]).select(*spread.columns)
 
     def placed(self, rows: DataFrame, at: str) -> DataFrame:
         """``rows`` with __block, the block of the node in column ``at``; a node without hops is a block of its own."""
@@ -241,6 +280,7 @@ class Blocks:
     def apply(self, states: DataFrame, work: Callable[[list[dict], Hops, Callable[[int], bool]], Iterator[pa.RecordBatch]], schema: str, key: list[str], at: str = "cur", weight: Column | None = None) -> DataFrame:
         """The batches that ``work`` gives for the states at the nodes of one block, its hops, and the test for its nodes.
 
+        states: with __block where that isn't the one that holds their node. work's test is true for the block's margin, too.
         key: columns that tell states apart; those of a crowded block are dealt to several tasks by them.
         weight: how many states a row stands for.
         """
@@ -261,11 +301,11 @@ class Blocks:
 
         def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.drop_columns(["__block", "__share"]).to_pylist()
-            home = left["__block"][0].as_py() if rows else None
-            return pa.Table.from_batches(work(rows, Hops(right, gap_m), lambda node: in_block(node, home)), kind)
+            inside = inside_of(left["__block"][0].as_py(), bool(right.num_rows) and right["__wide"][0].as_py()) if rows else None
+            return pa.Table.from_batches(work(rows, Hops(right, gap_m), inside), kind)
 
         # a block that few states lie in is met in one task, a crowded one in as many as its states need
-        placed = self.placed(states, at)
+        placed = states if "__block" in states.columns else self.placed(states, at)
         crowds = placed.groupBy("__block").agg(F.ceil(F.sum(F.lit(1) if weight is None else weight) / STATES).cast("long").alias("__tasks"))
         left = placed.join(crowds, "__block").withColumn("__share", F.pmod(F.xxhash64(*key), F.col("__tasks"))).drop("__tasks")
         tasks = left.select(F.col("__block").alias("__b"), F.col("__share").alias("__s")).distinct()
@@ -488,14 +528,16 @@ def shortest_trees(adj: DataFrame | Blocks, ends: DataFrame) -> DataFrame:
 
     The graph is undirected, so one search per distinct end serves all starts. A round settles each
     search in the blocks that it has reached and hands the ways that leave them to their neighbours;
-    known ways are read again only for blocks that are reached anew. Ties take fewer hops, then the
-    smaller next node.
+    known ways are read again only for blocks that are reached anew, from one table that each round adds
+    to, so that plans are as large in the last round as in the second. A search that never leaves its
+    first block is whole and isn't met again. Ties take fewer hops, then the smaller next node.
     """
     blocks = blocks_of(adj)
+    spark = ends.sparkSession
     bounds = ends.groupBy("end_node", "max_gap_m").agg(F.max("max_distance_m").alias("most"))
     news = bounds.select(*SEARCH, F.col("end_node").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("next"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("boolean").alias("is_gap"), F.lit("new").alias("state"))
     schema = TREE + ", state string"
-    kind = _arrow(ends.sparkSession, schema)
+    kind = _arrow(spark, schema)
 
     def work(rows: list[dict], hops: Hops, inside: Callable[[int], bool]) -> Iterator[pa.RecordBatch]:
         searches: dict[tuple, tuple[dict, list]] = {}
@@ -508,34 +550,35 @@ def shortest_trees(adj: DataFrame | Blocks, ends: DataFrame) -> DataFrame:
                 best[r["node"]] = way
         for key, (best, fresh) in searches.items():
             better, beyond = settle(best, fresh, hops, inside, key[1], key[2])
-            for state, ways in (("known", better), ("new", beyond)):
+            first = len(fresh) == 1 and fresh[0][1][2] is None  # the end itself, so nothing was known
+            for state, ways in (("whole" if first and not beyond else "known", better), ("new", beyond)):
                 if ways:
                     dist, n, following, edge = zip(*ways.values(), strict=True)
                     columns = [*([k] * len(ways) for k in key), list(ways), dist, n, following, *zip(*edge, strict=True), [state] * len(ways)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types, strict=True)], schema=kind)
 
-    known: list[DataFrame] = []
+    begun = F.when(F.col("next").isNull(), STATES_OF_SEARCH).otherwise(1)
+    if blocks.whole is not None:
+        return cut(blocks.apply(news, work, schema, SEARCH, at="node", weight=begun)).drop("most", "state")
+    folder, rounds = new_path(spark, "trees"), 0
+    table = lambda part, state: spark.read.schema(schema).parquet(f"{folder}/{part}").filter(F.col("state") == state)
+    rows = blocks.placed(news, "node")
     while True:
-        rows = news
-        if known:
-            reached = blocks.placed(news, "node").select(*SEARCH, "__block").distinct()
-            old = known[0]
-            for k in known[1:]:
-                old = old.unionByName(k)
-            rows = news.unionByName(blocks.placed(old, "node").join(reached, [*SEARCH, "__block"], "left_semi").drop("__block"))
-        settled = cut(blocks.apply(rows, work, schema, SEARCH, at="node"))
-        known.append(settled.filter("state = 'known'"))
-        news = settled.filter("state = 'new'")
-        if blocks.whole is not None or news.isEmpty():
+        blocks.apply(rows, work, schema, SEARCH, at="node", weight=begun).write.parquet(f"{folder}/{rounds}")
+        news = table(rounds, "new")
+        if news.isEmpty():
             break
-    if len(known) == 1:
-        return known[0].drop("most", "state")
-    ways = known[0]
-    for k in known[1:]:
-        ways = ways.unionByName(k)
+        rounds += 1
+        placed = blocks.placed(news, "node")
+        reached = placed.select(*SEARCH, "__block").distinct()
+        known = blocks.around(table("*", "known"), *cells_at(F.col("node"))).join(reached, [*SEARCH, "__block"], "left_semi")
+        rows = placed.unionByName(known.drop("__wide"))
+    whole, parts = table("*", "whole").drop("most", "state"), table("*", "known")
+    if not rounds:
+        return whole
     rest = ["dist", "hops", "next", "edge_id", "distance_m", "is_gap"]
     least = F.min_by(F.struct(*rest), F.struct("dist", "hops", "next")).alias("b")
-    return ways.groupBy("end_node", "max_gap_m", "node").agg(least).select("end_node", "max_gap_m", "node", "b.*")
+    return whole.unionByName(cut(parts.groupBy("end_node", "max_gap_m", "node").agg(least).select("end_node", "max_gap_m", "node", "b.*")))
 
 
 def shortest_paths(adj: DataFrame | Blocks, starts: DataFrame) -> DataFrame:
@@ -552,7 +595,7 @@ def shortest_paths(adj: DataFrame | Blocks, starts: DataFrame) -> DataFrame:
     reached = trees = None
     for part in PARTS:
         bound = F.col("max_distance_m") / part
-        found = cut(shortest_trees(blocks, left.select(*by, bound.alias("max_distance_m"))))
+        found = shortest_trees(blocks, left.select(*by, bound.alias("max_distance_m")))
         met = cut(left.join(found.select(*by, "node", "dist", "hops"), [*by, "node"]))
         own = met.filter("dist between min_distance_m and max_distance_m").select(*columns, F.lit(part).alias("part"))
         tree = found.filter("next is not null").join(own.select(*by).distinct(), by, "left_semi").withColumn("part", F.lit(part))

@@ -298,6 +298,23 @@ def test_walks_and_shortest_ways_of_over_a_thousand_steps_are_whole(spark, block
     assert [r.n_segments for r in search.with_signature(search.shortest_paths(adj, bounds)).collect()] == [749]
 
 
+def test_rounds_follow_lengths_not_crossings_and_plans_stay_as_large(spark, monkeypatch):
+    monkeypatch.setattr(search, "MOST_HOPS", 0)
+    monkeypatch.setattr(search, "HOPS_OF_BLOCK", 30)
+    node = [((1 << 20) - k % 2 << 25) + (1 << 20) + 20 * k for k in range(60)]  # to and fro over a border of squares
+    adj = adjacency(spark, [(a, b, 20.0, False) for a, b in zip(node, node[1:], strict=False)])
+    assert search.Blocks(adj).leaves.count() > 8
+    plans, apply = [], search.Blocks.apply
+    monkeypatch.setattr(search.Blocks, "apply", lambda self, states, *a, **b: plans.append(len(states._jdf.queryExecution().optimizedPlan().toString())) or apply(self, states, *a, **b))
+    ends = spark.createDataFrame([(node[0], 10.0, 5000.0)], "end_node long, max_gap_m double, max_distance_m double")
+    assert {(r.node, r.dist, r.hops) for r in search.shortest_trees(adj, ends).collect()} == {(n, 20.0 * k, k) for k, n in enumerate(node)}
+    assert 3 < len(plans) < 12 and max(plans[1:]) < 1.1 * min(plans[1:])
+    plans.clear()
+    starts = spark.createDataFrame([(1, node[0], 0, 60.0, 1000.0, 5000.0)], STARTS)
+    assert [r.n_segments for r in search.with_signature(search.walks(adj, starts, loop=False, attempts=1)).collect()] == [50]
+    assert len(plans) < 12
+
+
 def test_blocks_are_the_coarsest_squares_of_at_most_so_many_hops(spark, monkeypatch):
     monkeypatch.setattr(search, "HOPS_OF_BLOCK", 50)
     rng = random.Random(2)
