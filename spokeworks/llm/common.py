@@ -60,6 +60,16 @@ def over_batches(df: DataFrame, inputs: Iterable[Column], work: Callable[[pa.Rec
     return df.select(*(c.alias(f"a{i}") for i, c in enumerate(inputs))).mapInArrow(run, schema)
 
 
+def from_batches(df: DataFrame, inputs: Iterable[Column], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As ``over_batches``, where ``work`` gives several batches, none of which is held until the last is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from work(batch)
+
+    return df.select(*(c.alias(f"a{i}") for i, c in enumerate(inputs))).mapInArrow(run, schema)
+
+
 def text_of(column: str) -> Column:
     """The text in ``column``; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

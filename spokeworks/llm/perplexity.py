@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, over_batches, table, text_of
+from .common import cut, from_batches, over_batches, table, text_of
 
 ORDER = 5
 LANGUAGES = ("en", "de", "fr", "es")
@@ -30,6 +30,8 @@ MOST_ENTRIES = 6_000_000
 #: Characters whose n-grams are counted, or looked up, together (about 60 bytes each in a Python worker); no result depends on them.
 BLOCK = 2_000_000
 LOOKED_UP = 1_500_000
+#: Characters whose n-grams are told apart by text together (about 100 bytes each).
+TOLD_APART = 500_000
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,18 +133,17 @@ def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text:
     Languages that aren't named, null among them, are counted together. Null and empty texts count nothing.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        names, texts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for name in sorted(set(names)):
             own = [t for t, x in zip(texts, names, strict=True) if x == name]
             for a, b in blocks(own):
                 grams = grams_of(own[a:b], order)
                 if len(grams.codes):
-                    parts.append((pa.array(np.full(len(grams.codes), name, np.int32)), pa.array(grams.texts()), pa.array(grams.counts())))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "gram", "n"]) if parts else None
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams.codes), name, np.int32)), pa.array(grams.texts()), pa.array(grams.counts())], ["model", "gram", "n"])
 
     judged = model_of(language(lang, languages), (fold(text_of(text)) + 1) % FOLDS, languages)
-    parts = over_batches(joined_partitions(docs), [judged, text_of(text)], work, "model int, gram string, n long")
+    parts = from_batches(joined_partitions(docs), [judged, text_of(text)], work, "model int, gram string, n long")
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -323,28 +324,56 @@ def log_p_by_joins(grams: DataFrame, entries: DataFrame, order: int = ORDER) ->
     return rows.select("model", "gram", F.coalesce("log_p", F.col("spent") + F.coalesce("value", F.lit(0.0))).alias("log_p"))
 
 
+def told_apart(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Grams, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch (model, text_hash, text), by blocks of texts of one model: the model, the texts' hashes, their n-grams, and which text holds which n-gram how often."""
+    names, texts, h = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_numpy()
+    for name in sorted(set(names)):
+        at = np.array([i for i, x in enumerate(names) if x == name])
+        own = [texts[i] for i in at]
+        for a, b in blocks(own, TOLD_APART):
+            grams = grams_of(own[a:b])
+            if n := len(grams.codes):
+                text = np.repeat(np.arange(b - a), np.diff(grams.ends, prepend=0))
+                key, times = np.unique(text * n + grams.at, return_counts=True)
+                yield name, h[at[a:b]], grams, key // n, key % n, times
+
+
+def hot(asked: DataFrame, most: int) -> DataFrame:
+    """Of n-grams with the number of texts that hold them, those held by most, at most ``most``: model, gram.
+
+    They are cut off between eighths of powers of two of that number, which are counted first, so nothing is sorted.
+    """
+    step = F.floor(8 * F.log2("texts")).cast("int")
+    sizes, least, n = sorted(map(tuple, asked.groupBy(step.alias("step")).count().collect()), reverse=True), None, 0
+    for k, own in sizes:
+        if (n := n + own) > most:
+            break
+        least = k
+    return asked.filter(F.lit(False) if least is None else step >= least).select("model", "gram")
+
+
 def scored_by_joins(docs: DataFrame, entries: DataFrame, frequent: int, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """As ``rules_of`` with models of any size: the texts' distinct n-grams get their probabilities by joins.
 
-    frequent: of the n-grams, how many are broadcast, those that most texts hold; no key of the
+    frequent: of the n-grams, how many are broadcast at most, those that most texts hold; no key of the
     shuffled rest is hot then.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for name, h, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            grams = grams_of([t])
-            if n := len(grams.codes):
-                parts.append((pa.array([name] * n, pa.int32()), pa.array([h] * n, pa.int64()), pa.array(grams.texts()), pa.array(grams.counts())))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], ["model", "text_hash", "gram", "n"]) if parts else None
+    def by_text(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for name, h, grams, text, gram, times in told_apart(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(text), name, np.int32)), pa.array(h[text]), pa.array(grams.texts()).take(pa.array(gram)), pa.array(times)], ["model", "text_hash", "gram", "n"])
+
+    def in_all(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for name, _, grams, _, gram, _ in told_apart(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams.codes), name, np.int32)), pa.array(grams.texts()), pa.array(np.bincount(gram, minlength=len(grams.codes)))], ["model", "gram", "texts"])
 
     base = rules_of(docs, languages, text, lang, doc_id)
     named = model_of(language(lang, languages), fold(text_of(text)), languages)
-    held = over_batches(docs, [named, F.xxhash64(text_of(text)), text_of(text)], work, "model int, text_hash long, gram string, n long")
-    asked = cut(held.groupBy("model", "gram").agg(F.count(F.lit(1)).alias("texts")))
+    inputs = [named, F.xxhash64(text_of(text)), text_of(text)]
+    held = from_batches(docs, inputs, by_text, "model int, text_hash long, gram string, n long")
+    asked = cut(from_batches(docs, inputs, in_all, "model int, gram string, texts long").groupBy("model", "gram").agg(F.sum("texts").alias("texts")))
     logs = cut(log_p_by_joins(asked, entries))
-    often = asked.orderBy(F.desc("texts"), "model", "gram").limit(frequent).select("model", "gram")
-    common = F.broadcast(logs.join(F.broadcast(often), ["model", "gram"], "left_semi").withColumn("often", F.lit(True)))
+    common = F.broadcast(logs.join(F.broadcast(hot(asked, frequent)), ["model", "gram"], "left_semi").withColumn("often", F.lit(True)))
     near = held.join(common, ["model", "gram"], "left")
     far = near.filter("often is null").drop("log_p", "often").join(logs, ["model", "gram"])
     both = near.filter("often").select("model", "text_hash", "n", "log_p").unionByName(far.select("model", "text_hash", "n", "log_p"))

@@ -4,9 +4,11 @@ import random
 import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -336,6 +338,23 @@ def test_grams_of_many_letters_and_a_distribution(spark):
         assert p.min() > 0 and p.sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_ngrams_are_told_apart_in_blocks_and_no_batch_is_held(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "TOLD_APART", 500)
+    texts = [prose(60, k) for k in range(40)] + ["", "a", "aaaaaaa"]
+    batch = pa.RecordBatch.from_arrays([pa.array([k % 3 for k in range(43)], pa.int32()), pa.array(range(43), pa.int64()), pa.array(texts)], ["model", "text_hash", "text"])
+    found, blocks = {}, 0
+    for name, h, grams, text, gram, times in perplexity.told_apart(batch):
+        blocks += 1
+        assert sum(len(texts[k]) for k in h) <= 500 or len(h) == 1
+        names = grams.texts()
+        found |= {(name, int(h[t]), names[g]): int(n) for t, g, n in zip(text, gram, times, strict=True)}
+    pad = " " * (perplexity.ORDER - 1)
+    assert blocks > 20 and found == {(k % 3, k, g): n for k, t in enumerate(texts) for g, n in Counter((pad + t)[i : i + perplexity.ORDER] for i in range(len(t))).items()}
+    asked = spark.createDataFrame([(0, str(k), k) for k in range(1, 200)], "model int, gram string, texts long")
+    kept = [int(r.gram) for r in perplexity.hot(asked, 50).collect()]
+    assert 30 < len(kept) <= 50 and min(kept) == 200 - len(kept) and perplexity.hot(asked, 1).count() == 0
+
+
 def test_perplexity_bands_keep_prose_and_reject_noise(spark):
     rng = random.Random(9)
     noise = [" ".join("".join(rng.choices("qxzjvkw#", k=6)) for _ in range(60)) for _ in range(3)]
